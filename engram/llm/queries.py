@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .best_fit_packing import pack
 from .exact_dedup import exact_groups
+from .ngram_jaccard_join import near_components
 from .quality_rules import STOP_WORDS, quality_rules
 from .source_mixing import mix
 
@@ -17,6 +18,10 @@ def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table.select(*columns) if columns else table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(_docs(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def tokenizer_path() -> str:
     """The public vocabulary that the queries pack by."""
     import public_tokenizers
@@ -42,6 +47,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_exact_dedup": op7_exact_dedup,
@@ -52,6 +58,21 @@ _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijk
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [hash(w)]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: hash(w[i:i + 4])) END) AS s FROM w),
+classes AS (SELECT min(doc_id) AS c, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+tok AS (SELECT c, len(s) AS n, unnest(s) AS t FROM classes),
+pairs AS (
+  SELECT a.c AS a, b.c AS b FROM tok a JOIN tok b ON a.t = b.t AND a.c < b.c AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT c AS a, c AS b FROM classes UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+comp AS (SELECT a AS c, min(b) AS component_id FROM reach GROUP BY a)
+SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(component_id, sets.doc_id) AS component_id
+FROM sets LEFT JOIN classes ON list_sort(sets.s) = classes.s LEFT JOIN comp ON comp.c = classes.c""",
     "op7_exact_dedup": f"""
 WITH t AS (SELECT doc_id, sha256({_LOW}) AS h FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
