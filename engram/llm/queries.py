@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .best_fit_packing import pack
 from .exact_dedup import exact_groups
+from .language_id import identify
+from .line_dedup import LEAST_PAGES, RATIO, drop_boilerplate
 from .ngram_jaccard_join import near_components
 from .quality_rules import STOP_WORDS, quality_rules
+from .secret_scan import scan
 from .source_mixing import mix
 
 
@@ -46,18 +49,47 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_docs(spark, sf_dir, "doc_id", "text"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_docs(spark, sf_dir, "doc_id", "text"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_boilerplate(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_docs(spark, sf_dir, "doc_id", "text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_line_dedup": op6_line_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_source_mixing": op9_source_mixing,
+    "op10_language_id": op10_language_id,
 }
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": rf"""
+WITH a AS (
+  SELECT row_number() OVER () AS rid, page_id,
+         lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
+         list_filter(list_transform(regexp_split_to_array(
+           regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', chr(10), 'g'),
+           '<[^>]*>|\n'), lambda x: trim(x)), lambda x: x <> '') AS lines
+  FROM pages),
+totals AS (SELECT host, count(*) AS pages FROM a GROUP BY host),
+held AS (SELECT host, line, count(*) AS held FROM (SELECT DISTINCT rid, host, unnest(lines) AS line FROM a) GROUP BY host, line),
+common AS (SELECT host, list(line) AS gone FROM held JOIN totals USING (host) WHERE held >= {LEAST_PAGES} AND held > {RATIO} * pages GROUP BY host),
+kept AS (SELECT page_id, host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), x)) AS kept FROM a LEFT JOIN common USING (host))
+SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped, array_to_string(kept, chr(10)) AS text
+FROM kept""",
     "op1_ngram_jaccard_join": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (
