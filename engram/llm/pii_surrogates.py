@@ -1,0 +1,161 @@
+"""PII surrogates: keyed, type-consistent replacements of personal data.
+
+Each detected value is replaced by the value of a keyed permutation over its
+own format: digits go to digits, letters to letters of their case, script and
+vowel class, everything else stays.  So a surrogate has the type and shape of
+what it replaces (a card keeps its check digit valid, an address stays in
+range, a name keeps its title, its ending and with them its gender), the same
+value gets the same surrogate everywhere, and different values of one shape
+never share one.  A collision check over all distinct values confirms this; if
+it finds any, the whole run is keyed anew.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .storage import durable
+
+KEY = b"engram surrogate key"
+ROUNDS = 8
+#: Attempts at another key before a collision is an error.
+ATTEMPTS = 5
+
+_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+_PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
+_NUMBER = re.compile(rf"(?<![\w.+-])(?:(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d))(?![\d]|\.\d)|(?P<ssn>\d{{3}}-\d{{2}}-\d{{4}})(?!\d)|(?P<card>\d{{4}}[ -]?\d{{4}}[ -]?\d{{4}}[ -]?\d{{1,7}}|\d{{13,19}})(?!\d)|(?P<phone>{_PHONE})(?!\d))|(?P<phone2>(?<!\d){_PHONE})(?!\d)")
+_IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
+# Titles before a person's name.
+TITLES = "Mr Mrs Ms Miss Dr Herr Frau Monsieur Madame Mademoiselle Señor Señora Señorita Sr Sra Mme Mlle".split()
+_NAME = re.compile(r"\b(?:" + "|".join(TITLES) + r")\.? ([A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:[ -][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)*)")
+_TITLE = re.compile("|".join(TITLES))
+
+_CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "àáâäèéêëìíîïòóôöùúûü", "ñçß", "ÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜ", "ÑÇ"]
+_CLASS = {c: k for k, chars in enumerate(_CLASSES) for c in chars}
+
+
+def _permute(values: list[int], sizes: list[int], key: bytes) -> list[int]:
+    """A keyed permutation of mixed-radix tuples: a Feistel network on two halves."""
+    values = list(values)
+    halves = [range(0, len(values), 2), range(1, len(values), 2)]
+    for r in range(ROUNDS):
+        to, by = halves[r % 2], halves[1 - r % 2]
+        seed = bytes([r]) + b"".join(values[k].to_bytes(2, "little") for k in by)
+        stream = b"".join(hashlib.blake2b(seed + block.to_bytes(4, "little"), key=key, digest_size=64).digest() for block in range(-(-len(to) // 16)))
+        for j, k in enumerate(to):
+            values[k] = (values[k] + int.from_bytes(stream[4 * j : 4 * j + 4], "little")) % sizes[k]
+    return values
+
+
+def _shape(text: str, key: bytes, kind: str, fixed: int = 0, ending: int = 0) -> str:
+    """Permute the letters and digits of a text within their classes."""
+    at = [k for k, c in enumerate(text) if c in _CLASS and fixed <= k < len(text) - ending]
+    classes = [_CLASS[text[k]] for k in at]
+    # the shape takes part in the key, so that no two shapes move alike
+    shape = hashlib.blake2b(repr((kind, classes)).encode(), key=key, digest_size=32).digest()
+    new = _permute([_CLASSES[c].index(text[k]) for k, c in zip(at, classes)], [len(_CLASSES[c]) for c in classes], shape)
+    out = list(text)
+    for k, c, v in zip(at, classes, new):
+        out[k] = _CLASSES[c][v]
+    return "".join(out)
+
+
+def _check_digit(digits: str) -> int:
+    """The digit that makes digits + it pass the mod-10 card check."""
+    total = sum(sum(divmod(2 * int(d), 10)) if k % 2 == 0 else int(d) for k, d in enumerate(reversed(digits)))
+    return -total % 10
+
+
+def surrogate(kind: str, value: str, key: bytes) -> str:
+    """The replacement of one value; a bijection on the values of its shape."""
+    if kind == "ip":
+        new = _permute([int(x) for x in value.split(".")], [256] * 4, key)
+        return ".".join(map(str, new))
+    if kind == "card":
+        digits = [k for k, c in enumerate(value) if c.isdigit()]
+        plain = "".join(value[k] for k in digits)
+        # how far the last digit is from the valid one stays as it is
+        off = (int(plain[-1]) - _check_digit(plain[:-1])) % 10
+        body = _shape(plain[:-1], key, kind, fixed=1)
+        full, out = body + str((_check_digit(body) + off) % 10), list(value)
+        for k, d in zip(digits, full):
+            out[k] = d
+        return "".join(out)
+    if kind == "phone":
+        country = re.match(r"\+\d{1,3}(?=[ (.-])", value)
+        return _shape(value, key, kind, fixed=country.end() if country else 0)
+    if kind == "email":
+        low = value.lower()
+        new = _shape(low, key, kind, ending=len(low) - low.rindex("."))
+        return "".join(b.upper() if a.isupper() else b for a, b in zip(value, new))
+    if kind == "name":  # the last letter of each part tells gender in many languages
+        return re.sub(r"[^\W\d_]+", lambda m: _shape(m[0], key, kind, ending=1), value)
+    return _shape(value, key, kind, fixed=2 if kind == "iban" else 0)
+
+
+def detect(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of personal data, by start, without overlaps."""
+    found = []
+    if "@" in text:
+        found += [(m.start(), m.end(), "email") for m in _EMAIL.finditer(text)]
+    for m in _NUMBER.finditer(text):
+        found.append((m.start(), m.end(), m.lastgroup.rstrip("2")))
+    found += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text)]
+    if _TITLE.search(text):
+        found += [(*m.span(1), "name") for m in _NAME.finditer(text)]
+    out: list[tuple[int, int, str]] = []
+    for x in sorted(found, key=lambda x: (x[0], -x[1])):
+        if not out or x[0] >= out[-1][1]:
+            out.append(x)
+    return out
+
+
+def _rewrite(key: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for x in batch.column(1):
+                text = x.as_py() or ""
+                parts, at, spans, seen = [], 0, [], []
+                for a, b, kind in detect(text):
+                    new = surrogate(kind, text[a:b], key)
+                    parts += [text[at:a], new]
+                    at = b
+                    spans.append(f"{kind}:{a}:{b}")
+                    seen.append({"kind": kind, "value": text[a:b].lower() if kind == "email" else text[a:b], "new": new.lower() if kind == "email" else new})
+                parts.append(text[at:])
+                for column, v in zip(out, ("".join(parts), len(spans), ",".join(sorted({s.split(":")[0] for s in spans})), ",".join(spans), seen)):
+                    column.append(v)
+            pair = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string()), ("new", pa.string())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], type=pa.string()), pa.array(out[1], type=pa.int64()), pa.array(out[2], type=pa.string()), pa.array(out[3], type=pa.string()), pa.array(out[4], type=pair)], names=["doc_id", "text", "n_entities", "kinds", "spans", "pairs"])
+
+    return run
+
+
+def collisions(pairs: DataFrame) -> int:
+    """How many (kind, new) stand for more than one value, or for themselves."""
+    bad = pairs.distinct().groupBy("kind", "new").agg(F.count("*").alias("k"), F.max((F.col("value") == F.col("new")).cast("int")).alias("same"))
+    return bad.filter("k > 1 OR same = 1").count()
+
+
+def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY) -> DataFrame:
+    """One row per row of ``docs``: doc_id, text, n_entities, kinds, spans.
+
+    ``text`` has every detected value replaced; ``spans`` are kind:start:end in
+    code points of the original text.  A null text counts as empty.  Rows may
+    repeat and get equal results.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    for attempt in range(ATTEMPTS):
+        own = hashlib.blake2b(attempt.to_bytes(4, "little"), key=key, digest_size=32).digest()
+        out = durable(rows.mapInArrow(_rewrite(own), f"doc_id {kind}, text string, n_entities long, kinds string, spans string, pairs array<struct<kind:string,value:string,new:string>>"), "surrogates")
+        if not collisions(out.select(F.explode("pairs").alias("p")).select("p.*")):
+            return out.drop("pairs")
+    raise ValueError(f"surrogates collide under {ATTEMPTS} keys")

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .best_fit_packing import pack
 from .exact_dedup import exact_groups
 from .language_id import identify
+from .license_scan import scan_licenses
 from .line_dedup import LEAST_PAGES, RATIO, drop_boilerplate
 from .ngram_jaccard_join import near_components
+from .pii_surrogates import replace
 from .quality_rules import STOP_WORDS, quality_rules
 from .secret_scan import scan
 from .source_mixing import mix
@@ -57,17 +59,27 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_docs(spark, sf_dir, "doc_id", "text"))
+
+
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace(_docs(spark, sf_dir, "doc_id", "text"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_docs(spark, sf_dir, "doc_id", "text", "lang"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_license_scan": op2_license_scan,
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_secret_scan": op5_secret_scan,
     "op6_line_dedup": op6_line_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_pii_surrogates": op8_pii_surrogates,
     "op9_source_mixing": op9_source_mixing,
     "op10_language_id": op10_language_id,
 }
