@@ -762,3 +762,85 @@ def events_session(spark, sf):
     from ..streaming import windows
 
     return windows.sessions(views.table(spark, sf, "events"), "2 hours")
+
+
+# ---- detectors, session logs -------------------------------------------------
+
+
+@query("session_parse", "SELECT conv_id || ':' || turn AS key, role, CASE WHEN turn % 5 <> 4 THEN text END AS text FROM conversations")
+def session_parse(spark, sf):
+    from ..sources import session_logs
+
+    c = views.turns(spark, sf)
+    block = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))))
+    line = F.concat(F.lit('{"type":"'), F.when(F.col("turn") % 5 == 4, "session").otherwise("message"), F.lit('","message":{"role":"'), "role", F.lit('","content":'), block, F.lit("}}"))
+    m = c.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), session_logs.parse(line).alias("m"))
+    return m.select("key", "m.role", "m.text")
+
+
+@query("feedback_classes", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'error|fallo|bug|incorrecto') THEN 'bug_fix' WHEN regexp_matches(lower(text), 'mejorar|podrías|deberías') THEN 'improvement' WHEN regexp_matches(lower(text), 'bien|perfecto|excelente') THEN 'positive' WHEN regexp_matches(lower(text), 'nunca|siempre|recuerda') THEN 'rule' ELSE 'general' END AS kind FROM conversations")
+def feedback_classes(spark, sf):
+    from ..functions.classify import feedback_class
+
+    return views.table(spark, sf, "conversations").select("conv_id", "turn", feedback_class(F.col("text")).alias("kind"))
+
+
+@query("request_tools", "SELECT page_id, array_to_string(list_filter([CASE WHEN regexp_matches(url, '(?i)(?:export|dump|bulk|all)\\b') THEN 'bulk_extraction' END, CASE WHEN regexp_matches(url, '(?i)[?&]page=\\d+') THEN 'paged' END, CASE WHEN regexp_matches(url, '(?i)[?&]ref=') THEN 'tracked' END], lambda x: x IS NOT NULL), ',') AS tools, regexp_matches(url, '(?i)(?:export|dump|bulk|all)\\b|[?&]page=\\d+') AS suspicious FROM pages")
+def request_tools(spark, sf):
+    from ..functions.classify import request_tools as tools
+
+    p = views.table(spark, sf, "pages").withColumn("path", F.col("url"))
+    t = p.select("page_id", tools().alias("t"))
+    return t.select("page_id", F.array_join(F.transform("t", lambda x: x["tool"]), ",").alias("tools"), F.exists("t", lambda x: x["score"] >= 0.5).alias("suspicious"))
+
+
+@query("self_phrases", "SELECT conv_id, turn, CASE WHEN conv_id % 9 = 0 THEN 'as an ai,my training data' ELSE '' END AS phrases FROM conversations")
+def self_phrases(spark, sf):
+    from ..functions.classify import self_phrases as phrases
+
+    c = views.table(spark, sf, "conversations")
+    said = F.when(F.col("conv_id") % 9 == 0, F.concat(F.lit("As an AI, I know by my training data: "), "text")).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", F.array_join(phrases(said), ",").alias("phrases"))
+
+
+@query("corrections", "SELECT conv_id, turn, CASE WHEN conv_id % 6 = 0 THEN lower(substr('Actually, ' || text, 1, 109)) END AS context FROM conversations")
+def corrections(spark, sf):
+    from ..functions.classify import correction
+
+    c = views.table(spark, sf, "conversations")
+    said = F.when(F.col("conv_id") % 6 == 0, F.concat(F.lit("Actually, "), "text")).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", correction(said).alias("context"))
+
+
+@query("hash_sample", "SELECT doc_id FROM documents WHERE ('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT < 0.25 * 4294967296")
+def hash_sample(spark, sf):
+    from ..functions.classify import sampled
+
+    return views.table(spark, sf, "documents").filter(sampled(F.col("doc_id").cast("string"), 0.25)).select("doc_id")
+
+
+@query("importance_marks", "SELECT CAST(doc_id AS VARCHAR) AS id, round(least(1.0, 0.3 + CASE WHEN regexp_matches(text, '(?i)license') THEN 0.4 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)password|token') THEN 0.5 ELSE 0 END), 6)::DOUBLE AS importance FROM documents")
+def importance_marks(spark, sf):
+    from ..functions.classify import importance
+
+    return views.memories(spark, sf).select("id", F.round(importance(F.col("content"), (("license", 0.4), ("password|token", 0.5))), 6).alias("importance"))
+
+
+# ---- relational smoke over the star schema ------------------------------------
+
+
+@query("order_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def order_rollup(spark, sf):
+    return views.table(spark, sf, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("customers_without_orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def customers_without_orders(spark, sf):
+    o = views.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return views.table(spark, sf, "customer").select("c_custkey").join(o, "c_custkey", "left_anti")
+
+
+@query("top_orders_each", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 2")
+def top_orders_each(spark, sf):
+    r = F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    return views.table(spark, sf, "orders").withColumn("r", r).filter("r <= 2").select("o_custkey", "o_orderkey")
