@@ -94,4 +94,7 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that pass, with their own columns only."""
     names = docs.columns
     inner = docs.select(F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
-    return quality_rules(inner).filter("kept").select("__row.*")
+    # a filter would be pushed into the projection and copy its expressions many
+    # times over; a generator's output isn't
+    judged = quality_rules(inner).select(F.explode_outer(F.when(F.col("kept"), F.array("__row"))).alias("__row"))
+    return judged.filter(F.col("__row").isNotNull()).select("__row.*")
