@@ -30,4 +30,4 @@ def working_memory(puts: DataFrame, ttl: float, capacity: int) -> DataFrame:
         state.update((list(held), list(held.values())))
         yield pd.DataFrame(out, columns=["owner", "id", "created_at", "size"])
 
-    return puts.groupBy("owner").applyInPandasWithState(step, "owner long, id string, created_at double, size long", "ids array<string>, times array<double>", "append", GroupStateTimeout.NoTimeout)
+    return puts.groupBy("owner").applyInPandasWithState(step, "owner string, id string, created_at double, size long", "ids array<string>, times array<double>", "append", GroupStateTimeout.NoTimeout)
