@@ -58,7 +58,7 @@ def test_plan_is_whole_and_tight():
         assert seen == counts and max(fill.values()) <= capacity and len(fill) == n
         # no plan has fewer sequences than this: two pieces over half never share one
         least = max(-(-total // capacity), sum(v for k, v in counts.items() if 2 * k > capacity))
-        assert n <= least * 1.02 + 1
+        assert n <= least * 1.05 + 1
 
 
 def test_pack_is_an_exact_round_trip(spark, odd_docs, no_docs):
