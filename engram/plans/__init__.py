@@ -1,0 +1,3 @@
+"""Composed plans and the catalog of registered queries."""
+
+from . import catalog, catalog_more  # noqa: F401

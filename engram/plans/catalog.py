@@ -528,7 +528,13 @@ def hebbian_pairs(spark, sf):
 
 # ---- engines, context ------------------------------------------------------
 
-@query("janitor_contradictions")
+_NEG = ", ".join("'" + x.replace("'", "''") + "'" for x in tx.NEGATIONS)
+
+
+@query("janitor_contradictions", f"""
+WITH s AS MATERIALIZED (SELECT id, list_distinct(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM ({_MEM})), n AS MATERIALIZED (SELECT id, w, len(w) AS n, list_has_any(w, [{_NEG}]) AS neg FROM s),
+t AS MATERIALIZED (SELECT id, n, neg, unnest(w) AS word FROM n)
+SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, round(count(*) / (x.n + y.n - count(*)), 6) AS jaccard FROM t x JOIN t y ON x.word = y.word AND x.neg AND NOT y.neg GROUP BY x.id, y.id, x.n, y.n HAVING count(*) / (x.n + y.n - count(*)) >= 0.5""")
 def janitor_contradictions(spark, sf):
     return engines.contradictions(views.memories(spark, sf)).withColumn("jaccard", F.round("jaccard", 6))
 
