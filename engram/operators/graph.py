@@ -103,19 +103,14 @@ def weak_ties(edges: DataFrame, below: float, limit: int) -> DataFrame:
     return edges.filter(F.col("weight") < below).withColumn("potential", 1 - F.col("weight")).orderBy(F.desc("potential"), "source", "target").limit(limit)
 
 
-def word_pairs(docs: DataFrame, least: int, most_df: int, text_col: str = "content") -> DataFrame:
-    """(a, b, common, strength): episodes with more than ``least`` common words;
-    strength is common / 10, at most 1.
-
-    Words held by more than ``most_df`` episodes are function words here and
-    form no association.
-    """
+def word_pairs(docs: DataFrame, least: int, within: str, text_col: str = "content") -> DataFrame:
+    """(a, b, common, strength): episodes of one session with more than ``least``
+    common words; strength is common / 10, at most 1."""
     from ..functions.text import tokens
 
-    t = docs.select("id", F.explode(tokens(F.col(text_col))).alias("w"))
-    rare = t.groupBy("w").agg(F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("n") <= most_df)).select("w")
-    t = t.join(rare, "w")
-    met = t.alias("x").join(t.alias("y"), (F.col("x.w") == F.col("y.w")) & (F.col("x.id") < F.col("y.id")))
+    t = docs.select("id", within, F.explode(tokens(F.col(text_col))).alias("w"))
+    x, y = t.alias("x"), t.alias("y")
+    met = x.join(y, (F.col(f"x.{within}") == F.col(f"y.{within}")) & (F.col("x.w") == F.col("y.w")) & (F.col("x.id") < F.col("y.id")))
     return met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("common")).filter(F.col("common") > least).withColumn("strength", F.least(F.lit(1.0), F.col("common") / 10))
 
 

@@ -94,22 +94,29 @@ def short_penalty(text: Column, wanted: list[str]) -> Column:
     return F.when((t == "") | known, 0.0).when(F.char_length(t) < 18, 0.12).when(F.char_length(t) < 36, 0.07).otherwise(0.0)
 
 
-def vocabulary(docs: DataFrame, newest: int = 5000, chars: int = 200, size: int = 384, text_col: str = "content") -> DataFrame:
-    """(term, df, idf): the most frequent terms of the newest documents.
+def _begin(text: Column, chars: int | None) -> Column:
+    t = F.coalesce(text, F.lit(""))
+    return t if chars is None else F.substring(t, 1, chars)
 
+
+def vocabulary(docs: DataFrame, newest: int | None = None, chars: int | None = None, size: int = 384, text_col: str = "content") -> DataFrame:
+    """(term, df, idf): the most frequent terms of the documents.
+
+    ``newest`` and ``chars`` confine it to the newest documents and to how they begin.
     Document frequency is at least 2 and at most 0.8 of the documents; idf is
     ln((N + 1) / (df + 1)) + 1.
     """
-    some = docs.orderBy(F.desc("created_at"), "id").limit(newest).select("id", F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, chars).alias("t"))
+    some = docs if newest is None else docs.orderBy(F.desc("created_at"), "id").limit(newest)
+    some = some.select("id", _begin(F.col(text_col), chars).alias("t"))
     n = some.agg(F.count("*").alias("n"))
     df = some.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     kept = df.crossJoin(F.broadcast(n)).filter("df >= 2 AND df <= 0.8 * n")
     return kept.orderBy(F.desc("df"), "term").limit(size).select("term", "df", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def tfidf(docs: DataFrame, vocab: DataFrame, chars: int = 200, text_col: str = "content") -> DataFrame:
+def tfidf(docs: DataFrame, vocab: DataFrame, chars: int | None = None, text_col: str = "content") -> DataFrame:
     """(id, term, weight): (1 + ln count) * idf, of unit length a document."""
-    t = docs.select("id", F.explode(F.regexp_extract_all(F.lower(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, chars)), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))).alias("term"))
+    t = docs.select("id", F.explode(F.regexp_extract_all(F.lower(_begin(F.col(text_col), chars)), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))).alias("term"))
     raw = t.groupBy("id", "term").agg(F.count("*").alias("c")).join(vocab, "term").withColumn("w", (1 + F.ln("c")) * F.col("idf"))
     size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id")))
     return raw.select("id", "term", (F.col("w") / size).alias("weight"))

@@ -327,7 +327,7 @@ def hybrid_score_old(spark, sf):
 
 
 @query("tfidf_vocab", f"""
-WITH s AS (SELECT id, substr(content, 1, 200) AS t FROM ({_MEM}) ORDER BY created_at DESC, id LIMIT 5000),
+WITH s AS (SELECT id, content AS t FROM ({_MEM})),
 d AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]+'))) AS term FROM s) GROUP BY term)
 SELECT term, df, round(ln((n + 1) / (df + 1)) + 1, 6) AS idf FROM d, (SELECT count(*) AS n FROM s) WHERE df >= 2 AND df <= 0.8 * n ORDER BY df DESC, term LIMIT 384""")
 def tfidf_vocab(spark, sf):
@@ -335,10 +335,10 @@ def tfidf_vocab(spark, sf):
 
 
 @query("tfidf_weights", f"""
-WITH s AS (SELECT id, substr(content, 1, 200) AS t FROM ({_MEM}) ORDER BY created_at DESC, id LIMIT 5000),
+WITH s AS (SELECT id, content AS t FROM ({_MEM})),
 d AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]+'))) AS term FROM s) GROUP BY term),
 v AS (SELECT term, ln((n + 1) / (df + 1)) + 1 AS idf FROM d, (SELECT count(*) AS n FROM s) WHERE df >= 2 AND df <= 0.8 * n ORDER BY df DESC, term LIMIT 384),
-r AS (SELECT id, term, (1 + ln(count(*))) * any_value(idf) AS w FROM (SELECT id, unnest(regexp_extract_all(lower(substr(content, 1, 200)), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM ({_MEM})) JOIN v USING (term) GROUP BY id, term)
+r AS (SELECT id, term, (1 + ln(count(*))) * any_value(idf) AS w FROM (SELECT id, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM ({_MEM})) JOIN v USING (term) GROUP BY id, term)
 SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM r""")
 def tfidf_weights(spark, sf):
     m = views.memories(spark, sf)
@@ -430,23 +430,29 @@ def rate_limit(spark, sf):
 
 # ---- graph -----------------------------------------------------------------
 
-_SMALL = f"SELECT * FROM ({_MEM}) WHERE len(content) <= 2000"
-_PAIRS = f"""
-WITH e AS MATERIALIZED (SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY k, p) AS pos FROM (
+_SAID = f"SELECT uuid AS id, text AS content FROM ({_TURNS})"
+
+
+def _pairs_sql(src: str) -> str:
+    return f"""WITH e AS MATERIALIZED (SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY k, p) AS pos FROM (
   SELECT id, name, min(k) AS k, arg_min(p, k * 1000000 + p) AS p FROM (
-    SELECT id, n AS name, 2 AS k, p FROM (SELECT id, unnest(x) AS n, unnest(range(len(x))) AS p FROM (SELECT id, regexp_extract_all(content, '{_SPAN}', 1) AS x FROM ({_SMALL}))) WHERE len(n) >= 3 AND n NOT IN ({", ".join(f"'{x}'" for x in tx.NOT_NAMES)})
-    UNION ALL SELECT id, lower(n), 1, p FROM (SELECT id, unnest(x) AS n, unnest(range(len(x))) AS p FROM (SELECT id, regexp_extract_all(content, '@([\\p{{L}}\\p{{N}}_]{{2,}})', 1) AS x FROM ({_SMALL})))
-    UNION ALL SELECT id, lower(n), 0, p FROM (SELECT id, unnest(x) AS n, unnest(range(len(x))) AS p FROM (SELECT id, regexp_extract_all(content, '#([\\p{{L}}\\p{{N}}_]{{2,}})', 1) AS x FROM ({_SMALL}))))
+    SELECT id, n AS name, 2 AS k, p FROM (SELECT id, unnest(x) AS n, unnest(range(len(x))) AS p FROM (SELECT id, regexp_extract_all(content, '{_SPAN}', 1) AS x FROM ({src}))) WHERE len(n) >= 3 AND n NOT IN ({", ".join(f"'{x}'" for x in tx.NOT_NAMES)})
+    UNION ALL SELECT id, lower(n), 1, p FROM (SELECT id, unnest(x) AS n, unnest(range(len(x))) AS p FROM (SELECT id, regexp_extract_all(content, '@([\\p{{L}}\\p{{N}}_]{{2,}})', 1) AS x FROM ({src})))
+    UNION ALL SELECT id, lower(n), 0, p FROM (SELECT id, unnest(x) AS n, unnest(range(len(x))) AS p FROM (SELECT id, regexp_extract_all(content, '#([\\p{{L}}\\p{{N}}_]{{2,}})', 1) AS x FROM ({src}))))
   GROUP BY id, name)),
 edges AS MATERIALIZED (SELECT a.name AS source, b.name AS target, count(*)::DOUBLE AS weight FROM e a JOIN e b ON a.id = b.id AND a.pos < b.pos GROUP BY 1, 2)"""
 
 
-def _small(spark, sf):
-    return views.memories(spark, sf).filter(F.char_length("content") <= 2000)
+_PAIRS, _TALK = _pairs_sql(_MEM), _pairs_sql(_SAID)
 
 
 def _edges(spark, sf):
-    return graph.edge_weights(graph.comentions(_small(spark, sf)))
+    return graph.edge_weights(graph.comentions(views.memories(spark, sf)))
+
+
+def _talk_edges(spark, sf):
+    said = views.turns(spark, sf).select(F.col("uuid").alias("id"), F.col("text").alias("content"))
+    return graph.edge_weights(graph.comentions(said))
 
 
 @query("comention_edges", f"{_PAIRS} SELECT source, target, weight FROM edges")
@@ -470,11 +476,11 @@ top AS (SELECT * FROM c ORDER BY mentions DESC, name LIMIT 200)
 SELECT name, mentions, 'What more do we know about ''' || name || ''', and how does it relate to other topics?' AS question FROM top
 WHERE mentions < 2 OR name NOT IN (SELECT source FROM edges UNION SELECT target FROM edges) ORDER BY mentions DESC, name LIMIT 5""")
 def curiosity_gaps(spark, sf):
-    s = graph.entity_support(_small(spark, sf))
+    s = graph.entity_support(views.memories(spark, sf))
     return graph.gaps(graph.entity_counts(s), _edges(spark, sf), 2, 200, 5)
 
 
-@query("clustering_coefficient", f"""{_PAIRS},
+@query("clustering_coefficient", f"""{_TALK},
 u AS MATERIALIZED (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges),
 d AS MATERIALIZED (SELECT a, count(*) AS degree FROM u GROUP BY a),
 o AS MATERIALIZED (SELECT u.a, u.b FROM u JOIN d x ON u.a = x.a JOIN d y ON u.b = y.a WHERE x.degree < y.degree OR (x.degree = y.degree AND u.a < u.b)),
@@ -483,24 +489,24 @@ k AS (SELECT unnest([a, b, c]) AS a FROM t),
 n AS (SELECT a, count(*) AS t FROM k GROUP BY a)
 SELECT a AS name, degree, round(CASE WHEN degree < 2 THEN 0 ELSE 2 * coalesce(t, 0) / (degree * (degree - 1) / 2) END, 6) AS clustering, round(CASE WHEN degree < 2 THEN 0 ELSE 2 * coalesce(t, 0) / (degree * (degree - 1) / 2) END / 2, 6) AS clustering_normal FROM d LEFT JOIN n USING (a)""")
 def clustering_coefficient(spark, sf):
-    return graph.clustering(_edges(spark, sf)).withColumns({c: F.round(c, 6) for c in ("clustering", "clustering_normal")})
+    return graph.clustering(_talk_edges(spark, sf)).withColumns({c: F.round(c, 6) for c in ("clustering", "clustering_normal")})
 
 
-@query("graph_hops", f"""{_PAIRS},
+@query("graph_hops", f"""{_TALK},
 u AS MATERIALIZED (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges),
 h0 AS (SELECT (SELECT source FROM edges ORDER BY weight DESC, source, target LIMIT 1) AS name),
 h1 AS MATERIALIZED (SELECT DISTINCT b AS name FROM u JOIN h0 ON u.a = h0.name WHERE b NOT IN (SELECT name FROM h0)),
 h2 AS (SELECT DISTINCT b AS name FROM u JOIN h1 ON u.a = h1.name WHERE b NOT IN (SELECT name FROM h0 UNION SELECT name FROM h1))
 SELECT name, 0 AS hops FROM h0 UNION ALL SELECT name, 1 FROM h1 UNION ALL SELECT name, 2 FROM h2""")
 def graph_hops(spark, sf):
-    e = _edges(spark, sf)
+    e = _talk_edges(spark, sf)
     top = e.orderBy(F.desc("weight"), "source", "target").limit(1).first()
     return graph.hops(e, top["source"] if top else "", 2)
 
 
-@query("weak_ties", f"{_PAIRS} SELECT source, target, weight / 10 AS weight, 1 - weight / 10 AS potential FROM edges WHERE weight / 10 < 0.3 ORDER BY potential DESC, source, target LIMIT 5")
+@query("weak_ties", f"{_TALK} SELECT source, target, weight / 10 AS weight, 1 - weight / 10 AS potential FROM edges WHERE weight / 10 < 0.3 ORDER BY potential DESC, source, target LIMIT 5")
 def weak_ties(spark, sf):
-    return graph.weak_ties(_edges(spark, sf).withColumn("weight", F.col("weight") / 10), 0.3, 5)
+    return graph.weak_ties(_talk_edges(spark, sf).withColumn("weight", F.col("weight") / 10), 0.3, 5)
 
 
 @query("forget_lineage", f"WITH s AS ({_entities_sql(_MEM)}) SELECT name, count(*) AS mentions FROM s WHERE id::BIGINT % 4 <> 0 GROUP BY name")
@@ -518,12 +524,11 @@ def tag_links(spark, sf):
 
 
 @query("hebbian_pairs", """
-WITH t AS (SELECT conv_id || ':' || turn AS id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) AS w FROM conversations),
-k AS (SELECT w FROM t GROUP BY w HAVING count(*) > 1 AND count(*) <= 60), s AS (SELECT * FROM t WHERE w IN (SELECT w FROM k))
-SELECT x.id AS a, y.id AS b, count(*) AS common, least(1.0, count(*) / 10)::DOUBLE AS strength FROM s x JOIN s y ON x.w = y.w AND x.id < y.id GROUP BY 1, 2 HAVING count(*) > 2""")
+WITH t AS (SELECT conv_id, conv_id || ':' || turn AS id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) AS w FROM conversations)
+SELECT x.id AS a, y.id AS b, count(*) AS common, least(1.0, count(*) / 10)::DOUBLE AS strength FROM t x JOIN t y ON x.conv_id = y.conv_id AND x.w = y.w AND x.id < y.id GROUP BY 1, 2 HAVING count(*) > 2""")
 def hebbian_pairs(spark, sf):
-    c = views.turns(spark, sf).select(F.col("uuid").alias("id"), F.col("text").alias("content"))
-    return graph.word_pairs(c, 2, 60)
+    c = views.turns(spark, sf).select(F.col("uuid").alias("id"), F.col("text").alias("content"), "conv_id")
+    return graph.word_pairs(c, 2, "conv_id")
 
 
 # ---- engines, context ------------------------------------------------------
@@ -563,10 +568,10 @@ def dreamer_order(spark, sf):
 
 
 @query("evolution_metrics", f"""
-WITH s AS MATERIALIZED ({_entities_sql(_SMALL)}), n AS (SELECT (SELECT count(*) FROM documents) AS episodic, (SELECT count(*) FROM embeddings) AS semantic, (SELECT count(DISTINCT name) FROM s) AS entities, (SELECT count(DISTINCT (least(a.name, b.name), greatest(a.name, b.name))) FROM s a JOIN s b ON a.id = b.id AND a.name < b.name) AS relationships)
+WITH s AS MATERIALIZED ({_entities_sql(_MEM)}), n AS (SELECT (SELECT count(*) FROM documents) AS episodic, (SELECT count(*) FROM embeddings) AS semantic, (SELECT count(DISTINCT name) FROM s) AS entities, (SELECT count(DISTINCT (least(a.name, b.name), greatest(a.name, b.name))) FROM s a JOIN s b ON a.id = b.id AND a.name < b.name) AS relationships)
 SELECT *, round(semantic / episodic, 4) AS embedding_coverage, round(relationships / entities, 4) AS graph_density, CASE WHEN semantic / episodic < 0.95 THEN 'backfill embeddings' ELSE '' END AS proposals FROM n""")
 def evolution_metrics(spark, sf):
-    small = _small(spark, sf)
+    small = views.memories(spark, sf)
     pairs = graph.comentions(small).select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
     return stats.evolution(views.memories(spark, sf), views.vectors(spark, sf), graph.entity_counts(graph.entity_support(small)), pairs)
 
@@ -597,7 +602,7 @@ def token_budget_prune(spark, sf):
 @query("context_packet", f"{_SECTIONS} SELECT 'status' AS query, (SELECT count(*) FROM sem)::INT AS n_semantic, (SELECT count(*) FROM rec)::INT AS n_recent, 10 AS n_entities, ((SELECT coalesce(sum(tokens), 0) FROM sem) + (SELECT coalesce(sum(tokens), 0) FROM rec))::BIGINT AS token_estimate, concat_ws(',', CASE WHEN (SELECT count(*) FROM sem) > 0 THEN 'semantic' END, CASE WHEN (SELECT count(*) FROM rec) > 0 THEN 'recent' END, 'entities') AS sources")
 def context_packet(spark, sf):
     sem, rec = _sections(spark, sf)
-    top = graph.entity_counts(graph.entity_support(_small(spark, sf))).orderBy(F.desc("mentions"), "name").limit(10)
+    top = graph.entity_counts(graph.entity_support(views.memories(spark, sf))).orderBy(F.desc("mentions"), "name").limit(10)
     top = top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("mentions"), "name")))
     p = context.packet("status", sem, rec, top)
     return p.select("query", F.size("semantic").alias("n_semantic"), F.size("recent").alias("n_recent"), F.size("entities").alias("n_entities"), "token_estimate", "sources")
