@@ -93,10 +93,11 @@ def source_ranking(rows: DataFrame, feedback: DataFrame, least: float, limit: in
 def tag_pairs(memories: DataFrame, limit: int) -> DataFrame:
     """(a, b): first pairs of records that share a tag, by id.
 
-    Records under one tag are linked to the next one, so a tag of any size costs
-    one row a record.
+    Records under one tag are linked to the next one.  The first ``limit`` pairs
+    start at the first records of a tag, so no tag brings more than those.
     """
     t = memories.select("id", F.explode(F.array_distinct("tags")).alias("tag"))
+    t = t.withColumn("r", F.row_number().over(W.partitionBy("tag").orderBy("id"))).filter(F.col("r") <= limit + 1)
     nxt = F.lead("id").over(W.partitionBy("tag").orderBy("id"))
     return t.withColumn("b", nxt).filter("b IS NOT NULL").select(F.col("id").alias("a"), "b").distinct().orderBy("a", "b").limit(limit)
 
@@ -130,7 +131,8 @@ def hubs_to_edge(counts: DataFrame, hubs: int, below: int, seed: int) -> DataFra
 
 def associate_top(counts: DataFrame, least: int, first: int, second: int) -> DataFrame:
     """(source, target): the most mentioned entities with the next most mentioned."""
-    r = counts.filter(F.col("mentions") >= least).withColumn("r", F.row_number().over(W.orderBy(F.desc("mentions"), "name"))).filter(F.col("r") <= first)
+    top = counts.filter(F.col("mentions") >= least).orderBy(F.desc("mentions"), "name").limit(first)
+    r = top.withColumn("r", F.row_number().over(W.orderBy(F.desc("mentions"), "name")))
     a, b = r.alias("a"), r.filter(F.col("r") <= second).alias("b")
     # two bounded tops: first * second rows at most
     return a.join(b, F.col("a.r") > F.col("b.r")).select(F.col("b.name").alias("source"), F.col("a.name").alias("target"))

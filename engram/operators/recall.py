@@ -151,7 +151,7 @@ def working_set(puts: DataFrame, now: float, ttl: float, capacity: int) -> DataF
     """What a bounded working memory holds: unexpired, the last put or read first kept."""
     alive = puts.filter(F.col("created_at") >= now - ttl)
     each = latest(alive, "id", [F.desc("put_at")])
-    return each.withColumn("__r", F.row_number().over(W.orderBy(F.desc("put_at"), "id"))).filter(F.col("__r") <= capacity).drop("__r").orderBy(F.desc("created_at"), "id")
+    return each.orderBy(F.desc("put_at"), "id").limit(capacity).orderBy(F.desc("created_at"), "id")
 
 
 def neighbour_window(seeds: DataFrame, messages: DataFrame, window: float) -> DataFrame:

@@ -72,6 +72,6 @@ def tiers(memories: DataFrame, now: float, working: int = 50) -> DataFrame:
     """(id, tier): LONG for the important, the often read or the old; of the rest
     the newest ``working`` stay in WORKING."""
     long_ = (F.col("importance") >= 0.95) | (F.col("access_count") > 10) | ((now - F.col("created_at") > 900) & (F.col("importance") >= 0.7))
-    first = memories.withColumn("long", long_)
-    r = F.row_number().over(W.partitionBy("long").orderBy(F.desc("created_at"), "id"))
-    return first.select("id", F.when(F.col("long") | (r > working), "LONG").otherwise("WORKING").alias("tier"))
+    first = memories.select("id", "created_at", long_.alias("long"))
+    stay = first.filter("NOT long").orderBy(F.desc("created_at"), "id").limit(working).select("id", F.lit(True).alias("stay"))
+    return first.join(stay, "id", "left").select("id", F.when(F.col("stay"), "WORKING").otherwise("LONG").alias("tier"))

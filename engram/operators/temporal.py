@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ranking import global_rank
+
 # Tags whose records are never let go.
 PROTECTED = ("identity", "safety", "confirmed_preference", "obligation")
 DAYS = 30
@@ -100,9 +101,13 @@ def novelty_order(docs: DataFrame, support: DataFrame) -> DataFrame:
     A record is put off when each of its names occurs in an earlier one; put-off
     records add no names, so a name's first rank decides, in parallel.
     """
-    r = docs.withColumn("r", F.row_number().over(W.orderBy(F.desc("score"), "id")))
-    named = support.select(F.col("episode").alias("id"), "name").join(r.select("id", "r"), "id")
-    first = F.min("r").over(W.partitionBy("name"))
-    old = named.withColumn("new", (F.col("r") == first).cast("int")).groupBy("id").agg(F.max("new").alias("new"))
+    r = global_rank(docs.withColumn("key", -F.col("score")), "key", "id", "r").select("id", "r")
+    named = support.select(F.col("episode").alias("id"), "name").join(r, "id")
+    # the first rank of a name comes from an aggregate: a common name is one row a task
+    first = named.groupBy("name").agg(F.min("r").alias("first"))
+    new = named.join(first, "name").groupBy("id").agg(F.max((F.col("r") == F.col("first")).cast("int")).alias("new"))
     late = F.coalesce(F.col("new") == 0, F.lit(False))
-    return r.join(old, "id", "left").select("id", F.row_number().over(W.orderBy(late, "r")).alias("place"))
+    placed = r.join(new, "id", "left").withColumn("key", F.col("r") + F.when(late, F.lit(2.0**52)).otherwise(0.0))
+    step = max(1, docs.count() // 16)
+    cuts = [float(base + k * step) for base in (0, 2**52) for k in range(1 if not base else 0, 17)]
+    return global_rank(placed, "key", "id", "place", cuts=cuts).select("id", "place")
