@@ -76,7 +76,7 @@ def word_hash(word: bytes) -> int:
     return int(Words([word], np.ones(256, dtype=bool) & (np.arange(256) != 32)).hash[0])
 
 
-def slices(texts: list[bytes | None], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list[bytes | None], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of documents with about ``limit`` bytes, one document at least."""
     at, size = 0, 0
     for k, t in enumerate(texts):
@@ -88,6 +88,12 @@ def slices(texts: list[bytes | None], limit: int = 1 << 20) -> Iterator[tuple[in
         yield at, len(texts)
 
 
+def parts(batch, rows: int = 512) -> Iterator:
+    """A batch in slices of so many rows, which bounds what is copied at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def shingle_sets(texts: list[bytes | None], width: int = 5) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text, in order.
 

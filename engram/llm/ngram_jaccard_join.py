@@ -7,8 +7,10 @@ token among the first n - ceil(3n/4) + 1 of each, under any global order.
 * Order 1 is rarest first, by a count sketch over the corpus.  Its prefixes are
   exchanged, and tokens that only one class holds are dropped there; what is
   left gives candidate pairs.
+* A candidate's lengths, the places of the shared token and bitmaps of the two
+  sets must allow the overlap.
 * Orders 2 and 3 are hash orders.  A candidate stays only if the prefixes also
-  meet under both, and if the bitmaps of the two sets allow the overlap.
+  meet under both.
 * Candidates that pass are verified on the whole sets.
 
 Components, not all pairs, are asked for.  Sparse rounds first link each class
@@ -28,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bytesets import mix, shingle_sets
+from .bytesets import mix, parts, shingle_sets
 from .components import components
-from .storage import durable
+from .storage import durable, release
 
 _U = np.uint64
 #: Counters of the sketch that orders tokens by frequency.
@@ -41,8 +43,8 @@ OWNER_ROWS = 1 << 20
 HOT = 20_000
 #: Bits of the broadcast filter over documents to verify: 4 MB.
 FILTER_BITS = 1 << 25
-#: Sparse rounds before the whole one, and links tried by a class in each.
-ROUNDS, TRIES = 3, 3
+#: Sparse rounds before the whole one, which takes all that is left, and links tried by a class in each.
+ROUNDS, TRIES = 1, (8,)
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -61,6 +63,13 @@ def _bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def _short_bitmap(tokens: np.ndarray) -> np.ndarray:
+    """256 bits as four longs, for a first look inside a join."""
+    bits = np.zeros(256, dtype=np.uint8)
+    bits[(mix(tokens, 11) & _U(255)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _hash_prefix(tokens: np.ndarray, salt: int) -> bytes:
     """The first tokens in a hash order, as sorted 32-bit values of that hash."""
     h, p = mix(tokens, salt), prefix_length(len(tokens))
@@ -77,94 +86,87 @@ def _class_of(tokens: np.ndarray) -> int:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, and at the end one with the partition's sketch."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("bits", pa.binary()), ("second", pa.binary()), ("third", pa.binary()), ("counts", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("bits", pa.binary()), ("second", pa.binary()), ("third", pa.binary()), *((f"s{k}", pa.int64()) for k in range(4)), ("counts", pa.list_(pa.int32()))])
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
 
     def rows(out: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in parts(whole)):
         out = []
         for doc_id, tokens in zip(batch.column(0).to_pylist(), shingle_sets(_texts(batch))):
             if len(tokens):
                 sketch += np.bincount((tokens >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.int32) if len(tokens) > 5000 else 0
                 if len(tokens) <= 5000:
                     np.add.at(sketch, (tokens >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
-                out.append((doc_id, len(tokens), _class_of(tokens), _bitmap(tokens), _hash_prefix(tokens, 12), _hash_prefix(tokens, 13), None))
+                out.append((doc_id, len(tokens), _class_of(tokens), _bitmap(tokens), _hash_prefix(tokens, 12), _hash_prefix(tokens, 13), *_short_bitmap(tokens).tolist(), None))
             else:
-                out.append((doc_id, 0, None, None, None, None, None))
+                out.append((doc_id, 0, *[None] * 9))
             if len(out) >= 500:
                 yield rows(out)
                 out = []
         if out:
             yield rows(out)
     if sketch.any():
-        yield rows([(None, -1, None, None, None, None, sketch)])
+        yield rows([(None, -1, *[None] * 8, sketch)])
 
 
 def _prefixes(shared, owners: int, hot: float):
-    """Blobs (owner, tokens, classes) of a partition's order-1 prefixes."""
-    schema = pa.schema([("owner", pa.int32()), ("salt", pa.int32()), ("tokens", pa.binary()), ("classes", pa.binary())])
+    """Blobs (owner, tokens, classes, places) of a partition's order-1 prefixes.
 
-    def flush(tokens: list, classes: list) -> pa.RecordBatch:
-        t, c = np.concatenate(tokens), np.concatenate(classes)
+    A place is the token's position in the order, in 255ths of the set, rounded
+    down.  Hot tokens, which many classes hold for certain, go to negative
+    owners that only pass them on.
+    """
+    schema = pa.schema([("owner", pa.int32()), ("tokens", pa.binary()), ("classes", pa.binary()), ("places", pa.binary())])
+
+    def flush(held: list) -> pa.RecordBatch:
+        t, c, q = (np.concatenate(x) for x in zip(*held))
         owner = ((t & _U(0x7FFFFFFF)).astype(np.int64) * owners) >> 31
-        owner[shared.value[(t >> _U(64 - SKETCH_BITS)).astype(np.int64)] > hot] = -1
+        many = shared.value[(t >> _U(64 - SKETCH_BITS)).astype(np.int64)] > hot
+        owner[many] = -1 - TaskContext.get().partitionId()
         order = np.argsort(owner, kind="stable")
-        owner, t, c = owner[order], t[order], c[order]
+        owner, t, c, q = owner[order], t[order], c[order], q[order]
         cut = np.flatnonzero(np.diff(owner)) + 1
-        salt = TaskContext.get().partitionId()
-        rows = [(int(o[0]), salt, x.tobytes(), y.tobytes()) for o, x, y in zip(np.split(owner, cut), np.split(t, cut), np.split(c, cut))]
+        rows = [(int(o[0]), x.tobytes(), y.tobytes(), z.tobytes()) for o, x, y, z in zip(*(np.split(k, cut) for k in (owner, t, c, q)))]
         return pa.RecordBatch.from_arrays([pa.array(k, type=f.type) for k, f in zip(zip(*rows), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
-        tokens, classes, size = [], [], 0
-        for batch in batches:
+        held, size = [], 0
+        for batch in (part for whole in batches for part in parts(whole)):
             for s in shingle_sets(_texts(batch)):
                 if not len(s):
                     continue
                 seen = sketch[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)]
                 key = (np.minimum(seen, (1 << 23) - 1).astype(np.uint64) << _U(40)) | (mix(s, 14) >> _U(24))
                 first = s[np.argsort(key, kind="stable")[: prefix_length(len(s))]]
-                tokens.append(first)
-                classes.append(np.full(len(first), _class_of(s), dtype=np.int64))
+                held.append((first, np.full(len(first), _class_of(s), dtype=np.int64), (np.arange(len(first)) * 255 // len(s)).astype(np.uint8)))
                 size += len(first)
-                if size >= 1 << 20:
-                    yield flush(tokens, classes)
-                    tokens, classes, size = [], [], 0
+                if size >= 1 << 19:
+                    yield flush(held)
+                    held, size = [], 0
         if size:
-            yield flush(tokens, classes)
+            yield flush(held)
 
     return run
 
 
-def _pairs_of(tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (token, class), in order."""
-    order = np.lexsort((classes, tokens))
-    t, c = tokens[order], classes[order]
-    new = np.ones(len(t), dtype=bool)
-    new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-    return t[new], c[new]
-
-
-def _entries(t: np.ndarray, c: np.ndarray) -> pa.Table:
-    return pa.table({"token": pa.array(t.view(np.int64)), "cls": pa.array(c)})
-
-
 def _shared_tokens(table: pa.Table) -> pa.Table:
-    """An owner's work: the (token, class) entries of tokens in several classes."""
+    """An owner's work: the distinct (token, class) of tokens in several classes."""
     read = lambda name, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in table.column(name).to_pylist()])
-    t, c = _pairs_of(read("tokens", np.uint64), read("classes", np.int64))
-    same = np.concatenate([[False], t[1:] == t[:-1]])
-    several = same | np.concatenate([same[1:], [False]])
-    return _entries(t[several], c[several])
-
-
-def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for x, y in zip(batch.column("tokens").to_pylist(), batch.column("classes").to_pylist()):
-            yield from _entries(*_pairs_of(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.int64))).to_batches()
+    t, c, q = read("tokens", np.uint64), read("classes", np.int64), read("places", np.uint8)
+    order = np.lexsort((c, t))
+    t, c, q = t[order], c[order], q[order]
+    new = np.ones(len(t), dtype=bool)
+    new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+    t, c, q = t[new], c[new], q[new]
+    hot = table.column("owner")[0].as_py() < 0
+    if not hot:
+        same = np.concatenate([[False], t[1:] == t[:-1]])
+        several = same | np.concatenate([same[1:], [False]])
+        t, c, q = t[several], c[several], q[several]
+    return pa.table({"token": pa.array(t.view(np.int64)), "cls": pa.array(c), "place": pa.array(q.astype(np.int32)), "hot": pa.array(np.full(len(t), hot))})
 
 
 def _fold(bits: np.ndarray, size: int) -> np.ndarray:
@@ -173,28 +175,30 @@ def _fold(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
-def may_link(n1: int, n2: int, bits1: bytes, bits2: bytes, second: tuple[bytes, bytes], third: tuple[bytes, bytes]) -> bool:
-    """Whether lengths, the prefixes of orders 2 and 3, and bitmaps allow a link."""
-    if 4 * min(n1, n2) < 3 * max(n1, n2):
-        return False
+def bitmaps_allow(n1: int, n2: int, bits1: bytes, bits2: bytes) -> bool:
+    """Whether the bitmaps of two sets allow the overlap that a link needs."""
     a, b = np.frombuffer(bits1, dtype=np.uint8), np.frombuffer(bits2, dtype=np.uint8)
     size = min(len(a), len(b))
-    differ = int(np.unpackbits(_fold(a, size) ^ _fold(b, size)).sum())
+    differ = int(np.bitwise_count(_fold(a, size) ^ _fold(b, size)).sum())
     # each differing bit needs a token that one set lacks
-    if 7 * ((n1 + n2 - differ) // 2) < 3 * (n1 + n2):
-        return False
-    for x, y in (second, third):
-        p, q = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
-        at = np.searchsorted(p, q)
-        if not (p[np.minimum(at, len(p) - 1)] == q).any():
-            return False
-    return True
+    return 7 * ((n1 + n2 - differ) // 2) >= 3 * (n1 + n2)
+
+
+def prefixes_meet(x: bytes, y: bytes) -> bool:
+    """Whether two prefixes under one order share a token."""
+    p, q = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
+    return bool((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).any())
 
 
-def _filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        col = {n: batch.column(n).to_pylist() for n in ("n1", "n2", "bits1", "bits2", "second1", "second2", "third1", "third2")}
-        ok = [may_link(*x[:4], (x[4], x[5]), (x[6], x[7])) for x in zip(*col.values())]
+        ok = [bitmaps_allow(*x) for x in zip(*(batch.column(n).to_pylist() for n in ("n1", "n2", "bits1", "bits2")))]
+        yield batch.select(["a", "b"]).filter(pa.array(ok, type=pa.bool_()))
+
+
+def _by_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ok = [prefixes_meet(*x[:2]) and prefixes_meet(*x[2:]) for x in zip(*(batch.column(n).to_pylist() for n in ("second1", "second2", "third1", "third2")))]
         yield batch.select(["a", "b"]).filter(pa.array(ok, type=pa.bool_()))
 
 
@@ -215,9 +219,9 @@ class _Join:
     def __init__(self, docs: DataFrame):
         self.spark = docs.sparkSession
         self.docs = docs
-        everything = durable(docs.mapInArrow(_signatures, "doc_id long, n int, cls long, bits binary, second binary, third binary, counts array<int>"), "signatures")
+        everything = durable(docs.mapInArrow(_signatures, "doc_id long, n int, cls long, bits binary, second binary, third binary, s0 long, s1 long, s2 long, s3 long, counts array<int>"), "signatures")
         self.signatures = everything.filter("n >= 0")
-        self.classes = durable(self.signatures.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "classes")
+        self.classes = durable(self.signatures.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), *[F.min(f"s{k}").alias(f"s{k}") for k in range(4)]), "classes")
         # a fixed number of counters, summed where the partitions are
         sums = everything.filter("n = -1").select(F.posexplode("counts").alias("k", "c")).filter("c > 0").groupBy("k").agg(F.sum("c").alias("c")).toArrow()
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
@@ -225,22 +229,25 @@ class _Join:
         usual = float(np.median(sketch))
         total = int(sketch.sum()) // 4
         owners = max(4, -(-total // OWNER_ROWS))
-        blobs = docs.mapInArrow(_prefixes(self.spark.sparkContext.broadcast(sketch), owners, usual + 8 * usual**0.5 + HOT), "owner int, salt int, tokens binary, classes binary")
-        blobs = durable(blobs, "prefixes")
-        light = blobs.filter("owner >= 0").groupBy("owner").applyInArrow(_shared_tokens, "token long, cls long")
-        heavy = blobs.filter("owner < 0").mapInArrow(_plain, "token long, cls long").distinct()
-        held = durable(light.unionByName(heavy), "entries")
-        self.entries = durable(held.join(self.classes.select("cls", "n"), "cls"), "entries")
-        wanted = self.entries.select("cls").distinct().join(self.classes, "cls")
+        blobs = docs.mapInArrow(_prefixes(self.spark.sparkContext.broadcast(sketch), owners, usual + 8 * usual**0.5 + HOT), "owner int, tokens binary, classes binary, places binary")
+        held = durable(blobs.groupBy("owner").applyInArrow(_shared_tokens, "token long, cls long, place int, hot boolean"), "held")
+        # a class that several partitions hold sent its hot tokens from each
+        once = held.filter("hot").groupBy("token", "cls").agg(F.min("place").alias("place"))
+        self.entries = durable(held.filter("NOT hot").select("token", "cls", "place").unionByName(once).join(self.classes.select("cls", "n"), "cls").withColumn("comp", F.col("cls")), "entries")
+        wanted = held.select("cls").distinct().join(self.classes, "cls")
         own = wanted.select(F.col("rep").alias("doc_id"), "cls")
         self.records = durable(self.signatures.join(own, ["doc_id", "cls"]).select("cls", "doc_id", "n", "bits", "second", "third").dropDuplicates(["cls"]), "records")
+        release(held)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that link."""
-        def side(k: int, name: str) -> DataFrame:
-            return self.records.select(F.col("cls").alias(name), *[F.col(c).alias(f"{c}{k}") for c in ("n", "bits", "second", "third")])
+        def side(k: int, name: str, *columns: str) -> DataFrame:
+            return self.records.select(F.col("cls").alias(name), *[F.col(c).alias(f"{c}{k}") for c in columns])
+
+        def through(left: DataFrame, run, *columns: str) -> DataFrame:
+            return left.join(side(1, "a", *columns), "a").join(side(2, "b", *columns), "b").mapInArrow(run, "a long, b long")
 
-        passed = durable(pairs.join(side(1, "a"), "a").join(side(2, "b"), "b").mapInArrow(_filter, "a long, b long"), "passed")
+        passed = durable(through(through(pairs, _by_bitmaps, "n", "bits"), _by_prefixes, "second", "third"), "passed")
         ids = passed.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(self.records.select("cls", "doc_id"), "cls")
         word, bit = f"cast(pmod(doc_id, {FILTER_BITS}) div 32 AS int)", f"cast(pmod(doc_id, {FILTER_BITS}) % 32 AS int)"
         words = ids.select(F.expr(word).alias("w"), F.expr(f"shiftleft(1L, {bit})").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
@@ -249,7 +256,7 @@ class _Join:
         shared = self.spark.sparkContext.broadcast(table)
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in parts(whole)):
                 at = batch.column(0).fill_null(0).to_numpy() % FILTER_BITS
                 some = batch.filter(pa.array((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
                 sets = list(shingle_sets(_texts(some)))
@@ -258,38 +265,58 @@ class _Join:
 
         sets = durable(self.docs.mapInArrow(whole, "doc_id long, cls long, tokens binary").join(ids, ["doc_id", "cls"]).select("cls", "tokens").dropDuplicates(["cls"]), "sets")
         both = passed.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("set1")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("set2")), "b")
-        return durable(both.mapInArrow(_verify, "a long, b long"), "links")
-
-    def placed(self, roots: DataFrame | None) -> DataFrame:
-        """The entries with the component of each class."""
-        if roots is None:
-            return self.entries.withColumn("comp", F.col("cls"))
-        return self.entries.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("token", "cls", "n", F.coalesce("root", "cls").alias("comp"))
-
-    def sparse(self, roots: DataFrame | None, turn: int) -> DataFrame:
-        """A few pairs for each class, with another component's class of the same token."""
-        at = durable(self.placed(roots), "placed")
-        heads = at.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "cls", F.lit(turn)).alias("h"), F.col("cls").alias("head"), F.col("comp").alias("head_comp"), F.col("n").alias("head_n"))).alias("s"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 != c2").select("token", "s.head", "s.head_comp", "s.head_n")
-        tried = at.join(heads, "token").filter("comp != head_comp AND 4 * least(n, head_n) >= 3 * greatest(n, head_n)").select("cls", "head").distinct()
-        some = tried.withColumn("r", F.row_number().over(W.partitionBy("cls").orderBy(F.xxhash64("head", "cls", F.lit(turn))))).filter(F.col("r") <= TRIES)
+        links = durable(both.mapInArrow(_verify, "a long, b long"), "links")
+        for t in (passed, sets):
+            release(t)
+        return links
+
+    def settle(self, roots: DataFrame) -> None:
+        """Bring the entries' components up to date; a token whose classes are all
+        in one component gives no candidate any more and goes."""
+        at = self.entries.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
+        open_ = at.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 != c2").select("token")
+        before, self.entries = self.entries, durable(at.join(open_, "token"), "entries")
+        release(before)
+
+    def sparse(self, turn: int) -> DataFrame:
+        """A few pairs for each class, with another component's class of the same token,
+        drawn anew by hash each turn."""
+        at = self.entries
+        first = F.max(F.struct(F.xxhash64("token", "cls", F.lit(turn)).alias("h"), F.col("cls").alias("head"), F.col("comp").alias("head_comp"), F.col("n").alias("head_n"), F.col("place").alias("head_place")))
+        heads = at.groupBy("token").agg(first.alias("s")).select("token", "s.head", "s.head_comp", "s.head_n", "s.head_place")
+        tried = at.join(heads, "token").filter((F.col("comp") != F.col("head_comp")) & _possible("n", "place", "head_n", "head_place")).select("cls", "head").distinct()
+        some = tried.withColumn("r", F.row_number().over(W.partitionBy("cls").orderBy(F.xxhash64("head", "cls", F.lit(turn))))).filter(F.col("r") <= TRIES[turn])
         return some.select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b")).distinct()
 
-    def rest(self, roots: DataFrame | None) -> DataFrame:
+    def rest(self) -> DataFrame:
         """Every pair that shares a token across components.
 
         Within a token's entries one side is never of the largest component, so
         a group of near copies that is already joined meets only the others.
         """
-        at = durable(self.placed(roots), "placed")
+        short = self.classes.select("cls", *[f"s{k}" for k in range(4)])
+        at = durable(self.entries.join(short, "cls"), "entries")
         each = at.groupBy("token", "comp").agg(F.count("*").alias("k"))
-        tokens = each.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("s"), F.count("*").alias("comps")).filter("comps > 1").select("token", F.col("s.comp").alias("main"))
-        mixed = at.join(tokens, "token")
-        left = mixed.filter("comp != main").select("token", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-        right = mixed.select("token", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-        met = left.join(right, "token").filter("cx != cy AND 4 * least(nx, ny) >= 3 * greatest(nx, ny)")
+        tokens = each.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("s")).select("token", F.col("s.comp").alias("main"))
+        left = at.join(tokens, "token").filter("comp != main").select("token", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("place").alias("px"), *[F.col(f"s{k}").alias(f"x{k}") for k in range(4)])
+        right = at.select("token", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), F.col("place").alias("py"), *[F.col(f"s{k}").alias(f"y{k}") for k in range(4)])
+        differ = sum((F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(4)), F.lit(0))
+        enough = 7 * F.floor((F.col("nx") + F.col("ny") - differ) / 2) >= 3 * (F.col("nx") + F.col("ny"))
+        met = left.join(right, "token").filter((F.col("cx") != F.col("cy")) & _possible("nx", "px", "ny", "py") & enough)
         return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _possible(n1: str, p1: str, n2: str, p2: str):
+    """Whether lengths and places allow a link whose first common token is this one.
+
+    Before it nothing is common, so the overlap is at most what is left from it
+    on; a link has such a token, so none is lost.
+    """
+    lengths = 4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2)
+    left = F.least(F.col(n1) - F.floor(F.col(p1) * F.col(n1) / 255), F.col(n2) - F.floor(F.col(p2) * F.col(n2) / 255))
+    return lengths & (7 * left >= 3 * (F.col(n1) + F.col(n2)))
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, class_id.
 
@@ -303,10 +330,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     join = _Join(rows)
     links, roots = None, None
     for turn in range(ROUNDS + 1):
-        pairs = join.sparse(roots, turn) if turn < ROUNDS else join.rest(roots)
-        found = join.verified(pairs)
+        found = join.verified(join.sparse(turn) if turn < ROUNDS else join.rest())
         links = found if links is None else links.unionByName(found)
-        roots = components(links)
+        roots = durable(components(links), "roots")
+        if turn < ROUNDS:
+            join.settle(roots)
     comps = join.classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = comps.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = comps.join(least, "root").select("cls", F.col("rep").alias("class_id"), "component_id")
