@@ -256,3 +256,34 @@ def test_plans_stay_in_the_jvm(spark, sf):
         plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan
     assert "TakeOrderedAndProject" in catalog.QUERIES["semantic_topk"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_global_rank(spark):
+    import random
+
+    from engram.functions.ranking import global_rank
+
+    rng = random.Random(8)
+    data = [(f"{k:03d}", float(rng.choice([1, 2, 2, 2, 5, 9, rng.random()]))) for k in range(300)]
+    df = spark.createDataFrame(data, "id string, x double")
+    want = {i: k + 1 for k, (i, _) in enumerate(sorted(data, key=lambda r: (r[1], r[0])))}
+    assert {r["id"]: r["r"] for r in global_rank(df, "x", "id", "r", ranges=7).collect()} == want
+    assert global_rank(df.limit(0), "x", "id", "r").count() == 0
+
+
+def test_inverted_index_rebuild_is_idempotent(spark):
+    df = spark.createDataFrame([("1", "a b a"), ("2", None)], "id string, content string")
+    assert sorted(rows(lexical.inverted_index(df))) == [("1", 3, "a", 2), ("1", 3, "b", 1)]
+
+
+def test_migrations_add_missing_columns(spark):
+    from engram.operators.maintenance import with_columns
+
+    out = with_columns(spark.range(1), {"id": F.lit(5), "deleted": F.lit(False)})
+    assert out.columns == ["id", "deleted"] and out.first()["id"] == 0
+
+
+def test_dedupe_winner(spark):
+    p = spark.createDataFrame([("a", "b")], "a string, b string")
+    d = spark.createDataFrame([("a", 0.9, 1.0), ("b", 0.3, 2.0)], "id string, importance double, created_at double")
+    assert rows(engines.collapse_duplicates(p, d)) == [("b", "a")]
