@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import durable
+from .storage import durable, release
 
 #: Fingerprints that one owner gets, about; bounds an owner's memory.
 OWNER_ROWS = 1 << 20
@@ -133,6 +133,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     manifest = durable(rows.mapInArrow(_manifest(owners, shift), "block string, owner int, ids array<long>, sha array<string>, prints array<long>, code binary, repeated binary"), "manifest")
     answers = manifest.select("block", "owner", "code", "repeated").groupBy("owner").applyInArrow(_answer, "block string, owner int, marks array<boolean>")
     marked = durable(manifest.join(answers, ["block", "owner"]).select("ids", "sha", "prints", "marks"), "marked")
+    release(manifest)
 
     # the marked fingerprints as a filter of fixed size, so that a partition can tell its suspects
     word = F.expr(f"cast(pmod(p, {FILTER_BITS}) div 32 AS int)")
@@ -153,7 +154,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([ids, pa.array([texts[k] for k in hit], type=pa.binary())], names=["doc_id", "norm"])
 
     doubtful = durable(rows.mapInArrow(suspects, "doc_id long, norm binary").withColumn("sha", F.sha2("norm", 256)), "suspects")
-    groups = doubtful.groupBy("norm", "sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
+    # written, so that the join below deals out a hot text's rows anew and can split them
+    groups = durable(doubtful.groupBy("norm", "sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1"), "groups")
     same = (F.col("d.sha") == F.col("g.sha")) & (F.col("d.norm") == F.col("g.norm"))
     members = doubtful.alias("d").join(groups.alias("g"), same).select("d.doc_id", "d.sha", "g.keep_id", "g.group_size").distinct()
     every = marked.select(F.explode(F.arrays_zip("ids", "sha")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.sha").alias("sha"))

@@ -22,16 +22,20 @@ def contradictions(docs: DataFrame, overlap: float = 0.5, text_col: str = "conte
     """
     from pyspark.sql import Window as W
 
-    t = docs.select("id", F.array_sort(tokens(F.col(text_col))).alias("w")).filter(F.size("w") > 0)
-    sets = t.groupBy("w").agg(F.collect_list("id").alias("ids"), F.min("id").alias("id"))
-    sets = sets.select("id", "ids", "w", F.size("w").alias("n"), has_negation(F.col("w")).alias("neg"))
+    own = tokens(F.col(text_col))
+    t = docs.select("id", F.array_sort(F.transform(own, lambda w: F.xxhash64(w))).alias("w"), has_negation(own).alias("neg")).filter(F.size("w") > 0)
+    sets = t.groupBy("w", "neg").agg(F.collect_list("id").alias("ids"), F.min("id").alias("id"))
+    sets = sets.select("id", "ids", "w", F.size("w").alias("n"), "neg")
     each = sets.select("id", "n", "neg", F.explode("w").alias("word"))
     df = each.groupBy("word").agg(F.count("*").alias("df"), F.max(F.col("neg").cast("int")).alias("any"), F.min(F.col("neg").cast("int")).alias("all"))
     place = F.row_number().over(W.partitionBy("id").orderBy("df", "word"))
     first = each.join(df, "word").withColumn("r", place).filter(F.col("r") <= F.col("n") - F.ceil(overlap * F.col("n")) + 1).filter("df > 1 AND any = 1 AND all = 0")
-    x = first.filter("neg").select("word", F.col("id").alias("x"), F.col("n").alias("nx"))
-    y = first.filter("NOT neg").select("word", F.col("id").alias("y"), F.col("n").alias("ny"))
-    pairs = x.join(y, "word").filter(F.least("nx", "ny") >= overlap * F.greatest("nx", "ny")).select("x", "y").distinct()
+    x = first.filter("neg").select("word", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("r").alias("rx"))
+    y = first.filter("NOT neg").select("word", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("r").alias("ry"))
+    # before the first common word nothing is common: what is left from it on must do
+    left = F.least(F.col("nx") - F.col("rx"), F.col("ny") - F.col("ry")) + 1
+    enough = left >= overlap / (1 + overlap) * (F.col("nx") + F.col("ny")) - 1e-9
+    pairs = x.join(y, "word").filter((F.least("nx", "ny") >= overlap * F.greatest("nx", "ny")) & enough).select("x", "y").distinct()
     side = lambda k, name: sets.select(F.col("id").alias(name), F.col("ids").alias(f"ids{k}"), F.col("w").alias(f"w{k}"))
     both = pairs.join(side(1, "x"), "x").join(side(2, "y"), "y")
     common = F.size(F.array_intersect("w1", "w2"))
