@@ -56,18 +56,19 @@ def prefix_length(n: int) -> int:
 
 
 def _bitmap(tokens: np.ndarray) -> bytes:
-    """One bit for each token, in a power of two of about 2n bits, 64 at least."""
+    """Whether so many tokens fall on each bit is odd, for a power of two of about
+    2n bits, 64 at least.  Common tokens of two sets cancel out in the difference."""
     size = 64 << max(0, int(np.ceil(np.log2(max(1, 2 * len(tokens)) / 64))))
-    bits = np.zeros(size, dtype=np.uint8)
-    bits[(mix(tokens, 11) & _U(size - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    return np.packbits(_odd(tokens, size), bitorder="little").tobytes()
+
+
+def _odd(tokens: np.ndarray, size: int) -> np.ndarray:
+    return (np.bincount((mix(tokens, 11) & _U(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)
 
 
 def _short_bitmap(tokens: np.ndarray) -> np.ndarray:
-    """256 bits as four longs, for a first look inside a join."""
-    bits = np.zeros(256, dtype=np.uint8)
-    bits[(mix(tokens, 11) & _U(255)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.int64)
+    """256 such bits as four longs, for a first look inside a join."""
+    return np.packbits(_odd(tokens, 256)).view(np.int64)
 
 
 def _hash_prefix(tokens: np.ndarray, salt: int) -> bytes:
@@ -171,7 +172,7 @@ def _shared_tokens(table: pa.Table) -> pa.Table:
 
 def _fold(bits: np.ndarray, size: int) -> np.ndarray:
     while len(bits) > size:
-        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
     return bits
 
 
