@@ -43,8 +43,11 @@ OWNER_ROWS = 1 << 20
 HOT = 20_000
 #: Bits of the broadcast filter over documents to verify: 4 MB.
 FILTER_BITS = 1 << 25
-#: Sparse rounds before the whole one, which takes all that is left, and links tried by a class in each.
-ROUNDS, TRIES = 1, (8,)
+#: Sparse rounds before the whole one, which takes all that is left; classes drawn
+#: from each token and links tried by a class in each.
+ROUNDS, HEADS, TRIES = 2, (1, 4), (8, 32)
+#: A class's short bitmap.
+_SHORT = [f"s{k}" for k in range(4)]
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -222,7 +225,7 @@ class _Join:
         self.docs = docs
         everything = durable(docs.mapInArrow(_signatures, "doc_id long, n int, cls long, bits binary, second binary, third binary, s0 long, s1 long, s2 long, s3 long, counts array<int>"), "signatures")
         self.signatures = everything.filter("n >= 0")
-        self.classes = durable(self.signatures.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), *[F.min(f"s{k}").alias(f"s{k}") for k in range(4)]), "classes")
+        self.classes = durable(self.signatures.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), *[F.min(x).alias(x) for x in _SHORT]), "classes")
         # a fixed number of counters, summed where the partitions are
         sums = everything.filter("n = -1").select(F.posexplode("counts").alias("k", "c")).filter("c > 0").groupBy("k").agg(F.sum("c").alias("c")).toArrow()
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
@@ -273,20 +276,35 @@ class _Join:
 
     def settle(self, roots: DataFrame) -> None:
         """Bring the entries' components up to date; a token whose classes are all
-        in one component gives no candidate any more and goes."""
-        at = self.entries.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
-        open_ = at.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 != c2").select("token")
-        before, self.entries = self.entries, durable(at.join(open_, "token"), "entries")
+        in one component gives no candidate any more and goes.
+
+        From here on an entry also holds its class's short bitmap and ``main``,
+        the component with most of the token's entries.
+        """
+        before = self.entries
+        kept = before.drop("main").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
+        at = kept if "s0" in kept.columns else kept.join(self.classes.select("cls", *_SHORT), "cls")
+        each = kept.groupBy("token", "comp").agg(F.count("*").alias("k"))
+        open_ = each.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("s"), F.count("*").alias("comps")).filter("comps > 1").select("token", F.col("s.comp").alias("main"))
+        self.entries = durable(at.join(open_, "token"), "entries")
         release(before)
 
     def sparse(self, turn: int) -> DataFrame:
-        """A few pairs for each class, with another component's class of the same token,
-        drawn anew by hash each turn."""
-        at = self.entries
-        first = F.max(F.struct(F.xxhash64("token", "cls", F.lit(turn)).alias("h"), F.col("cls").alias("head"), F.col("comp").alias("head_comp"), F.col("n").alias("head_n"), F.col("place").alias("head_place")))
-        heads = at.groupBy("token").agg(first.alias("s")).select("token", "s.head", "s.head_comp", "s.head_n", "s.head_place")
-        tried = at.join(heads, "token").filter((F.col("comp") != F.col("head_comp")) & _possible("n", "place", "head_n", "head_place")).select("cls", "head").distinct()
-        some = tried.withColumn("r", F.row_number().over(W.partitionBy("cls").orderBy(F.xxhash64("head", "cls", F.lit(turn))))).filter(F.col("r") <= TRIES[turn])
+        """A few pairs for each class, with other components' classes of the same token,
+        drawn anew by hash each turn.
+
+        After the first turn only classes outside a token's main component look
+        for others, among several of each token, and try those nearest by bitmap.
+        """
+        later = turn > 0
+        short = [F.col(x).alias(f"head_{x}") for x in _SHORT] if later else []
+        drawn = [F.max(F.struct(F.xxhash64("token", "cls", F.lit(turn), F.lit(j)).alias("h"), F.col("cls").alias("head"), F.col("comp").alias("head_comp"), F.col("n").alias("head_n"), F.col("place").alias("head_place"), *short)) for j in range(HEADS[turn])]
+        heads = self.entries.groupBy("token").agg(F.array(*drawn).alias("drawn")).select("token", F.inline("drawn")).drop("h")
+        at = self.entries.filter("comp != main") if later else self.entries
+        differ = _differ("", "head_") if later else F.lit(0)
+        tried = at.join(heads, "token").filter((F.col("comp") != F.col("head_comp")) & _possible("n", "place", "head_n", "head_place"))
+        tried = tried.select("cls", "head", "n", "head_n", differ.alias("differ")).filter(_enough("n", "head_n", F.col("differ"))).select("cls", "head", "differ").distinct()
+        some = tried.withColumn("r", F.row_number().over(W.partitionBy("cls").orderBy("differ", F.xxhash64("head", "cls", F.lit(turn))))).filter(F.col("r") <= TRIES[turn])
         return some.select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b")).distinct()
 
     def rest(self) -> DataFrame:
@@ -295,16 +313,22 @@ class _Join:
         Within a token's entries one side is never of the largest component, so
         a group of near copies that is already joined meets only the others.
         """
-        short = self.classes.select("cls", *[f"s{k}" for k in range(4)])
-        at = durable(self.entries.join(short, "cls"), "entries")
-        each = at.groupBy("token", "comp").agg(F.count("*").alias("k"))
-        tokens = each.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("s")).select("token", F.col("s.comp").alias("main"))
-        left = at.join(tokens, "token").filter("comp != main").select("token", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("place").alias("px"), *[F.col(f"s{k}").alias(f"x{k}") for k in range(4)])
-        right = at.select("token", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), F.col("place").alias("py"), *[F.col(f"s{k}").alias(f"y{k}") for k in range(4)])
-        differ = sum((F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(4)), F.lit(0))
-        enough = 7 * F.floor((F.col("nx") + F.col("ny") - differ) / 2) >= 3 * (F.col("nx") + F.col("ny"))
-        met = left.join(right, "token").filter((F.col("cx") != F.col("cy")) & _possible("nx", "px", "ny", "py") & enough)
-        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        def side(name: str) -> list:
+            return [F.col(old).alias(f"{name}_{old}") for old in ("cls", "n", "comp", "place", *_SHORT)]
+
+        left = self.entries.filter("comp != main").select("token", *side("x"))
+        met = left.join(self.entries.select("token", *side("y")), "token").filter((F.col("x_comp") != F.col("y_comp")) & _possible("x_n", "x_place", "y_n", "y_place") & _enough("x_n", "y_n", _differ("x_", "y_")))
+        return met.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct()
+
+
+def _differ(one: str, other: str):
+    """Bits in which two short bitmaps differ; each needs a token that one set lacks."""
+    return sum((F.bit_count(F.col(f"{one}{x}").bitwiseXOR(F.col(f"{other}{x}"))) for x in _SHORT), F.lit(0))
+
+
+def _enough(n1: str, n2: str, differ):
+    """Whether so many lacking tokens allow the overlap that a link needs."""
+    return 7 * F.floor((F.col(n1) + F.col(n2) - differ) / 2) >= 3 * (F.col(n1) + F.col(n2))
 
 
 def _possible(n1: str, p1: str, n2: str, p2: str):
