@@ -6,14 +6,17 @@ vowel class, everything else stays.  So a surrogate has the type and shape of
 what it replaces (a card keeps its check digit valid, an address stays in
 range, a name keeps its title, its ending and with them its gender), the same
 value gets the same surrogate everywhere, and different values of one shape
-never share one.  A collision check over all distinct values confirms this; if
-it finds any, the whole run is keyed anew.
+never share one.  No value is its own surrogate: the permutation of each shape
+is a keyed shift without fixed points, hidden by a keyed change of places before
+it and its inverse after it.  A check over all distinct values confirms this.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,8 +27,6 @@ from .storage import durable
 
 KEY = b"engram surrogate key"
 ROUNDS = 8
-#: Attempts at another key before a collision is an error.
-ATTEMPTS = 5
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
@@ -36,26 +37,46 @@ TITLES = "Mr Mrs Ms Miss Dr Herr Frau Monsieur Madame Mademoiselle Señor Señor
 _NAME = re.compile(r"\b(?:" + "|".join(TITLES) + r")\.? ([A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:[ -][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)*)")
 _TITLE = re.compile("|".join(TITLES))
 
-_CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "àáâäèéêëìíîïòóôöùúûü", "ñçß", "ÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜ", "ÑÇ"]
+_CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "àáâãäåæèéêëìíîïòóôõöøùúûüýÿ", "ñçßðþ", "ÀÁÂÃÄÅÆÈÉÊËÌÍÎÏÒÓÔÕÖØÙÚÛÜÝ", "ÑÇÐÞ"]
+# the digits of each other script: the detectors take them as well
+_CLASSES += ["".join(chr(c + k) for k in range(10)) for c in range(128, sys.maxunicode + 1) if unicodedata.decimal(chr(c), None) == 0]
 _CLASS = {c: k for k, chars in enumerate(_CLASSES) for c in chars}
 
 
-def _permute(values: list[int], sizes: list[int], key: bytes) -> list[int]:
-    """A keyed permutation of mixed-radix tuples: a Feistel network on two halves."""
+def _stream(seed: bytes, n: int, key: bytes) -> list[int]:
+    """n keyed numbers of 32 bits."""
+    stream = b"".join(hashlib.blake2b(seed + block.to_bytes(4, "little"), key=key, digest_size=64).digest() for block in range(-(-n // 16)))
+    return [int.from_bytes(stream[4 * j : 4 * j + 4], "little") for j in range(n)]
+
+
+def _feistel(values: list[int], sizes: list[int], key: bytes, sign: int) -> list[int]:
+    """A keyed permutation of mixed-radix tuples on two halves; its inverse at sign -1."""
     values = list(values)
     halves = [range(0, len(values), 2), range(1, len(values), 2)]
-    for r in range(ROUNDS):
+    for r in range(ROUNDS)[::sign]:
         to, by = halves[r % 2], halves[1 - r % 2]
         seed = bytes([r]) + b"".join(values[k].to_bytes(2, "little") for k in by)
-        stream = b"".join(hashlib.blake2b(seed + block.to_bytes(4, "little"), key=key, digest_size=64).digest() for block in range(-(-len(to) // 16)))
-        for j, k in enumerate(to):
-            values[k] = (values[k] + int.from_bytes(stream[4 * j : 4 * j + 4], "little")) % sizes[k]
+        for k, x in zip(to, _stream(seed, len(to), key)):
+            values[k] = (values[k] + sign * x) % sizes[k]
     return values
 
 
+def _permute(values: list[int], sizes: list[int], key: bytes) -> list[int]:
+    """A keyed permutation of mixed-radix tuples that moves each one; sizes are 2 at least."""
+    moved = _feistel(values, sizes, key, 1)
+    # each place moves by less than its size, so no tuple stays; the inverse keeps that
+    steps = _stream(bytes([ROUNDS]), len(sizes), key)
+    return _feistel([(v + 1 + x % (n - 1)) % n for v, x, n in zip(moved, steps, sizes)], sizes, key, -1)
+
+
 def _shape(text: str, key: bytes, kind: str, fixed: int = 0, ending: int = 0) -> str:
-    """Permute the letters and digits of a text within their classes."""
-    at = [k for k, c in enumerate(text) if c in _CLASS and fixed <= k < len(text) - ending]
+    """Permute the letters and digits of a text within their classes.
+
+    Where no other character is free, those of the fixed start and ending are;
+    a text without any letter or digit stays as it is (no detector takes one).
+    """
+    free = [k for k, c in enumerate(text) if c in _CLASS]
+    at = [k for k in free if fixed <= k < len(text) - ending] or free
     classes = [_CLASS[text[k]] for k in at]
     # the shape takes part in the key, so that no two shapes move alike
     shape = hashlib.blake2b(repr((kind, classes)).encode(), key=key, digest_size=32).digest()
@@ -66,6 +87,17 @@ def _shape(text: str, key: bytes, kind: str, fixed: int = 0, ending: int = 0) ->
     return "".join(out)
 
 
+def _address(value: str, key: bytes) -> str:
+    """Numbers of plain digits move within 0..255, digits of other scripts within theirs.
+
+    The detector takes the latter only where any digit is in range.
+    """
+    tokens = [y for x in re.split(r"(\.)", value) for y in ([(x, x != ".")] if x.isascii() else [(c, not c.isascii()) for c in x])]
+    free = [x for x, moves in tokens if moves]
+    new = iter(_permute([int(x) for x in free], [256 if x.isascii() else 10 for x in free], key))
+    return "".join(x if not moves else str(next(new)) if x.isascii() else _CLASSES[_CLASS[x]][next(new)] for x, moves in tokens)
+
+
 def _check_digit(digits: str) -> int:
     """The digit that makes digits + it pass the mod-10 card check."""
     total = sum(sum(divmod(2 * int(d), 10)) if k % 2 == 0 else int(d) for k, d in enumerate(reversed(digits)))
@@ -73,17 +105,17 @@ def _check_digit(digits: str) -> int:
 
 
 def surrogate(kind: str, value: str, key: bytes) -> str:
-    """The replacement of one value; a bijection on the values of its shape."""
+    """The replacement of one value; a bijection without fixed points on the values of its shape."""
     if kind == "ip":
-        new = _permute([int(x) for x in value.split(".")], [256] * 4, key)
-        return ".".join(map(str, new))
+        return _address(value, key)
     if kind == "card":
         digits = [k for k, c in enumerate(value) if c.isdigit()]
         plain = "".join(value[k] for k in digits)
         # how far the last digit is from the valid one stays as it is
         off = (int(plain[-1]) - _check_digit(plain[:-1])) % 10
         body = _shape(plain[:-1], key, kind, fixed=1)
-        full, out = body + str((_check_digit(body) + off) % 10), list(value)
+        last = (_check_digit(body) + off) % 10
+        full, out = body + _CLASSES[_CLASS[plain[-1]]][last], list(value)
         for k, d in zip(digits, full):
             out[k] = d
         return "".join(out)
@@ -153,9 +185,8 @@ def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    for attempt in range(ATTEMPTS):
-        own = hashlib.blake2b(attempt.to_bytes(4, "little"), key=key, digest_size=32).digest()
-        out = durable(rows.mapInArrow(_rewrite(own), f"doc_id {kind}, text string, n_entities long, kinds string, spans string, pairs array<struct<kind:string,value:string,new:string>>"), "surrogates")
-        if not collisions(out.select(F.explode("pairs").alias("p")).select("p.*")):
-            return out.drop("pairs")
-    raise ValueError(f"surrogates collide under {ATTEMPTS} keys")
+    own = hashlib.blake2b(bytes(4), key=key, digest_size=32).digest()
+    out = durable(rows.mapInArrow(_rewrite(own), f"doc_id {kind}, text string, n_entities long, kinds string, spans string, pairs array<struct<kind:string,value:string,new:string>>"), "surrogates")
+    if collisions(out.select(F.explode("pairs").alias("p")).select("p.*")):  # only an error of surrogate() gets here
+        raise ValueError("surrogates collide")
+    return out.drop("pairs")
