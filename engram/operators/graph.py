@@ -103,13 +103,24 @@ def weak_ties(edges: DataFrame, below: float, limit: int) -> DataFrame:
     return edges.filter(F.col("weight") < below).withColumn("potential", 1 - F.col("weight")).orderBy(F.desc("potential"), "source", "target").limit(limit)
 
 
-def word_pairs(docs: DataFrame, least: int, within: str, text_col: str = "content") -> DataFrame:
-    """(a, b, common, strength): episodes of one session with more than ``least``
-    common words; strength is common / 10, at most 1."""
+def word_pairs(docs: DataFrame, least: int, within: str | None = None, text_col: str = "content", share: int = 2000) -> DataFrame:
+    """(a, b, common, strength): episodes with more than ``least`` common words, of
+    one session if ``within`` names it; strength is common / 10, at most 1.
+
+    Over all episodes, a word of more than ``share`` episodes is split into keys of
+    about as many, each met by all its episodes.
+    """
     from ..functions.text import tokens
 
-    t = docs.select("id", within, F.explode(tokens(F.col(text_col))).alias("w"))
-    x, y = t.alias("x"), t.alias("y")
+    if within is None:
+        t = docs.select("id", F.explode(tokens(F.col(text_col))).alias("w"))
+        n = t.groupBy("w").agg(F.ceil(F.count("*") / share).cast("int").alias("keys"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        t, within = t.join(n, "w"), "k"
+        x = t.withColumn("k", F.pmod(F.xxhash64("id"), F.col("keys")).cast("int")).alias("x")
+        y = t.withColumn("k", F.explode(F.expr("sequence(0, keys - 1)"))).alias("y")
+    else:
+        t = docs.select("id", within, F.explode(tokens(F.col(text_col))).alias("w"))
+        x, y = t.alias("x"), t.alias("y")
     met = x.join(y, (F.col(f"x.{within}") == F.col(f"y.{within}")) & (F.col("x.w") == F.col("y.w")) & (F.col("x.id") < F.col("y.id")))
     return met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("common")).filter(F.col("common") > least).withColumn("strength", F.least(F.lit(1.0), F.col("common") / 10))
 

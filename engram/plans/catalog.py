@@ -531,6 +531,35 @@ def hebbian_pairs(spark, sf):
     return graph.word_pairs(c, 2, "conv_id")
 
 
+# The same over all documents, as SURVEY has O-152, O-154, O-157 and O-163.
+def _over_documents(name: str) -> str:
+    return ORACLE_SQL[name].replace(_TALK, _PAIRS)
+
+
+@query("document_clustering", _over_documents("clustering_coefficient"))
+def document_clustering(spark, sf):
+    return graph.clustering(_edges(spark, sf)).withColumns({c: F.round(c, 6) for c in ("clustering", "clustering_normal")})
+
+
+@query("document_hops", _over_documents("graph_hops"))
+def document_hops(spark, sf):
+    e = _edges(spark, sf)
+    top = e.orderBy(F.desc("weight"), "source", "target").limit(1).first()
+    return graph.hops(e, top["source"] if top else "", 2)
+
+
+@query("document_weak_ties", _over_documents("weak_ties"))
+def document_weak_ties(spark, sf):
+    return graph.weak_ties(_edges(spark, sf).withColumn("weight", F.col("weight") / 10), 0.3, 5)
+
+
+@query("document_word_pairs", f"""
+WITH t AS (SELECT id, unnest(list_distinct(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+'))) AS w FROM ({_MEM}))
+SELECT x.id AS a, y.id AS b, count(*) AS common, least(1.0, count(*) / 10)::DOUBLE AS strength FROM t x JOIN t y ON x.w = y.w AND x.id < y.id GROUP BY 1, 2 HAVING count(*) > 2""")
+def document_word_pairs(spark, sf):
+    return graph.word_pairs(views.memories(spark, sf), 2)
+
+
 # ---- engines, context ------------------------------------------------------
 
 _NEG = ", ".join("'" + x.replace("'", "''") + "'" for x in tx.NEGATIONS)

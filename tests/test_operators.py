@@ -287,3 +287,21 @@ def test_dedupe_winner(spark):
     p = spark.createDataFrame([("a", "b")], "a string, b string")
     d = spark.createDataFrame([("a", 0.9, 1.0), ("b", 0.3, 2.0)], "id string, importance double, created_at double")
     assert rows(engines.collapse_duplicates(p, d)) == [("b", "a")]
+
+
+@pytest.mark.parametrize("share", [2000, 2])
+def test_word_pairs_across_sessions(spark, share):
+    texts = ["a b c d", "b c d e", "c d e f", "a b", "a b c d", None, "x"]
+    df = spark.createDataFrame([(str(k), f"s{k}", t) for k, t in enumerate(texts)], "id string, conv_id string, content string")
+    sets = [set((t or "").split()) for t in texts]
+    want = {(str(i), str(j), len(sets[i] & sets[j])) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) > 2}
+    got = [(r["a"], r["b"], r["common"]) for r in graph.word_pairs(df, 2, share=share).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_graph_of_documents_has_their_names(spark, sf):
+    from engram.plans import catalog
+
+    edges = catalog.QUERIES["comention_edges"](spark, sf)
+    names = {r[0] for r in edges.select("source").union(edges.select("target")).distinct().collect()}
+    assert {r["name"] for r in catalog.QUERIES["document_clustering"](spark, sf).select("name").collect()} == names
