@@ -69,9 +69,10 @@ def candidates(memories: DataFrame, wanted: list[str], recent: int, tail: int) -
     return merge_first(new, old, said, key="id")
 
 
-def replay(journal: DataFrame, upto: int) -> DataFrame:
-    """(id, deleted): state of each id after the journal's first ``upto`` changes."""
-    return journal.filter(F.col("seq") <= upto).groupBy("id").agg(F.max_by("deleted", "seq").alias("deleted"))
+def replay(journal: DataFrame, upto: int | None = None) -> DataFrame:
+    """(id, deleted): state of each id after the whole journal, or its changes up to
+    number ``upto``."""
+    return (journal if upto is None else journal.filter(F.col("seq") <= upto)).groupBy("id").agg(F.max_by("deleted", "seq").alias("deleted"))
 
 
 def changed_since(journal: DataFrame, checkpoint: int) -> DataFrame:

@@ -80,6 +80,12 @@ def journal_replay(spark, sf):
     return maintenance.replay(j, 5000)
 
 
+@query("journal_replay_whole", "SELECT user_id AS id, arg_max(event_type = 'error', event_id) AS deleted FROM events GROUP BY user_id")
+def journal_replay_whole(spark, sf):
+    j = views.table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("id"), (F.col("event_type") == "error").alias("deleted"))
+    return maintenance.replay(j)
+
+
 @query("journal_changed", "SELECT DISTINCT user_id AS id FROM events WHERE event_id > 900")
 def journal_changed(spark, sf):
     j = views.table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("id"))

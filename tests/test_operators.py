@@ -305,3 +305,12 @@ def test_graph_of_documents_has_their_names(spark, sf):
     edges = catalog.QUERIES["comention_edges"](spark, sf)
     names = {r[0] for r in edges.select("source").union(edges.select("target")).distinct().collect()}
     assert {r["name"] for r in catalog.QUERIES["document_clustering"](spark, sf).select("name").collect()} == names
+
+
+def test_replay_of_the_whole_journal(spark, tmp_path):
+    from engram.plans import catalog
+
+    rows = [(k, k % 7, "view") for k in range(5001)] + [(5001, 3, "error"), (9000, 99, "error"), (9001, 4, "error"), (9002, 4, "view")]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["id"]: r["deleted"] for r in catalog.QUERIES["journal_replay_whole"](spark, str(tmp_path)).collect()}
+    assert got == {k: k == 3 for k in range(7)} | {99: True}
