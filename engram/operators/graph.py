@@ -30,6 +30,14 @@ def comentions(docs: DataFrame, text_col: str = "content") -> DataFrame:
     return docs.select(F.col("id").alias("episode"), names.alias("n")).select("episode", F.explode(F.expr(tail)).alias("p")).select("episode", "p.source", "p.target")
 
 
+def links(docs: DataFrame, text_col: str = "content") -> DataFrame:
+    """(source, target): neighbours in each episode's order of entities; all that
+    have an edge stand in one, without the edges being made."""
+    names = F.transform(entities(F.col(text_col)), lambda e: e["name"])
+    near = "transform(slice(n, 2, size(n)), (b, i) -> struct(n[i] AS source, b AS target))"
+    return docs.select(names.alias("n")).filter("size(n) > 1").select(F.explode(F.expr(near)).alias("p")).select("p.source", "p.target")
+
+
 def edge_weights(pairs: DataFrame) -> DataFrame:
     """(source, target, weight): each episode adds one."""
     return pairs.groupBy("source", "target").agg(F.count("*").cast("double").alias("weight"))
@@ -89,9 +97,10 @@ def hops(edges: DataFrame, start: str, most: int) -> DataFrame:
     return seen
 
 
-def gaps(counts: DataFrame, edges: DataFrame, least: int, scanned: int, limit: int) -> DataFrame:
-    """Questions about much mentioned entities with no neighbour or few mentions."""
-    top = counts.orderBy(F.desc("mentions"), "name").limit(scanned)
+def gaps(counts: DataFrame, edges: DataFrame, least: int, scanned: int | None, limit: int) -> DataFrame:
+    """Questions about entities with no neighbour or few mentions, most mentioned
+    first; ``scanned`` keeps to that many of the most mentioned."""
+    top = counts if scanned is None else counts.orderBy(F.desc("mentions"), "name").limit(scanned)
     linked = edges.select("source").union(edges.select("target")).distinct().withColumnRenamed("source", "name").withColumn("linked", F.lit(True))
     open_ = top.join(linked, "name", "left").filter(F.col("linked").isNull() | (F.col("mentions") < least))
     out = open_.orderBy(F.desc("mentions"), "name").limit(limit)

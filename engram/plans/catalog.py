@@ -477,7 +477,16 @@ SELECT name, mentions, 'What more do we know about ''' || name || ''', and how d
 WHERE mentions < 2 OR name NOT IN (SELECT source FROM edges UNION SELECT target FROM edges) ORDER BY mentions DESC, name LIMIT 5""")
 def curiosity_gaps(spark, sf):
     s = graph.entity_support(views.memories(spark, sf))
-    return graph.gaps(graph.entity_counts(s), _edges(spark, sf), 2, 200, 5)
+    return graph.gaps(graph.entity_counts(s), graph.links(views.memories(spark, sf)), 2, 200, 5)
+
+
+@query("curiosity_gaps_all", f"""{_PAIRS},
+c AS (SELECT name, count(DISTINCT id) AS mentions FROM e GROUP BY name)
+SELECT name, mentions, 'What more do we know about ''' || name || ''', and how does it relate to other topics?' AS question FROM c
+WHERE mentions < 2 OR name NOT IN (SELECT source FROM edges UNION SELECT target FROM edges) ORDER BY mentions DESC, name LIMIT 5""")
+def curiosity_gaps_all(spark, sf):
+    s = graph.entity_support(views.memories(spark, sf))
+    return graph.gaps(graph.entity_counts(s), graph.links(views.memories(spark, sf)), 2, None, 5)
 
 
 @query("clustering_coefficient", f"""{_TALK},
@@ -654,7 +663,7 @@ def greedy_budget(spark, sf):
 @query("keep_first_dedupe", "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY role, substr(lower(text), 1, 180) ORDER BY conv_id, turn) AS r FROM conversations) WHERE r = 1")
 def keep_first_dedupe(spark, sf):
     c = views.table(spark, sf, "conversations")
-    key = F.concat_ws("|", "role", F.substring(F.lower("text"), 1, 180))
+    key = F.struct("role", F.sha2(F.regexp_replace(F.lower("text"), r"(?U)^\s+|\s+$", ""), 256))
     return context.keep_first(c, key, F.col("conv_id"), F.col("turn")).select("conv_id", "turn")
 
 

@@ -314,3 +314,19 @@ def test_replay_of_the_whole_journal(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     got = {r["id"]: r["deleted"] for r in catalog.QUERIES["journal_replay_whole"](spark, str(tmp_path)).collect()}
     assert got == {k: k == 3 for k in range(7)} | {99: True}
+
+
+def test_first_turns_by_whole_text(spark, tmp_path):
+    from engram.plans import catalog
+
+    long = "word " * 60
+    rows = [("c", 0, "user", long + "one"), ("c", 1, "user", long + "two"), ("c", 2, "user", " " + long.upper() + "ONE\n"), ("c", 3, "tool", long + "one"), ("d", 0, "user", long + "two"), ("d", 1, "user", None), ("d", 2, "user", None)]
+    spark.createDataFrame(rows, "conv_id string, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["conv_id"], r["turn"]) for r in catalog.QUERIES["keep_first_dedupe"](spark, str(tmp_path)).collect()}
+    assert got == {("c", 0), ("c", 1), ("c", 3), ("d", 1)}
+
+
+def test_gaps_below_the_most_mentioned(spark):
+    counts = spark.createDataFrame([(f"n{k}", "t", 9) for k in range(300)] + [("rare", "t", 1), ("alone", "t", 3)], "name string, type string, mentions long")
+    edges = spark.createDataFrame([(f"n{k}", "rare", 1.0) for k in range(300)], "source string, target string, weight double")
+    assert [r["name"] for r in graph.gaps(counts, edges, 2, None, 5).collect()] == ["alone", "rare"]
