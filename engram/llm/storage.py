@@ -1,47 +1,5 @@
-"""Intermediate tables that survive the loss of an executor.
+"""Intermediate tables that survive the loss of an executor; see ``engram.storage``."""
 
-A cut in the lineage is a Parquet table under ``spark.checkpoint.dir`` (the
-folder all executors share).  Only when that setting is absent, as in local
-tests, a temporary folder of this machine is used.
-"""
+from ..storage import durable, partitions, release, shared_dir
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_LOCAL: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session, or a local one when unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="engram-"))
-    return "file://" + _LOCAL[0]
-
-
-def durable(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{shared_dir(spark)}/{app}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(df: DataFrame) -> None:
-    """Delete a table that ``durable`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def partitions(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["durable", "partitions", "release", "shared_dir"]

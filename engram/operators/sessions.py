@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import durable, release
+
 # Types of entries that only show progress.
 EPHEMERAL = ("progress", "status", "heartbeat", "typing")
 
@@ -28,19 +30,28 @@ def drop_ephemeral(entries: DataFrame, kind: str = "type") -> DataFrame:
     return entries.filter(~F.coalesce(F.col(kind).isin(*EPHEMERAL), F.lit(False)))
 
 
-def threads(entries: DataFrame, most: int = 64) -> DataFrame:
+def threads(entries: DataFrame, most: int | None = None) -> DataFrame:
     """(uuid, root, depth): each entry's first ancestor, by pointer doubling.
 
-    A parent that isn't there ends a thread; after doubling ``log2(most)`` times
-    a chain (or cycle) deeper than that stops where it is.
+    A parent that isn't there ends a thread.  Rounds go on until every chain has
+    reached its root, so their number is the log2 of the longest; each is written
+    as a table.  An entry on a cycle, or leading into one, has no root: its root
+    and depth are null.  So has one deeper than ``most``, if that is given.  Each
+    uuid stands once.
     """
     ids = entries.select("uuid", "parent")
     known = ids.join(ids.select(F.col("uuid").alias("parent")), "parent", "left_semi")
-    p = ids.select("uuid").join(known.select("uuid", "parent"), "uuid", "left").select("uuid", F.coalesce("parent", "uuid").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))
-    for _ in range(max(1, (most - 1).bit_length())):
-        q = p.select(F.col("uuid").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
-        p = p.join(q, "up").select("uuid", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"))
-    return p.select("uuid", F.col("up").alias("root"), "depth")
+    p = ids.select("uuid").join(known.select("uuid", "parent"), "uuid", "left").select("uuid", F.coalesce("parent", "uuid").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("parent").isNull().alias("done"))
+    p, last, rounds = durable(p, "threads"), None, 0
+    # where a chain is still open, each round closes some entry of it; cycles stay open
+    while (open_ := p.filter("NOT done").count()) and open_ != last and (most is None or 2**rounds <= most):
+        q = p.select(F.col("uuid").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("done").alias("done2"))
+        moved = p.filter("NOT done").join(q, "up").select("uuid", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), F.col("done2").alias("done"))
+        new = durable(p.filter("done").unionByName(moved), "threads")
+        release(p)
+        p, last, rounds = new, open_, rounds + 1
+    end = F.col("done") if most is None else F.col("done") & (F.col("depth") <= most)
+    return p.select("uuid", F.when(end, F.col("up")).alias("root"), F.when(end, F.col("depth")).cast("int").alias("depth"))
 
 
 def leaves(entries: DataFrame) -> DataFrame:

@@ -330,3 +330,12 @@ def test_gaps_below_the_most_mentioned(spark):
     counts = spark.createDataFrame([(f"n{k}", "t", 9) for k in range(300)] + [("rare", "t", 1), ("alone", "t", 3)], "name string, type string, mentions long")
     edges = spark.createDataFrame([(f"n{k}", "rare", 1.0) for k in range(300)], "source string, target string, weight double")
     assert [r["name"] for r in graph.gaps(counts, edges, 2, None, 5).collect()] == ["alone", "rare"]
+
+
+def test_threads_of_any_length(spark):
+    rows = [(f"n{k}", f"n{k - 1}" if k else None) for k in range(700)] + [("x", "y"), ("y", "x"), ("w", "x"), ("u", "v"), ("v", "t"), ("t", "u"), ("self", "self"), ("z", "gone")]
+    e = spark.createDataFrame(rows, "uuid string, parent string").repartition(5)
+    got = {r["uuid"]: (r["root"], r["depth"]) for r in sessions.threads(e).collect()}
+    assert got == {f"n{k}": ("n0", k) for k in range(700)} | {u: (None, None) for u in ("x", "y", "w", "u", "v", "t", "self")} | {"z": ("z", 0)}
+    assert {u for u, r in ((r["uuid"], r["root"]) for r in sessions.threads(e, 8).collect()) if r == "n0"} == {f"n{k}" for k in range(9)}
+    assert sessions.threads(e.limit(0)).count() == 0
