@@ -1,11 +1,11 @@
 """License scans by a positional rare-token index.
 
-The index holds, for each word of the licence templates, its postings
-(template, position) and its inverse document frequency over the templates.
-For a file, the licence words with the highest IDF among those it contains are
-looked up; every occurrence votes for (template, file place - template place),
-so postings meet by relative position.  Where a template lines up, its words
-are compared there, and it counts only if its mandatory phrases stand in it.
+Each word of the licence templates has an inverse document frequency over the
+templates.  A template counts only if its mandatory phrases stand in it, so the
+index holds, for the rarest word of each template's first phrase, its postings
+(template, position).  Every occurrence in a file at which the phrase stands
+places the template there; its words are aligned in order with those about that
+place, so a word more or less in a notice costs no more than itself.
 """
 
 from __future__ import annotations
@@ -42,10 +42,16 @@ TEMPLATES = [
     ("epl", "made available under the terms of the eclipse public license", ["eclipse public license"]),
     ("cc", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons"]),
     ("cc", "licensed under creative commons attribution", ["creative commons"]),
+    ("cc", "licensed under cc by", ["under cc by"]),
+    ("cc", "cc by 4 0", ["cc by 4 0"]),
+    ("cc", "cc by 3 0", ["cc by 3 0"]),
+    *[("cc", f"cc by {kind} 4 0", [f"cc by {kind}"]) for kind in ("nc", "sa", "nd", "nc sa", "nc nd")],
+    ("cc", "cc0 1 0 universal", ["cc0 1 0"]),
 ]
+# Labels of the first word of an id in "SPDX-License-Identifier: id".
+SPDX = {x: x for x in "mit apache gpl lgpl agpl bsd mpl isc unlicense zlib epl cc".split()} | {"bsl": "boost", "cc0": "cc"}
+TEMPLATES += [(label, f"spdx license identifier {x}", [f"spdx license identifier {x}"]) for x, label in SPDX.items()]
 
-#: Words whose IDF is within this of a file's highest are looked up.
-LOOK = 1.2
 #: Share of a template's IDF weight that must line up.
 LEAST = 0.6
 
@@ -66,11 +72,12 @@ class Index:
         self.names = [w.encode() for w in names]
         self.text = [np.array([at[w] for w in t]) for t in words]
         self.weight = [self.idf[t] for t in self.text]
-        self.postings: dict[int, list[tuple[int, int]]] = {}
-        for t, ids in enumerate(self.text):
-            for k, w in enumerate(ids):
-                self.postings.setdefault(int(w), []).append((t, k))
         self.phrases = [[np.array([at[w] for w in p.split()]) for p in must] for _, _, must in templates]
+        # rarest word of the first phrase -> (template, place of the word in the phrase, of the phrase in the template)
+        self.postings: dict[int, list[tuple[int, int, int]]] = {}
+        for t, (ids, must) in enumerate(zip(self.text, self.phrases)):
+            k = int(self.idf[must[0]].argmax())
+            self.postings.setdefault(int(must[0][k]), []).append((t, k, int(_places(ids, must[0])[0])))
         self.base = {label: np.array([at[w] for w in p.split()]) for p, label in BASE.items()}
 
     def known(self, words: Words) -> np.ndarray:
@@ -97,26 +104,42 @@ def _places(ids: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
+def _aligned(own: np.ndarray, weight: np.ndarray, span: np.ndarray) -> float:
+    """The greatest share of a template's weight whose words stand in order in a span."""
+    where: dict[int, list[int]] = {}
+    for k in range(len(own) - 1, -1, -1):
+        where.setdefault(int(own[k]), []).append(k)
+    best = [0.0] * (len(own) + 1)  # by the last template place used, plus one
+    for w in span.tolist():
+        for k in where.get(w, ()):
+            best[k + 1] = max(best[k + 1], max(best[: k + 1]) + float(weight[k]))
+    return max(best) / float(weight.sum())
+
+
 def matches(index: Index, ids: np.ndarray) -> dict[str, float]:
-    """Label -> best share of a template's weight that lines up in a file."""
-    present = np.flatnonzero(ids >= 0)
-    if not len(present):
-        return {}
-    rare = index.idf[ids[present]]
-    anchors = present[rare >= rare.max() - LOOK]
-    votes = {(t, int(at) - k) for at in anchors for t, k in index.postings.get(int(ids[at]), ())}
+    """Label -> best share of a template's weight that lines up in a file.
+
+    A template lines up within its own length at the place of its first phrase,
+    and half as much before and behind (two words at least).
+    """
     found: dict[str, float] = {}
-    for t, shift in votes:
-        own, weight = index.text[t], index.weight[t]
-        lo, hi = max(0, -shift), min(len(own), len(ids) - shift)
-        if hi <= lo:
-            continue
-        share = float(weight[lo:hi][ids[lo + shift : hi + shift] == own[lo:hi]].sum() / weight.sum())
-        if share < LEAST or share <= found.get(index.labels[t], 0.0):
-            continue
-        span = ids[max(0, shift) : max(0, shift) + len(own)]
-        if all(len(_places(span, p)) for p in index.phrases[t]):
-            found[index.labels[t]] = share
+    for w in index.postings.keys() & set(ids[ids >= 0].tolist()):
+        places = np.flatnonzero(ids == w)
+        for t, k, offset in index.postings[w]:
+            first, own, label = index.phrases[t][0], index.text[t], index.labels[t]
+            starts = places - k
+            starts = starts[(starts >= 0) & (starts + len(first) <= len(ids))]
+            for j, x in enumerate(first):
+                starts = starts[ids[starts + j] == x]
+            drift = max(2, len(own) // 2)
+            for at in starts.tolist():
+                if found.get(label, 0.0) >= 1.0:
+                    break
+                span = ids[max(0, at - offset - drift) : at - offset + len(own) + drift]
+                if all(len(_places(span, p)) for p in index.phrases[t]):
+                    share = _aligned(own, index.weight[t], span)
+                    if share >= LEAST and share > found.get(label, 0.0):
+                        found[label] = share
     return found
 
 

@@ -71,6 +71,20 @@ def test_license_texts_without_base_phrase(spark):
     assert [r["labels"] for r in scan_licenses(df).orderBy("doc_id").collect()] == ["mit", "", ""]
 
 
+def test_short_and_changed_license_notices(spark):
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted".split()
+    zlib_ = "This software is provided as-is, and given without any express or implied warranty; here in no event will any of the authors ever be held liable"
+    rows = [
+        ("Prose. Licensed under CC BY-NC 4.0.", "cc"), ("Licensed under CC BY 4.0.", "cc"), ("licensed under cc by", "cc"), ("boost international: CC-BY-SA 3.0", "cc"),
+        ("// SPDX-License-Identifier: MIT", "mit"), ("# SPDX-License-Identifier: Apache-2.0", "apache"), ("SPDX-License-Identifier: BSL-1.0", "boost"), ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl"),
+        (" ".join(isc[:7] + ["all", "of"] + isc[7:]), "isc"), (" ".join(isc[:5] + isc[6:]), "isc"), (zlib_, "zlib"),
+        ("Please cc by noon, and for any purpose", ""), ("a creative commons of the town", ""), ("mit dem license", ""), ("by nc 4 0", ""),
+    ]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in scan_licenses(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert [got[k][0] for k in range(len(rows))] == [label for _, label in rows]
+    assert all((score >= 0.6) == (label != "") for label, score in got.values())
+
+
 def test_surrogates_keep_type_and_identity(spark, odd_docs, no_docs):
     text = "Mail Ana.Luz7@mail8.example.com, ANA.LUZ7@mail8.example.com or +1 (988) 555-2485 from 42.144.35.254 with 4041894974608795; Mrs. Maria Lopez."
     rows = [(1, text), (2, "again ana.luz7@mail8.example.com and 42.144.35.254"), (3, "version 4.0.\nno data, 12 words")]
