@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,17 +58,18 @@ def _blocks(rows: int):
     return run
 
 
-def nearest_each(vectors: DataFrame, queries: DataFrame, limit: int, block: int = 2048) -> DataFrame:
-    """(query, id, score, rank) for a stated set of query vectors against all rows.
+def _products(vectors: DataFrame, queries: DataFrame, block: int, keep: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(query, id, score) of what ``keep`` (scores, ids -> places) takes of each pair of blocks.
 
-    Both sides are dealt in blocks; a pair of blocks is one matrix product that
-    keeps ``limit`` rows a query, so no pair of rows is ever a row.
+    Blocks of vectors are dealt over as many keys as there are shuffle partitions;
+    each key gets the blocks of queries.
     """
+    salts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = "ids binary, m binary, dims int"
-    left = queries.select("id", "embedding").mapInArrow(_blocks(block), schema).select(F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.col("dims").alias("q_dims"))
-    right = vectors.select("id", "embedding").mapInArrow(_blocks(block), schema)
+    left = queries.select("id", "embedding").mapInArrow(_blocks(block), schema).select(F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.col("dims").alias("q_dims"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("q_salt"))
+    right = vectors.select("id", "embedding").mapInArrow(_blocks(block), schema).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
 
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 if r["dims"] != r["q_dims"] or not r["dims"]:
@@ -76,16 +77,36 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, limit: int, block: int
                 q_ids, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
                 q, m = (np.frombuffer(r[k]).reshape(-1, r["dims"]) for k in ("q_m", "m"))
                 score = q @ m.T
-                k = min(limit, score.shape[1])
-                # by score, then id
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -np.round(score, 12)), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, k)), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(score, order, axis=1).ravel())], names=["query", "id", "score"])
+                x, y = keep(score, ids)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[x]), pa.array(ids[y]), pa.array(score[x, y])], names=["query", "id", "score"])
 
-    pairs = left.join(right, F.col("q_dims") == F.col("dims")).mapInArrow(top, "query long, id long, score double")
+    return left.join(right, (F.col("q_dims") == F.col("dims")) & (F.col("q_salt") == F.col("salt"))).mapInArrow(run, "query long, id long, score double")
+
+
+def nearest_each(vectors: DataFrame, queries: DataFrame, limit: int, block: int = 2048) -> DataFrame:
+    """(query, id, score, rank) for a stated set of query vectors against all rows.
+
+    Both sides are dealt in blocks; a pair of blocks is one matrix product that
+    keeps ``limit`` rows a query, so no pair of rows is ever a row.
+    """
+
+    def top(score: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = min(limit, score.shape[1])
+        # by score, then id
+        order = np.lexsort((np.broadcast_to(ids, score.shape), -np.round(score, 12)), axis=1)[:, :k]
+        return np.repeat(np.arange(len(score)), k), order.ravel()
+
+    pairs = _products(vectors, queries, block, top)
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("score", 12)), "id"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= limit)
 
 
+def all_above(vectors: DataFrame, queries: DataFrame, least: float, block: int = 2048) -> DataFrame:
+    """(query, id, score) of every pair with a score of ``least`` or more; only
+    these leave the product of their blocks."""
+    return _products(vectors, queries, block, lambda score, ids: np.nonzero(score >= least))
+
+
 def fit_cells(vectors: DataFrame, cells: int = 32, sample: int = 20_000, rounds: int = 12, seed: int = 17) -> np.ndarray:
     """Centroids of an inverted-file index, from at most ``sample`` rows."""
     rows = vectors.orderBy(F.xxhash64("id", F.lit(seed))).select("embedding").limit(sample).toArrow()

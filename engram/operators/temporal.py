@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,35 +61,40 @@ def rate_limited(notices: DataFrame, per_hour: int = 1, per_day: int = 6, dedupe
     Checked in order: quiet hours (unless urgent), the same key within
     ``dedupe`` seconds, the hour's and the day's quota of *admitted* notices.
     ``notices``: target, id, at, key, urgent.  Admission depends on what was
-    admitted before, so each target is a fold over its own notices.
+    admitted before, so each target is a fold over its own notices, sorted by
+    Spark; the state is what was admitted within a day or ``dedupe`` seconds.
     """
     local = F.hour(F.from_utc_timestamp(F.timestamp_seconds("at"), zone))
     silent = (local >= quiet[0]) | (local < quiet[1])
-    rows = notices.select("target", "id", "at", "key", (silent & ~F.col("urgent")).alias("silent"))
+    rows = notices.select(F.col("target").cast("long"), F.col("id").cast("long"), F.col("at").cast("double"), F.col("key").cast("string"), (silent & ~F.col("urgent")).alias("silent"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "id"])
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: object = ()
         sent: list[float] = []
         last: dict[str, float] = {}
-        out = []
-        for at, key, silent in zip(pdf["at"], pdf["key"], pdf["silent"]):
-            if silent:
-                out.append("quiet")
-                continue
-            sent = [t for t in sent if at - t < 86400]
-            if key in last and at - last[key] < dedupe:
-                out.append("duplicate")
-            elif sum(at - t < 3600 for t in sent) >= per_hour:
-                out.append("hour")
-            elif len(sent) >= per_day:
-                out.append("day")
-            else:
-                out.append("sent")
-                sent.append(at)
-                last[key] = at
-        return pdf.assign(decision=out)[["target", "id", "at", "decision"]]
-
-    return rows.groupBy("target").applyInPandas(fold, "target long, id long, at double, decision string")
+        for batch in batches:
+            out = []
+            for target, at, key, silent in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
+                if target != own:
+                    own, sent, last = target, [], {}
+                if silent:
+                    out.append("quiet")
+                    continue
+                at = float("nan") if at is None else at
+                sent = [t for t in sent if at - t < 86400]
+                if key in last and at - last[key] < dedupe:
+                    out.append("duplicate")
+                elif sum(at - t < 3600 for t in sent) >= per_hour:
+                    out.append("hour")
+                elif len(sent) >= per_day:
+                    out.append("day")
+                else:
+                    out.append("sent")
+                    sent.append(at)
+                    last = {k: t for k, t in last.items() if at - t < dedupe} | {key: at}
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, type=pa.string())], names=["target", "id", "at", "decision"])
+
+    return rows.repartition("target").sortWithinPartitions("target", F.asc_nulls_last("at"), "id").mapInArrow(fold, "target long, id long, at double, decision string")
 
 
 def pruned(events: DataFrame, now: float, days: int) -> DataFrame:

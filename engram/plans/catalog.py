@@ -588,7 +588,7 @@ i AS (SELECT vec_id, (vec_id % 11) / 10.0 AS importance FROM embeddings)
 SELECT CASE WHEN (x.importance, a) < (y.importance, b) THEN a ELSE b END AS loser, count(*) AS n FROM p JOIN i x ON x.vec_id = a JOIN i y ON y.vec_id = b GROUP BY 1""")
 def janitor_duplicates(spark, sf):
     v = views.vectors(spark, sf)
-    pairs = recall.nearest_each(v, v.filter("id % 100 = 0"), 1 << 30).filter("score >= 0.3 AND query != id").select(F.col("query").alias("a"), F.col("id").alias("b"))
+    pairs = recall.all_above(v, v.filter("id % 100 = 0"), 0.3).filter("query != id").select(F.col("query").alias("a"), F.col("id").alias("b"))
     k = v.select("id", F.struct((F.col("id") % 11 / 10.0).alias("importance"), F.col("id").alias("i")).alias("k"))
     both = pairs.join(k.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(k.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
     return both.select(F.when(F.col("ka") < F.col("kb"), F.col("a")).otherwise(F.col("b")).alias("loser")).groupBy("loser").agg(F.count("*").alias("n"))

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import random
 import re
 
 import pytest
@@ -339,3 +340,46 @@ def test_threads_of_any_length(spark):
     assert got == {f"n{k}": ("n0", k) for k in range(700)} | {u: (None, None) for u in ("x", "y", "w", "u", "v", "t", "self")} | {"z": ("z", 0)}
     assert {u for u, r in ((r["uuid"], r["root"]) for r in sessions.threads(e, 8).collect()) if r == "n0"} == {f"n{k}" for k in range(9)}
     assert sessions.threads(e.limit(0)).count() == 0
+
+
+def test_rate_limit_streams_each_target(spark):
+    rng = random.Random(5)
+    data = [(rng.choice([1, 1, 1, 2]), k, 1.7e9 + rng.randrange(3 * 86400), rng.choice("abc"), rng.random() < 0.5) for k in range(600)]
+    n = spark.createDataFrame(data, "target long, id long, at double, key string, urgent boolean").repartition(3)
+    want, state = {}, {}
+    for target, i, at, key, urgent in sorted(data, key=lambda r: (r[0], r[2], r[1])):
+        sent = state.setdefault(target, [])
+        hour = int(at // 3600) % 24
+        ago = [(at - t, k) for t, k in sent]
+        if (hour >= 23 or hour < 8) and not urgent:
+            want[i] = "quiet"
+        elif any(d < 6 * 3600 and k == key for d, k in ago):
+            want[i] = "duplicate"
+        elif any(d < 3600 for d, _ in ago):
+            want[i] = "hour"
+        elif sum(d < 86400 for d, _ in ago) >= 6:
+            want[i] = "day"
+        else:
+            want[i] = "sent"
+            sent.append((at, key))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        out = temporal.rate_limited(n, zone="UTC")
+        assert {r["id"]: r["decision"] for r in out.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+
+
+def test_pairs_above_without_ranking(spark):
+    rng = random.Random(6)
+    data = [(k, [rng.uniform(-1, 1) for _ in range(4)]) for k in range(60)]
+    v = spark.createDataFrame(data, "id long, embedding array<double>").repartition(3)
+    unit = {k: [x / math.sqrt(sum(y * y for y in e)) for x in e] for k, e in data}
+    cos = {(a, b): sum(x * y for x, y in zip(unit[a], unit[b])) for a in range(0, 60, 5) for b in unit}
+    q = v.filter("id % 5 = 0")
+    out = recall.all_above(v, q, 0.3, block=7)
+    assert sorted((r["query"], r["id"]) for r in out.collect()) == sorted(p for p, c in cos.items() if c >= 0.3)
+    assert "Window" not in out._jdf.queryExecution().toString()
+    near = {(r["query"], r["rank"]): r["id"] for r in recall.nearest_each(v, q, 3, block=7).collect()}
+    assert near == {(a, k + 1): b for a in range(0, 60, 5) for k, b in enumerate(sorted(unit, key=lambda b: (-round(cos[a, b], 12), b))[:3])}
