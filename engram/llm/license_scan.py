@@ -1,16 +1,20 @@
 """License scans by a positional rare-token index.
 
 Each word of the licence templates has an inverse document frequency over the
-templates.  A template counts only if its mandatory phrases stand in it, so the
-index holds, for the rarest word of each template's first phrase, its postings
-(template, position).  Every occurrence in a file at which the phrase stands
-places the template there; its words are aligned in order with those about that
-place, so a word more or less in a notice costs no more than itself.
+templates.  The index holds the postings (template, position) of the rarer words.
+A file's licence words of highest IDF are looked up first: a template stays only
+if those that the file has can still reach the share of its weight that must line
+up.  Its postings are then intersected by relative position about each place of
+its first mandatory phrase.  What is left is aligned in order, so a word more or
+less in a notice costs no more than itself, and all mandatory phrases must stand
+there.  Templates are opening sentences and short notices, and windows of whole
+texts, so a notice is found without its opening as well.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,14 +56,74 @@ TEMPLATES = [
 SPDX = {x: x for x in "mit apache gpl lgpl agpl bsd mpl isc unlicense zlib epl cc".split()} | {"bsl": "boost", "cc0": "cc"}
 TEMPLATES += [(label, f"spdx license identifier {x}", [f"spdx license identifier {x}"]) for x, label in SPDX.items()]
 
+# Whole texts of public licences, after their opening sentence.
+TEXTS = {
+    "mit": """to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense
+        and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above
+        copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is
+        without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and
+        noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of
+        contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software""",
+    "bsd": """redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in
+        binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other
+        materials provided with the distribution neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission this software is provided by the copyright holders and
+        contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a
+        particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special
+        exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business
+        interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in
+        any way out of the use of this software even if advised of the possibility of such damage""",
+    "apache": """you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing
+        software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see
+        the license for the specific language governing permissions and limitations under the license""",
+    "gpl": """this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or
+        fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public
+        license along with this program if not see http www gnu org licenses""",
+    "isc": """provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims
+        all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable
+        for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of
+        contract negligence or other tortious action arising out of or in connection with the use or performance of this software""",
+    "zlib": """permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely
+        subject to the following restrictions the origin of this software must not be misrepresented you must not claim that you wrote the original software
+        if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required altered source versions
+        must be plainly marked as such and must not be misrepresented as being the original software this notice may not be removed or altered from any
+        source distribution""",
+    "unlicense": """anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any
+        purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate
+        any and all copyright interest in the software to the public domain""",
+}
+
 #: Share of a template's IDF weight that must line up.
 LEAST = 0.6
+#: Words of a window of a whole text, from one to the next, and of the phrase that must stand in it.
+WINDOW, STEP, PHRASE = 24, 8, 4
+#: Words in more than this share of the templates aren't in the index.
+RARE = 0.2
+
+
+def _windows(texts: dict[str, str]) -> list[tuple[str, str, list[str]]]:
+    """Overlapping windows of the texts as templates.
+
+    The mandatory phrase is the one whose words the fewest windows hold; a window
+    all of whose phrases another licence's text holds as well tells nothing.
+    """
+    cut = [(label, w[k : k + WINDOW]) for label, text in texts.items() for w in [text.split()] for k in range(0, max(1, len(w) - WINDOW + STEP), STEP)]
+    held = Counter(x for _, w in cut for x in set(w))
+    joined = {label: f" {' '.join(text.split())} " for label, text in texts.items()}
+    out = []
+    for label, w in cut:
+        own = [w[k : k + PHRASE] for k in range(len(w) - PHRASE + 1)]
+        own = [p for p in own if not any(f" {' '.join(p)} " in text for other, text in joined.items() if other != label)]
+        if own:
+            out.append((label, " ".join(w), [" ".join(min(own, key=lambda p: sum(held[x] for x in p)))]))
+    return out
 
 
 class Index:
     """Postings and weights of the templates' words."""
 
-    def __init__(self, templates: list = TEMPLATES):
+    def __init__(self, templates: list | None = None):
+        templates = TEMPLATES + _windows(TEXTS) if templates is None else templates
         words = [t.split() for _, t, _ in templates]
         self.labels = [label for label, _, _ in templates]
         names = sorted({w for t in words for w in t} | {w for p in BASE for w in p.split()})
@@ -67,17 +131,22 @@ class Index:
         hashes = np.array([word_hash(w.encode()) for w in names], dtype=np.uint64)
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
-        held = [sum(w in t for t in words) for w in names]
-        self.idf = np.array([math.log((len(words) + 1) / max(1, d)) for d in held])
+        held = Counter(w for t in words for w in set(t))
+        self.idf = np.array([math.log((len(words) + 1) / max(1, held[w])) for w in names])
         self.names = [w.encode() for w in names]
         self.text = [np.array([at[w] for w in t]) for t in words]
         self.weight = [self.idf[t] for t in self.text]
         self.phrases = [[np.array([at[w] for w in p.split()]) for p in must] for _, _, must in templates]
-        # rarest word of the first phrase -> (template, place of the word in the phrase, of the phrase in the template)
-        self.postings: dict[int, list[tuple[int, int, int]]] = {}
-        for t, (ids, must) in enumerate(zip(self.text, self.phrases)):
-            k = int(self.idf[must[0]].argmax())
-            self.postings.setdefault(int(must[0][k]), []).append((t, k, int(_places(ids, must[0])[0])))
+        self.offset = [int(_places(ids, must[0])[0]) for ids, must in zip(self.text, self.phrases)]
+        # rare word -> its (template, place); each template's rare weight is what postings can give
+        rare = np.array([held[w] <= RARE * len(words) for w in names])
+        self.rare = rare
+        self.postings: dict[int, list[tuple[int, int]]] = {}
+        self.needed = []
+        for t, ids in enumerate(self.text):
+            for place in np.flatnonzero(rare[ids]):
+                self.postings.setdefault(int(ids[place]), []).append((t, int(place)))
+            self.needed.append(LEAST * self.weight[t].sum() - self.weight[t][~rare[ids]].sum() - 1e-9)
         self.base = {label: np.array([at[w] for w in p.split()]) for p, label in BASE.items()}
 
     def known(self, words: Words) -> np.ndarray:
@@ -116,6 +185,19 @@ def _aligned(own: np.ndarray, weight: np.ndarray, span: np.ndarray) -> float:
     return max(best) / float(weight.sum())
 
 
+def _votes(index: Index, ids: np.ndarray) -> dict[int, list[tuple[int, np.ndarray]]]:
+    """Template -> (place, where its word stands in the file) of rare words, for the
+    templates that these words and all common ones can still make up."""
+    at = np.flatnonzero((ids >= 0) & index.rare[ids])
+    order = at[np.argsort(ids[at], kind="stable")]
+    found, begin = np.unique(ids[order], return_index=True)
+    votes: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for word, where in zip(found.tolist(), np.split(order, begin[1:])):
+        for t, place in index.postings.get(word, ()):
+            votes.setdefault(t, []).append((place, where))
+    return {t: v for t, v in votes.items() if sum(index.weight[t][place] for place, _ in v) >= index.needed[t]}
+
+
 def matches(index: Index, ids: np.ndarray) -> dict[str, float]:
     """Label -> best share of a template's weight that lines up in a file.
 
@@ -123,23 +205,27 @@ def matches(index: Index, ids: np.ndarray) -> dict[str, float]:
     and half as much before and behind (two words at least).
     """
     found: dict[str, float] = {}
-    for w in index.postings.keys() & set(ids[ids >= 0].tolist()):
-        places = np.flatnonzero(ids == w)
-        for t, k, offset in index.postings[w]:
-            first, own, label = index.phrases[t][0], index.text[t], index.labels[t]
-            starts = places - k
-            starts = starts[(starts >= 0) & (starts + len(first) <= len(ids))]
-            for j, x in enumerate(first):
-                starts = starts[ids[starts + j] == x]
-            drift = max(2, len(own) // 2)
-            for at in starts.tolist():
-                if found.get(label, 0.0) >= 1.0:
+    seen: dict[tuple[int, bytes], float] = {}
+    for t, votes in _votes(index, ids).items():
+        own, label, offset = index.text[t], index.labels[t], index.offset[t]
+        if found.get(label, 0.0) >= 1.0:
+            continue
+        starts = _places(ids, index.phrases[t][0]) - offset
+        drift = max(2, len(own) // 2)
+        met = np.zeros(len(starts))
+        for place, where in votes:
+            next_ = np.searchsorted(where, starts + place - drift)
+            near = where[np.minimum(next_, len(where) - 1)]
+            met += index.weight[t][place] * ((next_ < len(where)) & (near <= starts + place + drift))
+        for at in starts[met >= index.needed[t]].tolist():
+            span = ids[max(0, at - drift) : at + len(own) + drift]
+            known = (t, span.tobytes())
+            if known not in seen:  # a notice that a file repeats is aligned once
+                seen[known] = _aligned(own, index.weight[t], span) if all(len(_places(span, p)) for p in index.phrases[t]) else 0.0
+            if seen[known] >= LEAST and seen[known] > found.get(label, 0.0):
+                found[label] = seen[known]
+                if seen[known] >= 1.0:
                     break
-                span = ids[max(0, at - offset - drift) : at - offset + len(own) + drift]
-                if all(len(_places(span, p)) for p in index.phrases[t]):
-                    share = _aligned(own, index.weight[t], span)
-                    if share >= LEAST and share > found.get(label, 0.0):
-                        found[label] = share
     return found
 
 
