@@ -1,13 +1,15 @@
 """Secret scans: patterns, and a battery of randomness tests.
 
 Pattern spans are found with built-in regular expressions.  The method adds
-tokens that look random: each candidate's encoding is inferred, and three
-statistics test the hypothesis that its characters are independent and uniform
-over that alphabet: chi-squared uniformity, the runs test about the middle of
-the alphabet, and lag-1 serial correlation.  Their combined p-value goes
-through a length-weighted Benjamini-Hochberg step over all candidates of the
-corpus; those for which randomness is *not* rejected, and which are long enough
-for a text-like token to have been rejected, are reported.
+tokens that look random.  Each candidate's encoding is inferred, and three
+statistics test whether its characters are independent and uniform over that
+alphabet: chi-squared uniformity, the runs test about the middle of the
+alphabet, and lag-1 serial correlation.  A secret is a token that passes this
+battery and that text would not give: the chi-squared statistic's count of equal
+pairs is far below what text-like tokens of its length have.  That second p-value
+(1 where the battery fails) goes through a length-weighted Benjamini-Hochberg
+step over all candidates of the corpus, so the secrets reported are the
+discoveries, of which a bounded share is text.
 
 Built-in expressions only; p-values are counted in a fixed number of bins.
 """
@@ -26,38 +28,47 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 
-#: Share of false rejections that the battery may make, and bins of -log10(p).
-RATE, BINS = 0.05, 400
-#: Index of coincidence of text-like tokens, for the length that gives power.
-TEXT_IC = 0.065
+#: Share of false discoveries, level of the battery, and bins of -log10(p).
+RATE, LEVEL, BINS = 0.05, 0.01, 400
+#: Chance that two characters of a text-like token are equal (at least twice that of
+#: a uniform one), and that three are, as a multiple of its square.
+TEXT_PAIRS, TEXT_TRIPLES = 0.065, 1.28
+#: Matches of a text that are placed together; see ``_spans``.
+CHUNK = 256
 
+# The alphabets of usual encodings.
 _ALPHABETS = {
     "hex": "0123456789abcdef",
+    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "base58": "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz",
+    "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
+_SPANS = "array<struct<start:bigint,rank:int,kind:string,stop:bigint,token:string>>"
 
 
 def _spans(text: str, pattern: str, kind: str, keep: str = "true") -> str:
     """SQL for the array of (start, rank, kind, end, token) of a pattern.
 
     The gaps between matches are what ``split`` leaves, so a match starts where
-    the gaps and matches before it end.
+    the gaps and matches before it end.  Matches are placed in chunks: appending
+    to one array would cost the square of their number.
     """
     rank = ["assign", "access", "hex", "random"].index(kind)
     quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
     found = f"regexp_extract_all({text}, '{quoted}', 0)"
-    value = f"regexp_extract_all({text}, '{quoted}', {2 if kind == 'assign' else 0})"
+    value = f"regexp_extract_all({text}, '{quoted}', 2)" if kind == "assign" else found
     gaps = f"split({text}, '{quoted}', -1)"
-    spans = f"""aggregate(
-      zip_with(zip_with({found}, {value}, (m, v) -> named_struct('m', m, 'v', v)), slice({gaps}, 1, size({found})),
-        (y, g) -> named_struct('m', y.m, 'v', y.v, 'g', g)),
-      named_struct('at', 0L, 'out', cast(array() AS array<struct<start:bigint,rank:int,kind:string,stop:bigint,token:string>>)),
-      (s, x) -> named_struct('at', s.at + char_length(x.g) + char_length(x.m), 'out',
-        CASE WHEN {keep} THEN array_append(s.out, named_struct('start', s.at + char_length(x.g), 'rank', {rank}, 'kind', '{kind}', 'stop', s.at + char_length(x.g) + char_length(x.m), 'token', x.m)) ELSE s.out END),
-      s -> s.out)"""
-    none = "cast(array() AS array<struct<start:bigint,rank:int,kind:string,stop:bigint,token:string>>)"
-    return f"CASE WHEN {text} rlike '{quoted}' THEN {spans} ELSE {none} END"
+    matches = f"zip_with(zip_with({found}, {value}, (m, v) -> named_struct('m', m, 'v', v)), {gaps}, (y, g) -> named_struct('m', y.m, 'v', y.v, 'g', char_length(g), 'n', char_length(y.m)))"
+    own = f"filter(slice(p, k * {CHUNK} + 1, {CHUNK}), x -> x.m IS NOT NULL)"
+    chunks = f"sequence(0, (size(p) - 1) div {CHUNK})"
+    ends = f"transform({chunks}, k -> aggregate({own}, 0L, (s, x) -> s + x.g + x.n))"
+    begins = f"aggregate({ends}, named_struct('at', 0L, 'out', cast(array() AS array<bigint>)), (s, x) -> named_struct('at', s.at + x, 'out', array_append(s.out, s.at)), s -> s.out)"
+    span = f"named_struct('start', s.at + x.g, 'rank', {rank}, 'kind', '{kind}', 'stop', s.at + x.g + x.n, 'token', x.m)"
+    placed = f"aggregate({own}, named_struct('at', b, 'out', cast(array() AS {_SPANS})), (s, x) -> named_struct('at', s.at + x.g + x.n, 'out', CASE WHEN {keep} THEN array_append(s.out, {span}) ELSE s.out END), s -> s.out)"
+    spans = f"flatten(flatten(transform(array({matches}), p -> zip_with({chunks}, {begins}, (k, b) -> {placed}))))"
+    return f"CASE WHEN {text} rlike '{quoted}' THEN {spans} ELSE cast(array() AS {_SPANS}) END"
 
 
 def _tail(z: Column) -> Column:
@@ -67,18 +78,34 @@ def _tail(z: Column) -> Column:
 
 
 def battery(tokens: DataFrame) -> DataFrame:
-    """``tokens`` (token) with encoding, n, chi_z, runs_z, serial_z and p added."""
-    t = tokens.withColumn("low", F.lower("token"))
-    single = (F.col("token") == F.col("low")) | (F.col("token") == F.upper("token"))
-    encoding = F.when(single & F.col("low").rlike("^[0-9a-f]+$"), "hex").when(single & F.col("low").rlike("^[0-9a-z]+$"), "base36").otherwise("base64")
-    t = t.withColumn("encoding", encoding)
-    plain = F.when(F.col("encoding") == "base64", F.translate(F.regexp_replace("token", "=+$", ""), "-_=", "+/")).otherwise(F.col("low"))
-    alphabet = F.when(F.col("encoding") == "hex", _ALPHABETS["hex"]).when(F.col("encoding") == "base36", _ALPHABETS["base36"]).otherwise(_ALPHABETS["base64"])
+    """``tokens`` (token) with encoding, n, chi_z, runs_z, serial_z, p and text_p added.
+
+    p is the battery's, small for what is not random; text_p is small for what is
+    not text-like.
+    """
+    low, up = F.lower("token"), F.upper("token")
+    bare = F.regexp_replace("token", "=+$", "")
+    single = (F.col("token") == low) | (F.col("token") == up)
+    encoding = (
+        F.when(single & low.rlike("^[0-9a-f]+$"), "hex").when(bare.rlike("^[A-Z2-7]+$"), "base32").when(single & low.rlike("^[0-9a-z]+$"), "base36")
+        .when(F.col("token").rlike("^[1-9A-HJ-NP-Za-km-z]+$"), "base58").when(bare.rlike("^[A-Za-z0-9_-]+$"), "base64url").otherwise("base64")
+    )
+    t = tokens.withColumn("encoding", encoding)
+    # what mixes both variants of base64 counts as the plain one
+    plain = F.when(F.col("encoding").isin("hex", "base36"), low).when(F.col("encoding") == "base64", F.translate(bare, "-_=", "+/")).otherwise(bare)
+    alphabet = F.lit(_ALPHABETS["base64"])
+    for name, chars in _ALPHABETS.items():
+        alphabet = F.when(F.col("encoding") == name, chars).otherwise(alphabet)
     t = t.withColumns({"plain": plain, "alphabet": alphabet}).withColumn("a", F.char_length("alphabet").cast("double"))
     t = t.withColumn("codes", F.expr("transform(split(plain, ''), c -> cast(instr(alphabet, c) - 1 AS double))"))
     t = t.withColumn("n", F.size("codes").cast("double"))
     squares = F.expr("aggregate(transform(split(alphabet, ''), c -> pow(cast(char_length(plain) - char_length(replace(plain, c, '')) AS double), 2)), 0D, (s, x) -> s + x)")
     chi = F.col("a") / F.col("n") * squares - F.col("n")
+    # equal pairs, against their number in a text-like token of this length
+    pairs, n, same = (squares - F.col("n")) / 2, F.col("n"), F.greatest(F.lit(TEXT_PAIRS), 2 / F.col("a"))
+    usual = n * (n - 1) / 2
+    wide = usual * (same - same * same) + n * (n - 1) * (n - 2) * (TEXT_TRIPLES - 1) * same * same
+    t = t.withColumn("text_p", _tail((usual * same - pairs) / F.sqrt(F.greatest(wide, F.lit(1e-9)))))
     t = t.withColumn("chi_z", (chi - (F.col("a") - 1)) / F.sqrt(2 * (F.col("a") - 1) * (F.col("n") - 1) / F.col("n")))
     middle = "(a - 1) / 2"
     runs = F.expr(f"1D + aggregate(zip_with(slice(codes, 2, size(codes) - 1), slice(codes, 1, size(codes) - 1), (x, y) -> CASE WHEN (x > {middle}) != (y > {middle}) THEN 1D ELSE 0D END), 0D, (s, x) -> s + x)")
@@ -96,16 +123,20 @@ def battery(tokens: DataFrame) -> DataFrame:
     up = F.greatest("chi_z", F.lit(0.0))
     q = (up * up + F.col("runs_z") * F.col("runs_z") + F.col("serial_z") * F.col("serial_z")) / 3
     z = (F.cbrt(q) - (1 - 2 / 27)) / F.sqrt(F.lit(2 / 27))
-    return t.withColumn("p", F.greatest(_tail(z), F.lit(1e-16))).drop("low", "plain", "alphabet", "codes", "runs", "above", "below", "mean", "lag", "variance")
+    return t.withColumn("p", F.greatest(_tail(z), F.lit(1e-16))).drop("plain", "alphabet", "codes", "runs", "above", "below", "mean", "lag", "variance")
 
 
-def _rejected_from(tested: DataFrame) -> float:
-    """The length-weighted p-value up to which randomness is rejected."""
-    each = tested.groupBy(F.least(F.floor(-F.log10("weighted") * 20), F.lit(BINS)).cast("int").alias("bin")).agg(F.count("*").alias("k"))
+def _found_from(tested: DataFrame) -> int:
+    """The bin from which tokens are discoveries.
+
+    All tokens of a bin count as its largest p-value, so the step errs on the side
+    of fewer discoveries.
+    """
+    each = tested.groupBy("bin").agg(F.count("*").alias("k"))
     # BINS + 1 rows at most
     down = W.orderBy(F.col("bin").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
     level = each.withColumns({"upto": F.sum("k").over(down), "all": F.sum("k").over(W.partitionBy())}).filter(F.pow(10.0, -F.col("bin") / 20) * F.col("all") <= RATE * F.col("upto")).agg(F.min("bin")).first()[0]
-    return 0.0 if level is None else 10.0 ** (-level / 20)
+    return BINS + 1 if level is None else level
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,16 +151,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = rows.select("doc_id", F.expr(_spans("text", ASSIGN, "assign", "char_length(x.v) >= 8")).alias("assign"), F.expr(_spans("text", ACCESS, "access", "char_length(x.v) >= 16")).alias("access"), F.expr(_spans("text", HEX, "hex")).alias("hex"), F.expr(_spans("text", TOKEN, "random", "x.v rlike '[0-9]' AND x.v rlike '[A-Za-z]'")).alias("tokens"))
     found = durable(found, "spans")
     tested = battery(found.select(F.explode("tokens.token").alias("token")).distinct())
-    power = 3 * F.sqrt(2 * (F.col("a") - 1)) / F.greatest(F.col("a") * TEXT_IC - 1, F.lit(0.5)) + 1
-    tested = tested.filter(F.col("n") >= F.least(power, F.lit(32.0)))
-    sums = tested.groupBy("encoding").agg(F.avg("n").alias("mean_n"))
-    tested = durable(tested.join(sums, "encoding").select("token", "encoding", "n", "p", F.least(F.lit(1.0), F.col("p") * F.col("mean_n") / F.col("n")).alias("weighted")), "tested")
-    looks = tested.filter(F.col("weighted") > _rejected_from(tested)).select("token")
+    sums = tested.groupBy("encoding").agg((F.sum("n") / F.count("*")).alias("mean_n"))
+    own = F.when(F.col("p") >= LEVEL, F.col("text_p")).otherwise(1.0)
+    weighted = F.least(F.lit(1.0), own * F.col("mean_n") / F.col("n"))
+    bin_ = F.least(F.floor(-F.log10(F.greatest(weighted, F.lit(1e-30))) * 20), F.lit(BINS)).cast("int")
+    tested = durable(tested.join(sums, "encoding").select("token", "encoding", "n", "p", bin_.alias("bin")), "tested")
+    looks = tested.filter(F.col("bin") >= _found_from(tested)).select("token")
     # documents meet the random tokens by the token, not by a set sent to all
     hits = found.select("doc_id", F.explode("tokens").alias("x"), F.xxhash64("tokens").alias("key")).join(looks, F.col("x.token") == looks["token"]).groupBy("doc_id", "key").agg(F.collect_set("x").alias("extra"))
     out = found.withColumn("key", F.xxhash64("tokens")).alias("f").join(hits.alias("h"), F.col("f.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("f.key") == F.col("h.key")), "left")
     write = "array_join(transform(sort_array({}), x -> concat(x.kind, ':', x.start, ':', x.stop)), ',')"
     base = "concat(assign, access, hex)"
     # random spans that a base span overlaps are the same secret
-    extra = f"filter(coalesce(extra, cast(array() AS array<struct<start:bigint,rank:int,kind:string,stop:bigint,token:string>>)), x -> NOT exists({base}, b -> b.start < x.stop AND x.start < b.stop))"
+    extra = f"filter(coalesce(extra, cast(array() AS {_SPANS})), x -> NOT exists({base}, b -> b.start < x.stop AND x.start < b.stop))"
     return out.select("f.doc_id", F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"), F.sha2(F.expr(write.format(base)), 256).alias("base_sha256"), F.expr(write.format(f"concat({base}, {extra})")).alias("spans"))
