@@ -4,11 +4,16 @@ Each detected value is replaced by the value of a keyed permutation over its
 own format: digits go to digits, letters to letters of their case, script and
 vowel class, everything else stays.  So a surrogate has the type and shape of
 what it replaces (a card keeps its check digit valid, an address stays in
-range, a name keeps its title, its ending and with them its gender), the same
-value gets the same surrogate everywhere, and different values of one shape
-never share one.  No value is its own surrogate: the permutation of each shape
-is a keyed shift without fixed points, hidden by a keyed change of places before
-it and its inverse after it.  A check over all distinct values confirms this.
+range), the same value gets the same surrogate everywhere, and different values
+of one shape never share one.  A name is replaced part by part: a usual first or
+last name by another one of its list, so of its gender; any other keeps its
+ending, and never becomes a listed one.  Where a name stands after a title, its
+other mentions in the text, whole or in part, are replaced alike.
+
+No value is its own surrogate: the permutation of each shape is a keyed shift
+without fixed points, hidden by a keyed change of places before it and its
+inverse after it.  A check over all distinct values confirms this.  The key is
+the caller's: who has it can turn surrogates back.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,22 +31,41 @@ from pyspark.sql import functions as F
 
 from .storage import durable
 
-KEY = b"engram surrogate key"
 ROUNDS = 8
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
 _NUMBER = re.compile(rf"(?<![\w.+-])(?:(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d))(?![\d]|\.\d)|(?P<ssn>\d{{3}}-\d{{2}}-\d{{4}})(?!\d)|(?P<card>\d{{4}}[ -]?\d{{4}}[ -]?\d{{4}}[ -]?\d{{1,7}}|\d{{13,19}})(?!\d)|(?P<phone>{_PHONE})(?!\d))|(?P<phone2>(?<!\d){_PHONE})(?!\d)")
 _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
-# Titles before a person's name.
+# Titles before a person's name, by script, and after it.
 TITLES = "Mr Mrs Ms Miss Dr Herr Frau Monsieur Madame Mademoiselle Señor Señora Señorita Sr Sra Mme Mlle".split()
-_NAME = re.compile(r"\b(?:" + "|".join(TITLES) + r")\.? ([A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:[ -][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)*)")
-_TITLE = re.compile("|".join(TITLES))
+CYRILLIC_TITLES = "господин госпожа г-н г-жа Господин Госпожа Г-н Г-жа".split()
+GREEK_TITLES = "κύριος κυρία Κύριος Κυρία".split()
+ARABIC_TITLES = "السيدة السيد الدكتورة الدكتور".split()
+CHINESE_TITLES = "先生 女士 小姐 太太".split()
+JAPANESE_TITLES = "さん 様".split()
+CHINESE_SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡林郭何高罗郑梁谢宋唐许邓冯韩曹曾彭萧蔡潘田董袁于余叶蒋杜苏魏程吕丁沈任姚卢傅钟姜崔谭廖范汪陆金石戴贾韦夏邱方侯邹熊孟秦白江阎薛尹段雷黎史龙陶贺顾毛郝龚邵万钱严武孔"
+# Usual names, by gender.
+FEMALE = "Alice Amelia Andrea Anna Anne Barbara Beatriz Camille Carla Carmen Carolina Caroline Charlotte Claire Claudia Cristina Diana Dolores Elena Elizabeth Emily Emma Eva Florence Francesca Gabriela Helena Ines Irene Isabel Jane Jennifer Jessica Julia Karen Katharina Laura Lisa Lucia Luisa Margaret Maria Marie Marta Mary Monica Nadine Natalia Olga Patricia Paula Petra Rachel Rosa Sabine Sandra Sara Sarah Silvia Sofia Sophie Susan Teresa Ursula Valentina Veronica Victoria".split()
+MALE = "Adam Albert Alexander Andreas Andrew Anthony Antonio Arthur Benjamin Bernard Carlos Charles Christian Daniel David Diego Edward Enrique Ernesto Fernando Francisco Frank Frederick George Gerard Hans Henry Hugo Ignacio James Javier Jean John Jorge Jose Joseph Juan Julian Karl Klaus Laurent Louis Lucas Luis Manuel Marco Mark Martin Matthew Maurice Michael Michel Miguel Oliver Oscar Pablo Patrick Paul Pedro Peter Philip Pierre Rafael Raymond Richard Robert Roberto Samuel Sebastian Stefan Stephen Thomas Victor Vincent Walter William Wolfgang".split()
+SURNAMES = "Adams Allen Alvarez Anderson Bailey Baker Bauer Becker Bennett Bernard Bonnet Brown Campbell Carter Castillo Castro Clark Collins Cooper Cruz Davis Delgado Diaz Dubois Durand Edwards Evans Fernandez Fischer Flores Garcia Girard Gomez Gonzalez Green Gutierrez Hall Harris Hernandez Hill Hoffmann Hughes Jackson Jimenez Johnson Jones Keller King Klein Koch Lambert Lefebvre Leroy Lewis Lopez Martinez Meyer Miller Mitchell Moore Morales Moreau Morgan Morris Mueller Murphy Navarro Nelson Ortega Parker Perez Phillips Ramirez Ramos Richter Rivera Roberts Robinson Rodriguez Romero Roussel Ruiz Sanchez Schmidt Schneider Schulz Scott Silva Smith Suarez Taylor Thompson Torres Turner Vargas Vazquez Wagner Walker Watson Weber White Wilson Wood Wright Young Zimmermann".split()
+
+_LATIN = "[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+"
+_NAMES = [re.compile(rf"\b(?:{'|'.join(titles)})\.? ({part}(?:[ -]{part})*)") for titles, part in ((TITLES, _LATIN), (CYRILLIC_TITLES, "[А-ЯЁ][а-яё]+"), (GREEK_TITLES, "[Α-ΡΣ-ΫΆΈΉΊΌΎΏ][α-ωάέήίόύώϊϋΐΰ]+"))]
+_NAMES.append(re.compile(rf"(?<!\w)(?:{'|'.join(ARABIC_TITLES)}) ([\u0621-\u063A\u0641-\u064A]+(?: [\u0621-\u063A\u0641-\u064A]+)?)"))
+_NAMES.append(re.compile(rf"([{CHINESE_SURNAMES}][\u4E00-\u9FFF]{{1,2}}?)(?={'|'.join(CHINESE_TITLES)})"))
+_NAMES.append(re.compile(rf"([\u4E00-\u9FFF]{{2,4}})(?={'|'.join(JAPANESE_TITLES)})"))
+_TITLE = re.compile("|".join(TITLES + CYRILLIC_TITLES + GREEK_TITLES + ARABIC_TITLES + CHINESE_TITLES + JAPANESE_TITLES))
+_CALLED = re.compile(r"(?i:\b(?:phone|tel|telephone|call|mobile|cell|fax|text)\b)[:.#]?\s*(?:(?:me|us|is|at|on|number)\s+){0,3}([2-9]\d{2}[2-9]\d{6})(?!\d)")
 
 _CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "àáâãäåæèéêëìíîïòóôõöøùúûüýÿ", "ñçßðþ", "ÀÁÂÃÄÅÆÈÉÊËÌÍÎÏÒÓÔÕÖØÙÚÛÜÝ", "ÑÇÐÞ"]
+_CLASSES += ["аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕЁИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώϊϋΐΰ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ", "ΆΈΉΊΌΎΏ"]
+_CLASSES += ["ابتثجحخدذرزسشصضطظعغفقكلمنهوي", CHINESE_SURNAMES, "".join(chr(c) for c in range(0x4E00, 0xA000) if chr(c) not in CHINESE_SURNAMES)]
 # the digits of each other script: the detectors take them as well
 _CLASSES += ["".join(chr(c + k) for k in range(10)) for c in range(128, sys.maxunicode + 1) if unicodedata.decimal(chr(c), None) == 0]
 _CLASS = {c: k for k, chars in enumerate(_CLASSES) for c in chars}
+_PLACE = {c: k for chars in _CLASSES for k, c in enumerate(chars)}
+_LISTS = {name: kind for kind, names in (("surname", SURNAMES), ("male", MALE), ("female", FEMALE)) for name in names}
 
 
 def _stream(seed: bytes, n: int, key: bytes) -> list[int]:
@@ -80,7 +105,7 @@ def _shape(text: str, key: bytes, kind: str, fixed: int = 0, ending: int = 0) ->
     classes = [_CLASS[text[k]] for k in at]
     # the shape takes part in the key, so that no two shapes move alike
     shape = hashlib.blake2b(repr((kind, classes)).encode(), key=key, digest_size=32).digest()
-    new = _permute([_CLASSES[c].index(text[k]) for k, c in zip(at, classes)], [len(_CLASSES[c]) for c in classes], shape)
+    new = _permute([_PLACE[text[k]] for k in at], [len(_CLASSES[c]) for c in classes], shape)
     out = list(text)
     for k, c, v in zip(at, classes, new):
         out[k] = _CLASSES[c][v]
@@ -98,6 +123,27 @@ def _address(value: str, key: bytes) -> str:
     return "".join(x if not moves else str(next(new)) if x.isascii() else _CLASSES[_CLASS[x]][next(new)] for x, moves in tokens)
 
 
+@lru_cache(maxsize=4)
+def _listed(key: bytes) -> dict[str, str]:
+    """Each listed name's surrogate: the next one of its list, in keyed order."""
+    out = {}
+    for kind in sorted(set(_LISTS.values())):
+        names = sorted((n for n, k in _LISTS.items() if k == kind), key=lambda n: hashlib.blake2b(n.encode(), key=key).digest())
+        out |= dict(zip(names, names[1:] + names[:1]))
+    return out
+
+
+def _name_part(part: str, key: bytes) -> str:
+    known = _listed(key).get(part)
+    if known:
+        return known
+    # the last letter tells gender in many languages; walk on past listed names
+    new = _shape(part, key, "name", ending=1)
+    while new in _LISTS:
+        new = _shape(new, key, "name", ending=1)
+    return new
+
+
 def _check_digit(digits: str) -> int:
     """The digit that makes digits + it pass the mod-10 card check."""
     total = sum(sum(divmod(2 * int(d), 10)) if k % 2 == 0 else int(d) for k, d in enumerate(reversed(digits)))
@@ -126,11 +172,22 @@ def surrogate(kind: str, value: str, key: bytes) -> str:
         low = value.lower()
         new = _shape(low, key, kind, ending=len(low) - low.rindex("."))
         return "".join(b.upper() if a.isupper() else b for a, b in zip(value, new))
-    if kind == "name":  # the last letter of each part tells gender in many languages
-        return re.sub(r"[^\W\d_]+", lambda m: _shape(m[0], key, kind, ending=1), value)
+    if kind == "name":
+        return re.sub(r"[^\W\d_]+", lambda m: _name_part(m[0], key), value)
     return _shape(value, key, kind, fixed=2 if kind == "iban" else 0)
 
 
+def _mentions(text: str, names: set[str]) -> list[tuple[int, int, str]]:
+    """Where names stand again, whole or by a part of three letters or more."""
+    parts = {p for n in names for p in re.split("[ -]", n) if len(p) >= 3}
+    wanted = sorted(names | parts, key=len, reverse=True)
+    # Chinese and Japanese names stand between other letters
+    free = [n for n in wanted if "\u4e00" <= n[0] <= "\u9fff"]
+    bound = [n for n in wanted if n not in free]
+    forms = [re.escape(n) for n in free] + ([rf"(?<!\w)(?:{'|'.join(map(re.escape, bound))})(?!\w)"] if bound else [])
+    return [(m.start(), m.end(), "name") for m in re.finditer("|".join(forms), text)]
+
+
 def detect(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of personal data, by start, without overlaps."""
     found = []
@@ -139,10 +196,13 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     for m in _NUMBER.finditer(text):
         found.append((m.start(), m.end(), m.lastgroup.rstrip("2")))
     found += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text)]
+    found += [(*m.span(1), "phone") for m in _CALLED.finditer(text)]
     if _TITLE.search(text):
-        found += [(*m.span(1), "name") for m in _NAME.finditer(text)]
+        titled = [m for form in (_NAMES[:1] if text.isascii() else _NAMES) for m in form.finditer(text)]
+        if titled:
+            found += [(*m.span(1), "name") for m in titled] + _mentions(text, {m[1] for m in titled})
     out: list[tuple[int, int, str]] = []
-    for x in sorted(found, key=lambda x: (x[0], -x[1])):
+    for x in sorted(set(found), key=lambda x: (x[0], -x[1], x[2])):
         if not out or x[0] >= out[-1][1]:
             out.append(x)
     return out
@@ -176,16 +236,21 @@ def collisions(pairs: DataFrame) -> int:
     return bad.filter("k > 1 OR same = 1").count()
 
 
-def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY) -> DataFrame:
+def replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, text, n_entities, kinds, spans.
 
     ``text`` has every detected value replaced; ``spans`` are kind:start:end in
-    code points of the original text.  A null text counts as empty.  Rows may
-    repeat and get equal results.
+    code points of the original text.  ``key`` is a secret of 16 bytes or more;
+    the same key gives the same surrogates.  A null text counts as empty: an
+    empty text, no entities, '' as kinds and spans.  Rows may repeat and get
+    equal results; an empty table gives an empty result; other columns are
+    ignored, whatever their names.
     """
+    if len(key) < 16:
+        raise ValueError("a key has 16 bytes at least")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    own = hashlib.blake2b(bytes(4), key=key, digest_size=32).digest()
+    own = hashlib.blake2b(key, digest_size=32).digest()
     out = durable(rows.mapInArrow(_rewrite(own), f"doc_id {kind}, text string, n_entities long, kinds string, spans string, pairs array<struct<kind:string,value:string,new:string>>"), "surrogates")
     if collisions(out.select(F.explode("pairs").alias("p")).select("p.*")):  # only an error of surrogate() gets here
         raise ValueError("surrogates collide")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,7 +65,9 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace(_docs(spark, sf_dir, "doc_id", "text"))
+    """The key is the session's ``spark.engram.pii.key``; without one each run has its own."""
+    key = (spark.conf.get("spark.engram.pii.key", None) or secrets.token_hex(32)).encode()
+    return replace(_docs(spark, sf_dir, "doc_id", "text"), key)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
