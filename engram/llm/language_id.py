@@ -22,6 +22,8 @@ BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 #: Languages that one model can hold; bounds the broadcast matrix (4 bytes a cell).
 MOST_LANGUAGES = 500
+#: Languages that a worker counts at a time, and what is added to each count.
+HELD, SMOOTH = 64, 0.1
 #: Characters scored at a time.
 SLICE = 1 << 18
 
@@ -56,37 +58,50 @@ def _held_out(doc_id: str) -> str:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, bucket, count) of a partition."""
+    """(lang, bucket, count) of a partition; a worker holds HELD languages at a time."""
     by: dict[str, np.ndarray] = {}
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for lang, own in by.items():
+            k = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), type=pa.string()), pa.array(k.astype(np.int32)), pa.array(own[k])], names=["lang", "bucket", "c"])
+
     for batch in batches:
         for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
+            if lang not in by and len(by) >= HELD:
+                yield from rows()
+                by.clear()
             own = by.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
             for g in grams(text.as_py()):
-                own += np.bincount(g, minlength=BUCKETS) if len(g) > BUCKETS // 8 else 0
-                if len(g) <= BUCKETS // 8:
+                if len(g) > BUCKETS // 8:
+                    own += np.bincount(g, minlength=BUCKETS)
+                else:
                     np.add.at(own, g, 1)
-    for lang, own in by.items():
-        k = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k.astype(np.int32)), pa.array(own[k])], names=["lang", "bucket", "c"])
+    yield from rows()
+
+
+def _logs(table: pa.Table) -> pa.Table:
+    """A language's row of the matrix, from its counts (at most BUCKETS rows)."""
+    own = np.zeros(BUCKETS)
+    own[table.column("bucket").to_numpy()] = table.column("c").to_numpy()
+    logs = np.log(own + SMOOTH) - np.log(own.sum() + SMOOTH * BUCKETS)
+    return pa.table({"lang": table.column("lang")[:1], "logs": pa.array([logs.astype(np.float32).tobytes()], type=pa.binary())})
 
 
 def train(rows: DataFrame, most: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """Languages in order and the matrix [bucket, language] of log probabilities.
 
-    ``rows``: text, lang.  Training reads every row; the matrix has BUCKETS
-    rows, whatever the corpus.  More than ``most`` languages raise an error.
+    ``rows``: text, lang.  Training reads every row; a language is one row of
+    BUCKETS numbers, whatever the corpus.  More than ``most`` languages raise an
+    error before anything is counted: the labels are then no languages.
     """
+    found = rows.select("lang").distinct().limit(most + 1).count()
+    if found > most:
+        raise ValueError(f"more than {most} languages, which the model holds")
     sums = rows.mapInArrow(_counts, "lang string, bucket int, c long").groupBy("lang", "bucket").agg(F.sum("c").alias("c"))
-    table = sums.toArrow()
-    langs = sorted(set(table.column("lang").to_pylist()))
-    if len(langs) > most:
-        raise ValueError(f"{len(langs)} languages; the model holds {most}")
-    counts = np.zeros((BUCKETS, len(langs)), dtype=np.float64)
-    at = {x: k for k, x in enumerate(langs)}
-    counts[table.column("bucket").to_numpy(), [at[x] for x in table.column("lang").to_pylist()]] = table.column("c").to_numpy()
-    smooth = 0.1
-    logs = np.log(counts + smooth) - np.log(counts.sum(axis=0) + smooth * BUCKETS)
-    return langs, logs.astype(np.float32)
+    table = sums.groupBy("lang").applyInArrow(_logs, "lang string, logs binary").orderBy("lang").toArrow()
+    logs = [np.frombuffer(x.as_buffer(), dtype=np.float32) for x in table.column("logs")]
+    return table.column("lang").to_pylist(), np.stack(logs, axis=1) if logs else np.zeros((BUCKETS, 0), dtype=np.float32)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -95,7 +110,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Learns from rows with text and lang whose crc32(doc_id) mod 4 is not 2, with
     the same prior for each language.  The score is the posterior of the
     average n-gram evidence, so it doesn't saturate with length.  ``und`` (score
-    0) when the text is null or has no letter, or nothing could be learned.
+    0) when the text is null or has no letter, or nothing could be learned.  Of
+    languages that score alike the first in code-point order is predicted.  Rows
+    may repeat: each is counted in training and answered; other columns are
+    ignored.  A null id is learned from.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = rows.filter(f"text IS NOT NULL AND lang IS NOT NULL AND NOT coalesce({_held_out('doc_id')}, false)")
