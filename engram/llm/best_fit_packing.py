@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .storage import durable
 
 CAPACITY = 4096
-#: Parts into which the pieces of one length are ranked.
-SPREAD = 64
+#: Pieces of one length that are ranked together, about, and the least number of parts.
+PART_ROWS, LEAST_PARTS = 1 << 18, 64
 END_ID = 1
 
 _TOKENS: dict[str, object] = {}
@@ -120,32 +120,34 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is its end id alone.  Rows that repeat a document are
-    packed each.  An empty table gives an empty result.
+    packed each.  An empty table gives an empty result; other columns are ignored,
+    whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = durable(rows.mapInArrow(_pieces(tokenizer_path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SPREAD)).cast("int")
-    pieces = pieces.withColumn("b", part)
-    # at most capacity * SPREAD rows: the table of lengths, in parts
-    table = pieces.groupBy("length", "b").agg(F.count("*").alias("k")).toArrow().to_pandas().sort_values(["length", "b"])
-    table["ahead"] = table.groupby("length")["k"].cumsum() - table["k"]
-    places, _ = plan({int(k): int(v) for k, v in table.groupby("length")["k"].sum().items()}, capacity)
-    ahead = np.zeros((capacity + 1, SPREAD), dtype=np.int64)
-    ahead[table["length"].to_numpy(dtype=int), table["b"].to_numpy(dtype=int)] = table["ahead"].to_numpy()
+    spread = max(LEAST_PARTS, pieces.count() // PART_ROWS)
+    pieces = pieces.withColumn("b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(spread)).cast("int"))
+    parts = pieces.groupBy("length", "b").agg(F.count("*").alias("k"))
+    before = W.partitionBy("length").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    ahead = parts.select("length", "b", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("ahead"))
+    # the table of lengths: at most ``capacity`` rows
+    table = parts.groupBy("length").agg(F.sum("k").alias("k")).toArrow()
+    places, _ = plan(dict(zip(table.column("length").to_pylist(), table.column("k").to_pylist())), capacity)
     # bounded by the number of lengths: at most a few entries for each
-    shared = docs.sparkSession.sparkContext.broadcast((ahead, np.array(places, dtype=np.int64).reshape(-1, 5)))
+    shared = docs.sparkSession.sparkContext.broadcast(np.array(places, dtype=np.int64).reshape(-1, 5))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, at = shared.value
+        at = shared.value
         keys = at[:, 0] << np.int64(44) | at[:, 1]
         for batch in batches:
             length = batch.column("length").to_numpy()
-            rank = before[length, batch.column("b").to_numpy()] + batch.column("r").to_numpy() - 1
+            rank = batch.column("rank").to_numpy()
             own = at[np.searchsorted(keys, length << np.int64(44) | rank, side="right") - 1]
             nth = rank - own[:, 1]
             sequence, offset = own[:, 3] + nth // own[:, 2], own[:, 4] + nth % own[:, 2] * length
             kept = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = pieces.withColumn("r", F.row_number().over(W.partitionBy("length", "b").orderBy("doc_id", "piece", "ids_crc32")).cast("long"))
+    own = F.row_number().over(W.partitionBy("length", "b").orderBy("doc_id", "piece", "ids_crc32"))
+    ranked = pieces.withColumn("r", own).join(ahead, ["length", "b"]).withColumn("rank", F.col("ahead") + F.col("r") - 1).drop("r", "ahead", "b")
     return ranked.mapInArrow(settle, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
