@@ -28,7 +28,7 @@ class Rule(NamedTuple):
 
 #: The threshold table.  Metrics are SQL over the columns that ``measure`` adds.
 RULES = (
-    Rule("length", "n_words", 50, 10_000_000),
+    Rule("length", "n_words", 50, None),
     Rule("repeated_words", "n_repeat_words / n_words", None, 0.5),
     Rule("word_length", "word_chars / n_words", 2.0, 12.0),
     Rule("symbols", "n_symbols / n_words", None, 0.2),
@@ -37,6 +37,9 @@ RULES = (
     Rule("repeated_lines", "n_dup_lines / n_lines", None, 0.4),
 )
 
+#: The columns that ``quality_rules`` adds.
+MEASURED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed", "kept")
+
 
 def measure(text: Column) -> dict[str, Column]:
     """Arrays of a text in two steps; see ``quality_rules``."""
@@ -50,10 +53,13 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ..
     base_failed, kept and ``failed`` (names of the broken rules) added.
 
     A null or empty text has zero everywhere and is not kept.  Columns of the
-    input with one of these names are replaced.  A window of three words is
-    known by a 64-bit hash of the three; texts of any length are read whole.
+    input with one of these names are replaced; all others stay, whatever their
+    names.  Rows may repeat.  A window of three words is known by a 64-bit hash of
+    the three; texts of any length are read whole.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    names = docs.columns
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
+    text = F.col("__text")
     stop = "(?i)(?:^|[" + SPACE + "])(?:" + "|".join(STOP_WORDS) + ")(?=[" + SPACE + "]|$)"
     parts = measure(text)
     a = docs.withColumns({
@@ -87,7 +93,9 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ..
             bad = bad | (value > r.high)
         broken.append(F.when(bad, F.lit(r.name)))
     a = a.withColumn("failed", F.concat_ws(",", *broken))
-    return a.withColumn("kept", ~F.col("base_failed") & (F.col("failed") == "")).drop("n_lines", "n_shouts", "n_stop_words")
+    a = a.withColumn("kept", ~F.col("base_failed") & (F.col("failed") == ""))
+    own = [c for c in names if c not in MEASURED]
+    return a.select(*[F.col("__doc")[c].alias(c) for c in own], *MEASURED)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
