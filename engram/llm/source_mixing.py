@@ -5,10 +5,10 @@ entropy to one copy each, under the constraint that its source's expected
 tokens equal a target.  The solution tilts the rate exponentially in document
 size: rate = 3 / (1 + 2 exp(-lambda * size / mean)), one lambda a source, which
 is 1 at lambda = 0 and never above 3.  The convex dual is solved by safeguarded
-Newton steps; each step is one aggregation over (source, size) cells.  Rates
-are rounded to whole copies by systematic rounding along the sizes, so the sum
-of a source stays within about one document of its target, and a few single
-flips close the rest.
+Newton steps, first over bins of sizes, then over all (source, size) cells, each
+step one aggregation.  Rates are rounded to whole copies by systematic rounding
+along the sizes, so the sum of a source stays within about one document of its
+target, and a few copies of one size close the rest.
 
 Everything is a DataFrame expression.  Documents are pre-aggregated to cells
 before any step, so a source with a third of all rows is a few thousand cells.
@@ -20,16 +20,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import durable
+from .storage import durable, release
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
-#: Newton rounds; each is one job over the cells.
-ROUNDS = 12
-#: Steps in one job.
-STEPS = 3
-#: Parts into which the documents of one cell are ranked.
-SPREAD = 64
+#: Newton rounds over all cells, each one job, and steps of the start over bins.
+ROUNDS, STEPS = 12, 24
+#: Sizes up to this one are bins of their own; beyond it there are 64 in each octave.
+EXACT_SIZES = 1024
+#: Documents of one cell that are ranked together, about, and the least number of parts.
+PART_ROWS, LEAST_PARTS = 1 << 18, 64
 
 
 def size_of(text: Column) -> Column:
@@ -65,32 +65,57 @@ def _rate(lam: Column, x: Column, most: int) -> Column:
     return most / (1 + (most - 1) * F.exp(z))
 
 
+def _moved(got: Column, slope: Column) -> tuple[Column, Column, Column]:
+    """lam, lo and hi after a safeguarded Newton step from columns of these names."""
+    lam, lo, hi, target = (F.col(c) for c in ("lam", "lo", "hi", "target"))
+    low = got < target
+    lo2, hi2 = F.when(low, lam).otherwise(lo), F.when(low, hi).otherwise(lam)
+    newton = F.when(slope > 0, lam + (target - got) / slope)
+    # while one side is open, bisection would be far off: double instead
+    wide = F.when(low, F.greatest(lo2 * 2, F.lit(1.0))).otherwise(F.least(hi2 * 2, F.lit(-1.0)))
+    safe = F.when((hi2 - lo2) > 5e3, wide).otherwise((lo2 + hi2) / 2)
+    inside = (newton > lo2) & (newton < hi2) & (F.abs(newton - lam) < 8)
+    return F.coalesce(F.when(inside, newton), safe), lo2, hi2
+
+
+def _start(cells: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+    """The dual solved over bins of sizes, a few thousand a source at most."""
+    octave = F.floor(F.log2(F.col("size").cast("double")) * 64) + EXACT_SIZES
+    bins = cells.groupBy("sid", F.when(F.col("size") <= EXACT_SIZES, F.col("size")).otherwise(octave).alias("bin")).agg(F.sum(F.col("n") * F.col("size")).cast("double").alias("w"), F.sum("n").alias("k"))
+    held = bins.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("bin", "w", "k"))).alias("bins"), F.sum("w").alias("all_w"), F.sum("k").alias("all_k"))
+    held = held.join(sources.filter("source_size > 0").select("sid", "target", "source_size"), "sid").withColumn("bins", F.expr("transform(bins, b -> named_struct('w', b.w, 'x', b.w / b.k / (all_w / all_k)))"))
+    full = F.col("target") >= F.col("source_size") * most * (1 - 1e-12)
+    rated = f"transform(bins, b -> named_struct('w', b.w, 'x', b.x, 'r', {most} / (1 + {most - 1} * exp(greatest(least(-s.lam * b.x, 500D), -500D)))))"
+    sums = f"aggregate({rated}, named_struct('got', 0D, 'slope', 0D), (a, b) -> named_struct('got', a.got + b.w * b.r, 'slope', a.slope + b.w * b.x * b.r * (1 - b.r / {most})))"
+    low, state = "g.got < target", "named_struct('lam', {}, 'lo', {}, 'hi', {})"
+    lo, hi = f"IF({low}, s.lam, s.lo)", f"IF({low}, s.hi, s.lam)"
+    newton = "s.lam + (target - g.got) / g.slope"
+    safe = f"IF({hi} - ({lo}) > 5e3, IF({low}, greatest(({lo}) * 2, 1D), least(({hi}) * 2, -1D)), (({lo}) + ({hi})) / 2)"
+    fits = f"g.slope > 0 AND {newton} > {lo} AND {newton} < {hi} AND abs({newton} - s.lam) < 8"
+    # a step sees the sums of its own state: they are made as the one element of an array
+    step = f"transform(array({sums}), g -> {state.format(f'IF({fits}, {newton}, {safe})', lo, hi)})[0]"
+    solved = F.expr(f"aggregate(sequence(1, {STEPS}), {state.format('0D', '-1e4', '1e4')}, (s, k) -> {step}, s -> s.lam)")
+    return held.select("sid", "target", full.alias("full"), F.when(full, 0.0).otherwise(solved).alias("lam"), F.lit(-1e4).alias("lo"), F.lit(1e4).alias("hi"))
+
+
 def _solve(cells: DataFrame, sources: DataFrame, most: int) -> DataFrame:
-    """lambda of each source: safeguarded Newton on the dual's gradient."""
-    state = durable(
-        sources.filter("source_size > 0").select("sid", "target", (F.col("target") >= F.col("source_size") * most * (1 - 1e-12)).alias("full"), F.lit(0.0).alias("lam"), F.lit(-1e4).alias("lo"), F.lit(1e4).alias("hi"), F.lit(1.0).alias("miss")),
-        "dual",
-    )
+    """lambda of each source: safeguarded Newton on the dual's gradient.
+
+    The start is close, so one or two rounds over all cells are the rule.  Sums
+    are of decimals, so that they don't depend on the order of a shuffle.
+    """
+    state = durable(_start(cells, sources, most), "dual")
     for _ in range(ROUNDS):
-        for _ in range(STEPS):
-            r = _rate(F.col("lam"), F.col("x"), most)
-            size = F.col("n") * F.col("size")
-            step = cells.join(state.filter("NOT full"), "sid").groupBy("sid").agg(
-                F.first("target").alias("target"), F.first("lam").alias("lam"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
-                F.sum(size * r).alias("got"), F.sum(size * F.col("x") * r * (1 - r / most)).alias("slope"),
-            )
-            low = F.col("got") < F.col("target")
-            step = step.withColumns({"lo2": F.when(low, F.col("lam")).otherwise(F.col("lo")), "hi2": F.when(low, F.col("hi")).otherwise(F.col("lam"))})
-            newton = F.when(F.col("slope") > 0, F.col("lam") + (F.col("target") - F.col("got")) / F.col("slope"))
-            inside = (newton > F.col("lo2")) & (newton < F.col("hi2"))
-            # while one side is open, bisection would be far off: double instead
-            wide = F.when(low, F.greatest(F.col("lo2") * 2, F.lit(1.0))).otherwise(F.least(F.col("hi2") * 2, F.lit(-1.0)))
-            safe = F.when((F.col("hi2") - F.col("lo2")) > 5e3, wide).otherwise((F.col("lo2") + F.col("hi2")) / 2)
-            near = F.abs(F.col("got") / F.col("target") - 1)
-            moved = F.when(near < 1e-12, F.col("lam")).otherwise(F.coalesce(F.when(inside & (F.abs(newton - F.col("lam")) < 8), newton), safe))
-            fresh = step.select("sid", "target", F.lit(False).alias("full"), moved.alias("lam"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), near.alias("miss"))
-            state = fresh.unionByName(state.filter("full"))
-        state = durable(state, "dual")
+        r = _rate(F.col("lam"), F.col("x"), most)
+        size = F.col("n") * F.col("size")
+        exact = lambda c: F.sum(c.cast("decimal(28,6)")).cast("double")
+        sums = cells.join(state.filter("NOT full"), "sid").groupBy("sid").agg(exact(size * r).alias("got"), exact(size * F.col("x") * r * (1 - r / most)).alias("slope"))
+        step = state.join(sums, "sid", "left").withColumn("miss", F.abs(F.col("got") / F.col("target") - 1))
+        lam, lo, hi = _moved(F.col("got"), F.col("slope"))
+        done = F.col("full") | (F.col("miss") < 1e-9)
+        fresh = step.select("sid", "target", "full", *[F.when(done, F.col(c)).otherwise(new).alias(c) for c, new in (("lam", lam), ("lo", lo), ("hi", hi))], "miss")
+        before, state = state, durable(fresh, "dual")
+        release(before)
         worst = state.filter("NOT full").agg(F.max("miss")).first()[0]
         if worst is None or worst < 1e-9:
             break
@@ -110,46 +135,68 @@ def copies(sized: DataFrame, sources: DataFrame, most: int = MOST) -> DataFrame:
     dealt = rated.withColumn("upto", total).withColumn("c", F.col("upto") - F.coalesce(F.lag("upto").over(W.partitionBy("sid").orderBy("size")), F.lit(0)))
     dealt = dealt.select("sid", "size", "n", F.greatest(F.least("c", F.col("n") * most), F.lit(0)).cast("long").alias("c"))
     dealt = durable(dealt, "dealt")
-    for _ in range(4):  # a single copy more or less where it brings the source nearer
-        gap = dealt.groupBy("sid").agg(F.sum(F.col("c") * F.col("size")).alias("got")).join(sources.select("sid", "target"), "sid").select("sid", (F.col("target") - F.col("got")).alias("gap"))
-        after = F.abs(F.abs(F.col("gap")) - F.col("size"))
-        fits = F.when(F.col("gap") > 0, F.col("c") < F.col("n") * most).otherwise(F.col("c") > 0) & (after < F.abs(F.col("gap")))
-        best = dealt.join(gap, "sid").filter(fits).groupBy("sid").agg(F.min(F.struct(after.alias("after"), "size", F.signum("gap").cast("long").alias("d"))).alias("b"))
-        best = best.select("sid", F.col("b.size").alias("size"), F.col("b.d").alias("d"))
-        dealt = durable(dealt.join(best, ["sid", "size"], "left").select("sid", "size", "n", (F.col("c") + F.coalesce("d", F.lit(0))).alias("c")), "dealt")
+    for _ in range(3):  # a few copies more or less of the size that brings the source nearest
+        got = dealt.groupBy("sid").agg(F.sum(F.col("c") * F.col("size")).alias("got"))
+        gap = got.join(sources.select("sid", "target"), "sid").select("sid", (F.col("target") - F.col("got")).alias("gap"))
+        room = F.when(F.col("gap") > 0, F.col("n") * most - F.col("c")).otherwise(F.col("c"))
+        k = F.least(room, F.greatest(F.lit(1), F.round(F.abs("gap") / F.col("size")))).cast("long")
+        after = F.abs(F.abs(F.col("gap")) - k * F.col("size"))
+        fits = (k > 0) & (after < F.abs(F.col("gap")))
+        best = dealt.join(gap, "sid").filter(fits).groupBy("sid").agg(F.min(F.struct(F.round(after, 6).alias("after"), k.alias("k"), "size", F.signum("gap").cast("long").alias("d"))).alias("b"))
+        best = best.select("sid", F.col("b.size").alias("size"), (F.col("b.d") * F.col("b.k")).alias("d"))
+        before, dealt = dealt, durable(dealt.join(best, ["sid", "size"], "left").select("sid", "size", "n", (F.col("c") + F.coalesce("d", F.lit(0))).alias("c")), "dealt")
+        release(before)
+    release(cells)
     return dealt
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, copies, taken.
-
-    A null text has size 0 and takes nothing; a null source is a source of its
-    own, the last.  Documents of one cell (source and size) that get a copy
-    more are those first by a hash of the id, so reruns agree; rows that repeat
-    an id count one by one.  An empty table gives an empty result.
-    """
-    sized = durable(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")), "sized")
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], most: int) -> DataFrame:
+    """``mix`` with ``row``, a hash of a row's id, source and text."""
+    row = F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col))
+    sized = durable(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), row.alias("row")), "sized")
     sources = durable(source_targets(sized, weights, most), "sources")
     cells = copies(sized, sources, most)
-    rows = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("doc_id", "size", "sid", "source_size", "target")
-    rows = rows.withColumn("h", F.xxhash64("doc_id")).withColumn("b", F.pmod("h", F.lit(SPREAD)).cast("int"))
+    spread = max(LEAST_PARTS, sized.count() // PART_ROWS)
+    rows = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("doc_id", "row", "size", "sid", "source_size", "target")
+    rows = rows.withColumn("h", F.xxhash64("doc_id")).withColumn("b", F.pmod("h", F.lit(spread)).cast("int"))
     # the rank inside a cell: rows in earlier parts, and the place in the own part
     before = W.partitionBy("sid", "size").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
     parts = rows.groupBy("sid", "size", "b").agg(F.count("*").alias("k")).withColumn("ahead", F.coalesce(F.sum("k").over(before), F.lit(0))).drop("k")
     deal = parts.join(cells.select("sid", "size", "n", "c"), ["sid", "size"])
-    own = F.row_number().over(W.partitionBy("sid", "size", "b").orderBy("h", "doc_id"))
+    own = F.row_number().over(W.partitionBy("sid", "size", "b").orderBy("h", "doc_id", "row"))
     out = rows.withColumn("r", own).join(deal, ["sid", "size", "b"], "left")
     extra = (F.col("ahead") + F.col("r") <= F.col("c") % F.col("n")).cast("long")
     n = F.coalesce(F.floor(F.col("c") / F.col("n")) + extra, F.lit(0)).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", n.alias("copies"), (n * F.col("size")).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", n.alias("copies"), (n * F.col("size")).alias("taken"), "row")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, copies, taken.
+
+    A null text has size 0 and takes nothing; a null source is a source of its
+    own, the last.  Documents of one cell (source and size) that get a copy
+    more are those first by a hash of the id, so reruns agree; rows that repeat
+    an id count one by one.  An empty table gives an empty result; further
+    columns are ignored, whatever their names.  What is in one task grows with
+    the number of sources, or of different sizes in one source, only.
+    """
+    return _mixed(docs, id_col, text_col, source_col, weights, most).drop("row")
 
 
 def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with each row as often as the mix takes it, columns unchanged.
 
-    Rows that repeat an id all get the smallest number dealt to that id.
+    Rows with the same id, source and text share what was dealt to them, one
+    by one where that leaves a rest.  Null texts and texts without words go.
     """
     names = docs.columns
-    dealt = mix(docs, id_col, text_col, source_col).groupBy(F.col("doc_id").alias("__id")).agg(F.min("copies").cast("int").alias("__n"))
-    joined = docs.join(dealt, docs[id_col].eqNullSafe(dealt["__id"])).filter("__n > 0")
-    return joined.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[docs[c] for c in names])
+    dealt = _mixed(docs, id_col, text_col, source_col, WEIGHTS, MOST).groupBy("row").agg(F.sum("copies").alias("__all"), F.count("*").alias("__rows")).filter("__all > 0")
+    dealt = durable(dealt, "copies").withColumnRenamed("row", "__row")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc"), F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col)).alias("__row"))
+    joined = held.join(dealt, "__row")
+    alone = joined.filter("__rows = 1").select("__doc", F.col("__all").alias("__n"))
+    # repeated rows only are numbered
+    nth = F.row_number().over(W.partitionBy("__row").orderBy(F.xxhash64("__doc")))
+    several = joined.filter("__rows > 1").select("__doc", (F.floor(F.col("__all") / F.col("__rows")) + (nth <= F.col("__all") % F.col("__rows")).cast("long")).alias("__n"))
+    each = alone.unionByName(several).filter("__n > 0")
+    return each.select("__doc", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__k")).select("__doc.*")
