@@ -7,13 +7,15 @@
 3. Only rows under a marked fingerprint are suspects; their texts are shuffled
    and compared byte for byte.
 
-Copies inside one partition are sent once (with a bit that says so), so a hot
-text costs an owner one entry per partition, not one per row.
+Copies inside one partition are sent once (with a bit that says so), and a text
+that a batch holds several times is shuffled once, so a hot text costs a row per
+batch and not one per copy.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +25,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytesets import mix
+from .rows import row_hash, without
 from .storage import durable, release
 
-#: Fingerprints that one owner gets, about; bounds an owner's memory.
-OWNER_ROWS = 1 << 20
-#: Bits of the filter over marked fingerprints that is broadcast: 4 MB.
-FILTER_BITS = 1 << 25
-#: A partition's manifest is cut into blocks of so many rows.
+#: Fingerprints that one owner gets, about; bounds an owner's memory and keeps the
+#: messages of a block, one to each owner, few.
+OWNER_ROWS = 1 << 23
+#: A partition sends its fingerprints in blocks of so many rows.
 BLOCK_ROWS = 1 << 17
+#: The filter over marked fingerprints that is broadcast has 16 bits for each, as a
+#: power of two between these: 128 KB and 64 MB.  Where that is too small, more texts
+#: than the suspects are shuffled, never fewer.
+FILTER_BITS = (1 << 20, 1 << 29)
+#: Bits of the filter that one row holds on its way to the driver.
+CHUNK_BITS = 1 << 16
+
+
+#: Values, bits of the unary part, bits of a remainder.
+_HEAD = struct.Struct("<IIB")
 
 
 def rice_encode(values: np.ndarray) -> bytes:
@@ -42,13 +55,12 @@ def rice_encode(values: np.ndarray) -> bytes:
     unary = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
     unary[ends - 1] = 1
     bits = ((rest[:, None] >> np.arange(k, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-    head = np.array([len(values), len(unary), k], dtype="<u8").tobytes()
-    return head + np.packbits(unary).tobytes() + np.packbits(bits.ravel()).tobytes()
+    return _HEAD.pack(len(values), len(unary), k) + np.packbits(unary).tobytes() + np.packbits(bits.ravel()).tobytes()
 
 
 def rice_decode(data: bytes) -> np.ndarray:
-    n, n_unary, k = (int(x) for x in np.frombuffer(data, dtype="<u8", count=3))
-    raw = np.frombuffer(data, dtype=np.uint8, offset=24)
+    n, n_unary, k = _HEAD.unpack_from(data)
+    raw = np.frombuffer(data, dtype=np.uint8, offset=_HEAD.size)
     unary_bytes = (n_unary + 7) // 8
     ends = np.flatnonzero(np.unpackbits(raw[:unary_bytes], count=n_unary))
     quotient = np.diff(ends, prepend=-1) - 1
@@ -67,52 +79,151 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [(t or b"").lower() for t in column.cast(pa.binary()).to_pylist()]
 
 
-def _manifest(owners: int, shift: int):
-    """Rows (block, owner, ids, hashes, digests, code, repeated) of a partition."""
-    schema = pa.schema([("block", pa.string()), ("owner", pa.int32()), ("ids", pa.list_(pa.int64())), ("sha", pa.list_(pa.string())), ("prints", pa.list_(pa.int64())), ("code", pa.binary()), ("repeated", pa.binary())])
+def _messages(owners: int, shift: int):
+    """Rows (block, owner, code, repeated) of a partition."""
+    schema = pa.schema([("block", pa.string()), ("owner", pa.int32()), ("code", pa.binary()), ("repeated", pa.binary())])
+    # an owner has a range of the top 24 bits
+    starts = np.array([-(-o * (1 << 24) // owners) << 40 for o in range(owners)], dtype=np.uint64)
 
-    def flush(block: str, ids: list, prints: np.ndarray, sha: list) -> pa.RecordBatch:
-        ids, sha = np.array(ids, dtype=object), np.array(sha, dtype=object)
-        # a range of the top bits to each owner
-        owner = ((prints >> np.uint64(40)).astype(np.int64) * owners) >> 24
+    def flush(block: str, prints: list) -> pa.RecordBatch:
+        distinct, count = np.unique(np.array(prints, dtype=np.uint64), return_counts=True)
+        # sorted once: each owner's share is a slice
+        cuts = np.append(np.searchsorted(distinct, starts), len(distinct))
         rows = []
-        for o in np.unique(owner):
-            at = np.flatnonzero(owner == o)
-            distinct, count = np.unique(prints[at], return_counts=True)
-            low = np.uint64(-(-int(o) * (1 << 24) // owners) << 40)
-            code = rice_encode((distinct - low) >> np.uint64(shift))
-            rows.append((block, int(o), ids[at], sha[at], distinct.view(np.int64), code, np.packbits(count > 1).tobytes()))
+        for o in np.flatnonzero(np.diff(cuts)):
+            own = slice(cuts[o], cuts[o + 1])
+            rows.append((block, int(o), rice_encode((distinct[own] >> np.uint64(shift)) - (starts[o] >> np.uint64(shift))), np.packbits(count[own] > 1).tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
-        ids: list = []
         prints: list = []
-        sha: list = []
         for batch in batches:
-            for t in _texts(batch, "text"):
-                prints.append(_fingerprint(t))
-                sha.append(hashlib.sha256(t).hexdigest())
-            ids += batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            while len(ids) >= BLOCK_ROWS:
-                yield flush(f"{part}:{k}", ids[:BLOCK_ROWS], np.array(prints[:BLOCK_ROWS], dtype=np.uint64), sha[:BLOCK_ROWS])
-                ids, prints, sha, k = ids[BLOCK_ROWS:], prints[BLOCK_ROWS:], sha[BLOCK_ROWS:], k + 1
-        if ids:
-            yield flush(f"{part}:{k}", ids, np.array(prints, dtype=np.uint64), sha)
+            prints += [_fingerprint(t) for t in _texts(batch, "text")]
+            if len(prints) >= BLOCK_ROWS:
+                yield flush(f"{part}:{k}", prints)
+                prints, k = [], k + 1
+        if prints:
+            yield flush(f"{part}:{k}", prints)
 
     return run
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """An owner's work: decode, find what occurs twice, answer with bitmaps."""
+    """An owner's work: decode, find what occurs twice, answer with bitmaps.
+
+    Values within a message are distinct and rising, also once shifted together
+    where two fingerprints differ in dropped bits only: those count as one twice.
+    """
     sent = [rice_decode(c) for c in table.column("code").to_pylist()]
-    values, counts = np.unique(np.concatenate(sent), return_counts=True)
-    twice = values[counts > 1]
+    every = np.sort(np.concatenate(sent))
+    twice = np.unique(every[1:][every[1:] == every[:-1]])
     marks = []
-    for own, alone in zip(sent, table.column("repeated").to_pylist()):
-        repeated = np.unpackbits(np.frombuffer(alone, dtype=np.uint8), count=len(own)).astype(bool)
-        marks.append(np.isin(own, twice) | repeated)
-    return pa.table({"block": table.column("block"), "owner": table.column("owner"), "marks": pa.array(marks, type=pa.list_(pa.bool_()))})
+    for own, repeated in zip(sent, table.column("repeated").to_pylist()):
+        at = np.minimum(np.searchsorted(twice, own), max(len(twice) - 1, 0))
+        met = twice[at] == own if len(twice) else np.zeros(len(own), dtype=bool)
+        marks.append((np.packbits(met) | np.frombuffer(repeated, dtype=np.uint8)).tobytes())
+    return pa.table({"block": table.column("block"), "owner": table.column("owner"), "marks": pa.array(marks, type=pa.binary())})
+
+
+def _marked(owners: int, shift: int, size: int):
+    """The filter's set bits, as (chunk, bits), of what the bitmaps mark."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for owner, code, marks in zip(*(batch.column(n).to_pylist() for n in ("owner", "code", "marks"))):
+                own = rice_decode(code)
+                own = own[np.unpackbits(np.frombuffer(marks, dtype=np.uint8), count=len(own)).astype(bool)]
+                found.append(_filter_places(own + np.uint64((-(-owner * (1 << 24) // owners) << 40) >> shift), size))
+            yield _chunks(np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.int64))
+
+    return run
+
+
+def _filter_places(values: np.ndarray, size: int) -> np.ndarray:
+    return (mix(values, 31) & np.uint64(size - 1)).astype(np.int64)
+
+
+def _chunks(places: np.ndarray) -> pa.RecordBatch:
+    at, begin = np.unique(places // CHUNK_BITS, return_index=True)
+    bits = []
+    for own in np.split(places % CHUNK_BITS, begin[1:]) if len(at) else []:
+        flags = np.zeros(CHUNK_BITS, dtype=np.uint8)
+        flags[own] = 1
+        bits.append(np.packbits(flags).tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(at, type=pa.int64()), pa.array(bits, type=pa.binary())], names=["chunk", "bits"])
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """One chunk of the filter: everything that partitions set in it."""
+    bits = np.bitwise_or.reduce([np.frombuffer(b, dtype=np.uint8) for b in table.column("bits").to_pylist()])
+    return pa.table({"chunk": table.column("chunk")[:1], "bits": pa.array([bits.tobytes()], type=pa.binary())})
+
+
+def _filter(messages: DataFrame, owners: int, shift: int) -> np.ndarray:
+    """The broadcast filter, from the exchange of messages and bitmaps."""
+    answers = messages.groupBy("owner").applyInArrow(_answer, "block string, owner int, marks binary")
+    told = durable(messages.select("block", "owner", "code").join(answers, ["block", "owner"]), "told")
+    # a hexadecimal digit that isn't zero marks four fingerprints at most
+    marked = 4 * (told.agg(F.sum(F.length(F.translate(F.hex("marks"), "0", "")))).first()[0] or 0)
+    size = FILTER_BITS[0]
+    while size < min(FILTER_BITS[1], 16 * marked):
+        size *= 2
+    rows = told.mapInArrow(_marked(owners, shift, size), "chunk long, bits binary").groupBy("chunk").applyInArrow(_merged, "chunk long, bits binary").toArrow()
+    release(told)
+    table = np.zeros(size // 8, dtype=np.uint8)
+    for chunk, bits in zip(rows.column("chunk").to_pylist(), rows.column("bits").to_pylist()):
+        table[chunk * CHUNK_BITS // 8 : (chunk + 1) * CHUNK_BITS // 8] = np.frombuffer(bits, dtype=np.uint8)
+    return table
+
+
+def _suspects(shared, shift: int):
+    """Rows (ids, rows, sha, norm) of a batch: norm is null for a text that is no
+    suspect; a suspect text stands once, with all its ids."""
+    schema = pa.schema([("ids", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64())), ("sha", pa.string()), ("norm", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = shared.value
+        for batch in batches:
+            texts = _texts(batch, "text")
+            prints = np.fromiter((_fingerprint(t) for t in texts), dtype=np.uint64, count=len(texts))
+            at = _filter_places(prints >> np.uint64(shift), 8 * len(seen))
+            hit = (seen[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & np.uint8(1)
+            alone, groups = [], {}
+            for id_, row, text, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, hit.tolist()):
+                if h:
+                    own = groups.setdefault(text, ([], []))
+                    own[0].append(id_)
+                    own[1].append(row)
+                else:
+                    alone.append(([id_], [row], hashlib.sha256(text).hexdigest(), None))
+            rows = alone + [(ids, own, hashlib.sha256(text).hexdigest(), text) for text, (ids, own) in groups.items()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return run
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, owner_rows: int) -> DataFrame:
+    """(doc_id, row, keep_id, group_size, text_sha256) for every row of ``docs``."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
+    total = max(1, docs.count())
+    owners = min(1 << 20, max(4, -(-total // owner_rows)))
+    # fingerprints keep log2(rows) + 12 bits: few false suspects, short codes
+    shift = 64 - min(64, int(np.ceil(np.log2(total))) + 12)
+    messages = durable(rows.select("text").mapInArrow(_messages(owners, shift), "block string, owner int, code binary, repeated binary"), "messages")
+    shared = spark.sparkContext.broadcast(_filter(messages, owners, shift))
+    release(messages)
+    told = durable(rows.mapInArrow(_suspects(shared, shift), "ids array<long>, rows array<long>, sha string, norm binary"), "judged")
+    doubtful = told.filter("norm IS NOT NULL")
+    groups = doubtful.groupBy("norm", "sha").agg(F.max(F.array_max("ids")).alias("keep_id"), F.sum(F.size("ids")).cast("long").alias("group_size"))
+    groups = durable(groups, "groups")
+    same = (F.col("d.sha") == F.col("g.sha")) & (F.col("d.norm") == F.col("g.norm"))
+    each = lambda df: df.select(F.explode(F.arrays_zip("ids", "rows")).alias("x"), "keep_id", "group_size", "sha")
+    members = each(doubtful.alias("d").join(groups.alias("g"), same).select("d.ids", "d.rows", "g.keep_id", "g.group_size", "d.sha"))
+    alone = each(told.filter("norm IS NULL").select("ids", "rows", F.col("ids")[0].alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha"))
+    return members.unionByName(alone).select(F.col("x.ids").alias("doc_id"), F.col("x.rows").alias("row"), "keep_id", "group_size", F.col("sha").alias("text_sha256"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_rows: int = OWNER_ROWS) -> DataFrame:
@@ -123,54 +234,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     its text are counted each; they share one ``kept`` value.  An empty table
     gives an empty result; other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    total = max(1, docs.count())
-    owners = min(1 << 20, max(4, -(-total // owner_rows)))
-    # fingerprints keep log2(rows) + 12 bits: few false suspects, short codes
-    bits = min(64, int(np.ceil(np.log2(total))) + 12)
-    shift = 64 - bits
-    manifest = durable(rows.mapInArrow(_manifest(owners, shift), "block string, owner int, ids array<long>, sha array<string>, prints array<long>, code binary, repeated binary"), "manifest")
-    answers = manifest.select("block", "owner", "code", "repeated").groupBy("owner").applyInArrow(_answer, "block string, owner int, marks array<boolean>")
-    marked = durable(manifest.join(answers, ["block", "owner"]).select("ids", "sha", "prints", "marks"), "marked")
-    release(manifest)
-
-    # the marked fingerprints as a filter of fixed size, so that a partition can tell its suspects
-    word = F.expr(f"cast(pmod(p, {FILTER_BITS}) div 32 AS int)")
-    hot = marked.select(F.explode(F.filter(F.zip_with("prints", "marks", lambda p, m: F.when(m, p)), lambda p: p.isNotNull())).alias("p")).distinct()
-    words = hot.select(word.alias("w"), F.expr(f"shiftleft(1L, cast(pmod(p, {FILTER_BITS}) % 32 AS int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    table = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
-    table[words.column("w").to_numpy()] = words.column("b").to_numpy().astype(np.uint32)
-    shared = spark.sparkContext.broadcast(table)
-
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = shared.value
-        for batch in batches:
-            texts = _texts(batch, "text")
-            prints = np.fromiter((_fingerprint(t) for t in texts), dtype=np.uint64, count=len(texts))
-            at = (prints.view(np.int64) % FILTER_BITS).astype(np.int64)
-            hit = np.flatnonzero((seen[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1))
-            ids = batch.column(0).take(pa.array(hit))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([texts[k] for k in hit], type=pa.binary())], names=["doc_id", "norm"])
-
-    doubtful = durable(rows.mapInArrow(suspects, "doc_id long, norm binary").withColumn("sha", F.sha2("norm", 256)), "suspects")
-    # written, so that the join below deals out a hot text's rows anew and can split them
-    groups = durable(doubtful.groupBy("norm", "sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1"), "groups")
-    same = (F.col("d.sha") == F.col("g.sha")) & (F.col("d.norm") == F.col("g.norm"))
-    members = doubtful.alias("d").join(groups.alias("g"), same).select("d.doc_id", "d.sha", "g.keep_id", "g.group_size").distinct()
-    every = marked.select(F.explode(F.arrays_zip("ids", "sha")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.sha").alias("sha"))
-    found = every.alias("e").join(members.alias("m"), F.col("e.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("e.sha") == F.col("m.sha")), "left")
-    alone = F.col("m.group_size").isNull()
-    return found.select(
-        "e.doc_id",
-        F.when(alone, F.col("e.doc_id")).otherwise(F.col("m.keep_id")).alias("keep_id"),
-        F.coalesce("m.group_size", F.lit(1).cast("long")).alias("group_size"),
-        (alone | F.col("e.doc_id").eqNullSafe(F.col("m.keep_id"))).alias("kept"),
-        F.col("e.sha").alias("text_sha256"),
-    )
+    judged = _judged(docs, id_col, text_col, owner_rows)
+    return judged.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    gone = exact_groups(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    """The rows of ``docs`` that stay, one of each text, with all their columns.
+
+    A row goes or stays by its own id and text: another row with its id is no
+    concern.  Of rows that repeat an id and its text one stays.
+    """
+    copied = _judged(docs, id_col, text_col, OWNER_ROWS).filter("group_size > 1")
+    each = copied.groupBy("row").agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("stays"), F.count("*").alias("k"))
+    # what stays and stands there once needs no verdict
+    verdicts = durable(each.filter("NOT stays OR k > 1").select("row", F.col("stays").alias("once")), "verdicts")
+    return without(docs, row_hash(id_col, text_col), verdicts)
