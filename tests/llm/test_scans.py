@@ -1,16 +1,19 @@
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 
 from engram.llm import pii_surrogates as pii
-from engram.llm.language_id import identify
+from engram.llm.language_id import identify, train
 from engram.llm.license_scan import scan_licenses
 from engram.llm.line_dedup import drop_boilerplate
 from engram.llm.secret_scan import scan
 
+KEY = b"a key for the tests only"
 ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
@@ -78,6 +81,12 @@ def test_short_and_changed_license_notices(spark):
         ("Prose. Licensed under CC BY-NC 4.0.", "cc"), ("Licensed under CC BY 4.0.", "cc"), ("licensed under cc by", "cc"), ("boost international: CC-BY-SA 3.0", "cc"),
         ("// SPDX-License-Identifier: MIT", "mit"), ("# SPDX-License-Identifier: Apache-2.0", "apache"), ("SPDX-License-Identifier: BSL-1.0", "boost"), ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl"),
         (" ".join(isc[:7] + ["all", "of"] + isc[7:]), "isc"), (" ".join(isc[:5] + isc[6:]), "isc"), (zlib_, "zlib"),
+        ("Redistribution and use in source and binary forms, with or without modification, of this work are permitted provided that the following conditions are met:", "bsd"),
+        ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that", "isc"),
+        ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse\nor promote products derived from this software without specific prior written permission.", "bsd"),
+        ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "mit"),
+        ("Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered", "zlib"),
+        ("WITHOUT ANY WARRANTY; the software is provided as is", ""), ("merchantability and fitness for a particular purpose", ""),
         ("Please cc by noon, and for any purpose", ""), ("a creative commons of the town", ""), ("mit dem license", ""), ("by nc 4 0", ""),
     ]
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in scan_licenses(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()}
@@ -88,7 +97,7 @@ def test_short_and_changed_license_notices(spark):
 def test_surrogates_keep_type_and_identity(spark, odd_docs, no_docs):
     text = "Mail Ana.Luz7@mail8.example.com, ANA.LUZ7@mail8.example.com or +1 (988) 555-2485 from 42.144.35.254 with 4041894974608795; Mrs. Maria Lopez."
     rows = [(1, text), (2, "again ana.luz7@mail8.example.com and 42.144.35.254"), (3, "version 4.0.\nno data, 12 words")]
-    got = {r["doc_id"]: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
     for secret in ("Ana.Luz7", "ana.luz7", "555-2485", "42.144.35.254", "4041894974608795", "Maria"):
         assert secret not in got[1]["text"] and secret not in got[2]["text"]
     mails = re.findall(r"\S+@\S+\.com", got[1]["text"] + " " + got[2]["text"])
@@ -96,7 +105,12 @@ def test_surrogates_keep_type_and_identity(spark, odd_docs, no_docs):
     card = re.search(r"\d{16}", got[1]["text"])[0]
     assert card[0] == "4" and pii._check_digit(card[:-1]) == int(card[-1])
     assert "Mrs." in got[1]["text"] and got[3]["text"] == rows[2][1] and got[3]["n_entities"] == 0
-    assert len(pii.replace(odd_docs).collect()) == odd_docs.count() and pii.replace(no_docs).count() == 0
+    # none of the odd rows holds personal data: whole rows stay as they are
+    want = sorted((r["doc_id"] or -1, r["text"] or "", 0, "", "") for r in odd_docs.collect())
+    assert sorted((r["doc_id"] or -1, *r[1:]) for r in pii.replace(odd_docs, KEY).collect()) == want
+    assert pii.replace(no_docs, KEY).count() == 0
+    with pytest.raises(ValueError):
+        pii.replace(no_docs, b"short")
 
 
 def test_surrogates_are_bijective():
@@ -122,10 +136,30 @@ def test_surrogates_move_every_value(spark):
             assert all(a != b for a, b in zip(values, new)) and len(set(new)) == len(set(values))
             assert all(pii.detect(("Herr " if kind == "name" else "") + n)[0][2] == kind for n in new)
     texts = [("Herr " if kind == "name" else "to ") + v + " now" for kind, values in cases.items() for v in values]
-    got = {r["doc_id"]: r for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).collect()}
     assert len(got) == len(texts) and all(r["n_entities"] == 1 and r["text"] != texts[k] for k, r in got.items())
 
 
+def test_names_keep_gender_script_and_coreference():
+    text = "Mr. John Smith came. Later John Smith met Mrs Maria Qerlova; Smith smiled, Maria too. Johnson did not. Госпожа Иванова и Иванова. Κυρία Παππά. السيدة فاطمة ذهبت. 王小姐 见 王明先生, 王明 走。"
+    for k in (KEY * 2, b"another key, as long as this"):
+        new, at = "", 0
+        for a, b, kind in pii.detect(text):
+            assert kind == "name"
+            new, at = new + text[at:a] + pii.surrogate(kind, text[a:b], k[:32]), b
+        new += text[at:]
+        m = re.match(r"Mr\. (\w+) (\w+) came\. Later (\w+) (\w+) met Mrs (\w+) (\w+a); (\w+) smiled, (\w+) too\. Johnson did not\. Госпожа ([А-Я][а-я]+а) и (\w+)\. Κυρία ([Α-Ω]\w+ά)\.", new)
+        first, last, first2, last2, her, hers, last3, her2, cyr, cyr2, greek = m.groups()
+        assert first in pii.MALE and last in pii.SURNAMES and her in pii.FEMALE and hers != "Qerlova"
+        assert (first2, last2, last3, her2, cyr2) == (first, last, last, her, cyr) and {first, last, her} & {"John", "Smith", "Maria"} == set()
+        assert cyr != "Иванова" and greek != "Παππά" and "فاطمة" not in new and "王明" not in new
+
+
+def test_bare_phones_need_a_word_before_them():
+    assert pii.detect("call me at 2125550123 now") == [(11, 21, "phone")]
+    assert pii.detect("order 2125550123 of 1700000000") == []
+
+
 def test_language_held_out_accuracy(spark, sf, odd_docs, no_docs):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     lang = {r["doc_id"]: r["lang"] for r in d.collect()}
@@ -136,6 +170,26 @@ def test_language_held_out_accuracy(spark, sf, odd_docs, no_docs):
     odd = {r["doc_id"]: r for r in identify(odd_docs).collect()}
     assert odd[4]["lang_pred"] == odd[5]["lang_pred"] == odd[6]["lang_pred"] == "und"
     assert all(0 <= r["score"] <= 1 for r in odd.values()) and identify(no_docs).count() == 0
+    with pytest.raises(ValueError):
+        train(odd_docs.select("text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL"), most=2)
+
+
+def test_language_model_against_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(k, "".join(rng.choices("abc d" if k % 2 else "cde f", k=rng.randrange(1, 90))), "xy"[k % 2]) for k in range(60)] + [(60, "abc", "x")] * 2
+    got = {r["doc_id"]: r for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    held = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    ngrams = lambda t: [t[k : k + n] for n in (1, 2, 3) for k in range(len(t) - n + 1)]
+    counts = {x: Counter(g for k, t, lang in rows if lang == x and not held(k) for g in ngrams(t)) for x in "xy"}
+    for k, t, _ in rows:
+        if not re.search("[a-z]", t):
+            assert got[k]["lang_pred"] == "und"
+            continue
+        total = {x: sum(math.log(c[g] + 0.1) - math.log(sum(c.values()) + 0.1 * 65536) for g in ngrams(t)) for x, c in counts.items()}
+        best = max(total.values())
+        scale = {x: math.exp((v - best) / max(1.0, len(ngrams(t)) / 20)) for x, v in total.items()}
+        assert got[k]["lang_pred"] == max(sorted(total), key=total.get)
+        assert got[k]["score"] == pytest.approx(1 / sum(scale.values()), abs=1e-3)
 
 
 @pytest.mark.parametrize("pages,want", [(10, "own"), (2, "menu\nown")])
