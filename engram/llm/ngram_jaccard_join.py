@@ -46,8 +46,12 @@ FILTER_BITS = 1 << 25
 #: Sparse rounds before the whole one, which takes all that is left; classes drawn
 #: from each token and links tried by a class in each.
 ROUNDS, HEADS, TRIES = 2, (1, 4), (8, 32)
-#: A class's short bitmap.
+#: A class's short bitmap, and longs of its wide one, which folds to the short one.
 _SHORT = [f"s{k}" for k in range(4)]
+WIDE = 16
+#: A token of so many entries is joined by short bitmaps: at most as many rows for
+#: each entry.  Beyond it the wide ones decide inside the join.
+LIGHT = 8
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -69,9 +73,9 @@ def _odd(tokens: np.ndarray, size: int) -> np.ndarray:
     return (np.bincount((mix(tokens, 11) & _U(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)
 
 
-def _short_bitmap(tokens: np.ndarray) -> np.ndarray:
-    """256 such bits as four longs, for a first look inside a join."""
-    return np.packbits(_odd(tokens, 256)).view(np.int64)
+def _wide_bitmap(tokens: np.ndarray) -> np.ndarray:
+    """1024 such bits as longs, for a first look inside a join."""
+    return np.packbits(_odd(tokens, 64 * WIDE)).view(np.int64)
 
 
 def _hash_prefix(tokens: np.ndarray, salt: int) -> bytes:
@@ -90,7 +94,7 @@ def _class_of(tokens: np.ndarray) -> int:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, and at the end one with the partition's sketch."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("bits", pa.binary()), ("second", pa.binary()), ("third", pa.binary()), *((f"s{k}", pa.int64()) for k in range(4)), ("counts", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("bits", pa.binary()), ("second", pa.binary()), ("third", pa.binary()), ("wide", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
 
     def rows(out: list) -> pa.RecordBatch:
@@ -103,16 +107,16 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sketch += np.bincount((tokens >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.int32) if len(tokens) > 5000 else 0
                 if len(tokens) <= 5000:
                     np.add.at(sketch, (tokens >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
-                out.append((doc_id, len(tokens), _class_of(tokens), _bitmap(tokens), _hash_prefix(tokens, 12), _hash_prefix(tokens, 13), *_short_bitmap(tokens).tolist(), None))
+                out.append((doc_id, len(tokens), _class_of(tokens), _bitmap(tokens), _hash_prefix(tokens, 12), _hash_prefix(tokens, 13), _wide_bitmap(tokens), None))
             else:
-                out.append((doc_id, 0, *[None] * 9))
+                out.append((doc_id, 0, *[None] * 6))
             if len(out) >= 500:
                 yield rows(out)
                 out = []
         if out:
             yield rows(out)
     if sketch.any():
-        yield rows([(None, -1, *[None] * 8, sketch)])
+        yield rows([(None, -1, *[None] * 5, sketch)])
 
 
 def _prefixes(shared, owners: int, hot: float):
@@ -223,8 +227,9 @@ class _Join:
     def __init__(self, docs: DataFrame):
         self.spark = docs.sparkSession
         self.docs = docs
-        everything = durable(docs.mapInArrow(_signatures, "doc_id long, n int, cls long, bits binary, second binary, third binary, s0 long, s1 long, s2 long, s3 long, counts array<int>"), "signatures")
-        self.signatures = everything.filter("n >= 0")
+        everything = durable(docs.mapInArrow(_signatures, "doc_id long, n int, cls long, bits binary, second binary, third binary, wide array<long>, counts array<int>"), "signatures")
+        short = {x: _xor([F.col("wide")[j] for j in range(k, WIDE, len(_SHORT))]) for k, x in enumerate(_SHORT)}
+        self.signatures = everything.filter("n >= 0").withColumns(short)
         self.classes = durable(self.signatures.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), *[F.min(x).alias(x) for x in _SHORT]), "classes")
         # a fixed number of counters, summed where the partitions are
         sums = everything.filter("n = -1").select(F.posexplode("counts").alias("k", "c")).filter("c > 0").groupBy("k").agg(F.sum("c").alias("c")).toArrow()
@@ -240,7 +245,7 @@ class _Join:
         self.entries = durable(held.filter("NOT hot").select("token", "cls", "place").unionByName(once).join(self.classes.select("cls", "n"), "cls").withColumn("comp", F.col("cls")), "entries")
         wanted = held.select("cls").distinct().join(self.classes, "cls")
         own = wanted.select(F.col("rep").alias("doc_id"), "cls")
-        self.records = durable(self.signatures.join(own, ["doc_id", "cls"]).select("cls", "doc_id", "n", "bits", "second", "third").dropDuplicates(["cls"]), "records")
+        self.records = durable(self.signatures.join(own, ["doc_id", "cls"]).select("cls", "doc_id", "n", "bits", "second", "third", "wide").dropDuplicates(["cls"]), "records")
         release(held)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -278,14 +283,14 @@ class _Join:
         """Bring the entries' components up to date; a token whose classes are all
         in one component gives no candidate any more and goes.
 
-        From here on an entry also holds its class's short bitmap and ``main``,
-        the component with most of the token's entries.
+        From here on an entry also holds its class's short bitmap, ``main``, the
+        component with most of the token's entries, and ``size``, their number.
         """
         before = self.entries
-        kept = before.drop("main").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
+        kept = before.drop("main", "size").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
         at = kept if "s0" in kept.columns else kept.join(self.classes.select("cls", *_SHORT), "cls")
         each = kept.groupBy("token", "comp").agg(F.count("*").alias("k"))
-        open_ = each.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("s"), F.count("*").alias("comps")).filter("comps > 1").select("token", F.col("s.comp").alias("main"))
+        open_ = each.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("s"), F.count("*").alias("comps"), F.sum("k").alias("size")).filter("comps > 1").select("token", F.col("s.comp").alias("main"), "size")
         self.entries = durable(at.join(open_, "token"), "entries")
         release(before)
 
@@ -312,13 +317,35 @@ class _Join:
 
         Within a token's entries one side is never of the largest component, so
         a group of near copies that is already joined meets only the others.
+        Entries of a token that many classes hold carry the wide bitmap: of a
+        family of texts that are just too far apart few pairs leave the join.
         """
+        few = self.entries.filter(F.col("size") <= LIGHT)
+        many = durable(self.entries.filter(F.col("size") > LIGHT).select("token", "cls", "n", "comp", "place", "main").join(self.records.select("cls", "wide"), "cls"), "many")
+        return self._meet(few, _SHORT, _differ).unionByName(self._meet(many, ["wide"], _differ_wide)).distinct()
+
+    def _meet(self, entries: DataFrame, bits: list[str], differ) -> DataFrame:
         def side(name: str) -> list:
-            return [F.col(old).alias(f"{name}_{old}") for old in ("cls", "n", "comp", "place", *_SHORT)]
+            return [F.col(old).alias(f"{name}_{old}") for old in ("cls", "n", "comp", "place", *bits)]
+
+        left = entries.filter("comp != main").select("token", "main", *side("x"))
+        # of two classes outside the largest component the lesser one is on the left
+        once = (F.col("y_comp") == F.col("main")) | (F.col("x_cls") < F.col("y_cls"))
+        met = left.join(entries.select("token", *side("y")), "token").filter((F.col("x_comp") != F.col("y_comp")) & once & _possible("x_n", "x_place", "y_n", "y_place") & _enough("x_n", "y_n", differ("x_", "y_")))
+        return met.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b"))
+
+
+def _xor(columns: list):
+    out = columns[0]
+    for c in columns[1:]:
+        out = out.bitwiseXOR(c)
+    return out
+
 
-        left = self.entries.filter("comp != main").select("token", *side("x"))
-        met = left.join(self.entries.select("token", *side("y")), "token").filter((F.col("x_comp") != F.col("y_comp")) & _possible("x_n", "x_place", "y_n", "y_place") & _enough("x_n", "y_n", _differ("x_", "y_")))
-        return met.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct()
+def _differ_wide(one: str, other: str):
+    """Bits in which two wide bitmaps differ."""
+    a, b = F.col(f"{one}wide"), F.col(f"{other}wide")
+    return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(WIDE)), F.lit(0))
 
 
 def _differ(one: str, other: str):
