@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .bytesets import mix, parts, shingle_sets
 from .components import components
+from .rows import row_hash, without
 from .storage import durable, release
 
 _U = np.uint64
@@ -94,7 +95,7 @@ def _class_of(tokens: np.ndarray) -> int:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, and at the end one with the partition's sketch."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("bits", pa.binary()), ("second", pa.binary()), ("third", pa.binary()), ("wide", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("bits", pa.binary()), ("second", pa.binary()), ("third", pa.binary()), ("wide", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
 
     def rows(out: list) -> pa.RecordBatch:
@@ -102,21 +103,21 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in (part for whole in batches for part in parts(whole)):
         out = []
-        for doc_id, tokens in zip(batch.column(0).to_pylist(), shingle_sets(_texts(batch))):
+        for doc_id, row, tokens in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(_texts(batch))):
             if len(tokens):
                 sketch += np.bincount((tokens >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.int32) if len(tokens) > 5000 else 0
                 if len(tokens) <= 5000:
                     np.add.at(sketch, (tokens >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
-                out.append((doc_id, len(tokens), _class_of(tokens), _bitmap(tokens), _hash_prefix(tokens, 12), _hash_prefix(tokens, 13), _wide_bitmap(tokens), None))
+                out.append((doc_id, row, len(tokens), _class_of(tokens), _bitmap(tokens), _hash_prefix(tokens, 12), _hash_prefix(tokens, 13), _wide_bitmap(tokens), None))
             else:
-                out.append((doc_id, 0, *[None] * 6))
+                out.append((doc_id, row, 0, *[None] * 6))
             if len(out) >= 500:
                 yield rows(out)
                 out = []
         if out:
             yield rows(out)
     if sketch.any():
-        yield rows([(None, -1, *[None] * 5, sketch)])
+        yield rows([(None, None, -1, *[None] * 5, sketch)])
 
 
 def _prefixes(shared, owners: int, hot: float):
@@ -227,7 +228,7 @@ class _Join:
     def __init__(self, docs: DataFrame):
         self.spark = docs.sparkSession
         self.docs = docs
-        everything = durable(docs.mapInArrow(_signatures, "doc_id long, n int, cls long, bits binary, second binary, third binary, wide array<long>, counts array<int>"), "signatures")
+        everything = durable(docs.mapInArrow(_signatures, "doc_id long, row long, n int, cls long, bits binary, second binary, third binary, wide array<long>, counts array<int>"), "signatures")
         short = {x: _xor([F.col("wide")[j] for j in range(k, WIDE, len(_SHORT))]) for k, x in enumerate(_SHORT)}
         self.signatures = everything.filter("n >= 0").withColumns(short)
         self.classes = durable(self.signatures.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), *[F.min(x).alias(x) for x in _SHORT]), "classes")
@@ -369,16 +370,10 @@ def _possible(n1: str, p1: str, n2: str, p2: str):
     return lengths & (7 * left >= 3 * (F.col(n1) + F.col(n2)))
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, class_id.
-
-    Words are runs of anything but ASCII white space, A-Z lower-cased; a text of
-    fewer than five words is one shingle, one without words (or null) has none
-    and links with nothing.  Documents link when 100 * intersection >= 75 *
-    union; component_id is the least doc_id reachable, class_id the least
-    doc_id with an equal set.  Rows may repeat; other columns are ignored.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, row, n_shingles, root, component_id, class_id of every row; the last
+    three are null without shingles."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_hash(id_col, text_col).alias("row"))
     join = _Join(rows)
     links, roots = None, None
     for turn in range(ROUNDS + 1):
@@ -389,12 +384,34 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             join.settle(roots)
     comps = join.classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = comps.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = comps.join(least, "root").select("cls", F.col("rep").alias("class_id"), "component_id")
-    out = join.signatures.select("doc_id", "n", "cls").join(named, "cls", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    named = comps.join(least, "root").select("cls", "root", F.col("rep").alias("class_id"), "component_id")
+    return join.signatures.select("doc_id", "row", F.col("n").cast("long").alias("n_shingles"), "cls").join(named, "cls", "left").drop("cls")
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, class_id.
+
+    Words are runs of anything but ASCII white space, A-Z lower-cased; a text of
+    fewer than five words is one shingle, one without words (or null) has none
+    and links with nothing.  Documents link when 100 * intersection >= 75 *
+    union; component_id is the least doc_id reachable, class_id the least
+    doc_id with an equal set.  Rows may repeat; other columns are ignored.
+    """
+    own = lambda c: F.coalesce(c, "doc_id").alias(c)
+    return _components(docs, id_col, text_col).select("doc_id", "n_shingles", own("component_id"), own("class_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its group, columns unchanged."""
-    gone = near_components(docs, id_col, text_col).filter("component_id != doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    """The rows of ``docs`` with one of each group left, columns unchanged.
+
+    The row with the least id stays; of several with that id in the group (rows
+    that repeat, or near copies under one id) one.  A row goes or stays by its
+    own id and text.  Rows without words all stay.
+    """
+    rows = durable(_components(docs, id_col, text_col).filter("root IS NOT NULL").select("doc_id", "row", "root", "component_id"), "rows")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = rows.filter(~first).select("row", F.lit(False).alias("once")).distinct()
+    # the rows under the least id: one in most groups
+    each = rows.filter(first).groupBy("root", "row").agg(F.count("*").alias("k"))
+    each = each.withColumn("once", F.col("row") == F.min("row").over(W.partitionBy("root"))).filter("NOT once OR k > 1")
+    return without(docs, row_hash(id_col, text_col), durable(gone.unionByName(each.select("row", "once")), "verdicts"))
