@@ -1,8 +1,8 @@
 """Intermediate tables that survive the loss of an executor.
 
 A cut in the lineage is a Parquet table under ``spark.checkpoint.dir`` (the
-folder all executors share).  Only when that setting is absent, as in local
-tests, a temporary folder of this machine is used.
+folder all executors share).  Only where that setting is absent and Spark runs on
+this machine alone, as in tests, a temporary folder is used.
 """
 
 from __future__ import annotations
@@ -13,13 +13,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+#: Folders written by ``durable`` and not released, in order.
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session, or a local one when unset."""
+    """The shared folder named by the session, or a local one for a local session."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="engram-"))
     return "file://" + _LOCAL[0]
@@ -31,17 +35,36 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     app = spark.sparkContext.applicationId
     path = f"{shared_dir(spark)}/{app}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _folders(df: DataFrame) -> set[str]:
+    """Last part of the folders that ``df`` reads."""
+    return {name.rsplit("/", 2)[1] for name in df.inputFiles()}
+
+
 def release(df: DataFrame) -> None:
     """Delete a table that ``durable`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    own = _folders(df)
+    for path in [p for p in _WRITTEN if p.rsplit("/", 1)[1] in own]:
+        _delete(df.sparkSession, path)
+        _WRITTEN.remove(path)
+
+
+def written() -> int:
+    """A mark for ``release_since``."""
+    return len(_WRITTEN)
 
 
-def partitions(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def release_since(mark: int, keep: DataFrame) -> None:
+    """Delete all tables written after a mark, but for those that ``keep`` reads."""
+    own = _folders(keep)
+    for path in [p for p in _WRITTEN[mark:] if p.rsplit("/", 1)[1] not in own]:
+        _delete(keep.sparkSession, path)
+        _WRITTEN.remove(path)
