@@ -23,7 +23,13 @@ REPORTS = (
 )
 # The wider lists of the older generation.
 NOISE_OLD = (
-    *NOISE[:3], r"tools\.exec\.host", r"agents\.defaults\.sandbox\.mode", r'"tool"\s*:\s*"exec"',
+    r"exec host\s*=\s*sandbox",
+    r"sandbox runtime\s+(?:is\s+)?unavailable",
+    r"exec host not allowed",
+    r"tools\.exec\.host",
+    r"agents\.defaults\.sandbox\.mode",
+    r"configure tools\.exec\.host",
+    r'"tool"\s*:\s*"exec"',
     r"\bexec(?:\s+est[aá])?\s+deshabilitad[oa]\b",
     r"\bejecutor(?:\s+de\s+comandos)?(?:\s+est[aá])?\s+deshabilitad[oa]\b",
     r"\bsandbox(?:\s+exec)?\s+(?:no disponible|deshabilitad[oa]|bloquead[oa])\b",
@@ -31,7 +37,6 @@ NOISE_OLD = (
     r"\bsandbox\s+exec\b[^\n]{0,40}\bno\s+disponible\b",
 )
 NOISE_OLD_SOFT = (r"\bhabilitar\s+el\s+sandbox\b", r"\bno puedo(?:\s+\w+){0,8}\s+(?:ejecutar|usar)\s+comandos\b")
-DIAGNOSTIC = (r"\bsandbox\b", r"\bexec\b", r"\bejecutor\b", r"\bhost not allowed\b", r"\bconfigur(?:a|ar|acion)\b")
 
 # Injection patterns with their level, levels from low to high.
 LEVELS = ("none", "low", "medium", "high", "critical")
@@ -52,6 +57,8 @@ INJECTION = (
 # Words of formal and of casual tone.
 FORMAL = ("please", "could you", "would you", "kindly", "appreciate")
 CASUAL = ("hey", "sup", "lol", "btw", "ngl", "fr")
+# Capitalised spans, one word or more.
+PROPER = r"\b([A-ZÁÉÍÓÚÑ][\wÁÉÍÓÚÑáéíóúñ]+(?:\s+[A-ZÁÉÍÓÚÑ][\wÁÉÍÓÚÑáéíóúñ]+)*)\b"
 # Capitalised words that aren't names, and words of negation.
 NOT_NAMES = ("El", "La", "Los", "Las", "Un", "Una", "Y", "O", "De", "En", "The", "A", "An", "And", "Or", "If", "It", "I", "We", "You")
 NEGATIONS = ("no", "not", "never", "n't", "dont", "don't", "doesnt", "doesn't", "isnt", "isn't", "nunca", "sin", "odio", "hate", "tampoco")
@@ -127,8 +134,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def proper_names(text: Column) -> Column:
     """Capitalised spans that aren't stop words, 3 characters or more, in order."""
-    up, low = "A-ZÁÉÍÓÚÑ", r"[\wÁÉÍÓÚÑáéíóúñ]+"
-    spans = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?U)\b([{up}]{low}(?:\s+[{up}]{low})*)\b"), F.lit(1))
+    spans = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + PROPER), F.lit(1))
     return F.filter(spans, lambda s: ~s.isin(*NOT_NAMES) & (F.char_length(s) >= 3))
 
 

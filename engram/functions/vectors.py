@@ -30,7 +30,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def l2_normal(a: Column) -> Column:
     """Unit length; a zero vector stays."""
-    return F.when(norm(a) > 0, F.transform(a, lambda x: x / norm(a))).otherwise(a)
+    # the norm is the one element of an array, so that it isn't made again for each number
+    return F.transform(F.array(norm(a)), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a))[0]
 
 
 def to_dims(a: Column, dims: int) -> Column:
@@ -42,6 +43,21 @@ def to_dims(a: Column, dims: int) -> Column:
     return l2_normal(F.when((n > dims) & (n % dims == 0), groups).otherwise(padded))
 
 
+def digest_vector(text: Column, repeats: int = 64) -> Column:
+    """The 32 bytes of the text's sha256 as shares of 255, repeated, unit length: a
+    stand-in where there is no embedder."""
+    digits = F.sha2(F.coalesce(text, F.lit("")), 256)
+    one = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.conv(F.substr(digits, 2 * k + 1, F.lit(2)), 16, 10).cast("double") / 255)
+    return l2_normal(F.flatten(F.array_repeat(one, repeats)))
+
+
+def char_vector(text: Column, dims: int = 128) -> Column:
+    """Code points of the first ``dims`` characters of the lower-cased text, unit length."""
+    low = F.substring(F.lower(F.coalesce(text, F.lit(""))), 1, dims)
+    codes = F.transform(F.split(low, ""), lambda c: F.ascii(c).cast("double"))
+    return l2_normal(F.slice(F.concat(F.filter(codes, lambda x: x > 0), F.array_repeat(F.lit(0.0), dims)), 1, dims))
+
+
 class Embedder(Protocol):
     """What a text embedder offers; ``column`` makes an array<double> column."""
 

@@ -7,6 +7,38 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import entities
+from ..storage import durable
+
+
+# Facts about the user: type, length that a value must exceed, patterns.
+FACTS = (
+    ("person", 2, (r"(?:me llamo|mi nombre es|soy)\s+([A-Za-záéíóúñÁÉÍÓÚÑ]+)", r"(?:llámame|call me)\s+([A-Za-záéíóúñÁÉÍÓÚÑ]+)", r"my name is\s+([A-Za-z]+)")),
+    ("project", 2, (r"(?:trabajo en|working on|proyecto)\s+([A-Z][a-zA-Z\s]+)", r"(?:estoy construyendo|building)\s+([A-Z][a-zA-Z\s]+)")),
+    ("technology", 0, (r"(?:uso|using|trabajo con)\s+(n8n|React|Python|JavaScript|Node|AI|GPT|Neo4j|Redis)",)),
+    ("preference", 3, (r"(?:prefiero|i prefer|me gusta)\s+([^\.]+)", r"(?:no me gusta|i don't like)\s+([^\.]+)")),
+)
+
+
+def facts(messages: DataFrame, text_col: str = "content") -> DataFrame:
+    """``messages`` with type and value: one row for each match of a fact's pattern."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    found = [F.transform(F.regexp_extract_all(t, F.lit("(?i)" + p), F.lit(1)), _valued(kind, least)) for kind, least, patterns in FACTS for p in patterns]
+    each = messages.withColumn("__f", F.explode(F.flatten(F.array(*found))))
+    return each.filter(F.char_length("__f.value") > F.col("__f.least")).select(*messages.columns, "__f.type", "__f.value")
+
+
+def _valued(kind: str, least: int):
+    return lambda v: F.struct(F.lit(kind).alias("type"), F.regexp_replace(v, r"^\s+|\s+$", "").alias("value"), F.lit(least).alias("least"))
+
+
+def plain_entities(messages: DataFrame, tech: tuple[str, ...], text_col: str = "content") -> DataFrame:
+    """(name, type, mentions) by the first rules: capitalised words, counted each time,
+    and keywords within a text, counted once."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    people = messages.select(F.explode(F.regexp_extract_all(t, F.lit(r"\b([A-Z][a-z]+)\b"), F.lit(1))).alias("name")).groupBy("name").agg(F.count("*").alias("mentions"))
+    held = messages.agg(*[F.max(F.lower(t).contains(w)).alias(w) for w in tech])
+    words = held.select(F.explode(F.array(*[F.when(F.col(f"`{w}`"), F.lit(w)) for w in tech])).alias("name")).filter("name IS NOT NULL")
+    return people.select("name", F.lit("person").alias("type"), "mentions").unionByName(words.select("name", F.lit("tech").alias("type"), F.lit(1).cast("long").alias("mentions")))
 
 
 def entity_support(docs: DataFrame, text_col: str = "content") -> DataFrame:
@@ -23,11 +55,14 @@ def entity_counts(support: DataFrame) -> DataFrame:
 def comentions(docs: DataFrame, text_col: str = "content") -> DataFrame:
     """(episode, source, target): pairs of an episode's entities, in order of appearance.
 
-    Pairs are bounded by the entities of one episode; nothing is joined.
+    Each entity is a row with its place; pairs come out one by one, so no text's
+    pairs are ever held at once.
     """
     names = F.transform(entities(F.col(text_col)), lambda e: e["name"])
-    tail = "flatten(transform(n, (a, i) -> transform(slice(n, i + 2, size(n)), b -> struct(a AS source, b AS target))))"
-    return docs.select(F.col("id").alias("episode"), names.alias("n")).select("episode", F.explode(F.expr(tail)).alias("p")).select("episode", "p.source", "p.target")
+    each = docs.select(F.col("id").alias("episode"), names.alias("n")).filter("size(n) > 1")
+    first = each.select("episode", "n", F.posexplode("n").alias("i", "source"))
+    rest = F.explode(F.expr("slice(n, i + 2, size(n))"))
+    return first.filter("i + 1 < size(n)").select("episode", "source", rest.alias("target"))
 
 
 def links(docs: DataFrame, text_col: str = "content") -> DataFrame:
@@ -84,19 +119,115 @@ def clustering(edges: DataFrame) -> DataFrame:
 def hops(edges: DataFrame, start: str, most: int) -> DataFrame:
     """(name, hops): least number of edges from ``start``, up to ``most``.
 
-    A frontier join a step; nodes already reached are dropped each time, and
-    the lineage is cut, so a step costs one shuffle of the frontier.
+    A frontier join a step; nodes already reached are dropped each time.  Each
+    frontier is written, so a step costs one shuffle of it and of the edges.
     """
-    e = both_ways(edges)
-    seen = edges.sparkSession.createDataFrame([(start, 0)], "name string, hops int")
+    return _fronts(edges, start, most).select("name", "hops")
+
+
+def _fronts(edges: DataFrame, start: str, most: int, end: str | None = None) -> DataFrame:
+    """(name, hops, parent): what is reached, each from its least parent; steps stop
+    early where nothing is new, or at ``end``."""
+    e = durable(both_ways(edges), "edges")
+    seen = edges.sparkSession.createDataFrame([(start, 0, None)], "name string, hops int, parent string")
     front = seen
     for k in range(1, most + 1):
-        new = front.join(e, front["name"] == e["a"]).select(F.col("b").alias("name")).distinct().join(seen.select("name"), "name", "left_anti")
-        front = new.withColumn("hops", F.lit(k))
+        new = front.join(e, front["name"] == e["a"]).groupBy(F.col("b").alias("name")).agg(F.min("a").alias("parent")).join(seen.select("name"), "name", "left_anti")
+        front = durable(new.select("name", F.lit(k).alias("hops"), "parent"), "front")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
+        if end is not None and not front.filter(F.col("name") == end).isEmpty():
+            break
     return seen
 
 
+def shortest_path(edges: DataFrame, start: str, end: str, most: int = 10) -> DataFrame:
+    """(step, name): the nodes of a shortest path of at most ``most`` edges, from
+    ``start`` on; none where ``end`` is farther.  Of equal paths the one whose nodes,
+    from the end on, come first by name."""
+    reached = _fronts(edges, start, most, end)
+    path, at = [], end
+    for _ in range(most + 1):  # a lookup a step
+        row = reached.filter(F.col("name") == at).first()
+        if row is None:
+            break
+        path.append((row["hops"], row["name"]))
+        at = row["parent"]
+        if at is None:
+            break
+    return edges.sparkSession.createDataFrame(path, "step int, name string")
+
+
+def bridges(edges: DataFrame, below: float = 0.3, above: int = 3, limit: int = 10) -> DataFrame:
+    """(name, clustering, degree): nodes of many links and little clustering."""
+    own = clustering(edges).filter((F.col("clustering") < below) & (F.col("degree") > above))
+    return own.select("name", "clustering", "degree").orderBy(F.desc("degree"), "name").limit(limit)
+
+
+def accumulate(store: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(name, type, mentions, first_seen, last_seen) after upserts: mentions add up; a
+    known entity keeps its type and first time.
+
+    Both sides hold these columns; incoming rows of one name all count, their
+    first in time names a new entity.
+    """
+    both = store.withColumn("k", F.lit(0)).unionByName(incoming.withColumn("k", F.lit(1)))
+    order = F.struct("k", "first_seen", "type")
+    return both.groupBy("name").agg(F.min_by("type", order).alias("type"), F.sum("mentions").alias("mentions"), F.min_by("first_seen", order).alias("first_seen"), F.max("last_seen").alias("last_seen"))
+
+
+def add_links(links: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(source, target, type, weight): weights of equal links add up."""
+    return links.unionByName(incoming).groupBy("source", "target", "type").agg(F.sum("weight").alias("weight"))
+
+
+def apply_episodes(support: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Support after replacing what the episodes of ``fresh`` gave, and the counts of
+    the names touched, old and new; 0 for one that nothing supports any more.
+
+    Both sides: episode, name, type.  A replay changes nothing.
+    """
+    ids = fresh.select("episode").distinct()
+    after = support.join(ids, "episode", "left_anti").unionByName(fresh)
+    touched = support.join(ids, "episode", "left_semi").select("name").union(fresh.select("name")).distinct()
+    counts = after.join(touched, "name", "left_semi").groupBy("name").agg(F.count_distinct("episode").alias("mentions"))
+    return after, touched.join(counts, "name", "left").select("name", F.coalesce("mentions", F.lit(0)).alias("mentions"))
+
+
+def search_graph(names: DataFrame, messages: DataFrame, found: DataFrame) -> DataFrame:
+    """(source, target, weight): an entity and those named in the messages found for
+    it, by the sum of their similarities.
+
+    ``found``: name, id, similarity (a few messages a name); ``messages``: id,
+    content.
+    """
+    from .maintenance import mentions
+
+    said = mentions(names, messages.join(found.select("id").distinct(), "id", "left_semi"))
+    met = found.join(said.select(F.col("name").alias("target"), "id"), "id").filter("name != target")
+    return met.groupBy(F.col("name").alias("source"), "target").agg(F.sum("similarity").alias("weight"))
+
+
+def match(edges: DataFrame, nodes: DataFrame, query: str, limit: int) -> DataFrame:
+    """(kind, name, target, weight): links at a name that holds the query's first word
+    of more than three letters, else nodes that hold it, by ``importance``."""
+    long_ = [w for w in query.split() if len(w) > 3]
+    term = (long_[0] if long_ else query[:20]).lower()
+    held = lambda c: F.lower(c).contains(term)
+    rels = edges.filter(held("source") | held("target")).orderBy(F.desc("weight"), "source", "target").limit(limit)
+    rels = rels.select(F.lit("link").alias("kind"), F.col("source").alias("name"), "target", "weight")
+    none = rels.agg(F.count("*").alias("n")).filter("n = 0")
+    alone = nodes.filter(held("name")).orderBy(F.desc("importance"), "name").limit(limit).crossJoin(F.broadcast(none))
+    return rels.unionByName(alone.select(F.lit("node").alias("kind"), "name", F.lit(None).cast("string").alias("target"), F.col("importance").cast("double").alias("weight")))
+
+
+def associations(pairs: DataFrame, name: str) -> DataFrame:
+    """(other, strength) of one name, strongest first; (a, b, amount) strengthen both ways."""
+    both = pairs.select("a", "b", "amount").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "amount"))
+    return both.filter(F.col("a") == name).groupBy(F.col("b").alias("other")).agg(F.sum("amount").alias("strength")).orderBy(F.desc(F.round("strength", 9)), "other")
+
+
 def gaps(counts: DataFrame, edges: DataFrame, least: int, scanned: int | None, limit: int) -> DataFrame:
     """Questions about entities with no neighbour or few mentions, most mentioned
     first; ``scanned`` keeps to that many of the most mentioned."""

@@ -72,3 +72,47 @@ def decide(items: DataFrame, decisions: DataFrame, columns: list[str]) -> DataFr
     """(id, outcome): a decision holds only for the state that was reviewed."""
     now = items.select("id", snapshot(columns).alias("now"))
     return decisions.join(now, "id", "left").select("id", F.when(F.col("now").isNull(), "missing").when(F.col("now") != F.col("seen"), "stale").otherwise(F.col("decision")).alias("outcome"))
+
+
+def keyed(table: DataFrame, ids: list, deleted: str | None = None) -> DataFrame:
+    """Rows of these ids; those marked in ``deleted`` are hidden."""
+    own = table.filter(F.col("id").isin(ids))
+    return own if deleted is None else own.filter(~F.col(deleted))
+
+
+def approve(procedures: DataFrame, reviews: DataFrame, live: DataFrame) -> DataFrame:
+    """(id, outcome) of reviews of procedures, checked in this order.
+
+    'unsigned' without reviewer or reason; 'not proposed' for an unknown procedure
+    or one of another status; 'differs' where steps or conditions aren't those
+    reviewed; 'no evidence' where some is missing or gone; else 'APPROVED'.
+    ``procedures``: id, precondition, steps, postcondition, evidence, status;
+    ``reviews``: id, reviewer, reason and the three expected columns.
+    """
+    sound = evidence_live(procedures.select("id", "evidence"), live)
+    state = ["precondition", "steps", "postcondition"]
+    p = procedures.select("id", "status", *state).join(sound, "id", "left")
+    r = reviews.select("id", "reviewer", "reason", *[F.col(c).alias(f"want_{c}") for c in state]).join(p, "id", "left")
+    signed = (F.trim(F.coalesce("reviewer", F.lit(""))) != "") & (F.trim(F.coalesce("reason", F.lit(""))) != "")
+    same = F.lit(True)
+    for c in state:
+        same = same & F.col(c).eqNullSafe(F.col(f"want_{c}"))
+    outcome = F.when(~signed, "unsigned").when(~F.coalesce(F.col("status") == "PROPOSED", F.lit(False)), "not proposed").when(~same, "differs").when(~F.coalesce("supported", F.lit(False)), "no evidence").otherwise("APPROVED")
+    return r.select("id", outcome.alias("outcome"))
+
+
+def revoked(items: DataFrame, gone: DataFrame) -> DataFrame:
+    """(id, status) of procedures or summaries after forgetting: REVOKED where some
+    evidence was forgotten, which nothing takes back."""
+    hit = resting_on(items, gone).withColumn("hit", F.lit(True))
+    return items.join(hit, "id", "left").select("id", F.when(F.col("hit"), "REVOKED").otherwise(F.col("status")).alias("status"))
+
+
+def verified_summaries(summaries: DataFrame, errors: DataFrame) -> DataFrame:
+    """(id, status): VERIFIED_EXTRACT without errors, REJECTED with, REVOKED stays.
+
+    ``errors``: summary, errors, as ``check_summaries`` gives.
+    """
+    e = errors.select(F.col("summary").alias("id"), "errors")
+    status = F.when(F.col("status") == "REVOKED", "REVOKED").when(F.coalesce("errors", F.lit("empty summary")) == "", "VERIFIED_EXTRACT").otherwise("REJECTED")
+    return summaries.join(e, "id", "left").select("id", status.alias("status"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import jaccard
+from ..storage import durable
+
 # k1 and b of the ranking, and the constant of rank fusion.
 K1, B, FUSION = 1.2, 0.75, 60
 _ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
@@ -30,22 +33,23 @@ def bm25(docs: DataFrame, query: str, limit: int, live: DataFrame | None = None,
     """(id, bm25, score): the top documents holding any query term.
 
     N and the mean length are over the whole corpus; a term's idf is
-    ln((N - n + 0.5) / (n + 0.5)), 1e-6 where that isn't positive.  Counts of the
-    query's terms alone are kept, so the index of all terms is never built.
+    ln((N - n + 0.5) / (n + 0.5)), 1e-6 where that isn't positive.  For a corpus
+    without an index (``StoredIndex``): it is read and split into terms once, and
+    only rows with a term of the query, with these terms, are kept.
     ``score`` is 1.0 for every match, as ranks decide; ``live`` filters before
     the cut.
     """
     spark = docs.sparkSession
     asked = spark.createDataFrame([(query,)], "q string").select(F.explode(F.array_distinct(terms(F.col("q")))).alias("term"))
     wanted = [r["term"] for r in asked.collect()]
-    t = docs.select("id", terms(F.col(text_col)).alias("t")).withColumn("dl", F.size("t").cast("double"))
-    total = t.agg(F.count("*").cast("double").alias("n_all"), F.avg("dl").alias("mean"))
-    counts = t.select("id", "dl", *[F.size(F.filter("t", _equals(w))).cast("double").alias(f"c{k}") for k, w in enumerate(wanted)])
-    held = counts.agg(*[F.count_if(F.col(f"c{k}") > 0).cast("double").alias(f"n{k}") for k in range(len(wanted))] or [F.lit(0).alias("n")])
-    rows = counts.filter(" OR ".join(f"c{k} > 0" for k in range(len(wanted))) or "false").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(held))
+    t = docs.select("id", terms(F.col(text_col)).alias("t"))
+    own = F.array(*[F.size(F.filter("t", _equals(w))).cast("double") for w in wanted]).cast("array<double>")
+    counts = durable(t.select("id", F.size("t").cast("double").alias("dl"), own.alias("c")), "counts")
+    total = counts.agg(F.count("*").cast("double").alias("n_all"), F.avg("dl").alias("mean"), F.array(*[F.count_if(F.col("c")[k] > 0).cast("double") for k in range(len(wanted))]).cast("array<double>").alias("held"))
+    rows = counts.filter(F.exists("c", lambda x: x > 0)).crossJoin(F.broadcast(total))
     rank = F.lit(0.0)
     for k in range(len(wanted)):
-        n, c = F.col(f"n{k}"), F.col(f"c{k}")
+        n, c = F.col("held")[k], F.col("c")[k]
         idf = F.ln((F.col("n_all") - n + 0.5) / (n + 0.5))
         idf = F.when(idf > 0, idf).otherwise(1e-6)
         rank = rank + idf * c * (K1 + 1) / (c + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
@@ -120,3 +124,81 @@ def tfidf(docs: DataFrame, vocab: DataFrame, chars: int | None = None, text_col:
     raw = t.groupBy("id", "term").agg(F.count("*").alias("c")).join(vocab, "term").withColumn("w", (1 + F.ln("c")) * F.col("idf"))
     size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id")))
     return raw.select("id", "term", (F.col("w") / size).alias("weight"))
+
+
+def word_overlap(messages: DataFrame, query: str, newest: int = 100, above: float = 0.1, limit: int = 10, text_col: str = "content") -> DataFrame:
+    """(id, similarity) of the newest messages by shared words: the first generation's
+    search.  Words stand between white space; the similarity is shared / all words."""
+    last = messages.orderBy(F.desc("created_at"), "id").limit(newest)
+    own = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+"), lambda w: w != ""))
+    asked = F.array(*[F.lit(w) for w in dict.fromkeys(query.lower().split())]).cast("array<string>")
+    scored = last.select("id", jaccard(own, asked).alias("similarity")).filter(F.col("similarity") > above)
+    return scored.orderBy(F.desc("similarity"), "id").limit(limit)
+
+
+def past_mistakes(mistakes: DataFrame, asked: DataFrame, newest: int = 20, limit: int = 5) -> DataFrame:
+    """(question, mistake, rank): of the newest mistakes the first few, in order, that
+    share a word with a question.
+
+    ``mistakes``: id, at, content; ``asked``: question, content.  The mistakes are a
+    bounded list, which is sent to all questions.
+    """
+    own = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != ""))
+    last = mistakes.orderBy(F.desc("at"), F.desc("id")).limit(newest)
+    held = last.agg(F.array_sort(F.collect_list(F.struct("at", "id", own(F.col("content")).alias("w")))).alias("m"))
+    words = own(F.col("content"))
+    met = F.slice(F.filter("m", lambda x: F.arrays_overlap(x["w"], F.col("w"))), 1, limit)
+    found = asked.select("question", words.alias("w")).crossJoin(F.broadcast(held)).select("question", F.posexplode(met).alias("k", "x"))
+    return found.select("question", F.col("x.id").alias("mistake"), (F.col("k") + 1).alias("rank"))
+
+
+def concatenated(query: str, working: DataFrame, stored: DataFrame, linked: DataFrame) -> DataFrame:
+    """(tier, id): what each tier finds, one after the other, repeats kept.
+
+    Working and stored rows hold the query; linked ones have one of its words over
+    two letters as a tag, once for each.
+    """
+    low = query.lower()
+    held = lambda df, tier: df.filter(F.lower("content").contains(low)).select(F.lit(tier).alias("tier"), "id")
+    words = F.array(*[F.lit(w) for w in low.split() if len(w) > 2]).cast("array<string>")
+    tagged = linked.select("id", F.explode(words).alias("word"), "tags").filter(F.array_contains(F.transform("tags", lambda t: F.lower(t)), F.col("word")))
+    return held(working, "working").unionByName(held(stored, "stored")).unionByName(tagged.select(F.lit("graph").alias("tier"), "id"))
+
+
+class StoredIndex:
+    """A written inverted index: postings by bucket of term, and the corpus's totals.
+
+    A query reads its terms' buckets only, and of them the row groups that hold its
+    terms.  ``build`` replaces what is there.
+    """
+
+    BUCKETS = 64
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    def build(self, docs: DataFrame, text_col: str = "content") -> StoredIndex:
+        t = docs.select("id", terms(F.col(text_col)).alias("t")).withColumn("dl", F.size("t").cast("double"))
+        each = t.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").cast("double").alias("tf"))
+        posted = each.withColumn("bucket", self._bucket(F.col("term")))
+        # frequent buckets are split by id, so that no task writes a term alone
+        posted.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/postings")
+        t.agg(F.count("*").cast("double").alias("n_all"), F.avg("dl").alias("mean")).write.mode("overwrite").parquet(f"{self.root}/totals")
+        return self
+
+    def _bucket(self, term: Column) -> Column:
+        return F.pmod(F.crc32(term), F.lit(self.BUCKETS)).cast("int")
+
+    def search(self, query: str, limit: int, live: DataFrame | None = None) -> DataFrame:
+        """As ``bm25``."""
+        asked = self.spark.createDataFrame([(query,)], "q string").select(F.explode(F.array_distinct(terms(F.col("q")))).alias("term"))
+        wanted = asked.select("term", self._bucket(F.col("term")).alias("bucket")).collect()
+        posted = self.spark.read.parquet(f"{self.root}/postings").filter(F.col("bucket").isin([r["bucket"] for r in wanted]) & F.col("term").isin([r["term"] for r in wanted]))
+        held = posted.groupBy("term").agg(F.count("*").cast("double").alias("n"))
+        rows = posted.join(F.broadcast(held), "term").crossJoin(F.broadcast(self.spark.read.parquet(f"{self.root}/totals")))
+        idf = F.ln((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+        part = F.when(idf > 0, idf).otherwise(1e-6) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+        out = rows.groupBy("id").agg(F.sum(part).alias("bm25"))
+        if live is not None:
+            out = out.join(live.select("id"), "id", "left_semi")
+        return out.orderBy(F.desc(F.round("bm25", 9)), "id").limit(limit).withColumn("score", F.lit(1.0))

@@ -193,3 +193,24 @@ def sections(items: DataFrame, shares: dict[str, float], budget: int) -> DataFra
         kept = greedy_lines(F.transform("x", lambda v: v["tokens"]), int(part * budget))
         out.append(own.select("section", F.explode(F.transform(kept, lambda k: F.get("x", k)["id"])).alias("id")))
     return reduce(lambda a, b: a.unionByName(b), out)
+
+
+def without_reports(lists: dict[str, DataFrame], filtered: bool = True, text_col: str = "content") -> DataFrame:
+    """Rows of all lists (each cut to its limit before) under ``list``, without
+    automated reports unless ``filtered`` is off."""
+    every = reduce(lambda a, b: a.unionByName(b), [df.withColumn("list", F.lit(name)) for name, df in lists.items()])
+    return every.filter(~tx.is_report(F.col(text_col))) if filtered else every
+
+
+def investigated(tasks: DataFrame, memories: DataFrame, words: tuple[str, ...], marker: str, text_col: str = "content") -> DataFrame:
+    """(name, done): whether a memory later than a task names its entity ('_' as a
+    space), holds one of the words and isn't a task itself.
+
+    ``tasks`` (name, at) are a bounded list, sent to all memories.
+    """
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    found = memories.filter(reduce(lambda a, b: a | b, [low.contains(w) for w in words]) & ~F.col(text_col).contains(marker)).select(low.alias("low"), "created_at")
+    named = F.regexp_replace(F.col("name"), "_", " ").alias("name")
+    t = F.broadcast(tasks.select(named, "at"))
+    hit = found.join(t, (F.col("created_at") > F.col("at")) & F.col("low").contains(F.col("name"))).select("name").distinct().withColumn("hit", F.lit(True))
+    return tasks.select(named).join(hit, "name", "left").select("name", F.coalesce("hit", F.lit(False)).alias("done"))

@@ -75,3 +75,32 @@ def tiers(memories: DataFrame, now: float, working: int = 50) -> DataFrame:
     first = memories.select("id", "created_at", long_.alias("long"))
     stay = first.filter("NOT long").orderBy(F.desc("created_at"), "id").limit(working).select("id", F.lit(True).alias("stay"))
     return first.join(stay, "id", "left").select("id", F.when(F.col("stay"), "WORKING").otherwise("LONG").alias("tier"))
+
+
+def context_summary(messages: DataFrame, verified: DataFrame, pending: DataFrame, now: float) -> DataFrame:
+    """One row: messages, verified entities, open contradictions, and what each
+    speaker said in the last day, as name:count in order."""
+    by = speakers(messages, now).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "speaker", F.col("n").cast("string")))), ",").alias("recent"))
+    return stats(total=messages, verified=verified, pending=pending).crossJoin(by)
+
+
+def speakers(messages: DataFrame, now: float, hours: float = 24) -> DataFrame:
+    """(speaker, n): messages of the last hours."""
+    return messages.filter(F.col("created_at") > now - hours * 3600).groupBy("speaker").agg(F.count("*").alias("n"))
+
+
+def hook_metrics(calls: DataFrame) -> DataFrame:
+    """(event, handlers_run, total_duration_ms, errors) of hook calls; a handler that
+    failed isn't counted as run, nor is its time.
+
+    ``calls``: event, duration_ms, error (null when it went well).
+    """
+    ok = F.col("error").isNull()
+    return calls.groupBy("event").agg(F.count_if(ok).alias("handlers_run"), F.coalesce(F.sum(F.when(ok, F.col("duration_ms"))), F.lit(0.0)).alias("total_duration_ms"), F.count_if(~ok).alias("errors"))
+
+
+def request_stats(requests: DataFrame) -> DataFrame:
+    """One row: total, detected, detection_rate of requests with ``detected``."""
+    n = F.count("*")
+    hit = F.count_if("detected")
+    return requests.agg(n.alias("total"), hit.alias("detected"), F.when(n > 0, hit / n).otherwise(0.0).alias("detection_rate"))

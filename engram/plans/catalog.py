@@ -13,6 +13,7 @@ from ..functions.vectors import HashingEmbedder, cosine
 from ..operators import evaluation, graph, knowledge, lexical, recall, sessions, stats, temporal
 from ..sources import views
 from ..sources.views import NOW, T0
+from ..storage import fresh_folder
 from . import context, engines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -297,8 +298,25 @@ d AS (SELECT term, count(*)::DOUBLE AS n FROM c WHERE c > 0 GROUP BY term),
 bm AS (SELECT id, sum(CASE WHEN ln((n_all - n + 0.5) / (n + 0.5)) > 0 THEN ln((n_all - n + 0.5) / (n + 0.5)) ELSE 1e-6 END * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * dl / mean))) AS bm25 FROM c JOIN d USING (term), n WHERE c > 0 GROUP BY id)"""
 
 
+_INDEXES: dict[tuple[str, str], lexical.StoredIndex] = {}
+
+
+def _index(spark, sf) -> lexical.StoredIndex:
+    """The written index of the documents, built by the first query that needs it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        m = views.memories(spark, sf).select("id", "content")
+        _INDEXES[key] = lexical.StoredIndex(spark, fresh_folder(spark, "lexical")).build(m)
+    return _INDEXES[key]
+
+
 @query("lexical_bm25", f"{_BM} SELECT id, round(bm25, 6) AS bm25, 1.0::DOUBLE AS score FROM bm ORDER BY round(bm.bm25, 9) DESC, id LIMIT 30")
 def lexical_bm25(spark, sf):
+    return _index(spark, sf).search(_Q, 30).withColumn("bm25", F.round("bm25", 6))
+
+
+@query("lexical_bm25_scan", f"{_BM} SELECT id, round(bm25, 6) AS bm25, 1.0::DOUBLE AS score FROM bm ORDER BY round(bm.bm25, 9) DESC, id LIMIT 30")
+def lexical_bm25_scan(spark, sf):
     return lexical.bm25(views.memories(spark, sf), _Q, 30).withColumn("bm25", F.round("bm25", 6))
 
 
@@ -310,7 +328,7 @@ def hybrid_rrf(spark, sf):
     v = views.vectors(spark, sf).withColumn("id", F.col("id").cast("string"))
     near = recall.nearest(v, v.filter("id = '0'").select(F.col("embedding").alias("q")), 50)
     sem = lexical.ranked(near, F.desc(F.round("score", 9)), F.col("id"))
-    lex = lexical.ranked(lexical.bm25(views.memories(spark, sf), _Q, 50), F.desc(F.round("bm25", 9)), F.col("id"))
+    lex = lexical.ranked(_index(spark, sf).search(_Q, 50), F.desc(F.round("bm25", 9)), F.col("id"))
     return lexical.fuse([sem, lex], 10).withColumn("score", F.round("score", 9))
 
 
@@ -852,15 +870,6 @@ def self_phrases(spark, sf):
     return c.select("conv_id", "turn", F.array_join(phrases(said), ",").alias("phrases"))
 
 
-@query("corrections", "SELECT conv_id, turn, CASE WHEN conv_id % 6 = 0 THEN lower(substr('Actually, ' || text, 1, 109)) END AS context FROM conversations")
-def corrections(spark, sf):
-    from ..functions.classify import correction
-
-    c = views.table(spark, sf, "conversations")
-    said = F.when(F.col("conv_id") % 6 == 0, F.concat(F.lit("Actually, "), "text")).otherwise(F.col("text"))
-    return c.select("conv_id", "turn", correction(said).alias("context"))
-
-
 @query("hash_sample", "SELECT doc_id FROM documents WHERE ('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT < 0.25 * 4294967296")
 def hash_sample(spark, sf):
     from ..functions.classify import sampled

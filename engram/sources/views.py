@@ -13,13 +13,28 @@ from pyspark.sql import functions as F
 T0, NOW = 1704067200, 1706659200
 
 
+#: A table of fewer scan partitions than this, and than there are cores, is dealt out.
+FEW = 64
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where a scan is too small for them.
+
+    A file of one row group is one task, however dear its texts are.  At most FEW
+    scan partitions are dealt anew, so a large table is never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    wanted = min(cores, FEW)
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, content, tags, source, importance, created_at."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select(
         F.col("doc_id").cast("string").alias("id"),
         F.col("text").alias("content"),
@@ -32,7 +47,7 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``memories`` in which some contents open as noise, reports or injections do."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     n, t = F.col("doc_id"), F.col("text")
     content = (
         F.when(n % 17 == 0, F.concat(F.lit("exec host = sandbox: "), t))

@@ -29,11 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL[0]
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder of this application's in the shared one, not yet there."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{shared_dir(spark)}/{app}/{name}-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, name)
     df.write.parquet(path)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
