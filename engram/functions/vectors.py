@@ -70,15 +70,30 @@ class Embedder(Protocol):
 _WORD = regex.compile(r"\w+")
 
 
+#: Hashes of words and pairs that a worker remembers; then it starts anew.
+_SEEN: dict[str, int] = {}
+MOST_SEEN = 1_000_000
+
+
+def _hashed(gram: str) -> int:
+    """The first 32 bits of a gram's digest, with the next bit as sign on top."""
+    found = _SEEN.get(gram)
+    if found is None:
+        raw = hashlib.blake2b(gram.encode(), digest_size=8).digest()
+        found = int.from_bytes(raw[:4], "little") | (raw[4] & 1) << 32
+        if len(_SEEN) >= MOST_SEEN:
+            _SEEN.clear()
+        _SEEN[gram] = found
+    return found
+
+
 def hash_vector(text: str | None, dims: int) -> np.ndarray:
     """Signed feature hashing of words and word pairs, unit length."""
     found = _WORD.findall((text or "").lower())
-    grams = found + ["_".join(pair) for pair in zip(found, found[1:])]
     out = np.zeros(dims)
-    if grams:
-        raw = np.frombuffer(b"".join(hashlib.blake2b(g.encode(), digest_size=8).digest() for g in grams), dtype=np.uint8).reshape(-1, 8)
-        at = raw[:, :4].copy().view("<u4").ravel() % dims
-        np.add.at(out, at, np.where(raw[:, 4] & 1, -1.0, 1.0))
+    if found:
+        h = np.array([*map(_hashed, found), *map(_hashed, map("_".join, zip(found, found[1:])))], dtype=np.int64)
+        out = np.bincount((h & 0xFFFFFFFF) % dims, weights=1.0 - 2.0 * (h >> 32), minlength=dims)
         length = np.linalg.norm(out)
         if length:
             out /= length

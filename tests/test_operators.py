@@ -82,13 +82,114 @@ def test_hash_vectors_match_plain_python(spark):
         assert e == pytest.approx(plain(t, 64))
 
 
-def test_approximate_recall(spark, sf):
+def test_approximate_recall(spark, sf, tmp_path):
     v = views.vectors(spark, sf)
     q = v.filter("id % 100 = 0")
-    got = recall.overlap_at_k(recall.nearest_each(v, q, 10), recall.nearest_approx(v, q, 10))
+    index = recall.VectorIndex(spark, str(tmp_path), 64, "test")
+    with pytest.raises(RuntimeError):
+        index.codes()
+    assert index.sync(v, v.select(F.col("id").alias("seq"), "id"))["rebuild"]
+    got = recall.overlap_at_k(recall.nearest_each(v, q, 10), recall.nearest_approx(index, v, q, 10))
     assert got.agg(F.avg("recall")).first()[0] >= 0.9
 
 
+def test_index_follows_its_journal(spark, tmp_path):
+    one = lambda k, x, y: (k, [x, y])
+    frame = lambda rows: spark.createDataFrame(rows, "id long, embedding array<double>")
+    journal = lambda ids: spark.createDataFrame(list(enumerate(ids, 1)), "seq long, id long")
+    q = frame([one(9, 1.0, 0.0)])
+    index = recall.VectorIndex(spark, str(tmp_path), 2, "a")
+    v = frame([one(1, 1.0, 0.0), one(2, 0.9, 0.5), one(3, 0.0, 1.0)])
+    assert index.sync(v, journal([1, 2, 3])) == {"rebuild": True, "changed": 3, "checkpoint": 3}
+    assert index.sync(v, journal([1, 2, 3])) == {"rebuild": False, "changed": 0, "checkpoint": 3}
+    # 1 goes, 3 turns towards the query; a fresh object finds the checkpoint
+    v = frame([one(2, 0.9, 0.5), one(3, 1.0, 0.1)])
+    index = recall.VectorIndex(spark, str(tmp_path), 2, "a")
+    assert index.sync(v, journal([1, 2, 3, 1, 3])) == {"rebuild": False, "changed": 2, "checkpoint": 5}
+    assert [r["id"] for r in recall.nearest_approx(index, v, q, 5).orderBy("rank").collect()] == [3, 2]
+    assert index.sync(v, journal([1]))["rebuild"] and index.sync(v, journal([1, 2]))["rebuild"] is False
+    assert recall.VectorIndex(spark, str(tmp_path), 2, "b").sync(v, journal([1]))["rebuild"]
+    for bad in ([0.0, 0.0], [1.0], [float("nan"), 1.0]):
+        with pytest.raises(Exception, match="vectors must"):
+            recall.VectorIndex(spark, str(tmp_path / "bad"), 2, "a").sync(frame([(1, bad)]), journal([1]))
+
+
+def test_stored_index_equals_a_scan(spark, tmp_path):
+    texts = ["the green tea of Lima", "Green, green TEA", "café au lait", None, "", "nothing here"]
+    docs = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "id string, content string")
+    index = lexical.StoredIndex(spark, str(tmp_path)).build(docs)
+    for q in ("green tea", "cafe", "tea tea nothing", "absent", ""):
+        assert rows(index.search(q, 10)) == rows(lexical.bm25(docs, q, 10))
+    live = docs.filter("id != '0'")
+    assert [r[0] for r in rows(index.search("green", 10, live))] == ["1"]
+
+
+def test_small_scans_are_dealt_over_the_cores(spark):
+    one = spark.range(10).coalesce(1)
+    assert views.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(0, 100, 1, views.FEW)
+    assert views.spread(many).rdd.getNumPartitions() == views.FEW
+
+
+def test_tables_are_released(spark):
+    from engram import storage
+
+    a = storage.durable(spark.range(3), "kept")
+    mark = storage.written()
+    b, c = storage.durable(spark.range(4), "gone"), storage.durable(spark.range(5), "stays")
+    storage.release_since(mark, keep=c)
+    assert a.count() == 3 and c.count() == 5
+    with pytest.raises(Exception):
+        b.count()
+    storage.release(a)
+    storage.release(c)
+    assert storage.written() == mark - 1
+
+
+def test_paths_of_equal_length_and_none(spark):
+    e = spark.createDataFrame([("a", "c"), ("a", "b"), ("b", "d"), ("c", "d"), ("x", "y")], "source string, target string")
+    path = lambda *x: [r["name"] for r in graph.shortest_path(e, *x).orderBy("step").collect()]
+    assert path("a", "d") == ["a", "b", "d"] and path("d", "a") == ["d", "b", "a"]
+    assert path("a", "a") == ["a"] and path("a", "y") == [] and path("a", "d", 1) == []
+
+
+def test_graph_match_falls_back_to_nodes(spark):
+    e = spark.createDataFrame([("Ana Luz", "Lima", 2.0)], "source string, target string, weight double")
+    n = spark.createDataFrame([("Luzern", 1.0), ("Lugano", 9.0)], "name string, importance double")
+    assert [r["kind"] for r in graph.match(e, n, "of lima", 5).collect()] == ["link"]
+    assert rows(graph.match(e, n, "the lugano", 5).select("kind", "name")) == [("node", "Lugano")]
+
+
+def test_corrections_keep_case(spark):
+    from engram.functions.classify import correction
+
+    df = spark.createDataFrame([("x" * 60 + "  No, ES Lima, not QUITO  ",), ("fine",), (None,)], "t string")
+    got = [r[0] for r in df.select(correction(F.col("t"))).collect()]
+    assert got == ["x" * 48 + "  No, ES Lima, not QUITO", None, None]
+
+
+def test_prompt_block_keeps_the_order_of_sections(spark):
+    lines = spark.createDataFrame([("memory", 1, "m" * 40), ("immediate", 1, "q" * 9000), ("recent", 1, "r"), ("other", 1, "no")], "section string, rank int, line string")
+    packed = {r["section"]: r for r in context.packed_sections(lines, "reply_fast").collect()}
+    assert packed["immediate"]["kept"] == 1 and packed["memory"]["used"] == 11 and "other" not in packed
+    block = context.prompt_block(context.packed_sections(lines, "unknown mode")).first()[0]
+    assert block.index("CONSULTA") < block.index("RECIENTE") < block.index("RELEVANTE") and block.endswith("</memory>")
+
+
+def test_outbox_stops_at_a_mismatch(spark):
+    from engram.operators import outbox
+
+    jobs = spark.createDataFrame([("a", "v1", "upsert", 1), ("b", "old", "upsert", 2), ("c", "v1", "delete", 3)], "id string, version string, operation string, updated_at long")
+    live = spark.createDataFrame([("a", "v1", False), ("b", "v2", False), ("c", "v1", True)], "id string, version string, deleted boolean")
+    done = outbox.judged(jobs, live)
+    assert sorted(rows(done.select("id", "outcome"))) == [("a", "done"), ("b", "mismatch"), ("c", "waits")]
+    had = spark.createDataFrame([("a", "was"), ("c", "was")], "id string, state string")
+    fresh = live.select("id", F.col("version").alias("state"))
+    once = outbox.replayed(done, had, fresh)
+    assert sorted(rows(once)) == [("a", "v1"), ("c", "was")] and sorted(rows(outbox.replayed(done, once, fresh))) == sorted(rows(once))
+    assert [r["id"] for r in outbox.pending(outbox.left_over(done)).collect()] == ["b", "c"]
+
+
 def test_recent_bound_is_inclusive(spark):
     df = spark.createDataFrame([("a", 100.0, ["x"]), ("b", 99.0, ["x"]), ("c", 200.0, ["y"])], "id string, created_at double, tags array<string>")
     assert [r["id"] for r in recall.recent(df, 3700.0, 1.0, 5).collect()] == ["c", "a"]
