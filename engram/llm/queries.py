@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.views import spread
 from .best_fit_packing import pack
 from .exact_dedup import exact_groups
 from .language_id import identify
@@ -20,8 +21,7 @@ from .source_mixing import mix
 
 
 def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return table.select(*columns) if columns else table
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_boilerplate(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return drop_boilerplate(spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
