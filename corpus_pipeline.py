@@ -18,6 +18,7 @@ from engram.llm.quality_rules import keep_good
 from engram.llm.queries import tokenizer_path
 from engram.llm.source_mixing import repeat_rows
 from engram.llm.storage import durable, release_since, written
+from engram.sources.views import spread
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents; a stage's tables go once it is written."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     begin = written()
     for name, stage in STAGES:
         docs = durable(stage(spark, docs, sf_dir), name.replace(" ", "-"))
