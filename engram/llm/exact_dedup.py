@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bytesets import mix
@@ -242,10 +243,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs`` that stay, one of each text, with all their columns.
 
     A row goes or stays by its own id and text: another row with its id is no
-    concern.  Of rows that repeat an id and its text one stays.
+    concern.  Of several rows with the largest id (or without any) one stays.
     """
-    copied = _judged(docs, id_col, text_col, OWNER_ROWS).filter("group_size > 1")
-    each = copied.groupBy("row").agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("stays"), F.count("*").alias("k"))
-    # what stays and stands there once needs no verdict
-    verdicts = durable(each.filter("NOT stays OR k > 1").select("row", F.col("stays").alias("once")), "verdicts")
-    return without(docs, row_hash(id_col, text_col), verdicts)
+    copied = durable(_judged(docs, id_col, text_col, OWNER_ROWS).filter("group_size > 1").select("doc_id", "row", "keep_id", "text_sha256"), "copied")
+    first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    gone = copied.filter(~first).select("row", F.lit(False).alias("once")).distinct()
+    # the rows under the largest id: one in most groups, which needs no verdict
+    each = copied.filter(first).groupBy("text_sha256", "row").agg(F.count("*").alias("k"))
+    each = each.withColumn("once", F.col("row") == F.min("row").over(W.partitionBy("text_sha256"))).filter("NOT once OR k > 1")
+    return without(docs, row_hash(id_col, text_col), durable(gone.unionByName(each.select("row", "once")), "verdicts"))
