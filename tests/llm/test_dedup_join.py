@@ -1,8 +1,10 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -43,6 +45,39 @@ def test_exact_groups_with_many_owners(spark, sf):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_rows_go_by_id_and_text(spark):
+    rows = [(5, "copied text"), (9, "copied text"), (5, "only here"), (7, "same row"), (7, "same row"), (None, "no id"), (None, "No Id"), (1, ""), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r[0], low(r[1])) for r in drop_copies(df).collect()), key=str)
+    assert kept == sorted([(9, "copied text"), (5, "only here"), (7, "same row"), (None, "no id"), (2, "")], key=str)
+    long_ = " ".join(f"w{k}" for k in range(60))
+    rows = [(4, long_), (4, long_ + " x"), (8, long_ + " y"), (4, "another text under this id, not like it"), (6, "one one"), (6, "one one"), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r[0], r[1][:7]) for r in join.one_of_each(df).collect())
+    assert kept == [(3, ""), (4, "another"), (4, "w0 w1 w"), (6, "one one")]
+
+
+def test_messages_and_answers_against_brute_force():
+    from engram.llm import exact_dedup as ed
+
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**63, 400, dtype=np.uint64) * np.uint64(2)
+    blocks = [rng.choice(pool, 150) for _ in range(4)]
+    for owners, shift in ((1, 0), (7, 20), (4, 52)):
+        starts = [-(-o * (1 << 24) // owners) << 40 for o in range(owners)]
+        count = Counter(int(x) >> shift for b in blocks for x in b)
+        for o in range(owners):
+            end = starts[o + 1] if o + 1 < owners else 1 << 64
+            sent = []
+            for k, b in enumerate(blocks):
+                d, c = np.unique(b[[starts[o] <= int(x) < end for x in b]], return_counts=True)
+                sent.append((f"{k}", o, ed.rice_encode((d >> np.uint64(shift)) - np.uint64(starts[o] >> shift)), np.packbits(c > 1).tobytes(), d))
+            table = pa.table({"block": [x[0] for x in sent], "owner": [o] * 4, "code": [x[2] for x in sent], "repeated": [x[3] for x in sent]})
+            for x, marks in zip(sent, ed._answer(table).column("marks").to_pylist()):
+                flags = np.unpackbits(np.frombuffer(marks, dtype=np.uint8), count=len(x[4])).astype(bool)
+                assert flags.tolist() == [count[int(v) >> shift] > 1 for v in x[4]]
+
+
 def test_empty_tables(no_docs):
     assert exact_groups(no_docs).count() == 0
     assert join.near_components(no_docs).count() == 0
@@ -57,7 +92,7 @@ def shingles(t):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def brute(docs):
+def brute(docs, in_order=False):
     sets = [shingles(t) for _, t in docs]
     parent = list(range(len(docs)))
 
@@ -72,7 +107,8 @@ def brute(docs):
     ids = {}
     for k, (d, _) in enumerate(docs):
         ids[root(k)] = min(ids.get(root(k), d), d)
-    return {(d, len(s), ids[root(k)]) for k, ((d, _), s) in enumerate(zip(docs, sets))}
+    out = [(d, len(s), ids[root(k)]) for k, ((d, _), s) in enumerate(zip(docs, sets))]
+    return out if in_order else set(out)
 
 
 @pytest.mark.parametrize("seed", [1, 2])

@@ -1,32 +1,142 @@
+"""The pipeline on a small corpus with everything odd in it, against plain Python."""
+
+import random
+import re
+import zlib
 from collections import Counter
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from test_dedup_join import brute, low
+from test_rules_packing_mixing import targets
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from engram.llm.best_fit_packing import pack
-from engram.llm.exact_dedup import exact_groups
-from engram.llm.ngram_jaccard_join import near_components
-from engram.llm.quality_rules import quality_rules
 from engram.llm.queries import tokenizer_path
-from engram.llm.source_mixing import mix
-
-
-def test_stages_take_effect(spark, sf):
-    """Each stage holds what its operator decided on the stage's own input."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    names = docs.columns
-    ids = lambda df: Counter(r["doc_id"] for r in df.select("doc_id").collect())
-    seen = [docs]
-    for _, stage in corpus_pipeline.STAGES:
-        seen.append(stage(spark, seen[-1], sf).persist())
-    for k, df in enumerate(seen[1:-1]):
-        assert df.columns == names, k
-    assert ids(seen[1]) == ids(quality_rules(docs).filter("kept"))
-    assert ids(seen[2]) == ids(exact_groups(seen[1]).filter("kept"))
-    assert ids(seen[3]) == ids(near_components(seen[2]).filter("doc_id = component_id"))
-    want = {r["doc_id"]: r["copies"] for r in mix(seen[3]).collect() if r["copies"]}
-    assert ids(seen[4]) == Counter(want)
-    assert sorted(r["ids_crc32"] for r in seen[5].collect()) == sorted(r["ids_crc32"] for r in pack(seen[4], tokenizer_path()).collect())
-
-
-def test_run_gives_sequences(spark, sf):
-    out = corpus_pipeline.run(spark, sf)
-    assert out.groupBy("sequence_id").agg({"length": "sum"}).agg({"sum(length)": "max"}).first()[0] <= 4096
+from engram.llm.quality_rules import STOP_WORDS
+
+
+def corpus():
+    rng = random.Random(12)
+    vocab = [f"{a}{b}" for a in "bcdfgl" for b in ("ana", "oro", "ite", "upe", "ela")] + STOP_WORDS[:12]
+    text = lambda n: " ".join(rng.choices(vocab, k=n))
+    rows, n = [], 0
+    for k in range(30):
+        base = text(rng.randrange(60, 160)).split()
+        source = rng.choice(["a", "a", "a", "b", "c", None])
+        for copy in range(rng.choice([1, 1, 2, 4])):
+            own = list(base)
+            if copy % 2:
+                own[rng.randrange(len(own))] = f"new{n}"
+            rows.append((n, " ".join(own), "en", source))
+            n += 1
+    again = rows[3][1]
+    rows += [
+        (n, None, "en", "a"), (n + 1, "", "en", "a"), (n + 2, "too short", "fr", "b"), (n + 3, "x " * 400, "en", "b"), (n + 4, again.upper(), "en", "c"),
+        # ids that repeat: with equal rows, with another text, with a near copy; no id
+        (n + 5, text(80), "en", "a"), (3, text(90), "en", "b"), (n + 6, again + " tail", "en", "c"), (n + 6, again + " other", "en", "c"), (None, text(70), "en", "b"),
+        (n + 7, "word " + text(30_000), "en", "a"),
+    ]
+    rows.append(rows[-6])
+    rng.shuffle(rows)
+    return rows
+
+
+def good(text):
+    w = re.findall(r"[^\x20\x09-\x0d]+", text or "")
+    if len(w) < 50:
+        return False
+    grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+    count = Counter(grams)
+    hit = {k + d for k, g in enumerate(grams) if count[g] > 1 for d in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0d]", x)]
+    n = len(w)
+    rules = [
+        100 * len(hit) <= 50 * n, 2 <= sum(map(len, w)) / n <= 12, len(re.findall(r"[#*$%&|<>]", text)) / n <= 0.2, text.count("!") / n <= 0.2,
+        sum(low(x) in STOP_WORDS for x in w) / n >= 0.01, (len(lines) - len(set(lines))) / max(1, len(lines)) <= 0.4,
+    ]
+    return all(rules)
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("corpus"))
+    df = spark.createDataFrame(corpus(), "doc_id long, text string, lang string, source string")
+    # columns that clash with names used inside
+    df = df.withColumns({"row": F.lit(1), "once": F.lit("x"), "size": F.lit("s"), "copies": F.lit(None).cast("int"), "kept": F.lit(True), "__doc": F.lit("d")})
+    df.write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+def test_stages_against_brute_force(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    from engram.llm.storage import durable
+
+    def run(name, df):
+        out = durable(stages[name](spark, df, folder), "test")
+        rows = [tuple(r[c] for c in ("doc_id", "text", "lang", "source")) for r in out.collect()] if "text" in out.columns else out.collect()
+        assert name == "packing" or out.columns == docs.columns
+        return out, rows
+
+    key = lambda rows: Counter((r[0], r[1]) for r in rows)
+    rows = [tuple(r[c] for c in ("doc_id", "text", "lang", "source")) for r in docs.collect()]
+    docs, got = run("quality rules", docs)
+    rows = [r for r in rows if good(r[1])]
+    assert key(got) == key(rows)
+
+    docs, got = run("exact dedup", docs)
+    best = {}
+    for r in rows:
+        best[low(r[1])] = max(best.get(low(r[1]), (-1,)), (-1 if r[0] is None else r[0], r[1]))
+    assert Counter(low(r[1]) for r in got) == Counter(list(best)) and all((-1 if r[0] is None else r[0]) == best[low(r[1])][0] for r in got)
+    rows = got
+
+    docs, got = run("near copies", docs)
+    groups = {}
+    for (_, _, root), r in zip(brute([(k, r[1]) for k, r in enumerate(rows)], in_order=True), rows):
+        groups.setdefault(root, []).append(r)
+    least = lambda rs: min((r[0] is None, r[0] or 0) for r in rs)
+    assert len(got) == len(groups)
+    left = key(got)
+    for own in groups.values():
+        assert sum(left[(r[0], r[1])] for r in own if (r[0] is None, r[0] or 0) == least(own)) == 1
+    rows = got
+
+    docs, got = run("source mixing", docs)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0d]+", t))
+    sizes, taken = Counter(), Counter()
+    for r in rows:
+        sizes[r[3]] += size(r[1])
+    for r in got:
+        taken[r[3]] += size(r[1])
+    assert set(key(got)) <= set(key(rows)) and max(key(got).values()) <= 3
+    want = targets(dict(sizes))
+    biggest = max(size(r[1]) for r in rows)
+    assert all(abs(taken[s] - want[s]) <= biggest / 2 + 1 for s in want)
+    rows = got
+
+    docs, got = run("packing", docs)
+    full = Tokenizer.from_file(str(tokenizer_path()))
+    ids = Counter()
+    for r in rows:
+        raw = np.array(full.encode(r[1], add_special_tokens=False).ids + [1], dtype="<u4")
+        ids.update((r[0], k // 4096, zlib.crc32(raw[k : k + 4096].tobytes())) for k in range(0, len(raw), 4096))
+    assert Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in got) == ids
+    fill = Counter()
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == fill[r["sequence_id"]]
+        fill[r["sequence_id"]] += r["length"]
+    assert max(fill.values()) <= 4096 and len(fill) <= -(-sum(fill.values()) // 4096) * 1.1 + 1
+
+
+def test_run_is_its_stages(spark, folder):
+    out = corpus_pipeline.run(spark, folder)
+    assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 4096
+    assert set(out.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
+
+
+def test_an_empty_table_stays_empty(spark, no_docs, tmp_path):
+    no_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from engram.llm import pii_surrogates as pii
@@ -49,6 +50,73 @@ def test_random_tokens_are_found(spark):
     assert sum(got[100 + k] != "" for k in range(60)) <= 6
 
 
+ALPHABETS = {
+    "hex": (r"[0-9a-f]+", "0123456789abcdef"), "base32": (r"[A-Z2-7]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), "base36": (r"[0-9a-z]+", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    "base58": (r"[1-9A-HJ-NP-Za-km-z]+", "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"),
+    "base64url": (r"[A-Za-z0-9_-]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"), "base64": (r".+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+}
+
+
+def tail_of(z):
+    y = max(min(z, 8.0), -8.0)
+    return 1 / (1 + math.exp(1.5976 * y + 0.07056 * y**3))
+
+
+def tested(token):
+    """(encoding, length, p of the battery, p of text) in plain Python."""
+    single = token in (token.lower(), token.upper())
+    for name, (form, alphabet) in ALPHABETS.items():
+        t = token.lower() if name in ("hex", "base36") else token if name == "base58" else token.rstrip("=")
+        if re.fullmatch(form, t) and (single or name not in ("hex", "base36")):
+            break
+    t = t.translate(str.maketrans("-_=", "+/ ")).replace(" ", "") if name == "base64" else t
+    c, a, n = [alphabet.index(x) for x in t], len(alphabet), len(t)
+    squares = sum(v * v for v in Counter(c).values())
+    chi = a / n * squares - n
+    chi_z = (chi - (a - 1)) / math.sqrt(2 * (a - 1) * (n - 1) / n)
+    same = max(0.065, 2 / a)
+    usual = n * (n - 1) / 2
+    wide = usual * (same - same * same) + n * (n - 1) * (n - 2) * 0.28 * same * same
+    text_p = tail_of((usual * same - (squares - n) / 2) / math.sqrt(wide))
+    up = [x > (a - 1) / 2 for x in c]
+    runs, both = 1 + sum(x != y for x, y in zip(up, up[1:])), 2 * sum(up) * (n - sum(up))
+    runs_z = (runs - (both / n + 1)) / math.sqrt(max(both * (both - n) / (n * n * (n - 1)), 1e-9)) if both else math.sqrt(n)
+    mean = sum(c) / n
+    var = sum((x - mean) ** 2 for x in c)
+    serial = sum((x - mean) * (y - mean) for x, y in zip(c, c[1:])) / var * math.sqrt(n) + 1 / math.sqrt(n) if var else math.sqrt(n)
+    z = (((max(chi_z, 0) ** 2 + runs_z**2 + serial**2) / 3) ** (1 / 3) - (1 - 2 / 27)) / math.sqrt(2 / 27)
+    return name, n, tail_of(z), text_p
+
+
+def test_random_spans_against_brute_force(spark):
+    rng = random.Random(8)
+    words = ["the", "quick", "brown", "tower", "planet", "Garden", "letter", "Number", "1999", "42"]
+    made = []
+    for k in range(150):
+        kind = rng.choice([*ALPHABETS, "text", "text", "text"])
+        chars = "".join(rng.choice(words) for _ in range(9)) if kind == "text" else "".join(rng.choices(ALPHABETS[kind][1], k=rng.randrange(20, 90)))
+        made.append((k, f"é {chars} end"))
+    tokens = {(k, m.start(), m.end()): m[0] for k, t in made for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])}
+    stats_ = {t: tested(t) for t in tokens.values()}
+    mean = {e: np.mean([n for x, n, _, _ in stats_.values() if x == e]) for e in {x[0] for x in stats_.values()}}
+    weighted = {t: min(1.0, (tp if p >= 0.01 else 1.0) * mean[e] / n) for t, (e, n, p, tp) in stats_.items()}
+    bins = {t: min(math.floor(-math.log10(max(w, 1e-30)) * 20), 400) for t, w in weighted.items()}
+    level = min((b for b in bins.values() if 10 ** (-b / 20) * len(bins) <= 0.05 * sum(x >= b for x in bins.values())), default=401)
+    want = {}
+    for (k, a, b), t in tokens.items():
+        if bins[t] >= level and not any(a < int(e) and int(s) < b for s, e in (x.split(":")[1:] for x in secrets(dict(made)[k]))):
+            want[k] = f"random:{a}:{b}"
+    got = {r["doc_id"]: [x for x in r["spans"].split(",") if x.startswith("random")] for r in scan(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert {k: v[0] for k, v in got.items() if v} == want and len(want) > 30
+    assert not any("the" in tokens[(k, *map(int, v.split(":")[1:]))] and "brown" in dict(made)[k] for k, v in want.items())
+
+
+def test_a_text_of_very_many_matches_ends(spark):
+    n = 40_000
+    df = spark.createDataFrame([(1, "deadbeefdeadbeefdeadbeefdeadbeef " * n)], "doc_id long, text string")
+    assert scan(df).first()["n_hex"] == n
+
+
 def test_licenses_against_brute_force(spark, sf, odd_docs, no_docs):
     phrases = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
     made = [(500, "MIT-License; the GNU General public LICENSE"), (501, "mité license mit license")]
