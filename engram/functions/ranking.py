@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Ranges into which the key is cut.
+#: The least number of ranges into which the key is cut; each scan partition gives one.
 RANGES = 32
 
 
-def global_rank(df: DataFrame, key: str, tie: str, name: str, ranges: int = RANGES, cuts: list[float] | None = None) -> DataFrame:
+def global_rank(df: DataFrame, key: str, tie: str, name: str, ranges: int | None = None, cuts: list[float] | None = None) -> DataFrame:
     """``df`` with the rank (from 1) by ascending ``key``, then ``tie``.
 
     Rows are dealt to ranges of the key by quantiles (or given cuts), ranked inside their range,
@@ -18,6 +18,7 @@ def global_rank(df: DataFrame, key: str, tie: str, name: str, ranges: int = RANG
     its key alone, so a lost task gives the same ranks again.
     """
     if cuts is None:
+        ranges = ranges or max(RANGES, df.rdd.getNumPartitions())
         cuts = sorted(set(df.approxQuantile(key, [k / ranges for k in range(1, ranges)], 0.01)))
     at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(key))) if cuts else F.lit(0)
     rows = df.withColumn("__range", at.cast("int"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -123,10 +123,10 @@ def gap_dispatch(gaps: DataFrame, history: DataFrame, now: float) -> DataFrame:
 
 
 def hubs_to_edge(counts: DataFrame, hubs: int, below: int, seed: int) -> DataFrame:
-    """(name, hub): each little mentioned entity with a hub drawn by hash."""
+    """(name, hub): each little mentioned entity with a hub drawn by the md5 of its name."""
     top = counts.orderBy(F.desc("mentions"), "name").limit(hubs).withColumn("k", F.row_number().over(W.orderBy(F.desc("mentions"), "name")) - 1).select("k", F.col("name").alias("hub"))
     n = top.agg(F.count("*").alias("n"))
-    few = counts.filter(F.col("mentions") < below).crossJoin(F.broadcast(n)).withColumn("k", F.pmod(F.xxhash64("name", F.lit(seed)), F.col("n")))
+    few = counts.filter(F.col("mentions") < below).crossJoin(F.broadcast(n)).withColumn("k", F.conv(F.substring(F.md5(F.concat("name", F.lit(f":{seed}"))), 1, 8), 16, 10).cast("long") % F.col("n"))
     return few.join(top, "k").filter("name != hub").select("name", "hub")
 
 
@@ -214,3 +214,12 @@ def investigated(tasks: DataFrame, memories: DataFrame, words: tuple[str, ...],
     t = F.broadcast(tasks.select(named, "at"))
     hit = found.join(t, (F.col("created_at") > F.col("at")) & F.col("low").contains(F.col("name"))).select("name").distinct().withColumn("hit", F.lit(True))
     return tasks.select(named).join(hit, "name", "left").select("name", F.coalesce("hit", F.lit(False)).alias("done"))
+
+
+def write_state(state: DataFrame, folder: str) -> None:
+    """One row as a JSON document; what stood there goes."""
+    state.coalesce(1).write.mode("overwrite").json(folder)
+
+
+def read_state(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(folder)

@@ -42,6 +42,14 @@ SELECT id, name, arg_min(type, k) AS type, min(k) AS k FROM (
 GROUP BY id, name"""
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _pattern(patterns, flags: str = "(?i)") -> str:
+    return _quoted(flags + "|".join(f"(?:{p})" for p in patterns))
+
+
 def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
@@ -235,25 +243,27 @@ def neighbor_window(spark, sf):
 
 # ---- text ----------------------------------------------------------------
 
-@query("noise_filter", f"SELECT id, regexp_matches(trim(content), '(?i)exec host\\s*=\\s*sandbox|sandbox runtime\\s+(?:is\\s+)?unavailable|exec host not allowed') AND len(trim(content)) >= 16 AS noise, regexp_matches(trim(content), '(?i)HEARTBEAT_OK|\\[AGENT:[A-Z]+\\][^\\n]*Ciclo\\s+\\d+') AND len(trim(content)) >= 10 AS report FROM ({_NOISY})")
+@query("noise_filter", f"SELECT id, regexp_matches(trim(content), {_pattern(tx.NOISE)}) AND len(trim(content)) >= 16 AS noise, regexp_matches(trim(content), {_pattern(tx.REPORTS)}) AND len(trim(content)) >= 10 AS report FROM ({_NOISY})")
 def noise_filter(spark, sf):
     c = F.col("content")
     return views.noisy(spark, sf).select("id", tx.is_noise(c).alias("noise"), tx.is_report(c).alias("report"))
 
 
-@query("noise_filter_old", f"SELECT id FROM ({_NOISY}) WHERE NOT (regexp_matches(content, '(?i)exec host\\s*=\\s*sandbox') AND len(trim(content)) >= 16)")
+@query("noise_filter_old", f"""
+SELECT id FROM ({_NOISY}) WHERE NOT (len(trim(content)) >= 16 AND (regexp_matches(lower(content), {_pattern(tx.NOISE_OLD)})
+ OR (regexp_matches(lower(content), {_pattern(tx.NOISE_OLD_SOFT)}) AND regexp_matches(lower(content), 'sandbox|exec|ejecutor'))))""")
 def noise_filter_old(spark, sf):
     return views.noisy(spark, sf).filter(~tx.is_noise_old(F.col("content"))).select("id")
 
 
 @query("injection_levels", f"""
-SELECT id, CASE WHEN regexp_matches(content, '(?im)\\bignore\\s+(all\\s+)?(previous|prior|earlier)\\s+instructions?|^\\s*system\\s*:\\s*.|\\bdo\\s+anything\\s+now') THEN 4 WHEN regexp_matches(content, '(?im)\\breveal\\s+(your\\s+)?(system\\s+)?prompt') THEN 3 ELSE 0 END AS level FROM ({_NOISY})""")
+SELECT id, CASE {' '.join(f"WHEN regexp_matches(content, {_pattern([p for p, x in tx.INJECTION if x == level], '(?im)')}) THEN {tx.LEVELS.index(level)}" for level in reversed(tx.LEVELS[1:]) if any(x == level for _, x in tx.INJECTION))} ELSE 0 END AS level FROM ({_NOISY})""")
 def injection_levels(spark, sf):
     return views.noisy(spark, sf).select("id", tx.injection_level(F.col("content")).alias("level"))
 
 
 @query("ingest_gate", f"""
-SELECT id, CASE WHEN regexp_matches(content, '(?i)\\bignore\\s+(all\\s+)?(previous|prior|earlier)\\s+instructions?') AND doc_id % 2 = 0 THEN 'blocked' WHEN regexp_matches(content, '(?i)exec host\\s*=\\s*sandbox') THEN 'skipped' ELSE 'stored' END AS status FROM ({_NOISY})""")
+SELECT id, CASE WHEN regexp_matches(content, {_pattern([p for p, x in tx.INJECTION if x == 'critical'], '(?im)')}) AND doc_id % 2 = 0 THEN 'blocked' WHEN regexp_matches(trim(content), {_pattern(tx.NOISE)}) AND len(trim(content)) >= 16 THEN 'skipped' ELSE 'stored' END AS status FROM ({_NOISY})""")
 def ingest_gate(spark, sf):
     c = F.col("content")
     trusted = F.col("id").cast("long") % 2 != 0
@@ -511,7 +521,7 @@ def comention_edges(spark, sf):
     return _edges(spark, sf)
 
 
-@query("neighbors_topk", f"{_PAIRS} SELECT source, target, weight FROM edges WHERE source = 'The' OR target = 'The' OR source = 'Thed' OR target = 'Thed' ORDER BY weight DESC, source, target LIMIT 20")
+@query("neighbors_topk", f"{_PAIRS} SELECT source, target, weight FROM edges WHERE source = 'Thed' OR target = 'Thed' ORDER BY weight DESC, source, target LIMIT 20")
 def neighbors_topk(spark, sf):
     return graph.neighbours(_edges(spark, sf), "Thed", 20)
 
@@ -697,7 +707,11 @@ def context_packet(spark, sf):
     return p.select("query", F.size("semantic").alias("n_semantic"), F.size("recent").alias("n_recent"), F.size("entities").alias("n_entities"), "token_estimate", "sources")
 
 
-@query("synthesis")
+@query("synthesis", f"""{_SECTIONS},
+l AS (SELECT string_agg(printf('- (%.2f) %s', score::DOUBLE, trim(content)), chr(10) ORDER BY rank) AS t FROM sem WHERE rank <= 3),
+r1 AS (SELECT CASE WHEN c IS NULL OR contains(t, c) THEN t ELSE t || chr(10) || '- (recent) ' || c END AS t FROM l, (SELECT max(trim(content)) FILTER (rank = 1) AS c FROM rec)),
+r2 AS (SELECT CASE WHEN c IS NULL OR contains(t, c) THEN t ELSE t || chr(10) || '- (recent) ' || c END AS t FROM r1, (SELECT max(trim(content)) FILTER (rank = 2) AS c FROM rec))
+SELECT 'Relevant memory for ''status'':' || chr(10) || t AS answer FROM r2""")
 def synthesis(spark, sf):
     return context.synthesis("status", *_sections(spark, sf))
 
@@ -711,7 +725,7 @@ def greedy_budget(spark, sf):
     return c.select("conv_id", F.array_join(context.greedy_lines(F.transform("x", lambda v: v["n"]), 400), ",").alias("kept"))
 
 
-@query("keep_first_dedupe", "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY role, substr(lower(text), 1, 180) ORDER BY conv_id, turn) AS r FROM conversations) WHERE r = 1")
+@query("keep_first_dedupe", "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY role, trim(lower(text)) ORDER BY conv_id, turn) AS r FROM conversations) WHERE r = 1")
 def keep_first_dedupe(spark, sf):
     c = views.table(spark, sf, "conversations")
     key = F.struct("role", F.sha2(F.regexp_replace(F.lower("text"), r"(?U)^\s+|\s+$", ""), 256))

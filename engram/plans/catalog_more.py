@@ -74,16 +74,17 @@ def candidate_union(spark, sf):
     return maintenance.candidates(views.memories(spark, sf), ["license"], 40, 20)
 
 
-@query("journal_replay", "SELECT user_id AS id, arg_max(event_type = 'error', event_id) AS deleted FROM events WHERE event_id <= 5000 GROUP BY user_id")
+@query("journal_replay", "SELECT user_id AS id, arg_max(event_type = 'error', event_id) AS deleted FROM events GROUP BY user_id")
 def journal_replay(spark, sf):
     j = views.table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("id"), (F.col("event_type") == "error").alias("deleted"))
-    return maintenance.replay(j, 5000)
+    return maintenance.replay(j)
 
 
-@query("journal_replay_whole", "SELECT user_id AS id, arg_max(event_type = 'error', event_id) AS deleted FROM events GROUP BY user_id")
-def journal_replay_whole(spark, sf):
+@query("journal_replay_half", "SELECT user_id AS id, arg_max(event_type = 'error', event_id) AS deleted FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events) GROUP BY user_id")
+def journal_replay_half(spark, sf):
+    """The state of each id at the middle of the journal."""
     j = views.table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("id"), (F.col("event_type") == "error").alias("deleted"))
-    return maintenance.replay(j)
+    return maintenance.replay(j, j.agg(F.max("seq")).first()[0] // 2)
 
 
 @query("journal_changed", "SELECT DISTINCT user_id AS id FROM events WHERE event_id > 900")
@@ -130,7 +131,9 @@ def gap_dispatch(spark, sf):
     return maintenance.gap_dispatch(g, h, NOW)
 
 
-@query("shortcuts")
+@query("shortcuts", f"""
+WITH c AS ({_COUNTS}), h AS (SELECT name AS hub, row_number() OVER (ORDER BY mentions DESC, name) - 1 AS k FROM c QUALIFY k < 20), n AS (SELECT count(*) AS n FROM h)
+SELECT name, hub FROM (SELECT name, ('0x' || substr(md5(name || ':17'), 1, 8))::BIGINT % n AS k FROM c, n WHERE mentions < 3) JOIN h USING (k) WHERE name <> hub""")
 def shortcuts(spark, sf):
     return maintenance.hubs_to_edge(_counts(spark, sf), 20, 3, 17)
 
@@ -197,7 +200,11 @@ def review_decisions(spark, sf):
     return knowledge.review_decision(r, 0.6).select("id", "decision")
 
 
-@query("section_budget")
+@query("section_budget", f"""
+WITH m AS (SELECT id, tags[1] AS section, doc_id AS rank, CASE WHEN len(content) = 0 THEN 0 ELSE greatest(1, len(content) // 4) END AS tokens FROM ({_MEM}) ORDER BY importance DESC, id LIMIT 40),
+c AS (SELECT section, CASE section WHEN 'en' THEN 2000 WHEN 'fr' THEN 1200 ELSE 800 END AS budget, list({{'u': tokens::BIGINT, 'id': id}} ORDER BY rank) AS x FROM m WHERE section IN ('en', 'fr', 'de') GROUP BY section)
+SELECT section, unnest(list_reduce(list_concat([{{'u': 0::BIGINT, 'k': []::VARCHAR[], 'id': ''}}], list_transform(x, lambda v: {{'u': v.u, 'k': []::VARCHAR[], 'id': v.id}})),
+ lambda s, v: CASE WHEN s.u + v.u <= budget THEN {{'u': s.u + v.u, 'k': list_append(s.k, v.id), 'id': ''}} ELSE s END).k) AS id FROM c""")
 def section_budget(spark, sf):
     m = views.memories(spark, sf).orderBy(F.desc("importance"), "id").limit(40)
     items = m.select(F.get("tags", F.lit(0)).alias("section"), F.col("id").cast("long").alias("rank"), "id", tx.estimate_tokens(F.col("content")).alias("tokens"))

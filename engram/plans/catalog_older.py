@@ -16,19 +16,11 @@ from ..operators import graph, knowledge, lexical, maintenance, outbox, recall,
 from ..sources import session_logs, views
 from ..sources.views import NOW, T0
 from . import context
-from .catalog import _CLAIMS, _MEM, _NOISY, _PAIRS, _edges, _entities_sql, query
+from .catalog import _CLAIMS, _MEM, _NOISY, _PAIRS, _edges, _entities_sql, _pattern, _quoted, query
 
 _COUNTS = f"SELECT name, arg_min(type, id) AS type, count(*) AS mentions FROM ({_entities_sql(_MEM)}) GROUP BY name"
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-def _pattern(patterns, flags: str = "(?i)") -> str:
-    return _quoted(flags + "|".join(f"(?:{p})" for p in patterns))
-
-
 def _said(spark, sf, samples):
     """conv_id, turn, role and a text that opens with one of the samples."""
     c = views.table(spark, sf, "conversations")
@@ -546,3 +538,41 @@ def context_mode(spark, sf):
 @query("prompt_block")
 def prompt_block(spark, sf):
     return context.prompt_block(context.packed_sections(_packet_lines(spark, sf), "reply_deep"))
+
+
+# ---- cycles, state, migrations ------------------------------------------------------
+
+@query("schema_migrated", "SELECT event_id, event_type, 'none' AS channel, 0 AS verified FROM events")
+def schema_migrated(spark, sf):
+    e = views.table(spark, sf, "events").select("event_id", "event_type")
+    return maintenance.with_columns(e, {"event_type": F.lit("never"), "channel": F.lit("none"), "verified": F.lit(0)})
+
+
+@query("state_document", "SELECT 'evolution' AS engine, count(*) AS events, max(event_id) AS last FROM events")
+def state_document(spark, sf):
+    """An engine's state written as one JSON document over the one before, and read again."""
+    from ..storage import fresh_folder
+
+    folder = fresh_folder(spark, "state")
+    e = views.table(spark, sf, "events")
+    for rows in (e.limit(1), e):
+        maintenance.write_state(rows.agg(F.lit("evolution").alias("engine"), F.count("*").alias("events"), F.max("event_id").alias("last")), folder)
+    return maintenance.read_state(spark, folder, "engine string, events long, last long")
+
+
+@query("dream_cycle_old", f"""
+WITH c AS ({_COUNTS}), l AS (SELECT conv_id, least(1.0, count(*) / 10.0) AS s FROM conversations GROUP BY conv_id),
+f AS (SELECT count(*) AS n FROM (SELECT 1 FROM c ORDER BY mentions DESC, name LIMIT 20)), top AS (SELECT count(*) AS n FROM (SELECT 1 FROM c WHERE mentions >= 5 ORDER BY mentions DESC, name LIMIT 20))
+SELECT (SELECT least(count(*), 100) FROM ({_MEM}) WHERE created_at >= {NOW} - 72 * 3600) AS activated, (SELECT count(*) FROM l) AS associations, (SELECT count(*) FROM l WHERE s * 0.2 < 0.1) AS pruned,
+ (SELECT count(*) FROM c WHERE mentions < 3) AS shortcuts, (SELECT n FROM top) AS consolidated""")
+def dream_cycle_old(spark, sf):
+    """One row: what each step of the older cycle made."""
+    counts = graph.entity_counts(graph.entity_support(views.memories(spark, sf)))
+    links = views.table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("a")).agg(F.least(F.lit(1.0), F.count("*") / 10).alias("strength")).withColumn("weight", F.lit(0.0))
+    kept = graph.strengthen(links)
+    # little mentioned entities are never among the hubs, if twenty are mentioned more
+    shortcuts = maintenance.hubs_to_edge(counts, 20, 3, 17)
+    top = counts.filter("mentions >= 5").orderBy(F.desc("mentions"), "name").limit(20)
+    activated = recall.recent(views.memories(spark, sf), NOW, 72, 100)
+    s = stats.stats(activated=activated, associations=links, kept=kept, shortcuts=shortcuts, consolidated=top)
+    return s.select("activated", "associations", (F.col("associations") - F.col("kept")).alias("pruned"), "shortcuts", "consolidated")

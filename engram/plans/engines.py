@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_negation, tokens
+from ..storage import durable
 
 
 def contradictions(docs: DataFrame, overlap: float = 0.5, text_col: str = "content") -> DataFrame:
@@ -18,14 +19,17 @@ def contradictions(docs: DataFrame, overlap: float = 0.5, text_col: str = "conte
     Exact for any corpus size: two sets with Jaccard similarity t or more share
     one of each set's first n - ceil(t n) + 1 words in order of rarity, so
     candidates come from an equi-join on those words.  Equal word sets can't
-    differ in negation, so only the least of each class takes part.
+    differ in negation, so only the least of each class takes part; its pairs
+    meet the class's records, row by row, at the end.
     """
     from pyspark.sql import Window as W
 
     own = tokens(F.col(text_col))
     t = docs.select("id", F.array_sort(F.transform(own, lambda w: F.xxhash64(w))).alias("w"), has_negation(own).alias("neg")).filter(F.size("w") > 0)
-    sets = t.groupBy("w", "neg").agg(F.collect_list("id").alias("ids"), F.min("id").alias("id"))
-    sets = sets.select("id", "ids", "w", F.size("w").alias("n"), "neg")
+    # a class is known by the hash of its words
+    t = t.withColumn("cls", F.struct(F.xxhash64("w"), F.size("w"), "neg"))
+    sets = t.groupBy("cls").agg(F.first("w").alias("w"), F.first("neg").alias("neg"), F.min("id").alias("id"))
+    sets = durable(sets.select("id", "cls", "w", F.size("w").alias("n"), "neg"), "sets")
     each = sets.select("id", "n", "neg", F.explode("w").alias("word"))
     df = each.groupBy("word").agg(F.count("*").alias("df"), F.max(F.col("neg").cast("int")).alias("any"), F.min(F.col("neg").cast("int")).alias("all"))
     place = F.row_number().over(W.partitionBy("id").orderBy("df", "word"))
@@ -36,11 +40,12 @@ def contradictions(docs: DataFrame, overlap: float = 0.5, text_col: str = "conte
     left = F.least(F.col("nx") - F.col("rx"), F.col("ny") - F.col("ry")) + 1
     enough = left >= overlap / (1 + overlap) * (F.col("nx") + F.col("ny")) - 1e-9
     pairs = x.join(y, "word").filter((F.least("nx", "ny") >= overlap * F.greatest("nx", "ny")) & enough).select("x", "y").distinct()
-    side = lambda k, name: sets.select(F.col("id").alias(name), F.col("ids").alias(f"ids{k}"), F.col("w").alias(f"w{k}"))
+    side = lambda k, name: sets.select(F.col("id").alias(name), F.col("cls").alias(f"cls{k}"), F.col("w").alias(f"w{k}"))
     both = pairs.join(side(1, "x"), "x").join(side(2, "y"), "y")
     common = F.size(F.array_intersect("w1", "w2"))
     scored = both.withColumn("jaccard", common / (F.size("w1") + F.size("w2") - common)).filter(F.col("jaccard") >= overlap)
-    out = scored.select(F.explode("ids1").alias("p"), "ids2", "jaccard").select("p", F.explode("ids2").alias("q"), "jaccard")
+    members = t.select("id", "cls")
+    out = scored.select("cls1", "cls2", "jaccard").join(members.select(F.col("id").alias("p"), F.col("cls").alias("cls1")), "cls1").join(members.select(F.col("id").alias("q"), F.col("cls").alias("cls2")), "cls2")
     return out.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "jaccard")
 
 
