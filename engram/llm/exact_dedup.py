@@ -39,8 +39,8 @@ BLOCK_ROWS = 1 << 17
 #: power of two between these: 128 KB and 64 MB.  Where that is too small, more texts
 #: than the suspects are shuffled, never fewer.
 FILTER_BITS = (1 << 20, 1 << 29)
-#: Bits of the filter that one row holds on its way to the driver.
-CHUNK_BITS = 1 << 16
+#: 32-bit words of the filter that one row holds on its way to the driver.
+CHUNK_WORDS = 1 << 11
 
 
 #: Values, bits of the unary part, bits of a remainder.
@@ -128,15 +128,18 @@ def _answer(table: pa.Table) -> pa.Table:
 
 
 def _marked(owners: int, shift: int, size: int):
-    """The filter's set bits, as (chunk, bits), of what the bitmaps mark."""
+    """The filter's words with the bits that a batch's bitmaps set in them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found = [np.empty(0, dtype=np.int64)]
             for owner, code, marks in zip(*(batch.column(n).to_pylist() for n in ("owner", "code", "marks"))):
                 own = rice_decode(code)
                 own = own[np.unpackbits(np.frombuffer(marks, dtype=np.uint8), count=len(own)).astype(bool)]
                 found.append(_filter_places(own + np.uint64((-(-owner * (1 << 24) // owners) << 40) >> shift), size))
-            yield _chunks(np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.int64))
+            places = np.unique(np.concatenate(found))
+            words, begin = np.unique(places >> 5, return_index=True)
+            bits = np.bitwise_or.reduceat(np.int64(1) << (places & 31), begin) if len(words) else words
+            yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int32)), pa.array(bits)], names=["word", "bits"])
 
     return run
 
@@ -145,20 +148,12 @@ def _filter_places(values: np.ndarray, size: int) -> np.ndarray:
     return (mix(values, 31) & np.uint64(size - 1)).astype(np.int64)
 
 
-def _chunks(places: np.ndarray) -> pa.RecordBatch:
-    at, begin = np.unique(places // CHUNK_BITS, return_index=True)
-    bits = []
-    for own in np.split(places % CHUNK_BITS, begin[1:]) if len(at) else []:
-        flags = np.zeros(CHUNK_BITS, dtype=np.uint8)
-        flags[own] = 1
-        bits.append(np.packbits(flags).tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(at, type=pa.int64()), pa.array(bits, type=pa.binary())], names=["chunk", "bits"])
-
-
-def _merged(table: pa.Table) -> pa.Table:
-    """One chunk of the filter: everything that partitions set in it."""
-    bits = np.bitwise_or.reduce([np.frombuffer(b, dtype=np.uint8) for b in table.column("bits").to_pylist()])
-    return pa.table({"chunk": table.column("chunk")[:1], "bits": pa.array([bits.tobytes()], type=pa.binary())})
+def _chunk(table: pa.Table) -> pa.Table:
+    """CHUNK_WORDS words of the filter as one value."""
+    words = table.column("word").to_numpy()
+    out = np.zeros(CHUNK_WORDS, dtype="<u4")
+    out[words % CHUNK_WORDS] = table.column("bits").to_numpy().astype(np.uint32)
+    return pa.table({"chunk": pa.array([int(words[0]) // CHUNK_WORDS], type=pa.int64()), "bits": pa.array([out.tobytes()], type=pa.binary())})
 
 
 def _filter(messages: DataFrame, owners: int, shift: int) -> np.ndarray:
@@ -170,12 +165,14 @@ def _filter(messages: DataFrame, owners: int, shift: int) -> np.ndarray:
     size = FILTER_BITS[0]
     while size < min(FILTER_BITS[1], 16 * marked):
         size *= 2
-    rows = told.mapInArrow(_marked(owners, shift, size), "chunk long, bits binary").groupBy("chunk").applyInArrow(_merged, "chunk long, bits binary").toArrow()
+    words = told.mapInArrow(_marked(owners, shift, size), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    # at most size / 32 words, packed before they reach the driver
+    rows = words.groupBy(F.expr(f"word div {CHUNK_WORDS}")).applyInArrow(_chunk, "chunk long, bits binary").toArrow()
     release(told)
-    table = np.zeros(size // 8, dtype=np.uint8)
+    table = np.zeros((size // 32 // CHUNK_WORDS, CHUNK_WORDS), dtype=np.uint32)
     for chunk, bits in zip(rows.column("chunk").to_pylist(), rows.column("bits").to_pylist()):
-        table[chunk * CHUNK_BITS // 8 : (chunk + 1) * CHUNK_BITS // 8] = np.frombuffer(bits, dtype=np.uint8)
-    return table
+        table[chunk] = np.frombuffer(bits, dtype="<u4")
+    return table.ravel()
 
 
 def _suspects(shared, shift: int):
@@ -188,8 +185,8 @@ def _suspects(shared, shift: int):
         for batch in batches:
             texts = _texts(batch, "text")
             prints = np.fromiter((_fingerprint(t) for t in texts), dtype=np.uint64, count=len(texts))
-            at = _filter_places(prints >> np.uint64(shift), 8 * len(seen))
-            hit = (seen[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & np.uint8(1)
+            at = _filter_places(prints >> np.uint64(shift), 32 * len(seen))
+            hit = (seen[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1)
             alone, groups = [], {}
             for id_, row, text, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, hit.tolist()):
                 if h:
