@@ -268,3 +268,18 @@ def test_boilerplate_lines_go(spark, pages, want):
     assert got[0]["text"] == f"{want}0" and got[0]["host"] == "h.example.com"
     assert got[100]["n_lines"] == got[101]["n_lines"] == 0 and got[100]["host"] == ""
     assert drop_boilerplate(df.limit(0)).count() == 0
+
+
+def test_boilerplate_against_brute_force_on_odd_pages(spark):
+    rng = random.Random(2)
+    rows = [(k % 45, f"https://u@H{k % 3}.org/{k}", "<p>" + "</p><p>".join(rng.choice(["menu", "foot", f"own {k}", "  ", "a & b"]) for _ in range(rng.randrange(6))) + "</p>") for k in range(50)]
+    rows += [rows[0]] * 2 + [(None, None, None), (90, "x", ""), (91, "https://h0.org", "<i>word</i>" * 30_000 + "<script>menu</script>")]
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("other"), "lines": F.lit(1), "drop": F.lit("x"), "kept": F.lit(None).cast("string")})
+    lines = lambda h: [x.strip(" ") for x in re.split(r"<[^>]*>|\n", re.sub("(?is)<script[^>]*>.*?</script>", "\n", h or "")) if x.strip(" ")]
+    host = lambda u: m[1].lower() if (m := re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", u or "")) else ""
+    pages, held = Counter(host(u) for _, u, _ in rows), Counter((host(u), x) for _, u, h in rows for x in set(lines(h)))
+    gone = {k for k, n in held.items() if n >= 3 and n > 0.2 * pages[k[0]]}
+    want = Counter((i, host(u), len(lines(h)), "\n".join(x for x in lines(h) if (host(u), x) not in gone)) for i, u, h in rows)
+    assert Counter((r["page_id"], r["host"], r["n_lines"], r["text"]) for r in drop_boilerplate(df).collect()) == want and gone
