@@ -87,10 +87,13 @@ def semantic_topk_label(spark, sf):
     return recall.nearest(v.filter("label IN (1, 2)"), _first_vector(v), 5, -1.0).select("id", F.round("score", 6).alias("score"))
 
 
-@query("knn_each", """
+_KNN = """
 WITH s AS (SELECT q.vec_id AS query, v.vec_id AS id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score,
  row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)
-SELECT query, id, score, rank FROM s WHERE rank <= 10""")
+SELECT query, id, score, rank FROM s WHERE rank <= 10"""
+
+
+@query("knn_each", _KNN)
 def knn_each(spark, sf):
     v = views.vectors(spark, sf)
     return recall.nearest_each(v, v.filter("id % 100 = 0"), 10).withColumn("score", F.round("score", 6))
@@ -104,7 +107,7 @@ def _journal(v: DataFrame) -> DataFrame:
 _VECTOR_INDEXES: dict[tuple[str, str], recall.VectorIndex] = {}
 
 
-def _vector_index(spark, sf) -> recall.VectorIndex:
+def vector_index(spark, sf) -> recall.VectorIndex:
     """The written index of all vectors, built by the first query that needs it."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _VECTOR_INDEXES:
@@ -119,14 +122,14 @@ def _vector_index(spark, sf) -> recall.VectorIndex:
 def ann_recall(spark, sf):
     v = views.vectors(spark, sf)
     q = v.filter("id % 100 = 0")
-    each = recall.overlap_at_k(recall.nearest_each(v, q, 10), recall.nearest_approx(_vector_index(spark, sf), v, q, 10))
+    each = recall.overlap_at_k(recall.nearest_each(v, q, 10), recall.nearest_approx(vector_index(spark, sf), v, q, 10))
     return each.agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("reached"))
 
 
-@query("ann_topk")
+@query("ann_topk", _KNN)
 def ann_topk(spark, sf):
     v = views.vectors(spark, sf)
-    return recall.nearest_approx(_vector_index(spark, sf), v, v.filter("id % 100 = 0"), 10)
+    return recall.nearest_approx(vector_index(spark, sf), v, v.filter("id % 100 = 0"), 10).withColumn("score", F.round("score", 6))
 
 
 @query("ann_incremental", "SELECT CASE WHEN vec_id % 2 = 0 THEN 'coded' ELSE 'kept' END AS how, count(*) AS n FROM embeddings WHERE vec_id % 10 <> 3 GROUP BY 1")
@@ -344,7 +347,7 @@ bm AS (SELECT id, sum(CASE WHEN ln((n_all - n + 0.5) / (n + 0.5)) > 0 THEN ln((n
 _INDEXES: dict[tuple[str, str], lexical.StoredIndex] = {}
 
 
-def _index(spark, sf) -> lexical.StoredIndex:
+def text_index(spark, sf) -> lexical.StoredIndex:
     """The written index of the documents, built by the first query that needs it."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _INDEXES:
@@ -355,7 +358,7 @@ def _index(spark, sf) -> lexical.StoredIndex:
 
 @query("lexical_bm25", f"{_BM} SELECT id, round(bm25, 6) AS bm25, 1.0::DOUBLE AS score FROM bm ORDER BY round(bm.bm25, 9) DESC, id LIMIT 30")
 def lexical_bm25(spark, sf):
-    return _index(spark, sf).search(_Q, 30).withColumn("bm25", F.round("bm25", 6))
+    return text_index(spark, sf).search(_Q, 30).withColumn("bm25", F.round("bm25", 6))
 
 
 @query("lexical_bm25_scan", f"{_BM} SELECT id, round(bm25, 6) AS bm25, 1.0::DOUBLE AS score FROM bm ORDER BY round(bm.bm25, 9) DESC, id LIMIT 30")
@@ -371,7 +374,7 @@ def hybrid_rrf(spark, sf):
     v = views.vectors(spark, sf).withColumn("id", F.col("id").cast("string"))
     near = recall.nearest(v, v.filter("id = '0'").select(F.col("embedding").alias("q")), 50)
     sem = lexical.ranked(near, F.desc(F.round("score", 9)), F.col("id"))
-    lex = lexical.ranked(_index(spark, sf).search(_Q, 50), F.desc(F.round("bm25", 9)), F.col("id"))
+    lex = lexical.ranked(text_index(spark, sf).search(_Q, 50), F.desc(F.round("bm25", 9)), F.col("id"))
     return lexical.fuse([sem, lex], 10).withColumn("score", F.round("score", 9))
 
 
