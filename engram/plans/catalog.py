@@ -472,13 +472,13 @@ def review_decide(spark, sf):
 
 
 @query("summary_critic", """
-SELECT 's' || (doc_id % 50) AS summary, count(*) AS n, coalesce(array_to_string(list_sort(list(CASE WHEN doc_id % 13 = 0 THEN doc_id || ':missing evidence' WHEN doc_id % 11 = 0 THEN doc_id || ':source changed' WHEN doc_id % 7 = 0 THEN doc_id || ':not the cited extract' END) FILTER (doc_id % 13 = 0 OR doc_id % 11 = 0 OR doc_id % 7 = 0)), ';'), '') AS errors
-FROM documents GROUP BY doc_id % 50""")
+SELECT 's' || (doc_id // 20) AS summary, count(*) AS n, coalesce(array_to_string(list_sort(list(CASE WHEN doc_id % 13 = 0 THEN doc_id || ':missing evidence' WHEN doc_id % 11 = 0 THEN doc_id || ':source changed' WHEN doc_id % 7 = 0 THEN doc_id || ':not the cited extract' END) FILTER (doc_id % 13 = 0 OR doc_id % 11 = 0 OR doc_id % 7 = 0)), ';'), '') AS errors
+FROM documents GROUP BY doc_id // 20""")
 def summary_critic(spark, sf):
     d = views.table(spark, sf, "documents")
     n = F.col("doc_id")
     s = d.select(
-        F.concat(F.lit("s"), (n % 50).cast("string")).alias("summary"), n.alias("pos"), F.when(n % 7 == 0, F.lit("another text")).otherwise(F.expr("substring(text, 1, 5)")).alias("text"),
+        F.concat(F.lit("s"), F.floor(n / 20).cast("string")).alias("summary"), n.alias("pos"), F.when(n % 7 == 0, F.lit("another text")).otherwise(F.expr("substring(text, 1, 5)")).alias("text"),
         F.when(n % 13 == 0, F.concat(F.lit("gone"), n.cast("string"))).otherwise(n.cast("string")).alias("episode"), F.lit(0).alias("start"), F.lit(5).alias("stop"),
         F.when(n % 11 == 0, "changed").otherwise(F.sha2("text", 256)).alias("sha"),
     )
