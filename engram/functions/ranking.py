@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: The least number of ranges into which the key is cut; each scan partition gives one.
+#: The least number of ranges into which the key is cut; each file read gives one.
 RANGES = 32
 
 
@@ -18,7 +18,7 @@ def global_rank(df: DataFrame, key: str, tie: str, name: str, ranges: int | None
     its key alone, so a lost task gives the same ranks again.
     """
     if cuts is None:
-        ranges = ranges or max(RANGES, df.rdd.getNumPartitions())
+        ranges = ranges or max(RANGES, len(df.inputFiles()))
         cuts = sorted(set(df.approxQuantile(key, [k / ranges for k in range(1, ranges)], 0.01)))
     at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(key))) if cuts else F.lit(0)
     rows = df.withColumn("__range", at.cast("int"))

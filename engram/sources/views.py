@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 T0, NOW = 1704067200, 1706659200
 
 
-#: A table of fewer scan partitions than this, and than there are cores, is dealt out.
+#: A table of fewer files than this, and of fewer filled scan partitions than there are
+#: cores, is dealt out.
 FEW = 64
+_FILLED: dict[tuple[str, ...], int] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, where a scan is too small for them.
 
-    A file of one row group is one task, however dear its texts are.  At most FEW
-    scan partitions are dealt anew, so a large table is never shuffled.
+    A file of one row group is one task, however dear its texts are.  Partitions
+    that hold rows are counted once for a few files, from their footers; a table of
+    many files stays as it is, so a large one is never shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    wanted = min(cores, FEW)
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, FEW)
+    files = tuple(sorted(df.inputFiles()))
+    if len(files) >= FEW:
+        return df
+    if files not in _FILLED or not files:
+        _FILLED[files] = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return df.repartition(wanted) if _FILLED[files] < wanted else df
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
