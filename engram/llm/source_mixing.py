@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import durable, release
+from .storage import durable, release, release_since, written
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -190,10 +190,14 @@ def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by one where that leaves a rest.  Null texts and texts without words go.
     """
     names = docs.columns
+    begin = written()
     dealt = _mixed(docs, id_col, text_col, source_col, WEIGHTS, MOST).groupBy("row").agg(F.sum("copies").alias("__all"), F.count("*").alias("__rows")).filter("__all > 0")
-    dealt = durable(dealt, "copies").withColumnRenamed("row", "__row")
+    dealt = durable(dealt, "copies")
+    release_since(begin, keep=dealt)
+    dealt = dealt.withColumnRenamed("row", "__row")
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc"), F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col)).alias("__row"))
-    joined = held.join(dealt, "__row")
+    # what is dealt grows with the rows, so it is never sent to all tasks
+    joined = held.join(dealt.hint("merge"), "__row")
     alone = joined.filter("__rows = 1").select("__doc", F.col("__all").alias("__n"))
     # repeated rows only are numbered
     nth = F.row_number().over(W.partitionBy("__row").orderBy(F.xxhash64("__doc")))
