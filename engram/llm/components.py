@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import durable
+from .storage import durable, release
 
 
 def _contracted(e: DataFrame) -> DataFrame:
@@ -18,7 +18,9 @@ def _contracted(e: DataFrame) -> DataFrame:
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
     large = durable(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "large")
     down = large.groupBy("u").agg(F.min("v").alias("m"))
-    return durable(large.join(down, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "edges")
+    out = durable(large.join(down, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "edges")
+    release(large)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
     before = None
     while True:
-        e = _contracted(e)
+        last, e = e, _contracted(e)
+        release(last)
         now = e.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0))).first()
         if before == now:
             break

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .bytesets import mix, parts, shingle_sets
 from .components import components
 from .rows import row_hash, without
-from .storage import durable, release
+from .storage import durable, release, release_since, written
 
 _U = np.uint64
 #: Counters of the sketch that orders tokens by frequency.
@@ -248,6 +248,9 @@ class _Join:
         own = wanted.select(F.col("rep").alias("doc_id"), "cls")
         self.records = durable(self.signatures.join(own, ["doc_id", "cls"]).select("cls", "doc_id", "n", "bits", "second", "third", "wide").dropDuplicates(["cls"]), "records")
         release(held)
+        # what the answer needs of the signatures is a few bytes a row
+        self.signatures = durable(self.signatures.select("doc_id", "row", "n", "cls"), "documents")
+        release(everything)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that link."""
@@ -323,7 +326,10 @@ class _Join:
         """
         few = self.entries.filter(F.col("size") <= LIGHT)
         many = durable(self.entries.filter(F.col("size") > LIGHT).select("token", "cls", "n", "comp", "place", "main").join(self.records.select("cls", "wide"), "cls"), "many")
-        return self._meet(few, _SHORT, _differ).unionByName(self._meet(many, ["wide"], _differ_wide)).distinct()
+        pairs = durable(self._meet(few, _SHORT, _differ).unionByName(self._meet(many, ["wide"], _differ_wide)).distinct(), "pairs")
+        release(many)
+        release(self.entries)
+        return pairs
 
     def _meet(self, entries: DataFrame, bits: list[str], differ) -> DataFrame:
         def side(name: str) -> list:
@@ -374,18 +380,24 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, row, n_shingles, root, component_id, class_id of every row; the last
     three are null without shingles."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_hash(id_col, text_col).alias("row"))
+    begin = written()
     join = _Join(rows)
     links, roots = None, None
     for turn in range(ROUNDS + 1):
         found = join.verified(join.sparse(turn) if turn < ROUNDS else join.rest())
         links = found if links is None else links.unionByName(found)
-        roots = durable(components(links), "roots")
+        before, roots = roots, durable(components(links), "roots")
+        if before is not None:
+            release(before)
         if turn < ROUNDS:
             join.settle(roots)
     comps = join.classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = comps.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = comps.join(least, "root").select("cls", "root", F.col("rep").alias("class_id"), "component_id")
-    return join.signatures.select("doc_id", "row", F.col("n").cast("long").alias("n_shingles"), "cls").join(named, "cls", "left").drop("cls")
+    out = join.signatures.select("doc_id", "row", F.col("n").cast("long").alias("n_shingles"), "cls").join(named, "cls", "left").drop("cls")
+    out = durable(out, "components")
+    release_since(begin, keep=out)
+    return out
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -408,7 +420,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     that repeat, or near copies under one id) one.  A row goes or stays by its
     own id and text.  Rows without words all stay.
     """
-    rows = durable(_components(docs, id_col, text_col).filter("root IS NOT NULL").select("doc_id", "row", "root", "component_id"), "rows")
+    rows = _components(docs, id_col, text_col).filter("root IS NOT NULL")
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     gone = rows.filter(~first).select("row", F.lit(False).alias("once")).distinct()
     # the rows under the least id: one in most groups
