@@ -62,7 +62,7 @@ def tail_of(z):
     return 1 / (1 + math.exp(1.5976 * y + 0.07056 * y**3))
 
 
-def tested(token):
+def measured(token):
     """(encoding, length, p of the battery, p of text) in plain Python."""
     single = token in (token.lower(), token.upper())
     for name, (form, alphabet) in ALPHABETS.items():
@@ -97,7 +97,7 @@ def test_random_spans_against_brute_force(spark):
         chars = "".join(rng.choice(words) for _ in range(9)) if kind == "text" else "".join(rng.choices(ALPHABETS[kind][1], k=rng.randrange(20, 90)))
         made.append((k, f"é {chars} end"))
     tokens = {(k, m.start(), m.end()): m[0] for k, t in made for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])}
-    stats_ = {t: tested(t) for t in tokens.values()}
+    stats_ = {t: measured(t) for t in tokens.values()}
     mean = {e: np.mean([n for x, n, _, _ in stats_.values() if x == e]) for e in {x[0] for x in stats_.values()}}
     weighted = {t: min(1.0, (tp if p >= 0.01 else 1.0) * mean[e] / n) for t, (e, n, p, tp) in stats_.items()}
     bins = {t: min(math.floor(-math.log10(max(w, 1e-30)) * 20), 400) for t, w in weighted.items()}
