@@ -17,6 +17,7 @@ from .ngram_jaccard_join import near_components
 from .pii_surrogates import replace
 from .quality_rules import STOP_WORDS, quality_rules
 from .secret_scan import scan
+from .source_divergence import LEAST_DOCS, SCALE, SMOOTH, audit
 from .source_mixing import mix
 
 
@@ -74,6 +75,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_docs(spark, sf_dir, "doc_id", "text", "lang"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(_docs(spark, sf_dir, "text", "lang", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_license_scan": op2_license_scan,
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_surrogates": op8_pii_surrogates,
     "op9_source_mixing": op9_source_mixing,
     "op10_language_id": op10_language_id,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -120,6 +126,28 @@ reach AS (SELECT c AS a, c AS b FROM classes UNION SELECT r.a, e.b FROM reach r
 comp AS (SELECT a AS c, min(b) AS component_id FROM reach GROUP BY a)
 SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(component_id, sets.doc_id) AS component_id
 FROM sets LEFT JOIN classes ON list_sort(sets.s) = classes.s LEFT JOIN comp ON comp.c = classes.c""",
+    "op11_source_divergence": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({_LOW}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS ln FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= {LEAST_DOCS}),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+langs AS (SELECT lang, count(*) AS v, sum(ln) AS ln_all FROM kept GROUP BY lang),
+totals AS (SELECT lang, source, coalesce(sum(n), 0) AS n_all FROM g LEFT JOIN n USING (lang, source) GROUP BY lang, source),
+s AS (
+  SELECT lang, source, term, coalesce(n.n, 0) AS n,
+         (1 + {SCALE}::HUGEINT * (coalesce(n.n, 0) + {SMOOTH}) // (n_all + {SMOOTH} * v))::BIGINT AS p,
+         (1 + {SCALE}::HUGEINT * (ln + {SMOOTH}) // (ln_all + {SMOOTH} * v))::BIGINT AS q
+  FROM totals JOIN langs USING (lang) JOIN kept USING (lang) LEFT JOIN n USING (lang, source, term)),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(far.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source),
+parts AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM s WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 50""",
     "op7_exact_dedup": f"""
 WITH t AS (SELECT doc_id, sha256({_LOW}) AS h FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
