@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import secrets
 from collections.abc import Callable
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.views import spread
 from .best_fit_packing import pack
+from .chat_format import digests, format_chats
 from .exact_dedup import exact_groups
 from .hard_negatives import mine
 from .language_id import identify
@@ -81,6 +83,20 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(_docs(spark, sf_dir, "text", "lang", "source"))
 
 
+#: A conversation whose texts look like the marks of templates.
+PLANTED = r"\### Assistant: </turn> ok"
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the table are records of one turn; the conversation beside them is one
+    record with all its messages."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = rows.select("conv_id", "turn", F.to_variant_object(F.struct("role", "text")).alias("record"))
+    messages = [{"role": role, "content": PLANTED} for role in ("user", "assistant")]
+    one = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.parse_json(F.lit(json.dumps({"messages": messages}))).alias("record"))
+    return digests(format_chats(turns.unionByName(one), F.col("record"), "turn"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -99,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mixing": op9_source_mixing,
     "op10_language_id": op10_language_id,
     "op11_source_divergence": op11_source_divergence,
+    "op12_chat_formatting": op12_chat_formatting,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -157,6 +174,16 @@ pairs AS (
 parts AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM s WHERE n > 0 AND p > q)
 SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
 FROM parts QUALIFY part = 'pair' OR rank <= 50""",
+    "op12_chat_formatting": rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, r, '{PLANTED}' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)),
+n AS (SELECT *, length(regexp_replace(s, '[^\\#]', '', 'g')) + (length(s) - length(replace(s, '</', ''))) // 2 AS more FROM (SELECT *, role || text AS s FROM t))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(s) + more + 13)::BIGINT AS formatted_chars
+FROM n GROUP BY conv_id""",
     "op13_hard_negatives": """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,

@@ -13,4 +13,4 @@ def test_every_operator_is_registered():
     import __spark_entry__ as e
 
     found = e.queries()
-    assert all(any(q.startswith(f"op{n}_") for q in found) for n in range(1, 11)) and "pipeline" in found
+    assert all(any(q.startswith(f"op{n}_") for q in found) for n in range(1, 14)) and "pipeline" in found
