@@ -1,3 +1,3 @@
 """Composed plans and the catalog of registered queries."""
 
-from . import catalog, catalog_more, catalog_older  # noqa: F401
+from . import catalog, catalog_more, catalog_new, catalog_older  # noqa: F401

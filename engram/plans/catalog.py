@@ -13,7 +13,7 @@ from ..functions.vectors import HashingEmbedder, cosine
 from ..operators import evaluation, graph, knowledge, lexical, recall, sessions, stats, temporal
 from ..sources import views
 from ..sources.views import NOW, T0
-from ..storage import fresh_folder
+from ..storage import delete_folder, fresh_folder
 from . import context, engines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,18 +104,32 @@ def _journal(v: DataFrame) -> DataFrame:
     return v.select(F.col("id").alias("seq"), "id")
 
 
-_VECTOR_INDEXES: dict[tuple[str, str], recall.VectorIndex] = {}
+#: Written indexes by kind, application and folder, each with the state of the table
+#: that it was built from.
+_INDEXES: dict[tuple[str, str, str], tuple[tuple, object]] = {}
+
+
+def _index(kind: str, spark, sf, name: str, make: Callable[[str], object]):
+    """The index of a table, built by the first query that needs it and again once the
+    table's files are others."""
+    key, now = (kind, spark.sparkContext.applicationId, sf), views.stamp(spark, sf, name)
+    had = _INDEXES.get(key)
+    if had is None or had[0] != now:
+        if had is not None:
+            delete_folder(spark, had[1].root)
+        _INDEXES[key] = now, make(fresh_folder(spark, kind))
+    return _INDEXES[key][1]
 
 
 def vector_index(spark, sf) -> recall.VectorIndex:
-    """The written index of all vectors, built by the first query that needs it."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _VECTOR_INDEXES:
+    """The written index of all vectors."""
+    def make(root: str) -> recall.VectorIndex:
         v = views.vectors(spark, sf)
-        index = recall.VectorIndex(spark, fresh_folder(spark, "vectors"), len(v.first()["embedding"]), "table")
+        index = recall.VectorIndex(spark, root, len(v.first()["embedding"]), "table")
         index.sync(v, _journal(v))
-        _VECTOR_INDEXES[key] = index
-    return _VECTOR_INDEXES[key]
+        return index
+
+    return _index("vectors", spark, sf, "embeddings", make)
 
 
 @query("ann_recall", "SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 100 = 0")
@@ -344,16 +358,9 @@ d AS (SELECT term, count(*)::DOUBLE AS n FROM c WHERE c > 0 GROUP BY term),
 bm AS (SELECT id, sum(CASE WHEN ln((n_all - n + 0.5) / (n + 0.5)) > 0 THEN ln((n_all - n + 0.5) / (n + 0.5)) ELSE 1e-6 END * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * dl / mean))) AS bm25 FROM c JOIN d USING (term), n WHERE c > 0 GROUP BY id)"""
 
 
-_INDEXES: dict[tuple[str, str], lexical.StoredIndex] = {}
-
-
 def text_index(spark, sf) -> lexical.StoredIndex:
-    """The written index of the documents, built by the first query that needs it."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _INDEXES:
-        m = views.memories(spark, sf).select("id", "content")
-        _INDEXES[key] = lexical.StoredIndex(spark, fresh_folder(spark, "lexical")).build(m)
-    return _INDEXES[key]
+    """The written index of the documents."""
+    return _index("lexical", spark, sf, "documents", lambda root: lexical.StoredIndex(spark, root).build(views.memories(spark, sf).select("id", "content")))
 
 
 @query("lexical_bm25", f"{_BM} SELECT id, round(bm25, 6) AS bm25, 1.0::DOUBLE AS score FROM bm ORDER BY round(bm.bm25, 9) DESC, id LIMIT 30")

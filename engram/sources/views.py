@@ -23,6 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stamp(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """What tells one state of a table's files from another: how many there are, and a
+    hash of their paths, times and lengths.  Only listings are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/{name}.parquet")
+    return tuple(files.agg(F.count("*"), F.expr("bit_xor(xxhash64(path, modificationTime, length))")).first())
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, where a scan is too small for them.
 

@@ -43,7 +43,7 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_folder(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -57,7 +57,7 @@ def release(df: DataFrame) -> None:
     """Delete a table that ``durable`` wrote, once nothing reads it any more."""
     own = _folders(df)
     for path in [p for p in _WRITTEN if p.rsplit("/", 1)[1] in own]:
-        _delete(df.sparkSession, path)
+        delete_folder(df.sparkSession, path)
         _WRITTEN.remove(path)
 
 
@@ -70,5 +70,5 @@ def release_since(mark: int, keep: DataFrame) -> None:
     """Delete all tables written after a mark, but for those that ``keep`` reads."""
     own = _folders(keep)
     for path in [p for p in _WRITTEN[mark:] if p.rsplit("/", 1)[1] not in own]:
-        _delete(keep.sparkSession, path)
+        delete_folder(keep.sparkSession, path)
         _WRITTEN.remove(path)
