@@ -17,7 +17,7 @@ from engram.llm.ngram_jaccard_join import one_of_each
 from engram.llm.quality_rules import keep_good
 from engram.llm.queries import tokenizer_path
 from engram.llm.source_mixing import repeat_rows
-from engram.llm.storage import durable, release_since, written
+from engram.llm.storage import durable, release, tables
 from engram.sources.views import spread
 
 
@@ -63,8 +63,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents; a stage's tables go once it is written."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    begin = written()
+    before = None
     for name, stage in STAGES:
-        docs = durable(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        release_since(begin, keep=docs)
+        with tables() as keep:
+            docs = keep(durable(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        if before is not None:
+            release(before)
+        before = docs
     return docs

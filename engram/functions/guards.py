@@ -172,12 +172,19 @@ def guarded_level(text: Column, shifted: Column | None = None) -> Column:
     return out if shifted is None else F.when((out == 1) & shifted, 2).otherwise(out)
 
 
+def authority(principals: tuple[str, ...]) -> dict[str, tuple[str, ...]]:
+    """Patterns by category for names whose orders nobody else may report, nor give by
+    putting the name at the beginning of a line."""
+    said = tuple(rf"{n}\s+(?:said|told|asked|ordered)" for n in principals)
+    return {"authority_impersonation": (*said, *(rf"^{n}\s*[:,]" for n in principals))}
+
+
 def weighted_guard(text: Column, principals: tuple[str, ...] = ()) -> dict[str, Column]:
     """categories (in order), confidence (sum of weights, at most 1) and detected.
 
-    ``principals`` are names whose orders nobody else may report.
+    ``principals``: see ``authority``.
     """
-    told = {"authority_impersonation": tuple(rf"{n}\s+(?:said|told|asked|ordered)" for n in principals)}
+    told = authority(principals)
     # a category's patterns are tried with line starts, as those that have any need them
     hits = {name: matches_any(_some(text), patterns + told.get(name, ()), "(?im)") for name, (_, patterns) in CATEGORIES.items()}
     score = reduce(lambda a, b: a + b, [F.when(hits[name], F.lit(weight)).otherwise(0.0) for name, (weight, _) in CATEGORIES.items()])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -122,40 +124,40 @@ def hops(edges: DataFrame, start: str, most: int) -> DataFrame:
     A frontier join a step; nodes already reached are dropped each time.  Each
     frontier is written, so a step costs one shuffle of it and of the edges.
     """
-    return _fronts(edges, start, most).select("name", "hops")
+    return reduce(lambda a, b: a.unionByName(b), _fronts(edges, start, most)).select("name", "hops")
 
 
-def _fronts(edges: DataFrame, start: str, most: int, end: str | None = None) -> DataFrame:
-    """(name, hops, parent): what is reached, each from its least parent; steps stop
-    early where nothing is new, or at ``end``."""
+def _fronts(edges: DataFrame, start: str, most: int | None, end: str | None = None) -> list[DataFrame]:
+    """(name, hops, parent) of what is reached, a frame for each step; each from its
+    least parent.  Steps end where nothing is new, at ``end``, or after ``most``."""
     e = durable(both_ways(edges), "edges")
-    seen = edges.sparkSession.createDataFrame([(start, 0, None)], "name string, hops int, parent string")
-    front = seen
-    for k in range(1, most + 1):
-        new = front.join(e, front["name"] == e["a"]).groupBy(F.col("b").alias("name")).agg(F.min("a").alias("parent")).join(seen.select("name"), "name", "left_anti")
-        front = durable(new.select("name", F.lit(k).alias("hops"), "parent"), "front")
+    front = edges.sparkSession.createDataFrame([(start, 0, None)], "name string, hops int, parent string")
+    seen, fronts = front.select("name"), [front]
+    while most is None or len(fronts) <= most:
+        new = front.join(e, front["name"] == e["a"]).groupBy(F.col("b").alias("name")).agg(F.min("a").alias("parent")).join(seen, "name", "left_anti")
+        front = durable(new.select("name", F.lit(len(fronts)).alias("hops"), "parent"), "front")
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
+        fronts.append(front)
+        # what lies two steps back can't be reached anew
+        seen = fronts[-1].select("name").unionByName(fronts[-2].select("name"))
         if end is not None and not front.filter(F.col("name") == end).isEmpty():
             break
-    return seen
+    return fronts
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, most: int = 10) -> DataFrame:
-    """(step, name): the nodes of a shortest path of at most ``most`` edges, from
-    ``start`` on; none where ``end`` is farther.  Of equal paths the one whose nodes,
-    from the end on, come first by name."""
-    reached = _fronts(edges, start, most, end)
+def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
+    """(step, name): the nodes of a shortest path of any length, from ``start`` on;
+    none where ``end`` can't be reached.  Of equal paths the one whose nodes, from
+    the end on, come first by name."""
+    fronts = _fronts(edges, start, None, end) if start != end else _fronts(edges, start, 0)
     path, at = [], end
-    for _ in range(most + 1):  # a lookup a step
-        row = reached.filter(F.col("name") == at).first()
+    for front in reversed(fronts):  # a lookup in each step's own table
+        row = front.filter(F.col("name") == at).first()
         if row is None:
             break
         path.append((row["hops"], row["name"]))
         at = row["parent"]
-        if at is None:
-            break
     return edges.sparkSession.createDataFrame(path, "step int, name string")
 
 

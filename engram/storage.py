@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
-#: Folders written by ``durable`` and not released, in order.
-_WRITTEN: list[str] = []
+#: What ``durable`` wrote in the innermost run of this thread (see ``tables``).
+_RUN: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("run", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,7 +42,9 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = fresh_folder(spark, name)
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    own = _RUN.get()
+    if own is not None:
+        own.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,20 +60,39 @@ def _folders(df: DataFrame) -> set[str]:
 
 def release(df: DataFrame) -> None:
     """Delete a table that ``durable`` wrote, once nothing reads it any more."""
-    own = _folders(df)
-    for path in [p for p in _WRITTEN if p.rsplit("/", 1)[1] in own]:
-        delete_folder(df.sparkSession, path)
-        _WRITTEN.remove(path)
-
-
-def written() -> int:
-    """A mark for ``release_since``."""
-    return len(_WRITTEN)
-
-
-def release_since(mark: int, keep: DataFrame) -> None:
-    """Delete all tables written after a mark, but for those that ``keep`` reads."""
-    own = _folders(keep)
-    for path in [p for p in _WRITTEN[mark:] if p.rsplit("/", 1)[1] not in own]:
-        delete_folder(keep.sparkSession, path)
-        _WRITTEN.remove(path)
+    spark = df.sparkSession
+    app = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    for name in _folders(df):
+        delete_folder(spark, f"{app}/{name}")
+
+
+@contextmanager
+def tables() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A run: at its end the tables that it wrote go, but for those that a frame
+    given to ``keep`` reads; these belong to the run around it, if there is one.
+
+        with tables() as keep:
+            out = keep(durable(steps(docs)))
+
+    Runs of other threads have lists of their own.
+    """
+    outer, own, kept = _RUN.get(), [], []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    mark = _RUN.set(own)
+    try:
+        yield keep
+    except BaseException:
+        kept.clear()
+        raise
+    finally:
+        _RUN.reset(mark)
+        stay = set().union(*[_folders(df) for df in kept])
+        for spark, path in own:
+            if path.rsplit("/", 1)[1] not in stay:
+                delete_folder(spark, path)
+            elif outer is not None:
+                outer.append((spark, path))

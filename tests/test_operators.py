@@ -131,26 +131,55 @@ def test_small_scans_are_dealt_over_the_cores(spark):
     assert views.spread(many).rdd.getNumPartitions() == views.FEW
 
 
-def test_tables_are_released(spark):
+def test_tables_go_with_their_run(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
     from engram import storage
 
-    a = storage.durable(spark.range(3), "kept")
-    mark = storage.written()
-    b, c = storage.durable(spark.range(4), "gone"), storage.durable(spark.range(5), "stays")
-    storage.release_since(mark, keep=c)
-    assert a.count() == 3 and c.count() == 5
-    with pytest.raises(Exception):
-        b.count()
+    def gone(df):
+        with pytest.raises(Exception):
+            df.count()
+        return True
+
+    with storage.tables() as keep:
+        a = storage.durable(spark.range(3), "outer")
+        with storage.tables() as inner:
+            b, c = storage.durable(spark.range(4), "gone"), storage.durable(spark.range(5), "stays")
+            d = inner(c.filter("id > 1"))
+        assert gone(b) and d.count() == 3 and a.count() == 3
+        # a run in another thread keeps to its own tables
+        def other():
+            with storage.tables():
+                return storage.durable(spark.range(9), "other")
+
+        with ThreadPoolExecutor(1) as pool:
+            assert gone(pool.submit(other).result())
+        assert d.count() == 3
+        keep(a)
+    assert gone(c) and a.count() == 3
     storage.release(a)
-    storage.release(c)
-    assert storage.written() == mark - 1
+    assert gone(a)
+    with pytest.raises(ValueError):
+        with storage.tables() as keep:
+            e = keep(storage.durable(spark.range(2), "failed"))
+            raise ValueError
+    assert gone(e)
+
+
+def test_paths_of_any_length(spark):
+    n = 25
+    e = spark.createDataFrame([(f"n{k:02}", f"n{k + 1:02}") for k in range(n)] + [("n03", "n00"), ("x", "y")], "source string, target string")
+    got = [tuple(r) for r in graph.shortest_path(e, "n01", f"n{n:02}").orderBy("step").collect()]
+    assert got == [(k, f"n{k + 1:02}") for k in range(n)]
+    assert [r["name"] for r in graph.shortest_path(e, "n01", "n01").collect()] == ["n01"]
+    assert graph.shortest_path(e, "n01", "y").collect() == [] and graph.shortest_path(e, "none", "y").collect() == []
 
 
 def test_paths_of_equal_length_and_none(spark):
     e = spark.createDataFrame([("a", "c"), ("a", "b"), ("b", "d"), ("c", "d"), ("x", "y")], "source string, target string")
     path = lambda *x: [r["name"] for r in graph.shortest_path(e, *x).orderBy("step").collect()]
     assert path("a", "d") == ["a", "b", "d"] and path("d", "a") == ["d", "b", "a"]
-    assert path("a", "a") == ["a"] and path("a", "y") == [] and path("a", "d", 1) == []
+    assert path("a", "a") == ["a"] and path("a", "y") == []
 
 
 def test_graph_match_falls_back_to_nodes(spark):
