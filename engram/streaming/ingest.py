@@ -1,7 +1,7 @@
-"""Streaming ingestion: each batch becomes episodes, vectors and graph support.
+"""Streaming ingestion: each batch becomes episodes, vectors, tags, terms and graph support.
 
-Writes are idempotent: a batch overwrites its own partition ``batch=<id>``, so
-a replay after a failure leaves one copy.  Readers take the latest row of an id.
+All projections of a batch are one commit (see ``commits``): a reader sees all of
+them or none, and a batch that is replayed after a failure is there once.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.text import injection_level, is_noise
 from ..functions.vectors import Embedder
 from ..operators.graph import comentions, entity_support
+from ..operators.lexical import terms
 from ..sources.session_logs import messages
+from .commits import Store
 
 
 def gate(rows: DataFrame) -> DataFrame:
@@ -22,30 +24,36 @@ def gate(rows: DataFrame) -> DataFrame:
     return rows.filter(~is_noise(c) & (injection_level(c) < 4))
 
 
-def project(batch: DataFrame, batch_id: int, root: str, embedder: Embedder) -> None:
-    """Write the projections of one batch."""
+def projections(rows: DataFrame, embedder: Embedder) -> dict[str, DataFrame]:
+    """The tables that episodes (id, content, and tags where there are) become."""
+    tags = F.col("tags") if "tags" in rows.columns else F.array().cast("array<string>")
+    words = rows.select("id", F.explode(terms(F.col("content"))).alias("term"))
+    return {
+        "episodes": rows,
+        "vectors": rows.select("id", embedder.column(F.col("content")).alias("embedding")),
+        "tags": rows.select("id", F.explode(F.array_distinct(tags)).alias("tag")),
+        "terms": words.groupBy("id", "term").agg(F.count("*").alias("n")),
+        "entity_support": entity_support(rows),
+        "edge_support": comentions(rows),
+    }
+
+
+def project(batch: DataFrame, batch_id: int, root: str, embedder: Embedder, writer: str = "ingest") -> int:
+    """Commit the projections of one batch; the version that holds them."""
     rows = batch.dropDuplicates(["id"]).persist()
     try:
-        out = {
-            "episodes": rows,
-            "vectors": rows.select("id", embedder.column(F.col("content")).alias("embedding")),
-            "entity_support": entity_support(rows),
-            "edge_support": comentions(rows),
-        }
-        for name, df in out.items():
-            df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+        return Store(batch.sparkSession, root).commit(projections(rows, embedder), writer, batch_id)
     finally:
         rows.unpersist()
 
 
-def ingest(lines: DataFrame, root: str, checkpoint: str, embedder: Embedder, **trigger) -> StreamingQuery:
+def ingest(lines: DataFrame, root: str, checkpoint: str, embedder: Embedder, writer: str = "ingest", **trigger) -> StreamingQuery:
     """Start the stream; ``availableNow=True`` handles what is there and ends."""
     rows = gate(messages(lines))
-    return rows.writeStream.foreachBatch(lambda df, k: project(df, k, root, embedder)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return rows.writeStream.foreachBatch(lambda df, k: project(df, k, root, embedder, writer)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def pending(spark: SparkSession, root: str) -> DataFrame:
-    """Episodes that lack a vector: empty when all projections are complete."""
-    e = spark.read.parquet(f"{root}/episodes").select("id")
-    v = spark.read.parquet(f"{root}/vectors").select("id")
-    return e.distinct().join(v, "id", "left_anti")
+    """Episodes of the newest version that lack a vector: none, as they come together."""
+    now = Store(spark, root).snapshot()
+    return now.table("episodes").select("id").distinct().join(now.table("vectors").select("id"), "id", "left_anti")

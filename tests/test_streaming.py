@@ -1,10 +1,17 @@
 import json
+import os
+import threading
 
+import pytest
 from pyspark.sql import functions as F
 
 from engram.functions.vectors import HashingEmbedder
 from engram.sources import session_logs
+from engram.sources.tail import LogTail, TailReader
 from engram.streaming import ingest, state, windows
+from engram.streaming.commits import Conflict, Store
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def write_log(folder, name, texts):
@@ -19,16 +26,71 @@ def test_ingest_is_complete_and_idempotent(spark, tmp_path):
     for _ in range(2):
         q = ingest.ingest(session_logs.read_stream(spark, str(tmp_path / "in")), root, check, HashingEmbedder(32), availableNow=True)
         q.awaitTermination(60)
-    assert spark.read.parquet(f"{root}/episodes").count() == 2
-    assert ingest.pending(spark, root).count() == 0
+    store = Store(spark, root)
+    first = store.snapshot()
+    assert first.table("episodes").count() == 2 and ingest.pending(spark, root).count() == 0
     write_log(logs, "2.jsonl", ["Another note about #lima"])
     q = ingest.ingest(session_logs.read_stream(spark, str(tmp_path / "in")), root, check, HashingEmbedder(32), availableNow=True)
     q.awaitTermination(60)
-    assert spark.read.parquet(f"{root}/episodes").count() == 3
+    now = store.snapshot()
+    assert now.table("episodes").count() == 3 and now.table("vectors").count() == 3 and first.table("episodes").count() == 2
+    assert {r["term"] for r in now.table("terms").filter("n = 1").collect()} >= {"another", "lima", "green"}
     # a replay of a batch leaves one copy
-    batch = spark.read.parquet(f"{root}/episodes").drop("batch").filter("content LIKE 'Another%'")
-    ingest.project(spark.createDataFrame(batch.collect(), batch.schema), 1, root, HashingEmbedder(32))
-    assert spark.read.parquet(f"{root}/episodes").count() == 3
+    batch = now.table("episodes").filter("content LIKE 'Another%'")
+    assert ingest.project(batch, 1, root, HashingEmbedder(32)) == now.version
+    assert store.snapshot().table("episodes").count() == 3 and store.latest() == now.version
+
+
+def test_a_commit_is_seen_whole_or_not_at_all(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    assert store.latest() == 0 and store.snapshot().manifest["tables"] == {}
+    with pytest.raises(KeyError):
+        store.snapshot().table("a")
+    rows = lambda *ids: spark.createDataFrame([(k,) for k in ids], "id long")
+    ids = lambda s, t: sorted(r["id"] for r in s.table(t).collect())
+    assert store.commit({"a": rows(1), "b": rows(10)}) == 1
+    old = store.snapshot()
+    # the writer dies after its first table: what it wrote is in no version
+    broken = rows(2).withColumn("id", F.raise_error(F.lit("killed")).cast("long"))
+    with pytest.raises(Exception, match="killed"):
+        store.commit({"a": rows(2), "b": broken}, "w", 1)
+    assert len(list((tmp_path / "s/a").iterdir())) == 2 and store.latest() == 1 and ids(store.snapshot(), "a") == [1]
+    # and after its tables, before its manifest
+    real, store._put = store._put, lambda *x: (_ for _ in ()).throw(OSError("killed"))
+    with pytest.raises(OSError):
+        store.commit({"a": rows(2), "b": rows(20)}, "w", 1)
+    store._put = real
+    assert store.latest() == 1
+    assert store.commit({"a": rows(2), "b": rows(20)}, "w", 1) == 2 == store.commit({"a": rows(2), "b": rows(20)}, "w", 1)
+    assert ids(store.snapshot(), "a") == [1, 2] and ids(store.snapshot(), "b") == [10, 20]
+    assert ids(old, "a") == [1] and ids(store.snapshot(1), "b") == [10]
+    assert store.commit({"b": rows(30)}, replace=("b",)) == 3 and ids(store.snapshot(), "b") == [30] and ids(store.snapshot(2), "b") == [10, 20]
+
+
+def test_writers_at_one_time(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    one = spark.createDataFrame([(0,)], "id long")
+    done = []
+    threads = [threading.Thread(target=lambda k=k: done.append(Store(spark, str(tmp_path / "s")).commit({"a": one.withColumn("id", F.lit(k))}, f"w{k}", 1))) for k in range(5)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(done) == [1, 2, 3, 4, 5]
+    assert sorted(r["id"] for r in store.snapshot().table("a").collect()) == list(range(5))
+
+    def least(now):
+        if now.table("a").count() > 4:
+            raise ValueError("full")
+
+    with pytest.raises(ValueError):
+        store.commit({"a": one}, check=least)
+    assert store.compact("a") == 6 and store.snapshot().table("a").count() == 5 and len(store.snapshot().manifest["tables"]["a"]) == 1
+    assert store.vacuum(6) == 6 and store.versions() == [6] and store.snapshot().table("a").count() == 5
+    real, store._put = store._put, lambda *x: False
+    with pytest.raises(Conflict):
+        store.commit({"a": one})
+    store._put = real
 
 
 def test_windows_on_a_stream(spark, sf, tmp_path):
@@ -40,11 +102,103 @@ def test_windows_on_a_stream(spark, sf, tmp_path):
     assert sorted(map(tuple, spark.table("tumbling").collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_working_memory(spark, tmp_path):
-    rows = [("o", f"r{k}", float(k)) for k in range(5)]
-    spark.createDataFrame(rows, "owner string, id string, created_at double").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("owner string, id string, created_at double").parquet(str(tmp_path / "in"))
-    q = state.working_memory(stream, ttl=100.0, capacity=3).writeStream.format("memory").queryName("working").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+@pytest.fixture
+def rocks(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKS)
+    yield
+    spark.conf.set(key, before)
+
+
+def test_working_memory(spark, tmp_path, rocks):
+    """Capacity, a second put, and expiry of owners that say nothing more."""
+    def put(name, rows):
+        df = spark.createDataFrame(rows, "owner string, id string, at long").select("owner", "id", F.timestamp_seconds("at").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        q = state.working_memory(stream, 100.0, 3).writeStream.foreachBatch(lambda d, k: told.extend(d.collect())).outputMode("update")
+        q.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+
+    told = []
+    last = lambda: {r["owner"]: r["ids"] for r in sorted(told, key=lambda r: r["version"])}
+    put("1", [("o", f"r{k}", 1000 + k) for k in range(5)] + [("p", "a", 1000), ("p", "b", 1001)])
+    assert last() == {"o": ["r4", "r3", "r2"], "p": ["b", "a"]}
+    put("2", [("o", "r2", 1010), ("o", "r9", 1009), ("p", "a", 900)])
+    assert last() == {"o": ["r2", "r9", "r4"], "p": ["b", "a"]}
+    # the watermark passes the times of all that p holds, and of some that o does
+    put("3", [("q", "z", 1106)])
+    assert last() == {"o": ["r2", "r9"], "p": [], "q": ["z"]}
+    assert [r["gone"] for r in told if r["why"] == "expired" and r["owner"] == "p"] in ([["a"], ["b"]], [["a", "b"]])
+
+
+def tail(spark, tmp_path, **options):
+    """What a run of the stream takes: (file, start, stop, line)."""
+    spark.dataSource.register(LogTail)
+    reader = spark.readStream.format("log_tail").option("path", str(tmp_path / "logs/**/*.jsonl")).option("cursor", str(tmp_path / "cursor.json"))
+    for k, v in options.items():
+        reader = reader.option(k, v)
+    taken = []
+    q = reader.load().writeStream.foreachBatch(lambda d, k: taken.extend(d.collect())).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
     q.awaitTermination(60)
-    got = spark.table("working").orderBy("created_at").select(F.col("size")).collect()
-    assert [r["size"] for r in got] == [1, 2, 3, 3, 3]
+    return sorted((os.path.basename(r["path"]), r["start"], r["stop"], r["line"]) for r in taken)
+
+
+def test_tail_of_growing_files(spark, tmp_path):
+    logs = tmp_path / "logs/agent"
+    logs.mkdir(parents=True)
+    a, b = logs / "a.jsonl", logs / "b.jsonl"
+    a.write_bytes(b"one\ntwo\nunfin")
+    assert tail(spark, tmp_path) == [("a.jsonl", 0, 4, "one"), ("a.jsonl", 4, 8, "two")]
+    assert tail(spark, tmp_path) == []
+    # only what was added is read: the rest of the line, and a new file
+    with a.open("ab") as f:
+        f.write("ished é\nfour\n".encode())
+    b.write_bytes(b"b1\r\n\nb3\n")
+    got = tail(spark, tmp_path)
+    assert got == [("a.jsonl", 8, 22, "unfinished é"), ("a.jsonl", 22, 27, "four"), ("b.jsonl", 0, 4, "b1"), ("b.jsonl", 4, 5, ""), ("b.jsonl", 5, 8, "b3")]
+    assert sum(stop - start for _, start, stop, _ in got) == a.stat().st_size - 8 + b.stat().st_size
+    # a file that was cut, and one that was replaced, are read anew
+    a.write_bytes(b"again\n")
+    b.rename(logs / "b.jsonl.1")
+    b.write_bytes(b"another file under this name\n")
+    assert tail(spark, tmp_path) == [("a.jsonl", 0, 6, "again"), ("b.jsonl", 0, 29, "another file under this name")]
+    a.unlink()
+    assert tail(spark, tmp_path) == []
+
+
+def test_tail_from_the_end_and_in_budgets(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    for name in "ab":
+        (logs / f"{name}.jsonl").write_text("".join(f"{name}{k}\n" for k in range(10)))
+        os.utime(logs / f"{name}.jsonl", (1000 + ord(name), 1000 + ord(name)))
+    got = [[r[3] for r in tail(spark, tmp_path, lines=7, lines_each=4)] for _ in range(4)]
+    # the oldest file first, and no more of one than its share
+    assert got[0] == ["a0", "a1", "a2", "a3", "b0", "b1", "b2"] and [x for g in got for x in g if x[0] == "a"] == [f"a{k}" for k in range(10)]
+    assert sorted(x for g in got for x in g) == sorted([f"a{k}" for k in range(10)] + [f"b{k}" for k in range(10)])
+    assert tail(spark, tmp_path, seconds=0, lines=100) == []
+    other = tmp_path / "other"
+    (other / "logs").mkdir(parents=True)
+    (other / "logs/c.jsonl").write_text("old\n")
+    assert tail(spark, other, bootstrap="tail") == []
+    with (other / "logs/c.jsonl").open("a") as f:
+        f.write("new\n")
+    assert [r[3] for r in tail(spark, other, bootstrap="tail")] == ["new"]
+
+
+def test_ranges_of_a_file_give_each_line_once(tmp_path, monkeypatch):
+    from engram.sources import tail as module
+
+    monkeypatch.setattr(module, "RANGE", 7)
+    (tmp_path / "x.jsonl").write_text("".join("w" * (k % 19) + f"{k}\n" for k in range(60)))
+    reader = TailReader({"path": str(tmp_path / "*.jsonl")})
+    parts = reader.partitions({}, reader.latestOffset())
+    lines = [r for p in parts for r in reader.read(p)]
+    assert [r[4] for r in lines] == (tmp_path / "x.jsonl").read_text().splitlines() and len(parts) > 50
+    assert all(a[3] == b[2] for a, b in zip(lines, lines[1:]))
+    # a promise that Spark did not note is made good by the next one
+    ahead = reader.latestOffset()
+    with (tmp_path / "x.jsonl").open("a") as f:
+        f.write("later\n")
+    assert [r[4] for p in reader.partitions(ahead, reader.latestOffset()) for r in reader.read(p)] == ["later"]
