@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,15 +34,56 @@ def with_columns(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     return df.withColumns({k: v for k, v in defaults.items() if k not in df.columns})
 
 
+#: Characters of names in one automaton, and of texts that one task searches, about.
+NAME_CHARS, TEXT_CHARS = 1 << 22, 1 << 24
+_WORD = r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\p{Join_Control}]+"
+
+
+def _found():
+    """Names of one shard in the texts of one block, by one automaton."""
+    def run(names: pa.Table, texts: pa.Table) -> pa.Table:
+        import ahocorasick
+        import regex
+
+        out: tuple[list, list] = [], []
+        if len(names) and len(texts):
+            words = regex.compile(_WORD)
+            tree, held = ahocorasick.Automaton(), {}
+            for name, low, word in zip(*(names[c].to_pylist() for c in ("name", "low", "word"))):
+                held.setdefault(low, (word, []))[1].append(name)
+            for low, value in held.items():
+                tree.add_word(low, value)
+            tree.make_automaton()
+            for id_, text in zip(texts["id"].to_pylist(), texts["t"].to_pylist()):
+                met = {id(value): value for _, value in tree.iter(text)}
+                own = set(words.findall(text)) if met else ()
+                for word, same in met.values():
+                    if word in own:
+                        out[0].extend(same)
+                        out[1].extend([id_] * len(same))
+        return pa.table({"name": pa.array(out[0], type=pa.string()), "id": pa.array(out[1], type=texts.schema.field("id").type)})
+
+    return run
+
+
 def mentions(entities: DataFrame, messages: DataFrame, text_col: str = "content") -> DataFrame:
-    """(name, id): messages in which an entity's words stand one after another.
+    """(name, id): messages in which an entity's name stands, its first word as a word.
 
-    An entity's first word is looked up among a message's words, so this is an
-    equi-join on words with a substring test left over.
+    Names are dealt to shards and texts to blocks of bounded size; a task builds an
+    automaton of one shard's names and runs the texts of one block through it, so
+    what it costs grows with the texts, however many names begin alike.
     """
-    e = entities.select("name", F.lower("name").alias("low")).withColumn("word", F.regexp_extract("low", r"(?U)(\w+)", 1)).filter("word != ''")
-    m = messages.select("id", F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t")).withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"(?U)(\w+)"), F.lit(1)))))
-    return m.join(e, "word").filter(F.col("t").contains(F.col("low"))).select("name", "id").distinct()
+    e = entities.select("name", F.lower("name").alias("low")).distinct().withColumn("word", F.regexp_extract("low", r"(?U)(\w+)", 1)).filter("word != ''")
+    m = messages.select("id", F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t")).filter("t != ''")
+    size = lambda df, c: df.agg(F.sum(F.length(c))).first()[0] or 0
+    shards, blocks = (max(1, -(-size(df, c) // most)) for df, c, most in ((e, "low", NAME_CHARS), (m, "t", TEXT_CHARS)))
+    # texts of one id may be many: they are dealt by both
+    dealt = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    e = e.withColumn("shard", dealt(shards, "low")).withColumn("block", every(blocks))
+    m = m.withColumn("block", dealt(blocks, "id", "t")).withColumn("shard", every(shards))
+    kind = messages.schema["id"].dataType.simpleString()
+    return e.groupBy("shard", "block").cogroup(m.groupBy("shard", "block")).applyInArrow(_found(), f"name string, id {kind}").distinct()
 
 
 def merge_first(primary: DataFrame, *others: DataFrame, key: str) -> DataFrame:

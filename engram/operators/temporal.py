@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ranking import global_rank
+from ..storage import durable
 
 # Tags whose records are never let go.
 PROTECTED = ("identity", "safety", "confirmed_preference", "obligation")
 DAYS = 30
+DAY, INF = 86400, float("inf")
+#: Seconds of the finest bins of an interval join; rows of a key beyond which it is cut
+#: into bins; notices of a target that are folded in one task, about.
+UNIT, HOT, SEGMENT_ROWS = 64.0, 1000, 1 << 16
 
 
 def daily_accesses(accesses: DataFrame) -> DataFrame:
@@ -40,61 +44,173 @@ def activation(docs: DataFrame, accesses: DataFrame, now: float) -> DataFrame:
     return out.select("id", (F.ln(strength) + salience + recency).alias("score"), F.ln(strength).alias("base"), salience.alias("salience"), recency.alias("recency"), F.coalesce(protected, F.lit(False)).alias("protected"), F.size(d).cast("long").alias("access_days"))
 
 
-def conflicts(claims: DataFrame) -> DataFrame:
-    """(a, b): a claim and an accepted one of the same subject and predicate that
-    disagrees while both are valid; bounds are closed, null is unbounded.
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], unit: float = UNIT, hot: int = HOT) -> DataFrame:
+    """Pairs (x, y: structs of the rows) with equal keys whose closed intervals meet.
 
-    An interval join on the equal keys with the overlap as residual condition.
+    Both sides have ``keys``, f and t (null is unbounded).  Rows of a key that few
+    share meet by the key alone.  For others, two intervals meet where the one that
+    begins later begins inside the other: an interval is cut into dyadic bins of
+    ``unit`` * 2^k seconds, two a level at most, and a beginning is looked up in its
+    bin at each level.  So the rows of a hot key are dealt over its bins, and what
+    meets in a bin overlaps, but for the ends that share a unit.
     """
-    inf = float("inf")
-    a = claims.select("id", "subject", "predicate", "object", "polarity", F.coalesce("valid_from", F.lit(-inf)).alias("f"), F.coalesce("valid_to", F.lit(inf)).alias("t"), "status")
-    x, y = a.alias("x"), a.filter("status = 'ACCEPTED'").alias("y")
-    cond = (F.col("x.subject") == F.col("y.subject")) & (F.col("x.predicate") == F.col("y.predicate")) & (F.col("x.id") != F.col("y.id"))
-    cond &= (F.col("x.object") != F.col("y.object")) | (F.col("x.polarity") != F.col("y.polarity"))
-    cond &= (F.col("x.t") >= F.col("y.f")) & (F.col("y.t") >= F.col("x.f"))
-    return x.join(y, cond).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-
-
-def rate_limited(notices: DataFrame, per_hour: int = 1, per_day: int = 6, dedupe: float = 6 * 3600, quiet: tuple[int, int] = (23, 8), zone: str = "America/Lima") -> DataFrame:
+    sides = [df.withColumn("f", F.coalesce("f", F.lit(-INF))).withColumn("t", F.coalesce("t", F.lit(INF))).filter("f <= t") for df in (left, right)]
+    counts = sides[0].select(*keys).unionByName(sides[1].select(*keys)).groupBy(*keys).count().filter(F.col("count") > hot)
+    # at most a key for each ``hot`` rows
+    counts = durable(counts.select(*keys), "hot")
+    row = lambda df: F.struct(*[F.col(c) for c in df.columns if c not in keys])
+    cold = [df.join(counts, keys, "left_anti").select(*keys, row(df).alias(n)) for df, n in zip(sides, "xy")]
+    meets = (F.col("x.t") >= F.col("y.f")) & (F.col("y.t") >= F.col("x.f"))
+    out = cold[0].join(cold[1], keys).filter(meets).select(*keys, "x", "y")
+    if counts.isEmpty():
+        return out
+    x, y = (df.join(counts, keys, "left_semi").select(*keys, row(df).alias(n)) for df, n in zip(sides, "xy"))
+    ends = x.select("x.f", "x.t").unionByName(y.select("y.f", "y.t"))
+    finite = lambda c: F.when(F.abs(c) < INF, F.col(c))
+    low, high = ends.agg(F.least(F.min(finite("f")), F.min(finite("t"))), F.greatest(F.max(finite("f")), F.max(finite("t")))).first()
+    low, high = low if low is not None else 0.0, high if high is not None else 0.0
+    levels = max(1, int((high - low) / unit).bit_length() + 1)
+    place = lambda c: F.floor((F.least(F.greatest(F.col(c), F.lit(low)), F.lit(high)) - low) / unit).cast("long")
+    level = F.sequence(F.lit(0), F.lit(levels - 1))
+
+    def begins(df: DataFrame, name: str) -> DataFrame:
+        bins = F.transform(level, lambda k: F.struct(k.alias("level"), F.call_function("shiftright", place(f"{name}.f"), k).alias("bin")))
+        return df.select(*keys, name, F.inline(bins))
+
+    def covers(df: DataFrame, name: str) -> DataFrame:
+        first, after = place(f"{name}.f"), place(f"{name}.t") + 1
+
+        def at(k: Column) -> Column:
+            width = F.call_function("shiftleft", F.lit(1).cast("long"), k)
+            lo, hi = F.ceil(first / width), F.call_function("shiftright", after, k)
+            own = F.array(F.when((lo < hi) & (lo % 2 == 1), lo), F.when((lo < hi) & (hi % 2 == 1), hi - 1))
+            return F.transform(F.filter(F.array_distinct(own), lambda b: b.isNotNull()), lambda b: F.struct(k.alias("level"), b.cast("long").alias("bin")))
+
+        return df.select(*keys, name, F.inline(F.flatten(F.transform(level, at))))
+
+    on = [*keys, "level", "bin"]
+    # y begins inside x; or x begins inside y, and later than it
+    later = begins(y, "y").join(covers(x, "x"), on).filter((F.col("y.f") >= F.col("x.f")) & meets)
+    sooner = begins(x, "x").join(covers(y, "y"), on).filter((F.col("x.f") > F.col("y.f")) & meets)
+    return out.unionByName(later.select(*keys, "x", "y")).unionByName(sooner.select(*keys, "x", "y"))
+
+
+def conflicts(claims: DataFrame, **how: float) -> DataFrame:
+    """(a, b): a claim and an accepted one of the same subject and predicate that
+    disagrees while both are valid; bounds are closed, null is unbounded."""
+    own = claims.select("subject", "predicate", "id", "object", "polarity", F.col("valid_from").alias("f"), F.col("valid_to").alias("t"), "status")
+    met = overlapping(own, own.filter("status = 'ACCEPTED'"), ["subject", "predicate"], **how)
+    differ = (F.col("x.object") != F.col("y.object")) | (F.col("x.polarity") != F.col("y.polarity"))
+    return met.filter(differ & (F.col("x.id") != F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+class _Admission:
+    """One target's notices in order of time: what was sent within the windows."""
+
+    def __init__(self, per_hour: int, per_day: int, dedupe: float, state: dict | None = None):
+        self.per_hour, self.per_day, self.dedupe = per_hour, per_day, dedupe
+        self.sent: list[float] = list(state["sent"]) if state else []
+        self.last: dict[str, float] = {k["key"]: k["at"] for k in state["last"]} if state else {}
+
+    def decide(self, at: float | None, key: str | None, silent: bool) -> str:
+        if silent:
+            return "quiet"
+        at = float("nan") if at is None else at
+        self.sent = [t for t in self.sent if at - t <= DAY]
+        if key in self.last and at - self.last[key] < self.dedupe:
+            return "duplicate"
+        if sum(at - t <= 3600 for t in self.sent) >= self.per_hour:
+            return "hour"
+        if len(self.sent) >= self.per_day:
+            return "day"
+        self.sent.append(at)
+        self.last = {k: t for k, t in self.last.items() if at - t < self.dedupe} | {key: at}
+        return "sent"
+
+    def state(self, until: float) -> dict:
+        """What still bears on notices from ``until`` on, in a fixed order."""
+        last = [{"key": k, "at": t} for k, t in self.last.items() if until - t < self.dedupe]
+        return {"sent": sorted(t for t in self.sent if until - t <= DAY), "last": sorted(last, key=lambda x: (x["at"], x["key"] is not None, x["key"] or ""))}
+
+
+_STATE = "struct<sent:array<double>,last:array<struct<key:string,at:double>>>"
+_NOBODY = -(1 << 63) + 1
+
+
+def _decided(limits: tuple):
+    """Decisions of one segment whose state at the beginning stands in its rows."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("at", "ascending"), ("id", "ascending")])
+        own = _Admission(*limits, table["state"][0].as_py())
+        made = [own.decide(*x) for x in zip(*(table[c].to_pylist() for c in ("at", "key", "silent")))]
+        return pa.table({"target": table["target"], "id": table["id"], "at": table["at"], "decision": pa.array(made, type=pa.string())})
+
+    return run
+
+
+def _ends(limits: tuple):
+    """State at the end of one segment, from its beginning's."""
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("at", "ascending"), ("id", "ascending")])
+        own = _Admission(*limits, table["state"][0].as_py())
+        for x in zip(*(table[c].to_pylist() for c in ("at", "key", "silent"))):
+            own.decide(*x)
+        kind = pa.struct([("sent", pa.list_(pa.float64())), ("last", pa.list_(pa.struct([("key", pa.string()), ("at", pa.float64())])))])
+        return pa.table({"target": pa.array([key[0].as_py()], type=pa.int64()), "seg": pa.array([key[1].as_py()], type=pa.int64()), "end": pa.array([own.state(table["until"][0].as_py())], type=kind)})
+
+    return run
+
+
+def rate_limited(notices: DataFrame, per_hour: int = 1, per_day: int = 6, dedupe: float = 6 * 3600, quiet: tuple[int, int] = (23, 8), zone: str = "America/Lima", segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """(target, id, at, decision): admission in order of time for each target.
 
     Checked in order: quiet hours (unless urgent), the same key within
     ``dedupe`` seconds, the hour's and the day's quota of *admitted* notices.
-    ``notices``: target, id, at, key, urgent.  Admission depends on what was
-    admitted before, so each target is a fold over its own notices, sorted by
-    Spark; the state is what was admitted within a day or ``dedupe`` seconds.
+    ``notices``: target, id, at, key, urgent; a null time comes last.
+
+    Admission depends on what was admitted before, but on the last day only.  A
+    target with more than ``segment_rows`` notices is cut into segments of time,
+    which are folded at once.  The first fold of a segment assumes that nothing was
+    sent before; one whose predecessor ended otherwise than assumed is folded again,
+    until all agree.  A quiet day, or quotas that are used up alike, end such a
+    change, so the rounds are few; they are never more than the segments of a target.
     """
+    limits = (per_hour, per_day, dedupe)
     local = F.hour(F.from_utc_timestamp(F.timestamp_seconds("at"), zone))
-    silent = (local >= quiet[0]) | (local < quiet[1])
-    rows = notices.select(F.col("target").cast("long"), F.col("id").cast("long"), F.col("at").cast("double"), F.col("key").cast("string"), (silent & ~F.col("urgent")).alias("silent"))
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: object = ()
-        sent: list[float] = []
-        last: dict[str, float] = {}
-        for batch in batches:
-            out = []
-            for target, at, key, silent in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
-                if target != own:
-                    own, sent, last = target, [], {}
-                if silent:
-                    out.append("quiet")
-                    continue
-                at = float("nan") if at is None else at
-                sent = [t for t in sent if at - t < 86400]
-                if key in last and at - last[key] < dedupe:
-                    out.append("duplicate")
-                elif sum(at - t < 3600 for t in sent) >= per_hour:
-                    out.append("hour")
-                elif len(sent) >= per_day:
-                    out.append("day")
-                else:
-                    out.append("sent")
-                    sent.append(at)
-                    last = {k: t for k, t in last.items() if at - t < dedupe} | {key: at}
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, type=pa.string())], names=["target", "id", "at", "decision"])
-
-    return rows.repartition("target").sortWithinPartitions("target", F.asc_nulls_last("at"), "id").mapInArrow(fold, "target long, id long, at double, decision string")
+    silent = F.coalesce(((local >= quiet[0]) | (local < quiet[1])) & ~F.col("urgent"), F.lit(False))
+    # notices of no target are those of one
+    rows = notices.select(F.coalesce(F.col("target").cast("long"), F.lit(_NOBODY)).alias("target"), F.col("id").cast("long"), F.col("at").cast("double"), F.col("key").cast("string"), silent.alias("silent"))
+    # one segment's length a target: a day and the time of no duplicates at least
+    sizes = rows.groupBy("target").agg(F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high"))
+    width = F.greatest(F.lit(float(max(DAY, dedupe) + 1)), (F.col("high") - F.col("low")) / F.ceil(F.col("n") / segment_rows) + 1)
+    sizes = sizes.select(F.col("target").alias("of"), "low", width.alias("width"))
+    cut, last = F.floor((F.col("at") - F.col("low")) / F.col("width")).cast("long"), F.lit(1 << 62).cast("long")
+    rows = rows.join(sizes, F.col("target") == F.col("of")).withColumn("seg", F.when(F.col("at").isNull(), last).otherwise(cut))
+    rows = durable(rows.withColumn("until", F.when(F.col("at").isNotNull(), F.col("low") + (F.col("seg") + 1) * F.col("width"))).select("target", "seg", "until", "id", "at", "key", "silent"), "notices")
+    segments = rows.groupBy("target", "seg").agg(F.count("*").alias("n"))
+    before = F.lag("seg").over(W.partitionBy("target").orderBy("seg"))
+    # a segment that follows a gap begins with nothing sent
+    segments = segments.withColumn("before", before).withColumn("follows", F.coalesce((F.col("seg") == F.col("before") + 1) | (F.col("seg") == last), F.lit(False)) & F.col("before").isNotNull())
+    segments = durable(segments.select("target", "seg", "before", "follows"), "segments")
+    empty = F.struct(F.array().cast("array<double>").alias("sent"), F.array().cast("array<struct<key:string,at:double>>").alias("last"))
+    starts = durable(segments.select("target", "seg", "before", "follows", empty.alias("state")), "starts")
+    if not segments.filter("follows").isEmpty():
+        # only segments that another one follows need an end
+        needed = segments.filter("follows").select("target", F.col("before").alias("seg")).distinct()
+        turn, ends = starts, None
+        while True:
+            fold = rows.join(turn.select("target", "seg", "state"), ["target", "seg"]).join(needed, ["target", "seg"], "left_semi")
+            fresh = fold.groupBy("target", "seg").applyInArrow(_ends(limits), f"target long, seg long, end {_STATE}")
+            ends = durable(fresh if ends is None else ends.join(turn.select("target", "seg"), ["target", "seg"], "left_anti").unionByName(fresh), "ends")
+            came = ends.select("target", F.col("seg").alias("before"), "end")
+            now = starts.filter("follows").join(came, ["target", "before"]).withColumn("moved", F.to_json("end") != F.to_json("state"))
+            turn = durable(now.filter("moved").select("target", "seg", "before", "follows", F.col("end").alias("state")), "turn")
+            if turn.isEmpty():
+                break
+            starts = durable(starts.join(turn.select("target", "seg"), ["target", "seg"], "left_anti").unionByName(turn), "starts")
+    ready = rows.join(starts.select("target", "seg", "state"), ["target", "seg"])
+    made = ready.groupBy("target", "seg").applyInArrow(_decided(limits), "target long, id long, at double, decision string")
+    return made.withColumn("target", F.nullif("target", F.lit(_NOBODY)))
 
 
 def pruned(events: DataFrame, now: float, days: int) -> DataFrame:

@@ -492,11 +492,25 @@ def summary_critic(spark, sf):
     return knowledge.check_summaries(s, views.memories(spark, sf))
 
 
-@query("rate_limit")
+@query("rate_limit", """
+WITH RECURSIVE n AS MATERIALIZED (SELECT user_id AS target, event_id AS id, epoch(ts)::DOUBLE AS tm, event_type AS key,
+  (hour(ts - INTERVAL 5 HOUR) >= 23 OR hour(ts - INTERVAL 5 HOUR) < 8) AND event_type <> 'error' AS silent, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (
+  SELECT DISTINCT target, 0::BIGINT AS k, NULL::BIGINT AS id, NULL::DOUBLE AS tm, '' AS decision, []::DOUBLE[] AS sent, []::STRUCT(key VARCHAR, tm DOUBLE)[] AS last FROM n
+  UNION ALL
+  SELECT target, k, id, tm, decision, CASE decision WHEN 'quiet' THEN sent WHEN 'sent' THEN list_append(live, tm) ELSE live END,
+    CASE decision WHEN 'sent' THEN list_append(near, {'key': key, 'tm': tm}) ELSE near END
+  FROM (
+    SELECT *, CASE WHEN silent THEN 'quiet' WHEN len(list_filter(near, lambda x: x.key = key)) > 0 THEN 'duplicate'
+      WHEN len(list_filter(live, lambda t: tm - t <= 3600)) >= 1 THEN 'hour' WHEN len(live) >= 6 THEN 'day' ELSE 'sent' END AS decision
+    FROM (
+      SELECT n.target, n.k, n.id, n.tm, n.key, n.silent, f.sent, list_filter(f.sent, lambda t: n.tm - t <= 86400) AS live, list_filter(f.last, lambda x: n.tm - x.tm < 21600) AS near
+      FROM f JOIN n ON n.target = f.target AND n.k = f.k + 1)))
+SELECT target, id, round(tm, 3) AS at, decision FROM f WHERE k > 0""")
 def rate_limit(spark, sf):
     e = views.table(spark, sf, "events")
     n = e.select(F.col("user_id").alias("target"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_type").alias("key"), (F.col("event_type") == "error").alias("urgent"))
-    return temporal.rate_limited(n)
+    return temporal.rate_limited(n).withColumn("at", F.round("at", 3))
 
 
 # ---- graph -----------------------------------------------------------------

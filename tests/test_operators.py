@@ -485,20 +485,74 @@ def test_rate_limit_streams_each_target(spark):
             want[i] = "quiet"
         elif any(d < 6 * 3600 and k == key for d, k in ago):
             want[i] = "duplicate"
-        elif any(d < 3600 for d, _ in ago):
+        elif any(d <= 3600 for d, _ in ago):
             want[i] = "hour"
-        elif sum(d < 86400 for d, _ in ago) >= 6:
+        elif sum(d <= 86400 for d, _ in ago) >= 6:
             want[i] = "day"
         else:
             want[i] = "sent"
             sent.append((at, key))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    try:
-        out = temporal.rate_limited(n, zone="UTC")
+    for segment_rows in (1 << 16, 40):
+        out = temporal.rate_limited(n, zone="UTC", segment_rows=segment_rows)
         assert {r["id"]: r["decision"] for r in out.collect()} == want
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+
+
+def test_a_hot_target_is_many_segments(spark):
+    """Twenty segments without a gap, then a pause; null times, targets and keys."""
+    rng = random.Random(9)
+    data = [(7, k, 1.7e9 + rng.randrange(40 * 86400), rng.choice(["a", "b", None]), True) for k in range(1500)] + [(7, 2000 + k, 1.7e9 + 60 * 86400 + 700 * k, "c", True) for k in range(99)]
+    data += [(None, 3000, 1.7e9, "a", True), (None, 3001, 1.7e9 + 10, "a", True), (8, 3002, None, "a", True), (8, 3003, 1.7e9, "a", True)]
+    n = spark.createDataFrame(data, "target long, id long, at double, key string, urgent boolean").repartition(3)
+    one = {(r["target"], r["id"]): r["decision"] for r in temporal.rate_limited(n).collect()}
+    many = {(r["target"], r["id"]): r["decision"] for r in temporal.rate_limited(n, segment_rows=60).collect()}
+    assert one == many and len(one) == len(data) and one[(None, 3001)] == "duplicate"
+    own = temporal._Admission(1, 6, 6 * 3600)
+    want = {(7, i): own.decide(at, key, False) for _, i, at, key, _ in sorted((r for r in data if r[0] == 7), key=lambda r: (r[2], r[1]))}
+    assert {k: v for k, v in one.items() if k[0] == 7} == want and set(want.values()) == {"sent", "duplicate", "hour", "day"}
+
+
+@pytest.mark.parametrize("unit", [1.0, 7.0, 1000.0])
+def test_intervals_of_a_hot_key(spark, unit):
+    """One key with all rows: all kinds of intervals against all pairs."""
+    rng = random.Random(3)
+    end = lambda f: rng.choice([None, f, f + rng.random() * 5, f + rng.randrange(300)])
+    data = []
+    for k in range(260):
+        f = rng.choice([None, float(rng.randrange(400)), rng.random() * 400])
+        data.append((1 if k % 9 else None if k % 2 else 2, k, f, end(f or 0.0)))
+    data.append((1, 900, 5.0, 4.0))
+    df = spark.createDataFrame(data, "key long, id long, f double, t double")
+    inf = float("inf")
+    open_ = [(k, i, -inf if f is None else f, inf if t is None else t) for k, i, f, t in data if k is not None]
+    want = sorted((a[1], b[1]) for a in open_ for b in open_ if a[0] == b[0] and a[2] <= a[3] and b[2] <= b[3] and a[3] >= b[2] and b[3] >= a[2])
+    for hot in (10, 100_000):
+        got = temporal.overlapping(df, df, ["key"], unit=unit, hot=hot).select("x.id", "y.id").collect()
+        assert sorted(map(tuple, got)) == want
+    alone = df.filter("id < 3").withColumns({"f": F.lit(None).cast("double"), "t": F.lit(None).cast("double"), "key": F.lit(1)})
+    assert temporal.overlapping(alone, alone, ["key"], hot=1).count() == 9
+
+
+def test_bins_are_met_by_what_overlaps(spark):
+    """5,000 short intervals of one key: what meets in the bins is near what overlaps, and
+    the key's rows are in many tasks."""
+    df = spark.range(5000).select(F.lit(1).alias("key"), "id", (F.col("id") * 10).cast("double").alias("f"), (F.col("id") * 10 + 25).cast("double").alias("t"))
+    out = temporal.overlapping(df, df, ["key"], unit=4.0, hot=100)
+    assert out.count() == 5000 + 2 * (4999 + 4998)
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_many_names_with_one_first_word(spark, monkeypatch):
+    from engram.operators import maintenance
+
+    names = spark.range(100_000).select(F.concat(F.lit("The Group "), F.col("id").cast("string")).alias("name"))
+    texts = spark.createDataFrame([(1, "we met THE group 99 and the group 7."), (2, "The Group"), (3, "bathe group 5"), (4, None), (5, "the group 123456"), (6, "the x group 5")], "id long, content string")
+    more = spark.createDataFrame([("Ñandú é",), ("a_b",), ("...",), (None,), ("",), ("THE group 99",)], "name string")
+    texts = texts.unionByName(spark.createDataFrame([(7, "un ÑANDÚ ÉL, a_b"), (8, "xa_b ñandú e")], "id long, content string"))
+    want = {("The Group 9", 1), ("The Group 99", 1), ("THE group 99", 1), ("The Group 7", 1), ("Ñandú é", 7), ("a_b", 7)} | {(f"The Group {'123456'[:k]}", 5) for k in range(1, 6)}
+    assert set(rows(maintenance.mentions(names.union(more), texts))) == want
+    monkeypatch.setattr(maintenance, "NAME_CHARS", 300_000)
+    monkeypatch.setattr(maintenance, "TEXT_CHARS", 40)
+    assert set(rows(maintenance.mentions(names.union(more), texts))) == want
 
 
 def test_pairs_above_without_ranking(spark):
