@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.vectors import HashingEmbedder
 from ..operators import ann, elimination, recall
-from ..sources import views
+from ..sources import session_logs, views
+from ..sources.tail import LogTail
 from ..storage import fresh_folder
+from ..streaming import ingest, state
+from ..streaming.commits import Store
 from .catalog import _index, _journal, query
 
 
@@ -67,3 +71,89 @@ def janitor_elimination(spark, sf):
     v = views.vectors(spark, sf)
     r = v.select("id", (F.col("id") % 11 / 10.0).alias("importance"), (F.col("id") % 97).cast("double").alias("created_at"), "embedding")
     return elimination.eliminate(r, 0.3)
+
+
+# ---- streams and commits ----------------------------------------------------
+
+_LINES = "SELECT coalesce(role, '') AS role, text FROM conversations WHERE text IS NOT NULL AND length(trim(text)) >= 8"
+
+
+def _local(folder: str) -> str:
+    """The path of a shared folder that the driver and all executors mount."""
+    scheme, _, path = folder.rpartition(":")
+    if scheme not in ("", "file"):
+        raise RuntimeError("log files are tailed in a folder that is mounted everywhere, not in " + folder)
+    return "/" + path.lstrip("/")
+
+
+@query("tail_stream", f"SELECT role, count(*) AS n, sum(length(text))::BIGINT AS chars, (SELECT sum(length(text)) FROM ({_LINES}))::BIGINT AS all_chars FROM ({_LINES}) GROUP BY role")
+def tail_stream(spark, sf):
+    """Session logs of all turns, taken by the byte tail in two runs, the second after
+    the files have grown; messages are committed batch by batch."""
+    root = fresh_folder(spark, "tail")
+    logs, store = _local(f"{root}/logs"), Store(spark, f"{root}/store")
+    c = views.table(spark, sf, "conversations")
+    line = F.to_json(F.struct(F.lit("message").alias("type"), F.struct(F.coalesce("role", F.lit("")).alias("role"), F.col("text").alias("content")).alias("message")))
+    spark.dataSource.register(LogTail)
+    for half in (0, 1):
+        c.filter(F.pmod("conv_id", F.lit(2)) == half).select(line).write.mode("append").text(f"{root}/logs/{half}")
+        told = spark.readStream.format("log_tail").option("path", f"{logs}/*/*.txt").option("cursor", f"{_local(root)}/cursor.json").load()
+        said = told.select("path", "start", session_logs.parse(F.col("line")).alias("m")).filter(F.char_length(F.trim("m.text")) >= 8)
+        rows = said.select("path", "start", "m.role", F.col("m.text").alias("text"))
+        run = rows.writeStream.foreachBatch(lambda d, k: store.commit({"messages": d}, "tail", k)).option("checkpointLocation", f"{root}/checkpoint")
+        run.trigger(availableNow=True).start().awaitTermination()
+    taken = store.snapshot().table("messages").dropDuplicates(["path", "start"])
+    total = taken.agg(F.sum(F.length("text")).alias("all_chars"))
+    return taken.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).crossJoin(F.broadcast(total))
+
+
+_TTL, _ROOM = 3 * 86400, 5
+
+
+@query("working_memory", f"""
+WITH e AS (SELECT user_id::VARCHAR AS owner, event_id::VARCHAR AS id, epoch(ts)::DOUBLE AS tm, (SELECT max(epoch(ts)) FROM events)::DOUBLE AS now FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY tm DESC, id) AS r FROM e)
+SELECT owner, count(*) FILTER (tm + {_TTL} >= now) AS held, coalesce(string_agg(id, ',' ORDER BY r) FILTER (tm + {_TTL} >= now), '') AS ids FROM r WHERE r <= {_ROOM} GROUP BY owner""")
+def working_memory(spark, sf):
+    """What each user's memory holds of the events at the end of their stream."""
+    key, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    root, had = fresh_folder(spark, "working"), spark.conf.get(key, None)
+    store = Store(spark, f"{root}/store")
+    table = views.table(spark, sf, "events")
+    # a stream takes a folder: the table's own, or that of its one file
+    alone = all(f.endswith("/events.parquet") for f in table.inputFiles())
+    reader = spark.readStream.schema(table.schema)
+    events = reader.option("pathGlobFilter", "events.parquet").parquet(sf) if alone else reader.parquet(f"{sf}/events.parquet")
+    puts = events.select(F.col("user_id").alias("owner"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    spark.conf.set(key, rocks)
+    try:
+        told = state.working_memory(puts, float(_TTL), _ROOM)
+        run = told.writeStream.foreachBatch(lambda d, k: store.commit({"memory": d}, "memory", k)).outputMode("update").option("checkpointLocation", f"{root}/checkpoint")
+        run.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, had) if had is not None else spark.conf.unset(key)
+    last = store.snapshot().table("memory").groupBy("owner").agg(F.max_by("ids", "version").alias("ids"))
+    return last.select("owner", F.size("ids").cast("long").alias("held"), F.array_join("ids", ",").alias("ids"))
+
+
+@query("commit_snapshots", """
+WITH b AS (SELECT doc_id % 3 AS b, doc_id, lang FROM documents WHERE doc_id IS NOT NULL)
+SELECT v.version::INT AS version, t.name, (SELECT count(*) FROM b WHERE b < v.version)::BIGINT AS n, (SELECT count(*) FROM b WHERE b < v.version AND lang IS NOT NULL)::BIGINT AS tagged
+FROM (VALUES (1), (2), (3)) v(version), (VALUES ('episodes'), ('vectors')) t(name)""")
+def commit_snapshots(spark, sf):
+    """Three batches of documents with their vectors and tags, the second sent twice: what
+    a reader of each version sees."""
+    store = Store(spark, fresh_folder(spark, "store"))
+    m = views.table(spark, sf, "documents").filter("doc_id IS NOT NULL").select("doc_id", F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"), F.array_compact(F.array("lang")).alias("tags"))
+    for k in (0, 1, 1, 2):
+        made = ingest.projections(m.filter(F.col("doc_id") % 3 == k).drop("doc_id"), HashingEmbedder(16))
+        store.commit({t: made[t] for t in ("episodes", "vectors", "tags")}, "documents", k)
+    out = None
+    for version in store.versions():
+        now = store.snapshot(version)
+        tagged = now.table("tags").agg(F.count("*").alias("tagged"))
+        for name in ("episodes", "vectors"):
+            n = now.table(name).agg(F.count("*").alias("n"))
+            row = n.crossJoin(F.broadcast(tagged)).select(F.lit(version).alias("version"), F.lit(name).alias("name"), "n", "tagged")
+            out = row if out is None else out.unionByName(row)
+    return out
