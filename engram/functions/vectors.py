@@ -87,17 +87,30 @@ def _hashed(gram: str) -> int:
     return found
 
 
+#: Numbers of one block of vectors that are summed at a time.
+BLOCK = 1 << 20
+
+
+def hash_vectors(texts: list[str | None], dims: int) -> np.ndarray:
+    """Signed feature hashing of words and word pairs, a line of unit length for each
+    text; zeros without words.  Each different word or pair of the batch is hashed once."""
+    found = [_WORD.findall((t or "").lower()) for t in texts]
+    codes, words = pd.factorize(np.array([w for ws in found for w in ws], dtype=object))
+    line = np.repeat(np.arange(len(found)), [len(ws) for ws in found])
+    first = np.flatnonzero(line[1:] == line[:-1])
+    both, which = np.unique(codes[first] * (len(words) + 1) + codes[first + 1], return_inverse=True)
+    pairs = [f"{words[k // (len(words) + 1)]}_{words[k % (len(words) + 1)]}" for k in both]
+    once = np.array([*map(_hashed, words), *map(_hashed, pairs)], dtype=np.int64)
+    h = once[np.concatenate([codes, len(words) + which]).astype(np.int64)]
+    line = np.concatenate([line, line[first]])
+    sums = np.bincount(line * dims + (h & 0xFFFFFFFF) % dims, weights=1.0 - 2.0 * (h >> 32), minlength=len(found) * dims)
+    out = sums.astype(np.float64).reshape(len(found), dims)
+    length = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
+
+
 def hash_vector(text: str | None, dims: int) -> np.ndarray:
-    """Signed feature hashing of words and word pairs, unit length."""
-    found = _WORD.findall((text or "").lower())
-    out = np.zeros(dims)
-    if found:
-        h = np.array([*map(_hashed, found), *map(_hashed, map("_".join, zip(found, found[1:])))], dtype=np.int64)
-        out = np.bincount((h & 0xFFFFFFFF) % dims, weights=1.0 - 2.0 * (h >> 32), minlength=dims)
-        length = np.linalg.norm(out)
-        if length:
-            out /= length
-    return out
+    return hash_vectors([text], dims)[0]
 
 
 class HashingEmbedder:
@@ -108,14 +121,20 @@ class HashingEmbedder:
             raise ValueError("dims must be positive")
         self.dims, self.name = dims, f"hashing-{dims}"
 
-    def column(self, text: Column) -> Column:
+    def function(self):
+        """The embedder as a Pandas UDF of a text column."""
         dims = self.dims
 
         @F.pandas_udf(T.ArrayType(T.DoubleType()))
         def embed(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: hash_vector(t, dims))
+            rows = max(1, BLOCK // dims)
+            blocks = [hash_vectors(texts.iloc[at : at + rows].tolist(), dims) for at in range(0, len(texts), rows)]
+            return pd.Series([v for block in blocks for v in block], index=texts.index)
 
-        return embed(text)
+        return embed
+
+    def column(self, text: Column) -> Column:
+        return self.function()(text)
 
 
 _EMBEDDERS: dict[str, Callable[[int], Embedder]] = {"hashing": HashingEmbedder}

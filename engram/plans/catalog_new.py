@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import sql
 from ..functions.vectors import HashingEmbedder
 from ..operators import ann, elimination, recall
 from ..sources import session_logs, views
@@ -11,7 +12,9 @@ from ..sources.tail import LogTail
 from ..storage import fresh_folder
 from ..streaming import ingest, state
 from ..streaming.commits import Store
-from .catalog import _index, _journal, query
+from ..streaming.migrations import Migrations
+from ..streaming.sync import EmbeddingSync, current
+from .catalog import _TALK, _TOP, _index, _journal, query
 
 
 def graph_index(spark, sf) -> ann.GraphIndex:
@@ -157,3 +160,75 @@ def commit_snapshots(spark, sf):
             row = n.crossJoin(F.broadcast(tagged)).select(F.lit(version).alias("version"), F.lit(name).alias("name"), "n", "tagged")
             out = row if out is None else out.unionByName(row)
     return out
+
+
+# ---- SQL text ----------------------------------------------------------------
+
+
+def _registered(spark, **frames) -> None:
+    sql.register(spark, HashingEmbedder(64))
+    for name, df in frames.items():
+        df.createOrReplaceTempView(name)
+
+
+@query("sql_similar", f"SELECT id, score FROM ({_TOP}) WHERE score >= 0 ORDER BY score DESC, id LIMIT 10")
+def sql_similar(spark, sf):
+    _registered(spark, engram_vectors=views.vectors(spark, sf))
+    return spark.sql("""
+        SELECT v.id, round(cosine_similarity(v.embedding, q.embedding), 6) AS score
+        FROM engram_vectors v CROSS JOIN (SELECT embedding FROM engram_vectors WHERE id = 0) q
+        WHERE cosine_similarity(v.embedding, q.embedding) >= 0 ORDER BY score DESC, id LIMIT 10""")
+
+
+@query("sql_comentions", f"{_TALK} SELECT source, target, weight FROM edges")
+def sql_comentions(spark, sf):
+    _registered(spark, engram_turns=views.turns(spark, sf).select(F.col("uuid").alias("id"), F.col("text").alias("content")))
+    return spark.sql("""
+        SELECT c.source, c.target, cast(count(*) AS DOUBLE) AS weight
+        FROM (SELECT id, extract_entities(content) AS e FROM engram_turns) t, LATERAL co_mentions(t.e) c GROUP BY c.source, c.target""")
+
+
+@query("sql_hash_embed", """
+WITH t AS (SELECT lower(coalesce(text, '')) AS t, role FROM conversations)
+SELECT role, count(*) AS n, count(*) FILTER (len(regexp_extract_all(t, '[\\p{L}\\p{N}\\p{M}_]+')) > 0) AS embedded FROM t GROUP BY role""")
+def sql_hash_embed(spark, sf):
+    """Turns, and those whose vector is like itself: all that hold a word."""
+    _registered(spark, engram_turns=views.turns(spark, sf))
+    return spark.sql("""
+        SELECT role, count(*) AS n, count_if(cosine_similarity(v, v) > 0.999999) AS embedded
+        FROM (SELECT role, hash_embed(text) AS v FROM engram_turns) GROUP BY role""")
+
+
+# ---- migrations, resumable work ------------------------------------------------
+
+
+@query("schema_chain", """
+SELECT doc_id % 3 AS written_at, count(*) AS n, sum(length(coalesce(text, '')))::BIGINT AS chars, count(*) FILTER (doc_id % 3 > 0 AND lang IS NOT NULL) AS with_lang
+FROM documents WHERE doc_id IS NOT NULL GROUP BY 1""")
+def schema_chain(spark, sf):
+    """Documents written in three layouts, each third by a program of its time, read twice
+    by the newest: before and after the older ones are rewritten."""
+    steps = (lambda df: df.withColumn("tags", F.array().cast("array<string>")), lambda df: df.withColumnRenamed("text", "content").withColumn("chars", F.length("content").cast("long")))
+    notes = Migrations("notes", *steps)
+    store = Store(spark, fresh_folder(spark, "notes"))
+    d = views.table(spark, sf, "documents").filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang")
+    third = lambda k: d.filter(F.col("doc_id") % 3 == k)
+    Migrations("notes").write(store, third(0).select("doc_id", "text"))
+    Migrations("notes", steps[0]).write(store, third(1).select("doc_id", "text", F.array_compact(F.array("lang")).alias("tags")))
+    notes.write(store, third(2).select("doc_id", F.col("text").alias("content"), F.array_compact(F.array("lang")).alias("tags"), F.length("text").cast("long").alias("chars")))
+    # the same rows through the chain and, once rewritten, without it
+    through = notes.read(store.snapshot())
+    notes.apply(store)
+    both = through.unionByName(notes.read(store.snapshot())).groupBy("doc_id", "chars", F.size("tags").alias("tags")).count().filter("count = 2")
+    return both.groupBy((F.col("doc_id") % 3).alias("written_at")).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.count_if(F.col("tags") > 0).alias("with_lang"))
+
+
+@query("embedding_sync", "SELECT true AS stopped_early, count(*) AS embedded, count(DISTINCT sha256(coalesce(text, ''))) AS versions FROM documents WHERE doc_id IS NOT NULL")
+def embedding_sync(spark, sf):
+    """Vectors of all documents in two runs, the first of which has time for one block."""
+    m = views.memories(spark, sf).filter("id IS NOT NULL")
+    work = EmbeddingSync(Store(spark, fresh_folder(spark, "sync")), HashingEmbedder(16), block=max(1, m.count() // 3))
+    first = work.run(m, 0.0)
+    work.run(m, float("inf"))
+    done = current(work.store.snapshot())
+    return done.agg(F.lit(not first["done"]).alias("stopped_early"), F.count("*").alias("embedded"), F.countDistinct("version").alias("versions"))
