@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bytesets import mix
 from .rows import row_hash, without
-from .storage import durable, release, release_since, written
+from .storage import durable, release, tables
 
 #: Fingerprints that one owner gets, about; bounds an owner's memory and keeps the
 #: messages of a block, one to each owner, few.
@@ -242,13 +242,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A row goes or stays by its own id and text: another row with its id is no
     concern.  Of several rows with the largest id (or without any) one stays.
     """
-    begin = written()
-    copied = durable(_judged(docs, id_col, text_col, OWNER_ROWS).filter("group_size > 1").select("doc_id", "row", "keep_id", "text_sha256"), "copied")
-    first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    gone = copied.filter(~first).select("row", F.lit(False).alias("once")).distinct()
-    # the rows under the largest id: one in most groups, which needs no verdict
-    each = copied.filter(first).groupBy("text_sha256", "row").agg(F.count("*").alias("k"))
-    each = each.withColumn("once", F.col("row") == F.min("row").over(W.partitionBy("text_sha256"))).filter("NOT once OR k > 1")
-    verdicts = durable(gone.unionByName(each.select("row", "once")), "verdicts")
-    release_since(begin, keep=verdicts)
+    with tables() as keep:
+        copied = durable(_judged(docs, id_col, text_col, OWNER_ROWS).filter("group_size > 1").select("doc_id", "row", "keep_id", "text_sha256"), "copied")
+        first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+        gone = copied.filter(~first).select("row", F.lit(False).alias("once")).distinct()
+        # the rows under the largest id: one in most groups, which needs no verdict
+        each = copied.filter(first).groupBy("text_sha256", "row").agg(F.count("*").alias("k"))
+        each = each.withColumn("once", F.col("row") == F.min("row").over(W.partitionBy("text_sha256"))).filter("NOT once OR k > 1")
+        verdicts = keep(durable(gone.unionByName(each.select("row", "once")), "verdicts"))
     return without(docs, row_hash(id_col, text_col), verdicts)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .bytesets import mix, parts, shingle_sets
 from .components import components
 from .rows import row_hash, without
-from .storage import durable, release, release_since, written
+from .storage import durable, release, tables
 
 _U = np.uint64
 #: Counters of the sketch that orders tokens by frequency.
@@ -51,8 +51,10 @@ ROUNDS, HEADS, TRIES = 2, (1, 4), (8, 32)
 _SHORT = [f"s{k}" for k in range(4)]
 WIDE = 16
 #: A token of so many entries is joined by short bitmaps: at most as many rows for
-#: each entry.  Beyond it the wide ones decide inside the join.
+#: each entry.  Beyond it the wide ones decide inside the join, and only sets of a
+#: like length meet: those in one band or in bands side by side.
 LIGHT = 8
+BAND = 1.0001 * float(np.log(4 / 3))
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -231,7 +233,7 @@ class _Join:
         everything = durable(docs.mapInArrow(_signatures, "doc_id long, row long, n int, cls long, bits binary, second binary, third binary, wide array<long>, counts array<int>"), "signatures")
         short = {x: _xor([F.col("wide")[j] for j in range(k, WIDE, len(_SHORT))]) for k, x in enumerate(_SHORT)}
         self.signatures = everything.filter("n >= 0").withColumns(short)
-        self.classes = durable(self.signatures.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), *[F.min(x).alias(x) for x in _SHORT]), "classes")
+        self.classes = durable(self.signatures.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.min("n").alias("n"), *[F.min(x).alias(x) for x in _SHORT]), "classes")
         # a fixed number of counters, summed where the partitions are
         sums = everything.filter("n = -1").select(F.posexplode("counts").alias("k", "c")).filter("c > 0").groupBy("k").agg(F.sum("c").alias("c")).toArrow()
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
@@ -245,8 +247,9 @@ class _Join:
         once = held.filter("hot").groupBy("token", "cls").agg(F.min("place").alias("place"))
         self.entries = durable(held.filter("NOT hot").select("token", "cls", "place").unionByName(once).join(self.classes.select("cls", "n"), "cls").withColumn("comp", F.col("cls")), "entries")
         wanted = held.select("cls").distinct().join(self.classes, "cls")
-        own = wanted.select(F.col("rep").alias("doc_id"), "cls")
-        self.records = durable(self.signatures.join(own, ["doc_id", "cls"]).select("cls", "doc_id", "n", "bits", "second", "third", "wide").dropDuplicates(["cls"]), "records")
+        # one row stands for a class, by its hash, as ids may be null or repeat
+        own = wanted.select("row", "cls")
+        self.records = durable(self.signatures.join(own, ["row", "cls"]).select("cls", "row", "n", "bits", "second", "third", "wide").dropDuplicates(["cls"]), "records")
         release(held)
         # what the answer needs of the signatures is a few bytes a row
         self.signatures = durable(self.signatures.select("doc_id", "row", "n", "cls"), "documents")
@@ -261,8 +264,8 @@ class _Join:
             return left.join(side(1, "a", *columns), "a").join(side(2, "b", *columns), "b").mapInArrow(run, "a long, b long")
 
         passed = durable(through(through(pairs, _by_bitmaps, "n", "bits"), _by_prefixes, "second", "third"), "passed")
-        ids = passed.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(self.records.select("cls", "doc_id"), "cls")
-        word, bit = f"cast(pmod(doc_id, {FILTER_BITS}) div 32 AS int)", f"cast(pmod(doc_id, {FILTER_BITS}) % 32 AS int)"
+        ids = passed.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(self.records.select("cls", "row"), "cls")
+        word, bit = f"cast(pmod(row, {FILTER_BITS}) div 32 AS int)", f"cast(pmod(row, {FILTER_BITS}) % 32 AS int)"
         words = ids.select(F.expr(word).alias("w"), F.expr(f"shiftleft(1L, {bit})").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
         table = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
         table[words.column("w").to_numpy()] = words.column("b").to_numpy().astype(np.uint32)
@@ -270,13 +273,13 @@ class _Join:
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in (part for whole in batches for part in parts(whole)):
-                at = batch.column(0).fill_null(0).to_numpy() % FILTER_BITS
+                at = batch.column(2).to_numpy() % FILTER_BITS
                 some = batch.filter(pa.array((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
                 sets = list(shingle_sets(_texts(some)))
                 kept = [k for k, s in enumerate(sets) if len(s)]
-                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(kept, type=pa.int64())), pa.array([_class_of(sets[k]) for k in kept], type=pa.int64()), pa.array([sets[k].tobytes() for k in kept], type=pa.binary())], names=["doc_id", "cls", "tokens"])
+                yield pa.RecordBatch.from_arrays([some.column(2).take(pa.array(kept, type=pa.int64())), pa.array([_class_of(sets[k]) for k in kept], type=pa.int64()), pa.array([sets[k].tobytes() for k in kept], type=pa.binary())], names=["row", "cls", "tokens"])
 
-        sets = durable(self.docs.mapInArrow(whole, "doc_id long, cls long, tokens binary").join(ids, ["doc_id", "cls"]).select("cls", "tokens").dropDuplicates(["cls"]), "sets")
+        sets = durable(self.docs.mapInArrow(whole, "row long, cls long, tokens binary").join(ids, ["row", "cls"]).select("cls", "tokens").dropDuplicates(["cls"]), "sets")
         both = passed.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("set1")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("set2")), "b")
         links = durable(both.mapInArrow(_verify, "a long, b long"), "links")
         for t in (passed, sets):
@@ -326,19 +329,23 @@ class _Join:
         """
         few = self.entries.filter(F.col("size") <= LIGHT)
         many = durable(self.entries.filter(F.col("size") > LIGHT).select("token", "cls", "n", "comp", "place", "main").join(self.records.select("cls", "wide"), "cls"), "many")
-        pairs = durable(self._meet(few, _SHORT, _differ).unionByName(self._meet(many, ["wide"], _differ_wide)).distinct(), "pairs")
+        pairs = durable(self._meet(few, _SHORT, _differ).unionByName(self._meet(many, ["wide"], _differ_wide, banded=True)).distinct(), "pairs")
         release(many)
         release(self.entries)
         return pairs
 
-    def _meet(self, entries: DataFrame, bits: list[str], differ) -> DataFrame:
+    def _meet(self, entries: DataFrame, bits: list[str], differ, banded: bool = False) -> DataFrame:
         def side(name: str) -> list:
             return [F.col(old).alias(f"{name}_{old}") for old in ("cls", "n", "comp", "place", *bits)]
 
-        left = entries.filter("comp != main").select("token", "main", *side("x"))
+        keys, left, right = ["token"], entries.filter("comp != main").select("token", "main", *side("x")), entries.select("token", *side("y"))
+        if banded:
+            keys, band = ["token", "band"], lambda n: F.floor(F.ln(n) / BAND).cast("int")
+            left = left.select("*", F.explode(F.sequence(band("x_n") - 1, band("x_n") + 1)).alias("band"))
+            right = right.withColumn("band", band("y_n"))
         # of two classes outside the largest component the lesser one is on the left
         once = (F.col("y_comp") == F.col("main")) | (F.col("x_cls") < F.col("y_cls"))
-        met = left.join(entries.select("token", *side("y")), "token").filter((F.col("x_comp") != F.col("y_comp")) & once & _possible("x_n", "x_place", "y_n", "y_place") & _enough("x_n", "y_n", differ("x_", "y_")))
+        met = left.join(right, keys).filter((F.col("x_comp") != F.col("y_comp")) & once & _possible("x_n", "x_place", "y_n", "y_place") & _enough("x_n", "y_n", differ("x_", "y_")))
         return met.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b"))
 
 
@@ -379,8 +386,12 @@ def _possible(n1: str, p1: str, n2: str, p2: str):
 def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, row, n_shingles, root, component_id, class_id of every row; the last
     three are null without shingles."""
+    with tables() as keep:
+        return keep(durable(_joined(docs, id_col, text_col), "components"))
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_hash(id_col, text_col).alias("row"))
-    begin = written()
     join = _Join(rows)
     links, roots = None, None
     for turn in range(ROUNDS + 1):
@@ -394,10 +405,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     comps = join.classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = comps.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = comps.join(least, "root").select("cls", "root", F.col("rep").alias("class_id"), "component_id")
-    out = join.signatures.select("doc_id", "row", F.col("n").cast("long").alias("n_shingles"), "cls").join(named, "cls", "left").drop("cls")
-    out = durable(out, "components")
-    release_since(begin, keep=out)
-    return out
+    return join.signatures.select("doc_id", "row", F.col("n").cast("long").alias("n_shingles"), "cls").join(named, "cls", "left").drop("cls")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -407,7 +415,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fewer than five words is one shingle, one without words (or null) has none
     and links with nothing.  Documents link when 100 * intersection >= 75 *
     union; component_id is the least doc_id reachable, class_id the least
-    doc_id with an equal set.  Rows may repeat; other columns are ignored.
+    doc_id with an equal set, both null where all these ids are.  Rows may repeat
+    and ids may be null: a row links by its text; other columns are ignored.
     """
     own = lambda c: F.coalesce(c, "doc_id").alias(c)
     return _components(docs, id_col, text_col).select("doc_id", "n_shingles", own("component_id"), own("class_id"))

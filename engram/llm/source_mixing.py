@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import durable, release, release_since, written
+from .rows import bounded
+from .storage import durable, release, tables
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -150,24 +151,31 @@ def copies(sized: DataFrame, sources: DataFrame, most: int = MOST) -> DataFrame:
     return dealt
 
 
-def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], most: int) -> DataFrame:
-    """``mix`` with ``row``, a hash of a row's id, source and text."""
+def _order(parts: int, id_col: str, source_col: str, text_col: str) -> Column:
+    """Where a row stands in its cell: by a hash of the id (dealt to parts), then by the
+    id, then by a hash of the row."""
+    h = F.xxhash64(F.col(id_col))
     row = F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col))
-    sized = durable(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), row.alias("row")), "sized")
+    return F.struct(F.pmod(h, F.lit(parts)).cast("int").alias("b"), h.alias("h"), F.col(id_col).alias("doc_id"), row.alias("row"))
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], most: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (size, sid, source_size, target, place, whole, extra), one for each row of
+    ``docs``; sources; parts of a cell.  A row gets ``whole`` copies, and one more
+    where ``extra`` is set: to the first of its cell by ``place``."""
+    parts = max(LEAST_PARTS, docs.count() // PART_ROWS)
+    sized = durable(docs.select(F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), _order(parts, id_col, source_col, text_col).alias("place")), "sized")
     sources = durable(source_targets(sized, weights, most), "sources")
     cells = copies(sized, sources, most)
-    spread = max(LEAST_PARTS, sized.count() // PART_ROWS)
-    rows = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("doc_id", "row", "size", "sid", "source_size", "target")
-    rows = rows.withColumn("h", F.xxhash64("doc_id")).withColumn("b", F.pmod("h", F.lit(spread)).cast("int"))
+    rows = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("size", "sid", "source_size", "target", "place", "place.b")
     # the rank inside a cell: rows in earlier parts, and the place in the own part
     before = W.partitionBy("sid", "size").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    parts = rows.groupBy("sid", "size", "b").agg(F.count("*").alias("k")).withColumn("ahead", F.coalesce(F.sum("k").over(before), F.lit(0))).drop("k")
-    deal = parts.join(cells.select("sid", "size", "n", "c"), ["sid", "size"])
-    own = F.row_number().over(W.partitionBy("sid", "size", "b").orderBy("h", "doc_id", "row"))
+    ahead = rows.groupBy("sid", "size", "b").agg(F.count("*").alias("k")).withColumn("ahead", F.coalesce(F.sum("k").over(before), F.lit(0))).drop("k")
+    deal = ahead.join(cells.select("sid", "size", "n", "c"), ["sid", "size"])
+    own = F.row_number().over(W.partitionBy("sid", "size", "b").orderBy("place"))
     out = rows.withColumn("r", own).join(deal, ["sid", "size", "b"], "left")
-    extra = (F.col("ahead") + F.col("r") <= F.col("c") % F.col("n")).cast("long")
-    n = F.coalesce(F.floor(F.col("c") / F.col("n")) + extra, F.lit(0)).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", n.alias("copies"), (n * F.col("size")).alias("taken"), "row")
+    extra = F.coalesce(F.col("ahead") + F.col("r") <= F.col("c") % F.col("n"), F.lit(False))
+    return out.select("size", "sid", "source_size", "target", "place", F.coalesce(F.floor(F.col("c") / F.col("n")), F.lit(0)).cast("long").alias("whole"), extra.alias("extra")), sources, parts
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -180,7 +188,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     columns are ignored, whatever their names.  What is in one task grows with
     the number of sources, or of different sizes in one source, only.
     """
-    return _mixed(docs, id_col, text_col, source_col, weights, most).drop("row")
+    rows, _, _ = _mixed(docs, id_col, text_col, source_col, weights, most)
+    n = F.col("whole") + F.col("extra").cast("long")
+    return rows.select("place.doc_id", "size", "source_size", "target", n.alias("copies"), (n * F.col("size")).alias("taken"))
 
 
 def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -190,17 +200,24 @@ def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by one where that leaves a rest.  Null texts and texts without words go.
     """
     names = docs.columns
-    begin = written()
-    dealt = _mixed(docs, id_col, text_col, source_col, WEIGHTS, MOST).groupBy("row").agg(F.sum("copies").alias("__all"), F.count("*").alias("__rows")).filter("__all > 0")
-    dealt = durable(dealt, "copies")
-    release_since(begin, keep=dealt)
-    dealt = dealt.withColumnRenamed("row", "__row")
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc"), F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col)).alias("__row"))
-    # what is dealt grows with the rows, so it is never sent to all tasks
-    joined = held.join(dealt.hint("merge"), "__row")
-    alone = joined.filter("__rows = 1").select("__doc", F.col("__all").alias("__n"))
-    # repeated rows only are numbered
-    nth = F.row_number().over(W.partitionBy("__row").orderBy(F.xxhash64("__doc")))
-    several = joined.filter("__rows > 1").select("__doc", (F.floor(F.col("__all") / F.col("__rows")) + (nth <= F.col("__all") % F.col("__rows")).cast("long")).alias("__n"))
-    each = alone.unionByName(several).filter("__n > 0")
+    with tables() as keep:
+        rows, sources, parts = _mixed(docs, id_col, text_col, source_col, WEIGHTS, MOST)
+        rows = durable(rows.select("size", "sid", "place", "whole", "extra"), "rows")
+        last = F.max(F.when(F.col("extra"), F.col("place")))
+        cells = rows.groupBy("sid", "size").agg(F.max("whole").alias("whole"), last.alias("last")).filter("whole > 0 OR last IS NOT NULL")
+        # rows that are the same in all share a place: how many of the last get a copy more
+        same = rows.join(cells.select("sid", "size", "last"), ["sid", "size"]).filter("place = last").groupBy("sid", "size").agg(F.count("*").alias("rows"), F.count_if("extra").alias("more"))
+        torn = same.filter("more < rows").select("sid", "size", "more")
+        cells = cells.join(torn, ["sid", "size"], "left").join(sources.select("sid", "source"), "sid")
+        cells = keep(durable(cells.select(F.col("source").alias("__source"), F.col("size").alias("__size"), "whole", "last", "more"), "cells"))
+    # what is dealt is a row a cell: documents meet it by their own source and size
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc"), F.col(source_col).alias("__own"), size_of(F.col(text_col)).alias("__size"), _order(parts, id_col, source_col, text_col).alias("__place"))
+    met = held.join(bounded(cells), F.col("__own").eqNullSafe(F.col("__source")) & (held["__size"] == cells["__size"]))
+    met = met.withColumn("__torn", F.coalesce(F.col("more").isNotNull() & (F.col("__place") == F.col("last")), F.lit(False)))
+    first = F.coalesce(F.col("__place") <= F.col("last"), F.lit(False))
+    each = met.filter("NOT __torn").select("__doc", (F.col("whole") + first.cast("long")).alias("__n"))
+    if not cells.filter("more IS NOT NULL").isEmpty():
+        nth = F.row_number().over(W.partitionBy("__place").orderBy(F.xxhash64("__doc")))
+        each = each.unionByName(met.filter("__torn").select("__doc", (F.col("whole") + (nth <= F.col("more")).cast("long")).alias("__n")))
+    each = each.filter("__n > 0")
     return each.select("__doc", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__k")).select("__doc.*")

@@ -1,5 +1,5 @@
 """Intermediate tables that survive the loss of an executor; see ``engram.storage``."""
 
-from ..storage import durable, release, release_since, shared_dir, written
+from ..storage import durable, release, shared_dir, tables
 
-__all__ = ["durable", "release", "release_since", "shared_dir", "written"]
+__all__ = ["durable", "release", "shared_dir", "tables"]

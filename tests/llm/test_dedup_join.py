@@ -57,6 +57,60 @@ def test_rows_go_by_id_and_text(spark):
     assert kept == [(3, ""), (4, "another"), (4, "w0 w1 w"), (6, "one one")]
 
 
+def components_by_hand(rows):
+    """Least id of each row's component, by all pairs of rows."""
+    sets = []
+    for _, text in rows:
+        w = low(text).split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least.setdefault(find(k), []).append(i)
+    return [(i, len(s), min((x for x in least[find(k)] if x is not None), default=None) if s else i) for k, ((i, _), s) in enumerate(zip(rows, sets))]
+
+
+def test_rows_without_ids_link_by_their_texts(spark):
+    """Null and repeated ids; copies that only rows without an id hold."""
+    rng = random.Random(6)
+    base = [" ".join(f"v{rng.randrange(4000)}" for _ in range(60)) for _ in range(12)]
+    rows = []
+    for k in range(150):
+        words = rng.choice(base).split()
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            words[rng.randrange(60)] = f"x{rng.randrange(9)}"
+        rows.append((rng.choice([None, None, rng.randrange(40)]), " ".join(words)))
+    rows += [(None, base[0] + " tail"), (None, "few words"), (None, "few words"), (None, None), (3, "few words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [tuple(r) for r in join.near_components(df).select("doc_id", "n_shingles", "component_id").collect()]
+    assert sorted(got, key=str) == sorted(components_by_hand(rows), key=str)
+    alone = [(None, base[0]), (None, base[0] + " tail"), (5, base[1]), (6, base[1] + " tail")]
+    kept = join.one_of_each(spark.createDataFrame(alone, "doc_id long, text string")).collect()
+    assert sorted((r[0] for r in kept), key=str) == [5, None]
+
+
+def test_a_passage_that_unlinked_texts_share(spark):
+    """Hundreds of texts of all lengths with one passage; near copies of a few among them."""
+    rng = random.Random(7)
+    passage = " ".join(f"p{k}" for k in range(50))
+    own = [" ".join(f"o{k}_{j}" for j in range(rng.randrange(2, 160))) for k in range(250)]
+    rows = [(k, f"{passage} {o}") for k, o in enumerate(own)] + [(1000 + k, f"{passage} {own[k]} end") for k in range(0, 250, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [tuple(r) for r in join.near_components(df).select("doc_id", "n_shingles", "component_id").collect()]
+    assert sorted(got) == sorted(components_by_hand(rows))
+
+
 def test_messages_and_answers_against_brute_force():
     from engram.llm import exact_dedup as ed
 

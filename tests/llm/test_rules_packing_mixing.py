@@ -113,6 +113,21 @@ def test_mix_meets_its_targets(spark):
     assert repeat_rows(df).count() == a[a["size"] > 0].eval("taken / size").sum()
 
 
+def test_rows_are_repeated_as_dealt(spark):
+    """Row by row what ``mix`` deals, with rows that repeat, null ids and one id for all."""
+    rng = random.Random(4)
+    texts = [" ".join(["w"] * n) for n in (1, 1, 2, 5, 40)]
+    rows = [(rng.choice([None, 1, 2, k]), rng.choice(texts), rng.choice(["a", "a", "b", None])) for k in range(300)] + [(7, texts[2], "b")] * 50 + [(8, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
+    # ids repeat, so what is dealt is summed over an id, a source and a size
+    sized = df.select("doc_id", "source", F.coalesce(F.size(F.split("text", " ")), F.lit(0)).alias("n"))
+    want = mix(df).groupBy("doc_id", "size", "source_size").agg(F.sum("copies").alias("k")).filter("k > 0")
+    whole = sized.groupBy("source").agg(F.sum(F.when(F.col("n") > 0, F.col("n")).otherwise(0)).alias("source_size"))
+    got = repeat_rows(df).select("doc_id", "source", F.size(F.split("text", " ")).alias("size")).groupBy("doc_id", "source", "size").count()
+    got = got.join(whole, got["source"].eqNullSafe(whole["source"])).select("doc_id", "size", "source_size", "count")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.select("doc_id", "size", "source_size", "k").collect()), key=str)
+
+
 def test_mix_on_odd_rows(odd_docs, no_docs):
     assert mix(odd_docs).count() == odd_docs.count()
     assert mix(no_docs).count() == 0
