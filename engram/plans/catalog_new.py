@@ -14,7 +14,8 @@ from ..streaming import ingest, state
 from ..streaming.commits import Store
 from ..streaming.migrations import Migrations
 from ..streaming.sync import EmbeddingSync, current
-from .catalog import _TALK, _TOP, _index, _journal, query
+from . import engines
+from .catalog import _MEM, _NEG, _TALK, _TOP, _index, _journal, query
 
 
 def graph_index(spark, sf) -> ann.GraphIndex:
@@ -232,3 +233,22 @@ def embedding_sync(spark, sf):
     work.run(m, float("inf"))
     done = current(work.store.snapshot())
     return done.agg(F.lit(not first["done"]).alias("stopped_early"), F.count("*").alias("embedded"), F.countDistinct("version").alias("versions"))
+
+
+# ---- contradictions by class -----------------------------------------------------
+
+_CLASSES = f"""
+s AS MATERIALIZED (SELECT id, list_sort(list_distinct(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+'))) AS w FROM ({_MEM})),
+c AS MATERIALIZED (SELECT min(id) AS rep, count(*) AS texts, w, len(w) AS n, list_has_any(w, [{_NEG}]) AS neg FROM s WHERE len(w) > 0 GROUP BY w),
+t AS MATERIALIZED (SELECT rep, n, neg, unnest(w) AS word FROM c),
+p AS (SELECT least(x.rep, y.rep) AS a, greatest(x.rep, y.rep) AS b, round(count(*) / (x.n + y.n - count(*)), 6) AS jaccard
+  FROM t x JOIN t y ON x.word = y.word AND x.neg AND NOT y.neg GROUP BY x.rep, y.rep, x.n, y.n HAVING count(*) / (x.n + y.n - count(*)) >= 0.5)"""
+
+
+@query("contradiction_classes", f"WITH {_CLASSES} SELECT a, b, jaccard, x.texts AS a_texts, y.texts AS b_texts FROM p JOIN c x ON x.rep = a JOIN c y ON y.rep = b")
+def contradiction_classes(spark, sf):
+    """Pairs of classes of texts, with how many texts each class has."""
+    pairs, members = engines.contradiction_classes(views.memories(spark, sf))
+    texts = members.groupBy("rep").agg(F.count("*").alias("n"))
+    of = lambda rep, n: texts.select(F.col("rep").alias(rep), F.col("n").alias(n))
+    return pairs.withColumn("jaccard", F.round("jaccard", 6)).join(of("a", "a_texts"), "a").join(of("b", "b_texts"), "b")

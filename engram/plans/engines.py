@@ -7,23 +7,22 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import has_negation, tokens
 from ..storage import durable
 
 
-def contradictions(docs: DataFrame, overlap: float = 0.5, text_col: str = "content") -> DataFrame:
-    """(a, b, jaccard): texts that share words but differ in negation.
+def contradiction_classes(docs: DataFrame, overlap: float = 0.5, text_col: str = "content") -> tuple[DataFrame, DataFrame]:
+    """(a, b, jaccard) of texts that share words but differ in negation, and (id, rep).
 
-    Exact for any corpus size: two sets with Jaccard similarity t or more share
-    one of each set's first n - ceil(t n) + 1 words in order of rarity, so
-    candidates come from an equi-join on those words.  Equal word sets can't
-    differ in negation, so only the least of each class takes part; its pairs
-    meet the class's records, row by row, at the end.
+    Texts of equal word sets are one class, known by its least id: pairs are of
+    classes, and every text with words stands in the second frame with its class, so
+    copies are never expanded into pairs.  Exact for any corpus size: two sets with
+    Jaccard similarity t or more share one of each set's first n - ceil(t n) + 1
+    words in order of rarity, so candidates come from an equi-join on those words.
     """
-    from pyspark.sql import Window as W
-
     own = tokens(F.col(text_col))
     t = docs.select("id", F.array_sort(F.transform(own, lambda w: F.xxhash64(w))).alias("w"), has_negation(own).alias("neg")).filter(F.size("w") > 0)
     # a class is known by the hash of its words
@@ -44,8 +43,15 @@ def contradictions(docs: DataFrame, overlap: float = 0.5, text_col: str = "conte
     both = pairs.join(side(1, "x"), "x").join(side(2, "y"), "y")
     common = F.size(F.array_intersect("w1", "w2"))
     scored = both.withColumn("jaccard", common / (F.size("w1") + F.size("w2") - common)).filter(F.col("jaccard") >= overlap)
-    members = t.select("id", "cls")
-    out = scored.select("cls1", "cls2", "jaccard").join(members.select(F.col("id").alias("p"), F.col("cls").alias("cls1")), "cls1").join(members.select(F.col("id").alias("q"), F.col("cls").alias("cls2")), "cls2")
+    members = t.select("id", "cls").join(sets.select("cls", F.col("id").alias("rep")), "cls").select("id", "rep")
+    return scored.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard"), members
+
+
+def contradictions(docs: DataFrame, overlap: float = 0.5, text_col: str = "content") -> DataFrame:
+    """(a, b, jaccard) of all texts: the classes' pairs with each class's texts."""
+    pairs, members = contradiction_classes(docs, overlap, text_col)
+    of = lambda name, rep: members.select(F.col("id").alias(name), F.col("rep").alias(rep))
+    out = pairs.join(of("p", "a"), "a").join(of("q", "b"), "b")
     return out.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "jaccard")
 
 
