@@ -117,8 +117,8 @@ def request_tools(rules=REQUEST_RULES) -> Column:
 
 def sampled(key: Column, rate: float) -> Column:
     """A decision by the first 64 bits of the key's sha256: the same on every run."""
-    high = F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("double")
-    return high < rate * 2.0**32
+    high = F.conv(F.substring(F.sha2(key, 256), 1, 16), 16, 10).cast("decimal(20,0)")
+    return high < F.lit(str(int(rate * 2**64))).cast("decimal(20,0)")
 
 
 def importance(text: Column, marks: tuple[tuple[str, float], ...], start: float = 0.3) -> Column:

@@ -941,7 +941,7 @@ def self_phrases(spark, sf):
     return c.select("conv_id", "turn", F.array_join(phrases(said), ",").alias("phrases"))
 
 
-@query("hash_sample", "SELECT doc_id FROM documents WHERE ('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT < 0.25 * 4294967296")
+@query("hash_sample", "SELECT doc_id FROM documents WHERE ('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16))::UBIGINT < (0.25 * 18446744073709551616)::UBIGINT")
 def hash_sample(spark, sf):
     from ..functions.classify import sampled
 
