@@ -5,17 +5,21 @@ tokens that look random.  Each candidate's encoding is inferred, and three
 statistics test whether its characters are independent and uniform over that
 alphabet: chi-squared uniformity, the runs test about the middle of the
 alphabet, and lag-1 serial correlation.  A secret is a token that passes this
-battery and that text would not give: the chi-squared statistic's count of equal
-pairs is far below what text-like tokens of its length have.  That second p-value
-(1 where the battery fails) goes through a length-weighted Benjamini-Hochberg
-step over all candidates of the corpus, so the secrets reported are the
-discoveries, of which a bounded share is text.
+battery and that text would not give.  That second p-value (1 where the battery
+fails) joins three scores of equal weight: how far below text-like tokens the
+count of equal pairs lies, how often the class of character (small, capital,
+digit) changes, and how rarely the corpus's own words have one letter after
+another.  It goes through a length-weighted Benjamini-Hochberg step over all
+candidates of the corpus, so the secrets reported are the discoveries, of which a
+bounded share is text.
 
 Built-in expressions only; p-values are counted in a fixed number of bins.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,6 +37,9 @@ RATE, LEVEL, BINS = 0.05, 0.01, 400
 #: Chance that two characters of a text-like token are equal (at least twice that of
 #: a uniform one), and that three are, as a multiple of its square.
 TEXT_PAIRS, TEXT_TRIPLES = 0.065, 1.28
+#: Chance that the class changes from one character of a text-like token to the next,
+#: and how much wider than independent ones its changes, and letters, are spread.
+TEXT_CHANGES, WIDER = 0.25, 1.5
 #: Matches of a text that are placed together; see ``_spans``.
 CHUNK = 256
 
@@ -77,11 +84,30 @@ def _tail(z: Column) -> Column:
     return 1 / (1 + F.exp(1.5976 * y + 0.07056 * y * y * y))
 
 
-def battery(tokens: DataFrame) -> DataFrame:
+def letters(texts: DataFrame) -> tuple[list[float], float, float]:
+    """Bits of each letter after each (26 lines of 26) by the words of all texts, and
+    their mean and deviation in words."""
+    words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("k"))
+    each = words.select("k", "word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("at"))
+    # 676 rows at most
+    found = each.groupBy(F.substr("word", F.col("at"), F.lit(2)).alias("pair")).agg(F.sum("k").alias("k")).collect()
+    counts = [[0] * 26 for _ in range(26)]
+    for r in found:
+        counts[ord(r["pair"][0]) - 97][ord(r["pair"][1]) - 97] = r["k"]
+    bits = [[-math.log2((k + 0.5) / (sum(line) + 13)) for k in line] for line in counts]
+    pairs = [(k, b) for line, own in zip(counts, bits) for k, b in zip(line, own)]
+    total = sum(k for k, _ in pairs)
+    if not total:
+        return [math.log2(26)] * 676, math.log2(26), 1.0
+    mean = sum(k * b for k, b in pairs) / total
+    return [b for line in bits for b in line], mean, max(1.0, math.sqrt(sum(k * (b - mean) ** 2 for k, b in pairs) / total))
+
+
+def battery(tokens: DataFrame, model: tuple[list[float], float, float]) -> DataFrame:
     """``tokens`` (token) with encoding, n, chi_z, runs_z, serial_z, p and text_p added.
 
     p is the battery's, small for what is not random; text_p is small for what is
-    not text-like.
+    not text-like, by ``model`` (see ``letters``).
     """
     low, up = F.lower("token"), F.upper("token")
     bare = F.regexp_replace("token", "=+$", "")
@@ -105,7 +131,22 @@ def battery(tokens: DataFrame) -> DataFrame:
     pairs, n, same = (squares - F.col("n")) / 2, F.col("n"), F.greatest(F.lit(TEXT_PAIRS), 2 / F.col("a"))
     usual = n * (n - 1) / 2
     wide = usual * (same - same * same) + n * (n - 1) * (n - 2) * (TEXT_TRIPLES - 1) * same * same
-    t = t.withColumn("text_p", _tail((usual * same - pairs) / F.sqrt(F.greatest(wide, F.lit(1e-9)))))
+    equal_z = (usual * same - pairs) / F.sqrt(F.greatest(wide, F.lit(1e-9)))
+    # small, capital, digit; other characters are none
+    kinds = F.expr("transform(split(regexp_replace(token, '[^A-Za-z0-9]', ''), ''), c -> CASE WHEN c >= 'a' THEN 2 WHEN c >= 'A' THEN 1 ELSE 0 END)")
+    t = t.withColumn("kinds", kinds)
+    changes = F.expr("cast(aggregate(zip_with(slice(kinds, 2, size(kinds) - 1), slice(kinds, 1, size(kinds) - 1), (x, y) -> CASE WHEN x != y THEN 1 ELSE 0 END), 0, (s, x) -> s + x) AS double)")
+    steps = F.greatest(F.size("kinds") - 1, F.lit(1)).cast("double")
+    change_z = (changes - steps * TEXT_CHANGES) / (F.sqrt(steps * TEXT_CHANGES * (1 - TEXT_CHANGES)) * WIDER)
+    bits, mean_bits, spread_bits = model
+    own = F.transform(F.split(low, ""), lambda c: F.ascii(c) - 97)
+    t = t.withColumns({"own": own, "bits": F.lit(bits)})
+    known = "x BETWEEN 0 AND 25 AND y BETWEEN 0 AND 25"
+    rare = F.expr(f"filter(zip_with(slice(own, 1, size(own) - 1), slice(own, 2, size(own) - 1), (x, y) -> CASE WHEN {known} THEN element_at(bits, x * 26 + y + 1) END), b -> b IS NOT NULL)")
+    t = t.withColumn("rare", rare)
+    m = F.size("rare").cast("double")
+    rare_z = F.when(m > 0, (F.aggregate("rare", F.lit(0.0), lambda x, y: x + y) - m * mean_bits) / (F.sqrt(m) * spread_bits * WIDER)).otherwise(0.0)
+    t = t.withColumn("text_p", _tail((equal_z + change_z + rare_z) / 3**0.5)).drop("kinds", "own", "bits", "rare")
     t = t.withColumn("chi_z", (chi - (F.col("a") - 1)) / F.sqrt(2 * (F.col("a") - 1) * (F.col("n") - 1) / F.col("n")))
     middle = "(a - 1) / 2"
     runs = F.expr(f"1D + aggregate(zip_with(slice(codes, 2, size(codes) - 1), slice(codes, 1, size(codes) - 1), (x, y) -> CASE WHEN (x > {middle}) != (y > {middle}) THEN 1D ELSE 0D END), 0D, (s, x) -> s + x)")
@@ -148,9 +189,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    found = rows.select("doc_id", F.expr(_spans("text", ASSIGN, "assign", "char_length(x.v) >= 8")).alias("assign"), F.expr(_spans("text", ACCESS, "access", "char_length(x.v) >= 16")).alias("access"), F.expr(_spans("text", HEX, "hex")).alias("hex"), F.expr(_spans("text", TOKEN, "random", "x.v rlike '[0-9]' AND x.v rlike '[A-Za-z]'")).alias("tokens"))
+    found = rows.select("doc_id", F.expr(_spans("text", ASSIGN, "assign", "char_length(x.v) >= 8")).alias("assign"), F.expr(_spans("text", ACCESS, "access", "char_length(x.v) >= 16")).alias("access"), F.expr(_spans("text", HEX, "hex")).alias("hex"), F.expr(_spans("text", TOKEN, "random", "(x.v rlike '[0-9]' AND x.v rlike '[A-Za-z]') OR (x.v rlike '[a-z]' AND x.v rlike '[A-Z]')")).alias("tokens"))
     found = durable(found, "spans")
-    tested = battery(found.select(F.explode("tokens.token").alias("token")).distinct())
+    tested = battery(found.select(F.explode("tokens.token").alias("token")).distinct(), letters(rows))
     sums = tested.groupBy("encoding").agg((F.sum("n") / F.count("*")).alias("mean_n"))
     own = F.when(F.col("p") >= LEVEL, F.col("text_p")).otherwise(1.0)
     weighted = F.least(F.lit(1.0), own * F.col("mean_n") / F.col("n"))
