@@ -3,12 +3,14 @@
 Each detected value is replaced by the value of a keyed permutation over its
 own format: digits go to digits, letters to letters of their case, script and
 vowel class, everything else stays.  So a surrogate has the type and shape of
-what it replaces (a card keeps its check digit valid, an address stays in
-range), the same value gets the same surrogate everywhere, and different values
+what it replaces (a card or an IBAN keeps its check digits valid, an
+address stays in range), the same value gets the same surrogate everywhere, and different values
 of one shape never share one.  A name is replaced part by part: a usual first or
 last name by another one of its list, so of its gender; any other keeps its
-ending, and never becomes a listed one.  Where a name stands after a title, its
-other mentions in the text, whole or in part, are replaced alike.
+ending, and never becomes a listed one.  A name is found after (or before) a title,
+and without one where a listed first and a listed last name stand together.  Where
+it stands after a title, its other mentions in the text, whole or in part, are
+replaced alike.
 
 No value is its own surrogate: the permutation of each shape is a keyed shift
 without fixed points, hidden by a keyed change of places before it and its
@@ -45,9 +47,11 @@ ARABIC_TITLES = "السيدة السيد الدكتورة الدكتور".split(
 CHINESE_TITLES = "先生 女士 小姐 太太".split()
 JAPANESE_TITLES = "さん 様".split()
 CHINESE_SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡林郭何高罗郑梁谢宋唐许邓冯韩曹曾彭萧蔡潘田董袁于余叶蒋杜苏魏程吕丁沈任姚卢傅钟姜崔谭廖范汪陆金石戴贾韦夏邱方侯邹熊孟秦白江阎薛尹段雷黎史龙陶贺顾毛郝龚邵万钱严武孔"
-# Usual names, by gender.
-FEMALE = "Alice Amelia Andrea Anna Anne Barbara Beatriz Camille Carla Carmen Carolina Caroline Charlotte Claire Claudia Cristina Diana Dolores Elena Elizabeth Emily Emma Eva Florence Francesca Gabriela Helena Ines Irene Isabel Jane Jennifer Jessica Julia Karen Katharina Laura Lisa Lucia Luisa Margaret Maria Marie Marta Mary Monica Nadine Natalia Olga Patricia Paula Petra Rachel Rosa Sabine Sandra Sara Sarah Silvia Sofia Sophie Susan Teresa Ursula Valentina Veronica Victoria".split()
-MALE = "Adam Albert Alexander Andreas Andrew Anthony Antonio Arthur Benjamin Bernard Carlos Charles Christian Daniel David Diego Edward Enrique Ernesto Fernando Francisco Frank Frederick George Gerard Hans Henry Hugo Ignacio James Javier Jean John Jorge Jose Joseph Juan Julian Karl Klaus Laurent Louis Lucas Luis Manuel Marco Mark Martin Matthew Maurice Michael Michel Miguel Oliver Oscar Pablo Patrick Paul Pedro Peter Philip Pierre Rafael Raymond Richard Robert Roberto Samuel Sebastian Stefan Stephen Thomas Victor Vincent Walter William Wolfgang".split()
+# Usual names, by gender; those of both become one another, so that they
+# suit any title.
+EITHER = "Alex Andrea Camille Charlie Chris Claude Dominique Jean Jordan Kim Robin Sascha".split()
+FEMALE = "Alice Amelia Anna Anne Barbara Beatriz Carla Carmen Carolina Caroline Charlotte Claire Claudia Cristina Diana Dolores Elena Elizabeth Emily Emma Eva Florence Francesca Gabriela Helena Ines Irene Isabel Jane Jennifer Jessica Julia Karen Katharina Laura Lisa Lucia Luisa Margaret Maria Marie Marta Mary Monica Nadine Natalia Olga Patricia Paula Petra Rachel Rosa Sabine Sandra Sara Sarah Silvia Sofia Sophie Susan Teresa Ursula Valentina Veronica Victoria".split()
+MALE = "Adam Albert Alexander Andreas Andrew Anthony Antonio Arthur Benjamin Bernard Carlos Charles Christian Daniel David Diego Edward Enrique Ernesto Fernando Francisco Frank Frederick George Gerard Hans Henry Hugo Ignacio James Javier John Jorge Jose Joseph Juan Julian Karl Klaus Laurent Louis Lucas Luis Manuel Marco Mark Martin Matthew Maurice Michael Michel Miguel Oliver Oscar Pablo Patrick Paul Pedro Peter Philip Pierre Rafael Raymond Richard Robert Roberto Samuel Sebastian Stefan Stephen Thomas Victor Vincent Walter William Wolfgang".split()
 SURNAMES = "Adams Allen Alvarez Anderson Bailey Baker Bauer Becker Bennett Bernard Bonnet Brown Campbell Carter Castillo Castro Clark Collins Cooper Cruz Davis Delgado Diaz Dubois Durand Edwards Evans Fernandez Fischer Flores Garcia Girard Gomez Gonzalez Green Gutierrez Hall Harris Hernandez Hill Hoffmann Hughes Jackson Jimenez Johnson Jones Keller King Klein Koch Lambert Lefebvre Leroy Lewis Lopez Martinez Meyer Miller Mitchell Moore Morales Moreau Morgan Morris Mueller Murphy Navarro Nelson Ortega Parker Perez Phillips Ramirez Ramos Richter Rivera Roberts Robinson Rodriguez Romero Roussel Ruiz Sanchez Schmidt Schneider Schulz Scott Silva Smith Suarez Taylor Thompson Torres Turner Vargas Vazquez Wagner Walker Watson Weber White Wilson Wood Wright Young Zimmermann".split()
 
 _LATIN = "[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+"
@@ -65,7 +69,12 @@ _CLASSES += ["ابتثجحخدذرزسشصضطظعغفقكلمنهوي", CHINESE
 _CLASSES += ["".join(chr(c + k) for k in range(10)) for c in range(128, sys.maxunicode + 1) if unicodedata.decimal(chr(c), None) == 0]
 _CLASS = {c: k for k, chars in enumerate(_CLASSES) for c in chars}
 _PLACE = {c: k for chars in _CLASSES for k, c in enumerate(chars)}
-_LISTS = {name: kind for kind, names in (("surname", SURNAMES), ("male", MALE), ("female", FEMALE)) for name in names}
+_LISTS = {name: kind for kind, names in (("surname", SURNAMES), ("male", MALE), ("female", FEMALE), ("either", EITHER)) for name in names}
+_FIRST, _LAST = frozenset(MALE + FEMALE + EITHER), frozenset(SURNAMES)
+#: A first name, perhaps an initial, and a last name, looked up in the lists.
+_PAIR = re.compile(r"\b(?=([A-Z][a-z]+)(?: [A-Z]\.)?[ -]([A-Z][a-z]+)\b)")
+_HEX = "[0-9A-Fa-f]{1,4}"
+_IPV6 = re.compile(rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}(?::{_HEX})*)?::(?:{_HEX}(?::{_HEX})*)?)(?![\w:])")
 
 
 def _stream(seed: bytes, n: int, key: bytes) -> list[int]:
@@ -150,6 +159,34 @@ def _check_digit(digits: str) -> int:
     return -total % 10
 
 
+def _iban_check(country: str, body: str) -> int:
+    """The check digits that make country + digits + body valid (mod 97)."""
+    return 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+
+
+def _iban(value: str, key: bytes) -> str:
+    """How far the check digits are from the valid ones stays as it is."""
+    plain = value.replace(" ", "")
+    country, check, body = plain[:2], plain[2:4], plain[4:]
+    if not check.isascii():
+        return _shape(value, key, "iban", fixed=2)
+    new = _shape(body, key, "iban")
+    own = (_iban_check(country, new) + int(check) - _iban_check(country, body)) % 100
+    chars = iter(f"{country}{own:02}{new}")
+    return "".join(c if c == " " else next(chars) for c in value)
+
+
+def _ipv6(value: str, key: bytes) -> str:
+    """Hexadecimal digits change their values, what is left out stays so."""
+    low = value.lower()
+    at = [k for k, c in enumerate(low) if c != ":"]
+    shape = hashlib.blake2b(repr(("ipv6", [len(g) for g in low.split(":")])).encode(), key=key, digest_size=32).digest()
+    out = list(low)
+    for k, v in zip(at, _permute([int(low[k], 16) for k in at], [16] * len(at), shape)):
+        out[k] = f"{v:x}"
+    return "".join(out).upper() if any(c.isupper() for c in value) else "".join(out)
+
+
 def surrogate(kind: str, value: str, key: bytes) -> str:
     """The replacement of one value; a bijection without fixed points on the values of its shape."""
     if kind == "ip":
@@ -165,6 +202,10 @@ def surrogate(kind: str, value: str, key: bytes) -> str:
         for k, d in zip(digits, full):
             out[k] = d
         return "".join(out)
+    if kind == "iban":
+        return _iban(value, key)
+    if kind == "ipv6":
+        return _ipv6(value, key)
     if kind == "phone":
         country = re.match(r"\+\d{1,3}(?=[ (.-])", value)
         return _shape(value, key, kind, fixed=country.end() if country else 0)
@@ -174,7 +215,7 @@ def surrogate(kind: str, value: str, key: bytes) -> str:
         return "".join(b.upper() if a.isupper() else b for a, b in zip(value, new))
     if kind == "name":
         return re.sub(r"[^\W\d_]+", lambda m: _name_part(m[0], key), value)
-    return _shape(value, key, kind, fixed=2 if kind == "iban" else 0)
+    return _shape(value, key, kind)
 
 
 def _mentions(text: str, names: set[str]) -> list[tuple[int, int, str]]:
@@ -196,6 +237,15 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     for m in _NUMBER.finditer(text):
         found.append((m.start(), m.end(), m.lastgroup.rstrip("2")))
     found += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text)]
+    if "::" in text or text.count(":") >= 7:
+        for m in _IPV6.finditer(text):
+            groups = sum(g != "" for g in m[0].split(":"))
+            # three groups at least, so that names with :: between them stay
+            if groups == 8 if "::" not in m[0] else 3 <= groups <= 7 and m[0].count("::") == 1:
+                found.append((*m.span(), "ipv6"))
+    for m in _PAIR.finditer(text):
+        if m[1] in _FIRST and m[2] in _LAST:
+            found.append((m.start(1), m.end(2), "name"))
     found += [(*m.span(1), "phone") for m in _CALLED.finditer(text)]
     if _TITLE.search(text):
         titled = [m for form in (_NAMES[:1] if text.isascii() else _NAMES) for m in form.finditer(text)]
@@ -208,6 +258,10 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+#: Kinds whose capitals say nothing.
+_FOLDED = ("email", "ipv6")
+
+
 def _rewrite(key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +274,7 @@ def _rewrite(key: bytes):
                     parts += [text[at:a], new]
                     at = b
                     spans.append(f"{kind}:{a}:{b}")
-                    seen.append({"kind": kind, "value": text[a:b].lower() if kind == "email" else text[a:b], "new": new.lower() if kind == "email" else new})
+                    seen.append({"kind": kind, "value": text[a:b].lower() if kind in _FOLDED else text[a:b], "new": new.lower() if kind in _FOLDED else new})
                 parts.append(text[at:])
                 for column, v in zip(out, ("".join(parts), len(spans), ",".join(sorted({s.split(":")[0] for s in spans})), ",".join(spans), seen)):
                     column.append(v)
