@@ -54,6 +54,8 @@ TEMPLATES = [
 ]
 # Labels of the first word of an id in "SPDX-License-Identifier: id".
 SPDX = {x: x for x in "mit apache gpl lgpl agpl bsd mpl isc unlicense zlib epl cc".split()} | {"bsl": "boost", "cc0": "cc"}
+# Words after the first one of such an id, beside versions.
+ENDINGS = frozenset("only later v1 v2 v3 clause by nc nd sa patent modern exception".split())
 TEMPLATES += [(label, f"spdx license identifier {x}", [f"spdx license identifier {x}"]) for x, label in SPDX.items()]
 
 # Whole texts of public licences, after their opening sentence.
@@ -147,6 +149,7 @@ class Index:
             for place in np.flatnonzero(rare[ids]):
                 self.postings.setdefault(int(ids[place]), []).append((t, int(place)))
             self.needed.append(LEAST * self.weight[t].sum() - self.weight[t][~rare[ids]].sum() - 1e-9)
+        self.spdx = np.array([at[w] for w in ("spdx", "license", "identifier")])
         self.base = {label: np.array([at[w] for w in p.split()]) for p, label in BASE.items()}
 
     def known(self, words: Words) -> np.ndarray:
@@ -229,6 +232,33 @@ def matches(index: Index, ids: np.ndarray) -> dict[str, float]:
     return found
 
 
+def _expression(words: Words, at: int, end: int) -> set[str]:
+    """Labels of a whole expression of ids ("GPL-2.0-only OR MIT") from its first word.
+
+    An id goes on over versions and endings; ``or`` and ``and`` begin another one,
+    ``with`` an exception, which names no licence.
+    """
+    found, starts = set(), True
+    for k in range(at, end):
+        word = words.word(k).decode("utf-8", "replace")
+        if word in ("or", "and"):
+            starts = True
+        elif word == "later" and starts and found:
+            starts = False  # "or later" is part of an id
+        elif starts:
+            if word not in SPDX:
+                break
+            found.add(SPDX[word])
+            starts = False
+        elif word == "with":
+            starts = None
+        elif starts is False and not (word in ENDINGS or word[:1].isdigit()):
+            break
+        elif starts is None and word.endswith("exception"):
+            starts = False
+    return found
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     index = Index()
     schema = pa.schema([("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
@@ -248,6 +278,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         at += places.tolist()
                         base += [label] * bool(len(places))
                     found = matches(index, ids)
+                    for place in _places(ids, index.spdx).tolist():
+                        begin = words.first[k] + place + len(index.spdx)
+                        found |= dict.fromkeys(_expression(words, begin, words.first[k + 1]), 1.0)
                 labels = sorted({*base, *found})
                 score = max([*found.values(), LEAST / 2 if base else 0.0])
                 rows.append((n, len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(labels), min(1.0, score)))
