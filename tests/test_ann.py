@@ -86,3 +86,29 @@ def test_indexes_follow_their_tables(spark, sf, tmp_path):
     assert after["ann_topk"] != before["ann_topk"] and all(r[1] % 3 for r in after["ann_topk"])
     assert after["lexical_bm25"] != before["lexical_bm25"] and all(int(r[0]) % 3 for r in after["lexical_bm25"])
     assert catalog_new.graph_index(spark, folder) is not first
+
+
+def copied(spark, n, copies, dims=16):
+    """``copies`` rows of each of n vectors."""
+    x = rows(n, dims, 5)
+    return spark.createDataFrame([(k, x[k % n].tolist()) for k in range(n * copies)], "id long, embedding array<double>")
+
+
+def test_copies_crowd_nothing_out_of_coded_vectors(spark, tmp_path):
+    v = copied(spark, 30, 60)
+    q = v.filter("id % 100 = 0")
+    index = recall.VectorIndex(spark, str(tmp_path / "i"), 16, "p")
+    index.sync(v, v.select(F.col("id").alias("seq"), "id"))
+    found = lambda df: {(r["query"], r["rank"]): r["id"] for r in df.collect()}
+    assert found(recall.nearest_approx(index, v, q, 10)) == found(recall.nearest_each(v, q, 10))
+
+
+def test_near_ties_of_coded_vectors(spark, tmp_path):
+    """200 vectors that codes can't tell from one another: the nearest are found all the same."""
+    rng = np.random.default_rng(1)
+    x = np.ones(16) + 1e-4 * rng.normal(size=(200, 16))
+    v = spark.createDataFrame([(k, e.tolist()) for k, e in enumerate(x)], "id long, embedding array<double>")
+    index = recall.VectorIndex(spark, str(tmp_path / "i"), 16, "p")
+    index.sync(v, v.select(F.col("id").alias("seq"), "id"))
+    found = lambda df: {(r["query"], r["rank"]): r["id"] for r in df.collect()}
+    assert found(recall.nearest_approx(index, v, v.filter("id < 5"), 5)) == found(recall.nearest_each(v, v.filter("id < 5"), 5))
