@@ -112,3 +112,14 @@ def test_near_ties_of_coded_vectors(spark, tmp_path):
     index.sync(v, v.select(F.col("id").alias("seq"), "id"))
     found = lambda df: {(r["query"], r["rank"]): r["id"] for r in df.collect()}
     assert found(recall.nearest_approx(index, v, v.filter("id < 5"), 5)) == found(recall.nearest_each(v, v.filter("id < 5"), 5))
+
+
+def test_graph_of_copies(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(GraphIndex, "SHARD", 300)
+    v = copied(spark, 50, 20)
+    index = GraphIndex(spark, str(tmp_path / "i"), 16, "p")
+    index.sync(v, v.select(F.col("id").alias("seq"), "id"))
+    q = v.filter("id % 37 = 0")
+    assert recall.overlap_at_k(recall.nearest_each(v, q, 10), nearest_graph(index, v, q, 10)).agg(F.avg("recall")).first()[0] >= 0.9
+    first = nearest_graph(index, v, q, 10, own_first=True).filter("rank = 1 AND query = id")
+    assert first.count() == q.count()
