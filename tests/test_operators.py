@@ -567,3 +567,29 @@ def test_pairs_above_without_ranking(spark):
     assert "Window" not in out._jdf.queryExecution().toString()
     near = {(r["query"], r["rank"]): r["id"] for r in recall.nearest_each(v, q, 3, block=7).collect()}
     assert near == {(a, k + 1): b for a in range(0, 60, 5) for k, b in enumerate(sorted(unit, key=lambda b: (-round(cos[a, b], 12), b))[:3])}
+
+
+def test_clustering_by_colours(spark, monkeypatch):
+    """Triangles of all colours and of parts of a task, against brute force."""
+    import random
+
+    from engram.operators import graph
+
+    monkeypatch.setattr(graph, "TASK_EDGES", 40)
+    monkeypatch.setattr(graph, "CELLS", 64)
+    monkeypatch.setattr(graph, "WEDGES", 50)
+    random.seed(2)
+    pairs = {(random.randrange(40) ** 2 // 40, random.randrange(40)) for _ in range(300)}
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for a, own in near.items():
+        t, k = sum(1 for x in own for y in own if x < y and a not in (x, y) and y in near[x]), len(own)
+        want[f"n{a}"] = (k, round(2 * t / (k * (k - 1) / 2), 9) if k > 1 else 0.0)
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "source string, target string")
+    assert {r["name"]: (r["degree"], round(r["clustering"], 9)) for r in graph.clustering(edges).collect()} == want
+    # wedges never become rows of a join, however many there are
+    plan = graph.triangles(spark.createDataFrame([(1, 2)], "u long, v long"), 4)._jdf.queryExecution().toString()
+    assert "Join" not in plan
