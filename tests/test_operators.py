@@ -593,3 +593,18 @@ def test_clustering_by_colours(spark, monkeypatch):
     # wedges never become rows of a join, however many there are
     plan = graph.triangles(spark.createDataFrame([(1, 2)], "u long, v long"), 4)._jdf.queryExecution().toString()
     assert "Join" not in plan
+
+
+def test_old_noise_is_named_first(spark):
+    """Texts that no word of noise is in meet no pattern; each pattern still finds its own."""
+    from engram.functions import text as tx
+
+    held = [
+        "EXEC host = sandbox, so", "sandbox runtime is unavailable", "exec host not allowed", "set tools.exec.host to x", "agents.defaults.sandbox.mode", '{"tool": "exec", "a": 1}', "exec está deshabilitado",
+        "ejecutor de comandos deshabilitado", "sandbox bloqueada por ahora", "sandbox runtime no está disponible", "sandbox exec ahora no disponible", "hay que habilitar el sandbox", "no puedo ejecutar comandos en exec",
+    ]
+    other = ["no puedo ejecutar comandos hoy", "the executor of a will is named", "a sandbox for children to play", "exec host", "", None]
+    df = spark.createDataFrame([(x,) for x in held + other], "content string").select("content", tx.is_noise_old(F.col("content")).alias("noise"))
+    assert [r["noise"] for r in df.collect()] == [True] * len(held) + [False] * len(other)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Contains(") < plan.index("RLIKE")
