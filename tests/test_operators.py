@@ -430,6 +430,22 @@ def test_word_pairs_across_sessions(spark, share):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_word_pairs_make_no_row_of_a_meeting(spark):
+    """Frequent and rare words, ids that repeat or are null, over several blocks."""
+    rng = random.Random(4)
+    rows = [(str(rng.randrange(50)) if k else None, " ".join({f"w{int(rng.random() ** 2 * 60)}" for _ in range(30)} | {f"r{k // 3}"})) for k in range(80)]
+    held = {}
+    for key, text in rows[1:]:
+        held.setdefault(key, []).extend(set(text.split()))
+    count = lambda a, b: sum(held[b].count(w) for w in held[a])
+    want = {(a, b, count(a, b)) for a in held for b in held if a < b and count(a, b) > 9}
+    df = spark.createDataFrame(rows, "id string, content string").repartition(3)
+    got = graph.word_pairs(df, 9, share=7)
+    found = [(r["a"], r["b"], r["common"]) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_graph_of_documents_has_their_names(spark, sf):
     from engram.plans import catalog
 
