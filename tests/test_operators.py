@@ -446,6 +446,25 @@ def test_word_pairs_make_no_row_of_a_meeting(spark):
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_hops_and_heaviest_edges_without_all_edges(spark, monkeypatch):
+    rng = random.Random(5)
+    names = [f"Name{chr(97 + k)}{chr(97 + j)}" for k in range(8) for j in range(5)]
+    texts = [", ".join(rng.choice(names[: rng.choice((3, 12, 40))]) for _ in range(rng.randrange(4))) for _ in range(120)] + [None, ""]
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "id string, content string")
+    edges = graph.edge_weights(graph.comentions(df))
+    want = rows(edges.orderBy(F.desc("weight"), "source", "target"))
+    found = graph.named(df)
+    for first, limit in ((2, 1), (256, 4), (2, len(want) + 1)):
+        monkeypatch.setattr(graph, "FIRST_NAMES", first)
+        assert rows(graph.heaviest(found, limit)) == want[:limit]
+    light = rows(edges.orderBy("weight", "source", "target"))
+    for first, limit in ((1, 3), (3, 40), (2, len(want) + 1)):
+        monkeypatch.setattr(graph, "FIRST_NAMES", first)
+        assert rows(graph.weakest(found, limit).orderBy("weight", "source", "target").limit(limit)) == light[:limit]
+    for start, most in ((want[0][0], 2), (want[-1][1], 3), ("", 2)):
+        assert sorted(rows(graph.hops_together(found, start, most))) == sorted(rows(graph.hops(edges, start, most)))
+
+
 def test_graph_of_documents_has_their_names(spark, sf):
     from engram.plans import catalog
 
