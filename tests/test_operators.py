@@ -82,6 +82,15 @@ def test_hash_vectors_match_plain_python(spark):
         assert e == pytest.approx(plain(t, 64))
 
 
+def test_hashed_blocks_hold_few_characters(monkeypatch):
+    monkeypatch.setattr(vx, "CHARS", 20)
+    texts = ["a" * 9, "b" * 9, None, "c" * 9, "d" * 50, "", "e"]
+    found = [texts[s] for s in vx._blocks(texts, 4)]
+    assert sum(found, []) == texts
+    assert all(len(b) == 1 or sum(len(t or "") for t in b) <= 20 for b in found) and len(found) == 4
+    assert list(vx._blocks([], 4)) == []
+
+
 def test_approximate_recall(spark, sf, tmp_path):
     v = views.vectors(spark, sf)
     q = v.filter("id % 100 = 0")
