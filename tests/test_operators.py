@@ -91,6 +91,15 @@ def test_hashed_blocks_hold_few_characters(monkeypatch):
     assert list(vx._blocks([], 4)) == []
 
 
+def test_stand_ins_digest_a_text_once(spark):
+    df = spark.createDataFrame([("a text",), (None,)], "t string").select("t", vx.digest_vector(F.col("t"), 3).alias("v"))
+    for t, v in df.collect():
+        x = [b / 255 for b in hashlib.sha256((t or "").encode()).digest()] * 3
+        assert v == pytest.approx([y / math.sqrt(sum(z * z for z in x)) for y in x])
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1
+
+
 def test_approximate_recall(spark, sf, tmp_path):
     v = views.vectors(spark, sf)
     q = v.filter("id % 100 = 0")
