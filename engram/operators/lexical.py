@@ -178,12 +178,18 @@ class StoredIndex:
         self.spark, self.root = spark, root
 
     def build(self, docs: DataFrame, text_col: str = "content") -> StoredIndex:
-        t = docs.select("id", terms(F.col(text_col)).alias("t")).withColumn("dl", F.size("t").cast("double"))
-        each = t.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").cast("double").alias("tf"))
-        posted = each.withColumn("bucket", self._bucket(F.col("term")))
+        # a text's terms are counted within its row: its sorted terms, by where each begins
+        t = docs.select("id", F.sort_array(terms(F.col(text_col))).alias("t"))
+        starts = F.expr("filter(sequence(0, size(t) - 1), i -> i = 0 OR t[i] != t[i - 1])")
+        counted = t.select("id", F.size("t").cast("double").alias("dl"), "t", F.when(F.size("t") > 0, starts).alias("at"))
+        each = counted.select("id", "dl", F.explode_outer(F.expr("transform(at, (i, k) -> struct(t[i] AS term, CAST(coalesce(get(at, k + 1), size(t)) - i AS DOUBLE) AS tf))")).alias("p"))
+        posted = each.filter("p IS NOT NULL").select("id", "dl", "p.term", "p.tf").withColumn("bucket", self._bucket(F.col("term")))
         # frequent buckets are split by id, so that no task writes a term alone
         posted.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/postings")
-        t.agg(F.count("*").cast("double").alias("n_all"), F.avg("dl").alias("mean")).write.mode("overwrite").parquet(f"{self.root}/totals")
+        # the lengths add up to the counts of all terms, so the texts aren't split again
+        held = self.spark.read.schema("tf double").parquet(f"{self.root}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0.0)).alias("held"))
+        total = docs.agg(F.count("*").cast("double").alias("n_all")).crossJoin(F.broadcast(held))
+        total.select("n_all", F.try_divide("held", "n_all").alias("mean")).write.mode("overwrite").parquet(f"{self.root}/totals")
         return self
 
     def _bucket(self, term: Column) -> Column:

@@ -142,6 +142,15 @@ def test_stored_index_equals_a_scan(spark, tmp_path):
     assert [r[0] for r in rows(index.search("green", 10, live))] == ["1"]
 
 
+def test_stored_index_counts_rows_of_one_id_apart(spark, tmp_path):
+    docs = spark.createDataFrame([("1", "tea tea pot"), ("1", "tea cup pot"), ("2", "a cup"), ("3", "")], "id string, content string")
+    index = lexical.StoredIndex(spark, str(tmp_path)).build(docs)
+    posted = rows(spark.read.parquet(f"{tmp_path}/postings").select("id", "term", "tf", "dl"))
+    assert sorted(posted) == [("1", "cup", 1.0, 3.0), ("1", "pot", 1.0, 3.0), ("1", "pot", 1.0, 3.0), ("1", "tea", 1.0, 3.0), ("1", "tea", 2.0, 3.0), ("2", "a", 1.0, 2.0), ("2", "cup", 1.0, 2.0)]
+    assert rows(spark.read.parquet(f"{tmp_path}/totals")) == [(4.0, 2.0)]
+    assert [r[0] for r in rows(index.search("tea", 5))] == ["1"]
+
+
 def test_small_scans_are_dealt_over_the_cores(spark):
     one = spark.range(10).coalesce(1)
     assert views.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
