@@ -349,6 +349,29 @@ def test_threads_survive_cycles(spark):
     assert got["c"] == ("a", 2) and got["z"] == ("z", 0) and set(got) == set("abcxyz")
 
 
+def test_long_contradictions_against_brute_force(spark):
+    """Sets of many words about the least similarity."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(60)]
+    sets = []
+    for k in range(60):
+        own = set(rng.sample(base, rng.randrange(20, 60))) | {f"v{rng.randrange(300)}" for _ in range(rng.randrange(40))}
+        sets.append(own | ({"not"} if k % 3 == 0 else set()))
+    df = spark.createDataFrame([(str(k), " ".join(s)) for k, s in enumerate(sets)], "id string, content string")
+    neg = ["not" in s for s in sets]
+    want = {tuple(sorted((str(i), str(j)))) for i in range(60) for j in range(i) if neg[i] != neg[j] and len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])}
+    got = [(r["a"], r["b"]) for r in engines.contradictions(df).collect()]
+    assert set(got) == want and len(got) == len(want) and 20 < len(want) < 700
+
+
+def test_contradictions_find_words_once(spark):
+    """Texts meet the pattern in one stage only, and no word of theirs is shuffled whole."""
+    df = spark.createDataFrame([("1", "a b not"), ("2", "a b")], "id string, content string")
+    pairs, members = engines.contradiction_classes(df)
+    for frame in (pairs, members):
+        assert "regexp_extract_all" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_contradictions_against_brute_force(spark):
     texts = ["really like coffee in the morning", "really do not like coffee in the morning", "tea is fine", "tea is not fine", "never ever", "ever", "tea is fine"]
     df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "id string, content string")
