@@ -6,6 +6,7 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -349,6 +350,25 @@ def test_threads_survive_cycles(spark):
     assert got["c"] == ("a", 2) and got["z"] == ("z", 0) and set(got) == set("abcxyz")
 
 
+def test_scores_are_made_once(spark):
+    """One product a row, in one place of the plan; what is below the least goes all the same."""
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [-1.0, 0.0]), ("c", [0.0, 0.0]), ("d", None)], "id string, embedding array<double>")
+    found = recall.nearest(v, v.filter("id = 'a'").select(F.col("embedding").alias("q")), 4)
+    assert {(r["id"], r["score"]) for r in found.collect()} == {("a", 1.0), ("c", 0.0), ("d", 0.0)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("zip_with") == 1
+
+
+def test_embedder_holds_few_texts(spark, monkeypatch):
+    """A batch's vectors are those of its texts one by one; strings are made in slices."""
+    texts = [None, "", *(f"word{k} other {k % 7}" for k in range(1500))]
+    embed = vx.HashingEmbedder(8).function().func
+    lengths = []
+    monkeypatch.setattr(vx, "_blocks", lambda held, dims, own=vx._blocks: lengths.append(len(held)) or own(held, dims))
+    got = embed(pa.array(texts)).to_pylist()
+    assert max(lengths) <= 512 and sum(lengths) == len(texts)
+    assert got == [vx.hash_vector(t, 8).tolist() for t in texts]
+
+
 def test_long_contradictions_against_brute_force(spark):
     """Sets of many words about the least similarity."""
     rng = random.Random(3)
