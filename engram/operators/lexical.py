@@ -113,15 +113,18 @@ def vocabulary(docs: DataFrame, newest: int | None = None, chars: int | None = N
     some = docs if newest is None else docs.orderBy(F.desc("created_at"), "id").limit(newest)
     some = some.select("id", _begin(F.col(text_col), chars).alias("t"))
     n = some.agg(F.count("*").alias("n"))
-    df = some.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    # an inner explode would ask for a filled array first, and look for all words twice
+    each = some.select(F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))).alias("term"))
+    df = each.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
     kept = df.crossJoin(F.broadcast(n)).filter("df >= 2 AND df <= 0.8 * n")
     return kept.orderBy(F.desc("df"), "term").limit(size).select("term", "df", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
 def tfidf(docs: DataFrame, vocab: DataFrame, chars: int | None = None, text_col: str = "content") -> DataFrame:
     """(id, term, weight): (1 + ln count) * idf, of unit length a document."""
-    t = docs.select("id", F.explode(F.regexp_extract_all(F.lower(_begin(F.col(text_col), chars)), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))).alias("term"))
-    raw = t.groupBy("id", "term").agg(F.count("*").alias("c")).join(vocab, "term").withColumn("w", (1 + F.ln("c")) * F.col("idf"))
+    t = docs.select("id", F.explode_outer(F.regexp_extract_all(F.lower(_begin(F.col(text_col), chars)), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))).alias("term"))
+    # the vocabulary is small by its size, and goes to all tasks: only its terms are counted and moved
+    raw = t.join(F.broadcast(vocab), "term").groupBy("id", "term").agg(F.count("*").alias("c"), F.first("idf").alias("idf")).withColumn("w", (1 + F.ln("c")) * F.col("idf"))
     size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id")))
     return raw.select("id", "term", (F.col("w") / size).alias("weight"))
 

@@ -350,6 +350,19 @@ def test_threads_survive_cycles(spark):
     assert got["c"] == ("a", 2) and got["z"] == ("z", 0) and set(got) == set("abcxyz")
 
 
+def test_tfidf_moves_terms_of_the_vocabulary_only(spark):
+    """Other terms go before anything is grouped, and texts meet the pattern once a scan."""
+    docs = spark.createDataFrame([("1", "a b b"), ("2", "b c"), ("3", None), ("4", "a")], "id string, content string").repartition(2)
+    vocab = spark.createDataFrame([("b", 2, 2.0), ("c", 1, 1.0)], "term string, df long, idf double")
+    out = lexical.tfidf(docs, vocab)
+    b, c = 2.0, 1.0
+    want = {("1", "b"): 1.0, ("2", "b"): b / math.hypot(b, c), ("2", "c"): c / math.hypot(b, c)}
+    got = {(r["id"], r["term"]): r["weight"] for r in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.index("Aggregate") < plan.index("Join")
+
+
 def test_scores_are_made_once(spark):
     """One product a row, in one place of the plan; what is below the least goes all the same."""
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [-1.0, 0.0]), ("c", [0.0, 0.0]), ("d", None)], "id string, embedding array<double>")
