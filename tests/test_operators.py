@@ -581,6 +581,22 @@ def test_gaps_below_the_most_mentioned(spark):
     assert [r["name"] for r in graph.gaps(counts, edges, 2, None, 5).collect()] == ["alone", "rare"]
 
 
+def test_gaps_meet_each_text_once(spark, sf):
+    from engram.plans import catalog
+
+    texts = [("1", "Ana Luz saw #paz"), ("2", "#alone"), ("3", "and #alone"), ("4", "Zed Rey"), ("5", None), ("6", "no names"), ("7", "#paz")]
+    df = spark.createDataFrame(texts, "id string, content string")
+    got = {r["name"]: (r["mentions"], r["linked"]) for r in graph.linked_counts(df).collect()}
+    assert got == {"Ana Luz": (1, True), "paz": (2, True), "alone": (2, False), "Zed Rey": (1, False)}
+    for scanned in (None, 2, 3):
+        want = graph.gaps(graph.entity_counts(graph.entity_support(df)), graph.edge_weights(graph.comentions(df)), 2, scanned, 5)
+        assert rows(graph.open_questions(graph.linked_counts(df), 2, scanned, 5)) == rows(want)
+    for name in ("curiosity_gaps", "curiosity_gaps_all"):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        # one pattern for topics, persons and concepts each
+        assert plan.count("regexp_extract_all") == 3
+
+
 def test_threads_of_any_length(spark):
     rows = [(f"n{k}", f"n{k - 1}" if k else None) for k in range(700)] + [("x", "y"), ("y", "x"), ("w", "x"), ("u", "v"), ("v", "t"), ("t", "u"), ("self", "self"), ("z", "gone")]
     e = spark.createDataFrame(rows, "uuid string, parent string").repartition(5)
