@@ -16,9 +16,10 @@ def stats(**tables: DataFrame) -> DataFrame:
     return out
 
 
-def evolution(episodic: DataFrame, semantic: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: counts, embedding coverage, graph density, proposals."""
-    s = stats(episodic=episodic, semantic=semantic, entities=entities, relationships=edges)
+def evolution(episodic: DataFrame, semantic: DataFrame, size: DataFrame) -> DataFrame:
+    """One row: counts, embedding coverage, graph density, proposals; ``size`` is the one
+    row (entities, relationships) of the graph."""
+    s = stats(episodic=episodic, semantic=semantic).crossJoin(size)
     cover = F.when(F.col("episodic") > 0, F.col("semantic") / F.col("episodic")).otherwise(1.0)
     dense = F.when(F.col("entities") > 0, F.col("relationships") / F.col("entities")).otherwise(0.0)
     proposals = F.concat_ws(

@@ -597,6 +597,24 @@ def test_gaps_meet_each_text_once(spark, sf):
         assert plan.count("regexp_extract_all") == 3
 
 
+def test_size_of_the_graph_without_a_row_a_pair(spark, monkeypatch):
+    rng = random.Random(9)
+    names = [f"Name{chr(97 + k)}{chr(97 + j)}" for k in range(9) for j in range(9)]
+    texts = [", ".join(rng.choice(names[: rng.choice((3, 20, 81))]) for _ in range(rng.randrange(60))) for _ in range(80)] + [None, "", "#alone", "#alone"]
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "id string, content string").repartition(3)
+    pairs = graph.comentions(df).select(F.least("source", "target"), F.greatest("source", "target")).distinct().count()
+    want = [(graph.entity_support(df).select("name").distinct().count(), pairs)]
+    # a text in many pieces and tasks' pairs in many buckets, too
+    for piece, most in ((graph.PIECE, graph.PAIRS), (7, 100)):
+        monkeypatch.setattr(graph, "PIECE", piece)
+        monkeypatch.setattr(graph, "PAIRS", most)
+        got = graph.graph_size(df)
+        assert rows(got) == want and [t for _, t in got.dtypes] == ["bigint", "bigint"]
+    assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(graph.graph_size(df.filter("content = '#alone'"))) == [(1, 0)]
+    assert rows(graph.graph_size(df.limit(0))) == [(0, 0)]
+
+
 def test_threads_of_any_length(spark):
     rows = [(f"n{k}", f"n{k - 1}" if k else None) for k in range(700)] + [("x", "y"), ("y", "x"), ("w", "x"), ("u", "v"), ("v", "t"), ("t", "u"), ("self", "self"), ("z", "gone")]
     e = spark.createDataFrame(rows, "uuid string, parent string").repartition(5)
