@@ -615,6 +615,23 @@ def test_size_of_the_graph_without_a_row_a_pair(spark, monkeypatch):
     assert rows(graph.graph_size(df.limit(0))) == [(0, 0)]
 
 
+def test_whole_edges_without_a_row_a_pair(spark, monkeypatch):
+    rng = random.Random(11)
+    names = [f"Name{chr(97 + k)}{chr(97 + j)}" for k in range(9) for j in range(9)]
+    texts = [", ".join(rng.choice(names[: rng.choice((3, 20, 81))]) for _ in range(rng.randrange(60))) for _ in range(80)] + [None, "", "#alone"] + ["Zoë Ruiz, Abe, #Abe"] * 300
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "id string, content string").repartition(3)
+    want = sorted(rows(graph.edge_weights(graph.comentions(df))))
+    assert ("abe", "Zoë Ruiz", 300.0) in want and ("Zoë Ruiz", "Abe", 300.0) in want
+    # pairs met 256 times and more at once; texts in many pieces, pairs in many tiles
+    for piece, most in ((graph.PIECE, graph.PAIRS), (7, 1000)):
+        monkeypatch.setattr(graph, "PIECE", piece)
+        monkeypatch.setattr(graph, "PAIRS", most)
+        got = graph.whole_edges(df)
+        assert sorted(rows(got)) == want and [t for _, t in got.dtypes] == ["string", "string", "double"]
+    assert "Generate explode(slice" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(graph.whole_edges(df.filter("content = '#alone'"))) == rows(graph.whole_edges(df.limit(0))) == []
+
+
 def test_threads_of_any_length(spark):
     rows = [(f"n{k}", f"n{k - 1}" if k else None) for k in range(700)] + [("x", "y"), ("y", "x"), ("w", "x"), ("u", "v"), ("v", "t"), ("t", "u"), ("self", "self"), ("z", "gone")]
     e = spark.createDataFrame(rows, "uuid string, parent string").repartition(5)
