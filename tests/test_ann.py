@@ -123,3 +123,32 @@ def test_graph_of_copies(spark, tmp_path, monkeypatch):
     assert recall.overlap_at_k(recall.nearest_each(v, q, 10), nearest_graph(index, v, q, 10)).agg(F.avg("recall")).first()[0] >= 0.9
     first = nearest_graph(index, v, q, 10, own_first=True).filter("rank = 1 AND query = id")
     assert first.count() == q.count()
+
+
+def indexed(spark, folder, x):
+    """Rows of x, and an index of them."""
+    v = spark.createDataFrame([(k, e.tolist()) for k, e in enumerate(x)], "id long, embedding array<double>")
+    index = GraphIndex(spark, folder, x.shape[1], "p")
+    index.sync(v, v.select(F.col("id").alias("seq"), "id"))
+    return v, index
+
+
+def test_stored_vectors_are_found_wherever_they_stand(spark, tmp_path):
+    """No link leads from one of two far groups to the other; each row finds itself all the same."""
+    rng = np.random.default_rng(2)
+    x = 0.1 * rng.normal(size=(400, 8))
+    x[:, 0] += np.where(np.arange(400) < 200, 1, -1)
+    v, index = indexed(spark, str(tmp_path / "i"), x)
+    first = nearest_graph(index, v, v, 10, own_first=True).filter("rank = 1 AND query = id")
+    assert first.count() == 400
+
+
+def test_shards_fit_their_beams(spark, tmp_path, monkeypatch):
+    """Vectors of no clusters, most queries not in a shard: nine of ten at less than half the rows."""
+    monkeypatch.setattr(GraphIndex, "SHARD", 2000)
+    x = np.random.default_rng(4).normal(size=(6000, 64))
+    v, index = indexed(spark, str(tmp_path / "i"), x)
+    q = v.filter("id % 100 = 0")
+    found = nearest_graph(index, v, q, 10)
+    assert recall.overlap_at_k(recall.nearest_each(v, q, 10), found).agg(F.avg("recall")).first()[0] >= 0.9
+    assert found.groupBy("query").agg(F.max("cost").alias("cost")).agg(F.avg("cost")).first()[0] < 3000
