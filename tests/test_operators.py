@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pytest
@@ -804,3 +805,26 @@ def test_rounding_near_ties(spark):
     want = duckdb.connect().execute("SELECT x, round(x, 6) FROM near").fetchall()
     df = spark.createDataFrame([(x,) for x in xs], "x double")
     assert sorted(rows(df.select("x", vx.rounded(F.col("x"), 6)))) == sorted(want)
+
+
+def test_word_pairs_send_a_block_once_for_each_stripe(spark, monkeypatch):
+    """However many blocks there are, none is sent for each other block; all pairs are met."""
+    monkeypatch.setattr(graph, "STRIPE", 40)
+    rng = random.Random(6)
+    sets = [{f"w{int(rng.random() ** 2 * 90)}" for _ in range(12)} for _ in range(200)]
+    df = spark.createDataFrame([(str(k), " ".join(w)) for k, w in enumerate(sets)], "id string, content string").repartition(3)
+    got = graph.word_pairs(df, 2, share=2)
+    want = {(a, b, n) for i in range(200) for j in range(i) for a, b, n in [(*sorted((str(i), str(j))), len(sets[i] & sets[j]))] if n > 2}
+    found = [(r["a"], r["b"], r["common"]) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+
+    def held(least, stripes):
+        def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([""]), pa.array([sum(b.num_rows for b in batches)])], names=["a", "b", "common"])
+
+        return run
+
+    monkeypatch.setattr(graph, "_common", held)
+    sent = graph.word_pairs(df, 2, share=2).agg(F.sum("common")).first()[0]
+    # as many stripes as give each core three tasks
+    assert sent <= 100 * math.ceil(math.sqrt(6 * spark.sparkContext.defaultParallelism))
