@@ -828,3 +828,24 @@ def test_word_pairs_send_a_block_once_for_each_stripe(spark, monkeypatch):
     sent = graph.word_pairs(df, 2, share=2).agg(F.sum("common")).first()[0]
     # as many stripes as give each core three tasks
     assert sent <= 100 * math.ceil(math.sqrt(6 * spark.sparkContext.defaultParallelism))
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_clustering_of_texts(spark, sf, monkeypatch, small):
+    """As from the rows of all pairs, over one task of few colours and over many tiles; no pair is a row."""
+    if small:
+        monkeypatch.setattr(graph, "TASK_EDGES", 40)
+        monkeypatch.setattr(graph, "PAIRS", 16)
+    rng = random.Random(7)
+    names = [f"Name{chr(97 + k)}{chr(97 + j)}" for k in range(8) for j in range(5)]
+    texts = [", ".join(rng.choice(names[: rng.choice((3, 12, 40))]) for _ in range(rng.randrange(5))) for _ in range(90)] + [None, "", "Alone"]
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "id string, content string").repartition(3)
+    found = graph.clustering_of(df)
+    assert found.columns == ["name", "degree", "clustering", "clustering_normal"]
+    assert sorted(rows(found)) == sorted(rows(graph.clustering(graph.comentions(df))))
+    assert graph.clustering_of(df.filter("content = 'Alone'")).count() == graph.clustering_of(df.limit(0)).count() == 0
+    if not small:
+        from engram.plans import catalog
+
+        monkeypatch.setattr(graph, "comentions", None)
+        assert catalog.QUERIES["document_clustering"](spark, sf).count() > 0
